@@ -47,6 +47,30 @@ def hashed_rank(
     )
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only after counting: at most ``max_rows`` narrow rows; otherwise Spark shuffles the join."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def salted_lookup(
+    big: DataFrame, dim: DataFrame, key: str, hot: Column, salt_by: str, salts: int = 64, how: str = "inner"
+) -> DataFrame:
+    """Join ``big`` to ``dim`` (one row per key) when some keys hold a large share of ``big``.
+
+    ``hot`` is a predicate on ``dim`` that marks heavy keys by their share of all rows, which bounds their
+    number; that list is broadcast. Rows of heavy keys are spread over ``salts`` join keys by ``salt_by``, and
+    the heavy rows of ``dim`` are copied to each.
+    """
+    heavy = dim.where(hot).select(key, F.lit(True).alias("_hot"))
+    left = big.join(F.broadcast(heavy), key, "left").withColumn(
+        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(salt_by), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    )
+    right = dim.withColumn(
+        "_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    )
+    return left.join(right, [key, "_salt"], how).drop("_hot", "_salt")
+
+
 def query_blocks(
     queries: DataFrame,
     key: str,

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provena.functions.ranking import salted_lookup
 from provena.functions.text import hash_bucket, term_counts
 
 # A term found in more than 1/HOT_SHARE of the chunks is hot. A chunk of 1,500 characters has at most 500
@@ -43,24 +44,9 @@ def weigh(post: DataFrame, stats: DataFrame, n_chunks: Column, salts: int = HOT_
     Hot terms are spread over ``salts`` join keys; their statistics row is copied to each. The list of hot
     terms is broadcast: its length is bounded by the share that makes a term hot.
     """
-    hot = stats.where(F.col("df") * HOT_SHARE > n_chunks).select("term", F.lit(True).alias("_hot"))
-    salted = post.join(F.broadcast(hot), "term", "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot"), F.pmod(F.xxhash64("chunk_id"), F.lit(salts))).otherwise(F.lit(0)).cast("int"),
-    )
-    dim = stats.withColumn(
-        "_salt",
-        F.explode(
-            F.when(F.col("df") * HOT_SHARE > n_chunks, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-                F.array(F.lit(0))
-            )
-        ),
-    )
-    return (
-        salted.join(dim, ["term", "_salt"], "inner")
-        .withColumn("w", F.col("tf") * F.col("idf"))
-        .drop("_hot", "_salt", "df", "idf")
-    )
+    hot = F.col("df") * HOT_SHARE > n_chunks
+    joined = salted_lookup(post, stats, "term", hot, "chunk_id", salts)
+    return joined.withColumn("w", F.col("tf") * F.col("idf")).drop("df", "idf")
 
 
 def forward_index(weighted: DataFrame) -> DataFrame:

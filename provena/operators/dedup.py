@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provena.functions.ranking import salted_lookup
+from provena.session import cut_lineage
 
 MAX_DISTANCE = 3  # fixed value
 # Six blocks of the signature. Three flipped bits touch at most three blocks, so two signatures within the
@@ -112,6 +113,7 @@ def near_duplicates(sigs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFr
     The list of a document's near-duplicates is the documents of its own and of the paired signatures; it is
     given as that relation and its size, because spelling it out is quadratic in the size of a copy group.
     """
+    sigs = cut_lineage(sigs)  # two numbers per document; hashing all text is not repeated for each use below
     groups = signature_groups(sigs)
     pairs = near_signature_pairs(groups, max_distance)
     both = pairs.select(F.col("sig_a").alias("signature"), F.col("sig_b").alias("other")).unionByName(

@@ -277,7 +277,8 @@ def search(
         res = ranked[0].select("query_id", "chunk_id", "rank").withColumn("score", F.lit(None).cast("double"))
     res = with_doc_id(res)
     if entity_boost and tags is not None:
-        res = boost(attach(res, queries, tags, keywords)).drop("tags", "detected")
+        facts = attach(res, queries, tags.select("doc_id", "tags"), keywords)
+        res = boost(facts).drop("tags", "detected")
     return res.where(F.col("rank") <= top)
 
 
@@ -287,10 +288,10 @@ def with_doc_id(res: DataFrame) -> DataFrame:
 
 
 def attach(res: DataFrame, queries: DataFrame, tags: DataFrame, keywords: Mapping[str, str]) -> DataFrame:
-    """Add the document's tags and the query's detected codes to a result list.
+    """Add the document's tags (and whatever else ``tags`` holds) and the query's detected codes to a result list.
 
     The result list is small (queries x pool), so the join keeps the document side where it is scanned.
     """
     found = queries.select("query_id", entity_codes("text", keywords).alias("detected"))
-    t = tags.select(F.col("doc_id").cast("string").alias("doc_id"), "tags")
+    t = tags.withColumn("doc_id", F.col("doc_id").cast("string"))
     return res.join(t, "doc_id", "left").join(found, "query_id", "left")

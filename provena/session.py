@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "provena", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A local session for tests and benches. On a cluster the session is the cluster's own."""
+    """A local session for tests and benches. On a cluster the session is the cluster's own.
+
+    A checkpoint folder is set here only where the environment names none.
+    """
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -20,6 +25,10 @@ def local_session(app: str = "provena", cores: int | str = "*", shuffle_partitio
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if checkpoint_dir(spark) is None:
+        folder = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.sparkContext.setCheckpointDir(folder)
     return spark
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +20,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Name a value inside an expression, so that it is computed once per row however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: str | Column) -> Column:
     """Trim every kind of whitespace from both ends."""
     return F.regexp_replace(col(c), rf"^{WS}+|{WS}+\z", "")
@@ -48,10 +53,6 @@ def term_counts(c: str | Column) -> Column:
 
     The sorted terms are cut where the value changes, so no shuffle is needed to count them.
     """
-    def bind(value: Column, body) -> Column:
-        # One-element transform: names a value inside an expression, so that it is computed once per row.
-        return F.element_at(F.transform(F.array(value), body), 1)
-
     def starts(a: Column) -> Column:
         return F.filter(
             F.sequence(F.lit(1), F.size(a)),

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provena.functions.text import WS, col, strip
+from provena.functions.text import WS, bind, col, strip
 from provena.operators.citations import markers
 
-# A sentence ends at terminal punctuation and takes the markers that follow it.
-SENTENCE = rf"[^.!?]*[.!?]+(?:{WS}*\[\d+\])*"
+# A sentence ends at terminal punctuation and takes the markers that follow it; what is left at the
+# end of the text without punctuation is one more sentence. Possessive, so a long rest is read once.
+SENTENCE = rf"[^.!?]*+(?:[.!?]++(?:{WS}*+\[\d+\])*+|\z)"
 DECIMAL = r"(?<=\d)\.(?=\d)"
 MASK = "\x00"
 
@@ -17,15 +18,8 @@ MASK = "\x00"
 def sentences(text: str | Column) -> Column:
     """Stripped sentences and the unterminated rest, decimals kept whole."""
     masked = F.regexp_replace(col(text), DECIMAL, MASK)
-
-    def cut(t: Column) -> Column:
-        found = F.regexp_extract_all(t, F.lit(f"({SENTENCE})"), F.lit(1))
-        used = F.aggregate(found, F.lit(0), lambda n, s: n + F.length(s))
-        rest = F.substring(t, used + 1, F.length(t))
-        return F.concat(found, F.array(rest))
-
-    parts = F.element_at(F.transform(F.array(masked), cut), 1)
-    return F.filter(F.transform(parts, lambda s: strip(F.replace(s, F.lit(MASK), F.lit(".")))), lambda s: s != "")
+    found = F.regexp_extract_all(masked, F.lit(f"({SENTENCE})"), F.lit(1))
+    return F.filter(F.transform(found, lambda s: strip(F.replace(s, F.lit(MASK), F.lit(".")))), lambda s: s != "")
 
 
 def extract_claims(parsed: DataFrame, query: str = "question_id", answer: str = "answer_markdown") -> DataFrame:
@@ -34,20 +28,18 @@ def extract_claims(parsed: DataFrame, query: str = "question_id", answer: str =
     ``parsed`` has ``citations``; markers are distinct in first-seen order, invalid ones are not counted.
     """
     valid = F.transform("citations", lambda c: c["marker"].cast("bigint"))
-    claims = F.filter(
-        F.transform(
-            sentences(answer),
-            lambda s: F.struct(
-                s.alias("claim_text"),
-                F.filter(F.array_distinct(markers(s)), lambda m: F.array_contains(F.col("_valid"), m)).alias("markers"),
+    claims = bind(
+        valid,
+        lambda ok: F.filter(
+            F.transform(
+                sentences(answer),
+                lambda s: F.struct(s.alias("claim_text"), F.array_intersect(markers(s), ok).alias("markers")),
             ),
+            lambda c: F.size(c["markers"]) > 0,
         ),
-        lambda c: F.size(c["markers"]) > 0,
     )
-    return (
-        parsed.withColumn("_valid", valid)
-        .select("*", F.posexplode(claims).alias("claim_index", "_c"))
-        .select(*parsed.columns, "claim_index", F.col("_c.claim_text").alias("claim_text"), F.col("_c.markers").alias("markers"))
+    return parsed.select("*", F.posexplode(claims).alias("claim_index", "_c")).select(
+        *parsed.columns, "claim_index", F.col("_c.claim_text").alias("claim_text"), F.col("_c.markers").alias("markers")
     )
 
 

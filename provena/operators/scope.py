@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from provena.functions.text import any_phrase, col, found_phrases, strip
+from provena.functions.text import any_phrase, bind, col, found_phrases, strip
 
 # Keyword and display name of countries outside the scope, in checking order.
 OUT_OF_SCOPE = {
@@ -86,12 +86,20 @@ def final_answer(query: str | Column, answer: str | Column, n_citations: Column)
 
     Citations are parsed before this step, so nothing added here is counted as a claim.
     """
-    names = out_of_scope(query)
-    a = F.when(
-        (F.size(names) > 0) & (n_citations > 0), F.concat(disclosure(names), F.lit("\n\n"), col(answer))
-    ).otherwise(col(answer))
-    b = F.when(needs_org_fact(query, a), F.concat(a, F.lit("\n\n" + ORG_CLAUSE))).otherwise(a)
-    return F.when(needs_time_fact(query, b), F.concat(b, F.lit("\n\n" + TIME_CLAUSE))).otherwise(b)
+    q = col(query)
+
+    def disclosed(names: Column) -> Column:
+        return F.when(
+            (F.size(names) > 0) & (n_citations > 0), F.concat(disclosure(names), F.lit("\n\n"), col(answer))
+        ).otherwise(col(answer))
+
+    def with_orgs(a: Column) -> Column:
+        return F.when(needs_org_fact(q, a), F.concat(a, F.lit("\n\n" + ORG_CLAUSE))).otherwise(a)
+
+    def with_years(a: Column) -> Column:
+        return F.when(needs_time_fact(q, a), F.concat(a, F.lit("\n\n" + TIME_CLAUSE))).otherwise(a)
+
+    return bind(bind(bind(out_of_scope(q), disclosed), with_orgs), with_years)
 
 
 def rewritten_or_original(query: Column, rewritten: Column) -> Column:
@@ -125,7 +133,7 @@ def rule_check() -> Column:
     n_cit = F.concat(F.lit("citations="), F.size("citations").cast("string"))
     footer_ok = ~F.contains("footer", F.lit("no citations were produced"))
     leaks = found_phrases("answer_markdown", LEAK_MENTIONS)
-    sentence = disclosure(out_of_scope("question"))
+    sentence = bind(out_of_scope("question"), disclosure)
     disclosed = F.coalesce(F.contains("answer_markdown", sentence), F.lit(False))
     decl = any_phrase("answer_markdown", RULE_DECLINE_PHRASES)
     yes = lambda c: c.cast("string")

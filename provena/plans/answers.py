@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from provena.functions.text import strip
+from provena.functions.text import bind
 from provena.operators import citations as cit
 from provena.operators import claims as cl
 from provena.operators import prompts as pr
@@ -279,7 +279,7 @@ def scope_detection(spark, sf):
     names = sc.out_of_scope("q")
     cited = F.contains("a", F.lit("[1]")).cast("int")
     return s.select(
-        "conv_id", "turn", F.array_join(names, "; ").alias("names"), sc.disclosure(names).alias("disclosure"),
+        "conv_id", "turn", F.array_join(names, "; ").alias("names"), bind(names, sc.disclosure).alias("disclosure"),
         sc.needs_org_fact("q", "a").alias("needs_org_fact"), sc.needs_time_fact("q", "a").alias("needs_time_fact"),
         F.sha2(sc.final_answer("q", "a", cited), 256).alias("final_sha256"),
     )

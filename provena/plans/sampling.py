@@ -8,6 +8,7 @@ from provena.operators import release as rl
 from provena.operators import sampling as sm
 from provena.plans import answers as an
 from provena.plans import common as c
+from provena.session import cut_lineage
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -72,7 +73,7 @@ def largest_remainder(spark, sf):
     SELECT judgment_id, verdict, row_number() OVER (ORDER BY md5('43:' || judgment_id), judgment_id) AS position FROM (FROM bad UNION ALL FROM good)""",
 )
 def calibration_sample(spark, sf):
-    return sm.calibration_sample(an.judgments(spark, sf).select("judgment_id", "verdict"))
+    return sm.calibration_sample(cut_lineage(an.judgments(spark, sf).select("judgment_id", "verdict")))
 
 
 @register(

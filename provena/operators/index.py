@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,15 +52,53 @@ def weigh(post: DataFrame, stats: DataFrame, n_chunks: Column, salts: int = HOT_
 
 
 def forward_index(weighted: DataFrame) -> DataFrame:
-    """One row per chunk: ``terms array<struct<term, w>>`` and the length of the weight vector.
+    """One row per chunk: ``terms array<struct<term, tf, w>>`` and the length of the weight vector.
 
     ``weighted`` is expected partitioned by doc_id, which also groups by chunk without another exchange.
     """
     return weighted.groupBy("doc_id", "chunk_id").agg(
-        F.collect_list(F.struct("term", "w")).alias("terms"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
+        F.collect_list(F.struct("term", "tf", "w")).alias("terms"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")
     )
 
 
+def index_rows(weighted: DataFrame, dim: int = VECTOR_DIM) -> DataFrame:
+    """Both indexes in one row per chunk: (doc_id, chunk_id, terms, weights, norm, vec).
+
+    The signed vector position of a term is computed in the JVM with its posting; a chunk's positions are then
+    summed into its vector batch by batch.
+    """
+    bucket, sign = signed_bucket(F.col("term"), dim)
+    w = F.col("w")
+    rows = weighted.withColumn("_p", ((bucket + 1) * sign).cast("int")).groupBy("doc_id", "chunk_id").agg(
+        F.collect_list(F.struct("term", "w", "_p")).alias("_t"), F.sqrt(F.sum(w * w)).alias("norm")
+    )
+    return rows.select(
+        "doc_id", "chunk_id", F.col("_t.term").alias("terms"), F.col("_t.w").alias("weights"), "norm",
+        _summed(dim)(F.col("_t._p"), F.col("_t.w")).alias("vec"),
+    )
+
+
+def _summed(dim: int):
+    """Arrow-batched sum of signed positions (1-based) and weights into vectors of length ``dim``."""
+
+    @F.pandas_udf("array<double>")
+    def to_vector(positions: pd.Series, weights: pd.Series) -> pd.Series:
+        n = len(positions)
+        if n == 0:
+            return pd.Series([], dtype=object)
+        row = np.repeat(np.arange(n), [len(p) for p in positions])
+        pos, w = np.concatenate(positions.to_numpy()), np.concatenate(weights.to_numpy())
+        flat = np.bincount(row * dim + np.abs(pos) - 1, weights=np.sign(pos) * w, minlength=n * dim)
+        return pd.Series(list(flat.reshape(n, dim)))
+
+    return to_vector
+
+
+def _dense(entries: str, dim: int) -> Column:
+    m = F.col(entries)
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(m[i], F.lit(0.0)))
+
+
 def signed_bucket(term: Column, dim: int) -> tuple[Column, Column]:
     """Feature hashing: the vector position of a term and the sign it is added with."""
     sign = F.when(F.substring(F.md5(term), 32, 1).isin(*"02468ace"), F.lit(1.0)).otherwise(F.lit(-1.0))
@@ -79,10 +119,7 @@ def hashed_entries(weighted: DataFrame, keys: Sequence[str], dim: int = VECTOR_D
 def dense_vectors(entries: DataFrame, keys: Sequence[str], dim: int = VECTOR_DIM) -> DataFrame:
     """(keys..., vec array<double>) of fixed length from sparse entries."""
     packed = entries.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("_m"))
-    vec = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0))
-    )
-    return packed.select(*keys, vec.alias("vec"))
+    return packed.select(*keys, _dense("_m", dim).alias("vec"))
 
 
 def query_terms(queries: DataFrame, stats: DataFrame, key: str = "query_id", text: str = "text") -> DataFrame:

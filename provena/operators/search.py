@@ -6,6 +6,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,7 @@ from provena.functions.ranking import query_blocks, top_k, union_all
 from provena.functions.text import entity_codes
 from provena.operators import index as ix
 from provena.operators.chunking import chunk_documents, chunk_total
+from provena.session import cut_lineage
 
 # Default result length, depth of each leg before fusion, fallback fusion constant, swept constants.
 TOP_K = 10
@@ -26,6 +28,8 @@ COUNTRY_KEYWORDS = {"KE": "kenya", "UG": "uganda", "TZ": "tanzania", "ET": "ethi
 
 # Scores are compared after rounding, so that the order of float additions cannot decide a rank.
 SCORE_DIGITS = 9
+# Queries sent to the tasks at a time; larger batches are searched block by block.
+MAX_QUERY_ROWS = 20_000
 
 
 class StaleIndexError(RuntimeError):
@@ -69,109 +73,157 @@ def record_default(config_path: str, spark, method: str, rrf_k: int | None, repo
     )
 
 
-def text_leg(index: DataFrame, qterms: Sequence[DataFrame], k: int) -> DataFrame:
-    """Best ``k`` chunks per query by cosine of TF-IDF vectors.
+# Scores held at a time by one task: chunks x queries of a sub-batch.
+_SCORES = 8_000_000
 
-    ``index`` is partitioned by document, the query terms are broadcast block by block, so scoring a chunk
-    needs no shuffle and only each partition's best ``k`` rows per query are exchanged.
-    """
-    post = index.select("doc_id", "chunk_id", "norm", F.explode("terms").alias("_t")).select(
-        "doc_id", "chunk_id", "norm", F.col("_t.term").alias("term"), F.col("_t.w").alias("dw")
+
+def _best(score: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, query, score) of the best ``k`` rows per column above ``floor``; rows are in id order, so ties too."""
+    take = min(k, len(score))
+    least = np.partition(score, len(score) - take, axis=0)[len(score) - take]
+    row, q = np.nonzero((score >= least[None, :]) & (score > floor))
+    s = score[row, q]
+    by = np.lexsort((row, -s, q))
+    row, q, s = row[by], q[by], s[by]
+    first = np.searchsorted(q, np.arange(score.shape[1]))
+    best = (np.arange(len(q)) - first[q]) < take
+    return row[best], q[best], s[best] + 0.0
+
+
+def _result(schema: pa.Schema, qids: np.ndarray, ids: np.ndarray, best) -> pa.RecordBatch:
+    row, q, s = best
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(qids[q].tolist(), type=schema.field(0).type),
+            pa.array(ids[row].tolist(), type=schema.field(1).type),
+            pa.array(s, type=pa.float64()),
+        ],
+        schema=schema,
     )
-    parts = [
-        post.join(F.broadcast(q), "term", "inner")
-        .groupBy("doc_id", "chunk_id", "query_id")
-        .agg((F.sum(F.col("dw") * F.col("w")) / (F.first("norm") * F.first("qnorm"))).alias("score"))
-        for q in qterms
-    ]
-    scored = union_all(parts).withColumn("score", F.round("score", SCORE_DIGITS)).where(F.col("score") > 0)
-    return top_k(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
-
-
-def _scorer(qids: list, qmat: np.ndarray, k: int, id_name: str, out_schema: pa.Schema):
-    """A per-partition kernel: one matrix product per Arrow batch, best k per query kept."""
+
+
+def _slices(batch: pa.RecordBatch, n_queries: int) -> Iterator[pa.RecordBatch]:
+    step = max(1, _SCORES // max(n_queries, 1))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
+def _text_scorer(terms: pa.Table, k: int, id_name: str, schema: pa.Schema):
+    """Keyword kernel: postings of a batch meet the query terms they equal; products are summed per pair."""
+    terms = terms.sort_by([("term", "ascending"), ("query_id", "ascending")])
+    qids, qpos = np.unique(terms.column("query_id").to_numpy(), return_inverse=True)
+    words = terms.column("term").combine_chunks()
+    vocab = words.unique()
+    start = np.searchsorted(pc.index_in(words, value_set=vocab).to_numpy(), np.arange(len(vocab) + 1))
+    qw = terms.column("w").to_numpy()
+    qnorm = np.zeros(len(qids))
+    qnorm[qpos] = terms.column("qnorm").to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for b in _slices(big, len(qids)):
+                n = b.num_rows
+                ids = np.array(b.column(id_name).to_pylist(), dtype=object)
+                place = np.empty(n, dtype=np.int64)
+                order = np.argsort(ids, kind="stable")
+                place[order] = np.arange(n)
+                lists = b.column("terms")
+                row = np.repeat(place, pc.list_value_length(lists).to_numpy())
+                at = pc.index_in(lists.flatten(), value_set=vocab)
+                known = at.is_valid().to_numpy(zero_copy_only=False)
+                at = pc.fill_null(at, 0).to_numpy()[known]
+                w = b.column("weights").flatten().to_numpy()[known]
+                row = row[known]
+                fan = start[at + 1] - start[at]
+                src = np.repeat(start[at] - np.concatenate(([0], np.cumsum(fan)[:-1])), fan) + np.arange(fan.sum())
+                cell = np.repeat(row, fan) * len(qids) + qpos[src]
+                dots = np.bincount(cell, weights=np.repeat(w, fan) * qw[src], minlength=n * len(qids)).reshape(n, -1)
+                norm = b.column("norm").to_numpy()[order]
+                score = np.round(dots / (norm[:, None] * qnorm[None, :]), SCORE_DIGITS)
+                yield _result(schema, qids, ids[order], _best(score, k, 0.0))
+
+    return run
+
+
+def _vector_scorer(qids: np.ndarray, qmat: np.ndarray, k: int, id_name: str, schema: pa.Schema):
+    """Vector kernel: one matrix product per batch."""
     lens = np.sqrt((qmat * qmat).sum(axis=1))
     unit = np.divide(qmat, lens[:, None], out=np.zeros_like(qmat), where=lens[:, None] > 0)
-    qarr = np.array(qids, dtype=object)
+    usable = lens > 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            ids = np.array(b.column(id_name).to_pylist(), dtype=object)
-            vecs = b.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-            order = np.argsort(ids, kind="stable")
-            ids, vecs = ids[order], vecs[order]
-            n = np.sqrt((vecs * vecs).sum(axis=1))
-            keep = n > 0
-            ids, vecs = ids[keep], vecs[keep] / n[keep][:, None]
-            if len(ids) == 0:
-                continue
-            score = np.round(vecs @ unit.T, SCORE_DIGITS)
-            take = min(k, len(ids))
-            floor = np.partition(score, len(ids) - take, axis=0)[len(ids) - take]
-            row, q = np.nonzero(score >= floor[None, :])
-            s = score[row, q]
-            by = np.lexsort((row, -s, q))  # per query: best score first, smallest id among equals
-            row, q, s = row[by], q[by], s[by]
-            first = np.searchsorted(q, np.arange(len(qids)))
-            best = (np.arange(len(q)) - first[q]) < take
-            row, q, s = row[best], q[best], s[best]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(qarr[q].tolist(), type=out_schema.field(0).type),
-                    pa.array(ids[row].tolist(), type=out_schema.field(1).type),
-                    pa.array(s + 0.0, type=pa.float64()),
-                ],
-                schema=out_schema,
-            )
+        for big in batches:
+            for b in _slices(big, len(qids)):
+                ids = np.array(b.column(id_name).to_pylist(), dtype=object)
+                vecs = b.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+                order = np.argsort(ids, kind="stable")
+                ids, vecs = ids[order], vecs[order]
+                n = np.sqrt((vecs * vecs).sum(axis=1))
+                ids, vecs, n = ids[n > 0], vecs[n > 0], n[n > 0]
+                if len(ids) == 0:
+                    continue
+                score = np.round((vecs / n[:, None]) @ unit.T, SCORE_DIGITS)
+                score[:, ~usable] = -np.inf
+                yield _result(schema, qids, ids, _best(score, k, -np.inf))
 
     return run
 
 
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+def _schemas(query_type: T.DataType, id_col: str, id_type: T.DataType) -> tuple[pa.Schema, T.StructType]:
+    arrow = pa.schema(
+        [("query_id", _ARROW[query_type.simpleString()]), (id_col, _ARROW[id_type.simpleString()]), ("score", pa.float64())]
+    )
+    spark = T.StructType(
+        [T.StructField("query_id", query_type), T.StructField(id_col, id_type), T.StructField("score", T.DoubleType())]
+    )
+    return arrow, spark
 
 
-def vector_leg(
-    corpus: DataFrame,
-    queries: DataFrame,
-    k: int,
-    id_col: str = "chunk_id",
-    max_rows: int = 20_000,
-    max_bytes: int = 64 * 1024 * 1024,
-) -> DataFrame:
-    """Best ``k`` corpus vectors per query vector by cosine, exact.
+def text_leg(index: DataFrame, qterms: Sequence[DataFrame], k: int) -> DataFrame:
+    """Best ``k`` chunks per query by cosine of TF-IDF vectors, exact, scores above zero only.
 
-    Queries go to the workers block by block, each block within ``max_rows`` and ``max_bytes``; the corpus is
-    scored where it lies with one matrix product per batch. Vectors of length zero have no cosine and are left out.
-    ``corpus`` has ``id_col`` and ``vec``; ``queries`` has query_id and ``vec``, all vectors of one length.
+    ``index`` has chunk_id, terms, weights and norm. ``qterms`` holds the weighted terms of one query block
+    each; ``query_blocks`` has bounded the text they come from. A chunk is scored where it lies, and only the
+    best ``k`` rows per query of each batch are exchanged.
     """
-    qtype = queries.schema["query_id"].dataType.simpleString()
-    ctype = corpus.schema[id_col].dataType.simpleString()
-    schema = pa.schema([("query_id", _ARROW[qtype]), (id_col, _ARROW[ctype]), ("score", pa.float64())])
-    fields = T.StructType(
-        [
-            T.StructField("query_id", queries.schema["query_id"].dataType),
-            T.StructField(id_col, corpus.schema[id_col].dataType),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
-    # A vector's text form is longer than its eight bytes a number, so the byte bound is on the safe side.
+    arrow, fields = _schemas(qterms[0].schema["query_id"].dataType, "chunk_id", T.StringType())
     parts = []
-    for block in query_blocks(queries.select("query_id", "vec"), "query_id", "vec", max_rows, max_bytes):
-        got = block.orderBy("query_id").toArrow()  # bounded by max_rows and max_bytes
-        if got.num_rows == 0:
-            continue
-        qmat = got.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        kernel = _scorer(
-            got.column("query_id").to_pylist(), qmat.reshape(got.num_rows, -1), k, id_col, schema
-        )
-        parts.append(corpus.select(id_col, "vec").mapInArrow(kernel, fields))
+    for block in qterms:
+        got = block.select("query_id", "term", "w", "qnorm").toArrow()
+        if got.num_rows:
+            kernel = _text_scorer(got, k, "chunk_id", arrow)
+            parts.append(index.select("chunk_id", "terms", "weights", "norm").mapInArrow(kernel, fields))
+    return _merge(parts, index, fields, "chunk_id", k)
+
+
+def _merge(parts: list[DataFrame], corpus: DataFrame, fields: T.StructType, id_col: str, k: int) -> DataFrame:
     if not parts:
-        return corpus.sparkSession.createDataFrame([], T.StructType(fields.fields + [T.StructField("rank", T.IntegerType())]))
+        return corpus.sparkSession.createDataFrame([], fields).withColumn("rank", F.lit(0))
     return top_k(union_all(parts), ["query_id"], [F.desc("score"), F.asc(id_col)], k)
 
 
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+
+def vector_leg(corpus: DataFrame, queries: Sequence[DataFrame], k: int, id_col: str = "chunk_id") -> DataFrame:
+    """Best ``k`` corpus vectors per query vector by cosine, exact.
+
+    ``queries`` are blocks of (query_id, vec) that ``query_blocks`` has cut to ``MAX_QUERY_ROWS`` at most: a
+    block is one matrix sent to every task, and the corpus (``id_col``, vec) is scored where it lies with one
+    matrix product per batch. Vectors of length zero have no cosine and are left out.
+    """
+    arrow, fields = _schemas(queries[0].schema["query_id"].dataType, id_col, corpus.schema[id_col].dataType)
+    parts = []
+    for block in queries:
+        got = block.toArrow().sort_by("query_id")  # at most MAX_QUERY_ROWS vectors
+        if got.num_rows:
+            qmat = got.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            qids = np.array(got.column("query_id").to_pylist(), dtype=object)
+            kernel = _vector_scorer(qids, qmat.reshape(got.num_rows, -1), k, id_col, arrow)
+            parts.append(corpus.select(id_col, "vec").mapInArrow(kernel, fields))
+    return _merge(parts, corpus, fields, id_col, k)
+
+
 def fuse(legs: Sequence[DataFrame], k: int | Column, top: int | None, group: Sequence[str] = ("query_id",)) -> DataFrame:
     """Reciprocal rank fusion: sum of 1/(k+rank) over the legs, ranks from 1.
 
@@ -203,27 +255,33 @@ def boost(results: DataFrame, group: Sequence[str] = ("query_id",)) -> DataFrame
 
 
 class ChunkIndex:
-    """Handle on one index: term statistics, forward index and vectors, all lazy.
+    """An index that is built once and searched many times: term statistics and one row per chunk.
 
-    Both legs read the same exchange of weighted postings by document.
+    ``build`` writes both to the checkpoint folder, so that no leg, method or arm repeats the work on the text.
     """
 
     def __init__(self, chunks: DataFrame, n_chunks: Column, dim: int = ix.VECTOR_DIM):
         self.dim = dim
         post = ix.postings(chunks)
+        self._n = n_chunks
+        self._post = post
         self.stats = ix.term_stats(post, n_chunks)
-        self.weighted = ix.weigh(post, self.stats, n_chunks).repartition("doc_id")
+        self.rows: DataFrame | None = None
 
-    def _kept(self, excluded: DataFrame | None) -> DataFrame:
-        return self.weighted if excluded is None else self.weighted.join(excluded, "doc_id", "left_anti")
+    def weighted(self) -> DataFrame:
+        """Weighted postings, partitioned by document."""
+        return ix.weigh(self._post, self.stats, self._n).repartition("doc_id")
 
-    def forward(self, excluded: DataFrame | None = None) -> DataFrame:
-        return ix.forward_index(self._kept(excluded))
+    def build(self) -> ChunkIndex:
+        self.stats = cut_lineage(self.stats)
+        self.rows = cut_lineage(ix.index_rows(self.weighted(), self.dim))
+        return self
 
-    def vectors(self, excluded: DataFrame | None = None) -> DataFrame:
-        """(doc_id, chunk_id, vec): the deterministic stand-in where no model vectors are given."""
-        keys = ["doc_id", "chunk_id"]
-        return ix.dense_vectors(ix.hashed_entries(self._kept(excluded), keys, self.dim), keys, self.dim)
+    def searchable(self, excluded: DataFrame | None = None) -> DataFrame:
+        """Rows search may return: (doc_id, chunk_id, terms, weights, norm, vec)."""
+        if self.rows is None:
+            self.build()
+        return self.rows if excluded is None else self.rows.join(excluded, "doc_id", "left_anti")
 
     def query_vectors(self, queries: DataFrame) -> DataFrame:
         q = ix.query_terms(queries, self.stats)
@@ -231,7 +289,7 @@ class ChunkIndex:
 
 
 def index_documents(docs: DataFrame) -> ChunkIndex:
-    """Index documents (doc_id, text): windows, weights, vectors."""
+    """Index documents (doc_id, text): windows, weights, vectors. Built on first use."""
     return ChunkIndex(chunk_documents(docs), chunk_total(docs))
 
 
@@ -241,13 +299,13 @@ def legs(
     """The ranked lists a method fuses, text first. ``queries`` has query_id and text."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}: expected 'text', 'vector' or 'hybrid'")
+    rows = index.searchable(excluded)
+    blocks = query_blocks(queries, "query_id", "text", MAX_QUERY_ROWS)
     out = []
     if method in ("text", "hybrid"):
-        blocks = query_blocks(queries, "query_id", "text")
-        qterms = [ix.query_terms(b, index.stats) for b in blocks]
-        out.append(text_leg(index.forward(excluded), qterms, depth))
+        out.append(text_leg(rows, [ix.query_terms(b, index.stats) for b in blocks], depth))
     if method in ("vector", "hybrid"):
-        out.append(vector_leg(index.vectors(excluded), index.query_vectors(queries), depth))
+        out.append(vector_leg(rows, [index.query_vectors(b) for b in blocks], depth))
     return out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.functions.ranking import broadcast_if_small, spread  # noqa: F401
+from provena.functions.ranking import broadcast_if_small, query_blocks, spread  # noqa: F401
 from provena.functions.text import WS, entity_codes
 from provena.operators.chunking import chunk_documents
 from provena.operators.search import ChunkIndex, excluded_by_status, index_documents

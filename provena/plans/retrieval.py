@@ -46,13 +46,12 @@ def tfidf_postings(spark, sf):
     """The keyword index by term: document and collection frequency, idf and the sum of normalized weights."""
     n = chunk_total(c.table(spark, sf, "documents"))
     post = ix.postings(c.chunks(spark, sf))
-    stats = ix.term_stats(post, n)
-    fwd = ix.forward_index(ix.weigh(post, stats, n))
-    mass = fwd.select("norm", F.explode("terms").alias("t")).groupBy(F.col("t.term").alias("term")).agg(
-        F.sum(F.col("t.w") / F.col("norm")).alias("mass")
+    rows = ix.forward_index(ix.weigh(post, ix.term_stats(post, n), n).repartition("doc_id"))
+    t = rows.select("norm", F.explode("terms").alias("t")).select(
+        F.col("t.term").alias("term"), F.col("t.tf").alias("tf"), (F.col("t.w") / F.col("norm")).alias("u")
     )
-    cf = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    return cf.join(mass, "term").select(
+    agg = t.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.sum("u").alias("mass"))
+    return agg.select(
         "term", "df", "cf", F.round(ix.idf(F.col("df"), n), 6).alias("idf"), F.round("mass", 6).alias("mass")
     )
 
@@ -90,7 +89,8 @@ def vector_search_topk(spark, sf):
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vec"))
         .withColumnRenamed("label", "query_id")
     )
-    res = se.vector_leg(e.select("vec_id", F.col("embedding").alias("vec")), means, se.TOP_K, "vec_id")
+    blocks = c.query_blocks(means, "query_id", "query_id", se.MAX_QUERY_ROWS)
+    res = se.vector_leg(e.select("vec_id", F.col("embedding").alias("vec")), blocks, se.TOP_K, "vec_id")
     return res.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -100,7 +100,7 @@ def vector_search_topk(spark, sf):
     SELECT chunk_id, CAST(bucket AS INTEGER) AS bucket, round(v, 6) AS value FROM hashed""",
 )
 def hashed_vectors(spark, sf):
-    w = c.corpus_index(spark, sf).weighted
+    w = c.corpus_index(spark, sf).weighted()
     return ix.hashed_entries(w, ["doc_id", "chunk_id"]).select("chunk_id", "bucket", F.round("value", 6).alias("value"))
 
 
@@ -112,7 +112,7 @@ def hashed_vectors(spark, sf):
     WHERE len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) > 0""",
 )
 def index_stamp(spark, sf):
-    return ix.index_stamp(c.corpus_index(spark, sf).vectors(), "hashed-tfidf", c.CORPUS_VERSION, "2026-01-01")
+    return ix.index_stamp(c.corpus_index(spark, sf).searchable(), "hashed-tfidf", c.CORPUS_VERSION, "2026-01-01")
 
 
 @register(

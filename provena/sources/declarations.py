@@ -43,7 +43,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 def manifest_lines(rows: DataFrame) -> DataFrame:
     """Manifest columns in file order; countries joined by commas."""
     return rows.select(
-        *[F.concat_ws(",", "countries").alias("countries") if f == "countries" else f for f in schemas.MANIFEST.names]
+        *[F.concat_ws(",", "countries").alias("countries") if f == "countries" else f for f in (x.name for x in schemas.fields(schemas.MANIFEST))]
     )
 
 

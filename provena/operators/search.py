@@ -15,7 +15,7 @@ from provena.functions.ranking import query_blocks, top_k, union_all
 from provena.functions.text import entity_codes
 from provena.operators import index as ix
 from provena.operators.chunking import chunk_documents, chunk_total
-from provena.session import cut_lineage
+from provena.session import written_table
 
 # Default result length, depth of each leg before fusion, fallback fusion constant, swept constants.
 TOP_K = 10
@@ -257,7 +257,8 @@ def boost(results: DataFrame, group: Sequence[str] = ("query_id",)) -> DataFrame
 class ChunkIndex:
     """An index that is built once and searched many times: term statistics and one row per chunk.
 
-    ``build`` writes both to the checkpoint folder, so that no leg, method or arm repeats the work on the text.
+    ``build`` writes both as tables to the shared folder, so that no leg, method or arm repeats the work on the
+    text, and each leg reads only its own columns.
     """
 
     def __init__(self, chunks: DataFrame, n_chunks: Column, dim: int = ix.VECTOR_DIM):
@@ -273,8 +274,8 @@ class ChunkIndex:
         return ix.weigh(self._post, self.stats, self._n).repartition("doc_id")
 
     def build(self) -> ChunkIndex:
-        self.stats = cut_lineage(self.stats)
-        self.rows = cut_lineage(ix.index_rows(self.weighted(), self.dim))
+        self.stats = written_table(self.stats)
+        self.rows = written_table(ix.index_rows(self.weighted(), self.dim))
         return self
 
     def searchable(self, excluded: DataFrame | None = None) -> DataFrame:

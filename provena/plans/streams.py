@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from provena.operators import monitoring as mo
 from provena.plans import common as c
 from provena.plans import monitoring as pm
-from provena.session import checkpoint_dir
+from provena.session import shared_folder
 from provena.streaming import jobs
 
 QUERIES: dict = {}
@@ -28,7 +28,7 @@ def register(name, sql=None):
 
 def drain(spark, stream):
     """Run a stream to the end of its input and return its sink as a table."""
-    base = f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
     query = jobs.write_files(stream, f"{base}/out", f"{base}/checkpoint")
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")

@@ -1,17 +1,15 @@
-"""Session helpers: settings used in tests and benches, and the one place where lineage is cut."""
+"""Session helpers: settings used in tests and benches, and the places where lineage is cut."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "provena", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A local session for tests and benches. On a cluster the session is the cluster's own.
-
-    A checkpoint folder is set here only where the environment names none.
-    """
+    """A local session for tests and benches. On a cluster the session is the cluster's own."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -25,24 +23,37 @@ def local_session(app: str = "provena", cores: int | str = "*", shuffle_partitio
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    if checkpoint_dir(spark) is None:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names for cut lineage, or None where it names none."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session that names none gets a temporary one; on a cluster that is an error, because no
+    executor could read another's local files.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    folder = tempfile.mkdtemp(prefix="spark-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the files.
+    """Checkpoint ``df`` reliably and go on from the files: for small results that are used several times."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
 
-    Used inside loops only. Reliable checkpoints survive the loss of any executor.
-    """
+
+def written_table(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back: for wide results of which later
+    steps need single columns."""
     spark = df.sparkSession
-    if checkpoint_dir(spark) is None:
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative jobs")
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

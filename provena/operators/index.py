@@ -31,9 +31,13 @@ def postings(chunks: DataFrame) -> DataFrame:
     )
 
 
-def term_stats(post: DataFrame, n_chunks: Column) -> DataFrame:
-    """(term, df, idf) with the smooth idf ln((1+N)/(1+df))+1. Combined map-side before the shuffle."""
-    return post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", idf(F.col("df"), n_chunks))
+def term_stats(post: DataFrame, n_chunks: Column, dim: int = VECTOR_DIM) -> DataFrame:
+    """(term, df, idf, pos): smooth idf ln((1+N)/(1+df))+1 and the term's signed vector position.
+
+    Counts are combined map-side before the shuffle; hashing is done once per term, not once per posting.
+    """
+    counts = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return counts.withColumn("idf", idf(F.col("df"), n_chunks)).withColumn("pos", signed_position(F.col("term"), dim))
 
 
 def idf(df: Column, n: Column) -> Column:
@@ -64,17 +68,15 @@ def forward_index(weighted: DataFrame) -> DataFrame:
 def index_rows(weighted: DataFrame, dim: int = VECTOR_DIM) -> DataFrame:
     """Both indexes in one row per chunk: (doc_id, chunk_id, terms, weights, norm, vec).
 
-    The signed vector position of a term is computed in the JVM with its posting; a chunk's positions are then
-    summed into its vector batch by batch.
+    The weights of a chunk are summed into its vector by their terms' positions, batch by batch.
     """
-    bucket, sign = signed_bucket(F.col("term"), dim)
     w = F.col("w")
-    rows = weighted.withColumn("_p", ((bucket + 1) * sign).cast("int")).groupBy("doc_id", "chunk_id").agg(
-        F.collect_list(F.struct("term", "w", "_p")).alias("_t"), F.sqrt(F.sum(w * w)).alias("norm")
+    rows = weighted.groupBy("doc_id", "chunk_id").agg(
+        F.collect_list(F.struct("term", "w", "pos")).alias("_t"), F.sqrt(F.sum(w * w)).alias("norm")
     )
     return rows.select(
         "doc_id", "chunk_id", F.col("_t.term").alias("terms"), F.col("_t.w").alias("weights"), "norm",
-        _summed(dim)(F.col("_t._p"), F.col("_t.w")).alias("vec"),
+        _summed(dim)(F.col("_t.pos"), F.col("_t.w")).alias("vec"),
     )
 
 
@@ -99,20 +101,19 @@ def _dense(entries: str, dim: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(m[i], F.lit(0.0)))
 
 
-def signed_bucket(term: Column, dim: int) -> tuple[Column, Column]:
-    """Feature hashing: the vector position of a term and the sign it is added with."""
-    sign = F.when(F.substring(F.md5(term), 32, 1).isin(*"02468ace"), F.lit(1.0)).otherwise(F.lit(-1.0))
-    return hash_bucket(term, dim), sign
+def signed_position(term: Column, dim: int) -> Column:
+    """Feature hashing: the vector position of a term from 1, negative where its weight is subtracted."""
+    plus = F.substring(F.md5(term), 32, 1).isin(*"02468ace")
+    at = hash_bucket(term, dim) + 1
+    return F.when(plus, at).otherwise(-at).cast("int")
 
 
-def hashed_entries(weighted: DataFrame, keys: Sequence[str], dim: int = VECTOR_DIM) -> DataFrame:
+def hashed_entries(weighted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys..., bucket, value): signed sums of term weights. Keeps a partitioning by any of ``keys``."""
-    bucket, sign = signed_bucket(F.col("term"), dim)
     return (
-        weighted.withColumn("bucket", bucket)
-        .withColumn("_v", F.col("w") * sign)
+        weighted.withColumn("bucket", F.abs("pos") - 1)
         .groupBy(*keys, "bucket")
-        .agg(F.sum("_v").alias("value"))
+        .agg(F.sum(F.col("w") * F.signum("pos")).alias("value"))
     )
 
 
@@ -123,11 +124,11 @@ def dense_vectors(entries: DataFrame, keys: Sequence[str], dim: int = VECTOR_DIM
 
 
 def query_terms(queries: DataFrame, stats: DataFrame, key: str = "query_id", text: str = "text") -> DataFrame:
-    """(query_id, term, w, qnorm) over terms the corpus knows; others have no weight."""
+    """(query_id, term, w, pos, qnorm) over terms the corpus knows; others have no weight."""
     q = queries.select(key, F.explode(term_counts(text)).alias("_t")).select(
         key, F.col("_t.term").alias("term"), F.col("_t.tf").alias("tf")
     )
-    known = q.join(stats, "term", "inner").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    known = q.join(stats, "term", "inner").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"), "pos")
     norm = known.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qnorm"))
     return known.join(norm, key)
 

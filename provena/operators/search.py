@@ -266,7 +266,7 @@ class ChunkIndex:
         post = ix.postings(chunks)
         self._n = n_chunks
         self._post = post
-        self.stats = ix.term_stats(post, n_chunks)
+        self.stats = ix.term_stats(post, n_chunks, dim)
         self.rows: DataFrame | None = None
 
     def weighted(self) -> DataFrame:
@@ -286,7 +286,7 @@ class ChunkIndex:
 
     def query_vectors(self, queries: DataFrame) -> DataFrame:
         q = ix.query_terms(queries, self.stats)
-        return ix.dense_vectors(ix.hashed_entries(q, ["query_id"], self.dim), ["query_id"], self.dim)
+        return ix.dense_vectors(ix.hashed_entries(q, ["query_id"]), ["query_id"], self.dim)
 
 
 def index_documents(docs: DataFrame) -> ChunkIndex:

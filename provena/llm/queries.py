@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm import toxicity
+from provena.llm import language_id, toxicity
 from provena.llm.common import held_out, table
 
 
@@ -19,5 +19,13 @@ def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_toxicity": op1_toxicity}
+def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every document, and whether the prediction is accepted."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    out = held_out("doc_id", 4, 2)
+    model = language_id.train(docs.where(~out).select("text", "lang"))
+    return model.predict(docs.drop("lang")).select("doc_id", out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_language_id": op3_language_id}
 SQL: dict[str, str] = {}

@@ -124,30 +124,31 @@ def distinct_by_doc(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray,
     return h, np.searchsorted(doc, np.arange(n + 1))
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Consecutive rows with equal ``keys`` as one table each, from batches that are sorted by them."""
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs of rows with equal ``keys``, and where each run begins (and the last ends); input is sorted by them."""
     held: list[pa.RecordBatch] = []
-    last = None
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        columns = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
-        change = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        here = tuple(c[0] for c in columns)
-        if last is not None and here != last:
-            yield pa.Table.from_batches(held)
-            held = []
-        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if a > 0:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-        last = tuple(c[-1] for c in columns)
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        starts = run_starts(table, keys)
+        if len(starts) > 1:
+            cut = int(starts[-1])
+            yield table.slice(0, cut).combine_chunks(), starts
+            held = table.slice(cut).combine_chunks().to_batches()
     if held:
-        yield pa.Table.from_batches(held)
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, np.append(run_starts(table, keys), table.num_rows)
+
+
+def run_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    change = np.zeros(table.num_rows, bool)
+    change[:1] = True
+    for k in keys:
+        c = table.column(k).to_numpy()
+        change[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(change)
 
 
 def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:

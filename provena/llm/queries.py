@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from provena.llm import language_id, toxicity
 from provena.llm.common import held_out, table
+from provena.llm.line_dedup import LineDedup
 from provena.llm.ngram_join import JaccardJoin
 
 
@@ -28,11 +29,17 @@ def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return model.predict(docs.drop("lang")).select("doc_id", out.alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op5_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, the text without repeated passages, and the number of words removed, of every document."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return LineDedup().clean(docs).select("doc_id", "text", "removed_words")
+
+
 def op9_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id, n_shingles and component_id of every document: links at a Jaccard similarity of 0.75 of 5-word shingles."""
     out = JaccardJoin().classes(table(spark, sf, "documents"))
     return out.select(F.col("key").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_language_id": op3_language_id, "op9_ngram_join": op9_ngram_join}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_language_id": op3_language_id, "op5_line_dedup": op5_line_dedup, "op9_ngram_join": op9_ngram_join}
 SQL: dict[str, str] = {}

@@ -94,11 +94,11 @@ def train(
     docs: DataFrame,
     text: str = "text",
     lang: str = "lang",
-    rows: int = 3000,
+    rows: int = 1200,
     dims: int = 16,
     sizes: tuple[int, ...] = (1, 2, 3, 4),
     bits: int = 16,
-    epochs: int = 5,
+    epochs: int = 8,
     rate: float = 0.5,
     target_error: float = 0.01,
     seed: int = 7,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from provena.llm import language_id, toxicity
 from provena.llm.common import held_out, table
 from provena.llm.line_dedup import LineDedup
+from provena.llm.mixing import Mix
 from provena.llm.ngram_join import JaccardJoin
 
 
@@ -35,11 +36,16 @@ def op5_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return LineDedup().clean(docs).select("doc_id", "text", "removed_words")
 
 
+def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every document in a mix of all sources weighed 5, 2, 1, 5, ..."""
+    return Mix().taken(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op9_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id, n_shingles and component_id of every document: links at a Jaccard similarity of 0.75 of 5-word shingles."""
     out = JaccardJoin().classes(table(spark, sf, "documents"))
     return out.select(F.col("key").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_language_id": op3_language_id, "op5_line_dedup": op5_line_dedup, "op9_ngram_join": op9_ngram_join}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_language_id": op3_language_id, "op5_line_dedup": op5_line_dedup, "op6_mixing": op6_mixing, "op9_ngram_join": op9_ngram_join}
 SQL: dict[str, str] = {}

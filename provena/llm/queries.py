@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm import language_id, toxicity
+from provena.llm import language_id, toxicity, url_filters
+from provena.llm.chat import ChatTemplate
 from provena.llm.common import held_out, table
 from provena.llm.line_dedup import LineDedup
 from provena.llm.mixing import Mix
@@ -22,6 +23,15 @@ def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op2_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    """page_id, host, path, rule, verdict and block_score of every page. The URLs that a rule decides are the labelled ones."""
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    _, verdict = url_filters.rule_of(*url_filters.parts(F.coalesce("url", F.lit(""))))
+    labelled = pages.withColumn("blocked", (verdict == "block").cast("int"))
+    out = url_filters.judge(pages, url_filters.train(labelled))
+    return out.select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
 def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document, and whether the prediction is accepted."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
@@ -47,5 +57,22 @@ def op9_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_language_id": op3_language_id, "op5_line_dedup": op5_line_dedup, "op6_mixing": op6_mixing, "op9_ngram_join": op9_ngram_join}
-SQL: dict[str, str] = {}
+def op10_chat(spark: SparkSession, sf: str) -> DataFrame:
+    """conv_id, part, n_turns, n_copies and the rendered chat of every conversation that is no prefix of another."""
+    return ChatTemplate().render(table(spark, sf, "conversations"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_url_filters": op2_url_filters, "op3_language_id": op3_language_id, "op5_line_dedup": op5_line_dedup, "op6_mixing": op6_mixing, "op9_ngram_join": op9_ngram_join, "op10_chat": op10_chat}
+SQL: dict[str, str] = {
+    "op10_chat": """
+WITH c AS (
+  SELECT conv_id, list(struct_pack(t := turn, r := role, x := text) ORDER BY turn) AS turns
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL) GROUP BY conv_id),
+k AS (SELECT conv_id, len(turns) AS n, list_transform(turns, lambda t: struct_pack(r := t.r, x := t.x)) AS k,
+             list_reduce(list_transform(turns, lambda t: '<|im_start|>' || coalesce(t.r, '') || chr(10) || coalesce(t.x, '') || '<|im_end|>' || chr(10)),
+                         lambda a, b: a || b) AS chat FROM c),
+own AS (SELECT min(conv_id) AS conv_id, n, k, count(*) AS n_copies, any_value(chat) AS chat FROM k GROUP BY n, k),
+inner_ AS (SELECT DISTINCT k[1:i] AS k FROM k, unnest(range(1, n)) AS u(i))
+SELECT conv_id, CAST(0 AS BIGINT) AS part, n AS n_turns, n_copies, chat FROM own
+WHERE k NOT IN (SELECT k FROM inner_)""",
+}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from provena.llm import language_id, toxicity, url_filters
 from provena.llm.chat import ChatTemplate
 from provena.llm.common import held_out, table
+from provena.llm.embedding_dedup import CosineLinks
 from provena.llm.line_dedup import LineDedup
 from provena.llm.mixing import Mix
 from provena.llm.ngram_join import JaccardJoin
@@ -40,6 +41,12 @@ def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return model.predict(docs.drop("lang")).select("doc_id", out.alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every vector: links at a cosine of 0.98 within a label."""
+    out = CosineLinks().classes(table(spark, sf, "embeddings"))
+    return out.select(F.col("key").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op5_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id, the text without repeated passages, and the number of words removed, of every document."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -62,8 +69,22 @@ def op10_chat(spark: SparkSession, sf: str) -> DataFrame:
     return ChatTemplate().render(table(spark, sf, "conversations"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_url_filters": op2_url_filters, "op3_language_id": op3_language_id, "op5_line_dedup": op5_line_dedup, "op6_mixing": op6_mixing, "op9_ngram_join": op9_ngram_join, "op10_chat": op10_chat}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_url_filters": op2_url_filters, "op3_language_id": op3_language_id, "op4_embedding_dedup": op4_embedding_dedup, "op5_line_dedup": op5_line_dedup, "op6_mixing": op6_mixing, "op9_ngram_join": op9_ngram_join, "op10_chat": op10_chat}
 SQL: dict[str, str] = {
+    "op4_embedding_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b
+      ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+r AS (SELECT a AS vec_id, b AS other FROM l UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.other),
+c AS (SELECT vec_id, min(other) AS least FROM r GROUP BY vec_id),
+d AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(d.n_links, 0) AS n_links, least(coalesce(c.least, e.vec_id), e.vec_id) AS component_id,
+       e.vec_id = least(coalesce(c.least, e.vec_id), e.vec_id) AS kept
+FROM embeddings e LEFT JOIN c USING (vec_id) LEFT JOIN d USING (vec_id)""",
     "op10_chat": """
 WITH c AS (
   SELECT conv_id, list(struct_pack(t := turn, r := role, x := text) ORDER BY turn) AS turns

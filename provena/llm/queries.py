@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm import language_id, toxicity, url_filters
+from provena.llm import language_id, pii, toxicity, url_filters
 from provena.llm.chat import ChatTemplate
 from provena.llm.common import held_out, table
 from provena.llm.embedding_dedup import CosineLinks
@@ -58,6 +58,21 @@ def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return Mix().taken(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op8_pii(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, the number of base spans of each kind, the digest of all base spans, all spans, and the number of added ones."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+
+    def digest(spans: str):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    found = pii.train(docs).spans(docs)
+    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select(
+        F.col("key").alias("doc_id"), *counts, F.sha2(digest("base"), 256).alias("base_sha256"), digest("spans").alias("spans"),
+        (F.size("spans") - F.size("base")).cast("long").alias("n_added"),
+    )
+
+
 def op9_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id, n_shingles and component_id of every document: links at a Jaccard similarity of 0.75 of 5-word shingles."""
     out = JaccardJoin().classes(table(spark, sf, "documents"))
@@ -69,7 +84,7 @@ def op10_chat(spark: SparkSession, sf: str) -> DataFrame:
     return ChatTemplate().render(table(spark, sf, "conversations"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_url_filters": op2_url_filters, "op3_language_id": op3_language_id, "op4_embedding_dedup": op4_embedding_dedup, "op5_line_dedup": op5_line_dedup, "op6_mixing": op6_mixing, "op9_ngram_join": op9_ngram_join, "op10_chat": op10_chat}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_url_filters": op2_url_filters, "op3_language_id": op3_language_id, "op4_embedding_dedup": op4_embedding_dedup, "op5_line_dedup": op5_line_dedup, "op6_mixing": op6_mixing, "op8_pii": op8_pii, "op9_ngram_join": op9_ngram_join, "op10_chat": op10_chat}
 SQL: dict[str, str] = {
     "op4_embedding_dedup": """
 WITH RECURSIVE v AS (

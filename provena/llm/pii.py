@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -72,7 +74,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
         at = text.find("@", max(at + 1, end))
     if any(c in text for c in "0123456789"):
         for m in IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p := q.lstrip("0")) <= 3 and int(p or 0) <= 255 for q in m[0].split(".")):
                 out.append((m.start(), m.end(), "ip"))
         for m in CARD.finditer(text):
             if m.end() - m.start() <= 37 and 12 <= len(d := digits_of(m[0])) <= 19 and luhn(d):
@@ -93,8 +95,10 @@ def islands(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int
     if any(m in low for m in MARKS):
         found += [m.span() for m in SPELLED.finditer(text)]
     out: list[tuple[int, int]] = []
+    starts, reach = [a for a, _, _ in taken], [*accumulate((b for _, b, _ in taken), max)]
     for s, e in sorted(found):
-        if any(a < e and s < b for a, b, _ in taken):
+        i = bisect_left(starts, e)
+        if i and reach[i - 1] > s:
             continue
         if out and s < out[-1][1]:
             out[-1] = (out[-1][0], max(e, out[-1][1]))
@@ -168,7 +172,16 @@ def lattice(text: str, s: int, e: int) -> Lattice:
 
 
 def scores(lat: Lattice, w: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-    return {k: w[:, f].sum(1) for k, f in lat.segments.items()}
+    """Score of each segment for each kind: an address needs its sign, spelled out or not, and numbers hold no letters."""
+    out = {}
+    for k, f in lat.segments.items():
+        s = w[:, f].sum(1)
+        if INDEX["at sign"] not in f and INDEX["at word"] not in f:
+            s[0] = -np.inf
+        if INDEX["letters"] in f:
+            s[1:] = -np.inf
+        out[k] = s
+    return out
 
 
 def decode(lat: Lattice, w: np.ndarray, follow: np.ndarray) -> list[tuple[int, int, int]]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from provena.llm import language_id, pii, toxicity, url_filters
 from provena.llm.chat import ChatTemplate
 from provena.llm.common import held_out, table
+from provena.llm.decontamination import Decontamination
 from provena.llm.embedding_dedup import CosineLinks
 from provena.llm.line_dedup import LineDedup
 from provena.llm.mixing import Mix
@@ -58,6 +59,12 @@ def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return Mix().taken(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, item_id, cosine and overlap of every document and benchmark item that it holds, verbatim or reworded."""
+    out = Decontamination().matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return out.withColumnRenamed("key", "doc_id")
+
+
 def op8_pii(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id, the number of base spans of each kind, the digest of all base spans, all spans, and the number of added ones."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -84,7 +91,7 @@ def op10_chat(spark: SparkSession, sf: str) -> DataFrame:
     return ChatTemplate().render(table(spark, sf, "conversations"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_url_filters": op2_url_filters, "op3_language_id": op3_language_id, "op4_embedding_dedup": op4_embedding_dedup, "op5_line_dedup": op5_line_dedup, "op6_mixing": op6_mixing, "op8_pii": op8_pii, "op9_ngram_join": op9_ngram_join, "op10_chat": op10_chat}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_url_filters": op2_url_filters, "op3_language_id": op3_language_id, "op4_embedding_dedup": op4_embedding_dedup, "op5_line_dedup": op5_line_dedup, "op6_mixing": op6_mixing, "op7_decontamination": op7_decontamination, "op8_pii": op8_pii, "op9_ngram_join": op9_ngram_join, "op10_chat": op10_chat}
 SQL: dict[str, str] = {
     "op4_embedding_dedup": """
 WITH RECURSIVE v AS (

@@ -1,6 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval: candidates by cosine in an SVD space, then word sequences.
 
-1. Terms are the words of the benchmark items; their document frequencies are counted over the whole corpus.
+1. Terms are the words of the benchmark items. They are weighed by the number of different contexts (the words on both
+   sides) that the whole corpus has them in, so that a passage which a third of all documents copy does not make its words
+   common.
 2. A randomised SVD of TF-IDF passages: each task multiplies the passages it reads with a random matrix and back with their
    transpose, and the partial products are added up. The items count as passages with ``item_weight`` times the energy of the
    corpus, so that the space keeps what tells items apart. The driver sees only the terms x rank product.
@@ -35,8 +37,8 @@ LADDER = [int(8 * 2 ** (k / 2)) for k in range(40)]
 class Decontamination:
     """min_cosine: of candidates. min_overlap, min_answer: shares of the item's and of the answer's words found in order.
 
-    max_terms: more distinct words are hashed to so many terms. rank: of the latent space. common: terms in a larger share of
-    the documents tell nothing and are left out. answer_words: length of the answer where none is given.
+    max_terms: more distinct words are hashed to so many terms. rank: of the latent space. common: terms with more
+    contexts than this share of the documents, and than 50, tell nothing and are left out. answer_words: length of the answer where none is given.
     """
 
     min_cosine: float = 0.25
@@ -94,7 +96,10 @@ class Decontamination:
         return docs.mapInArrow(found, schema)
 
     def _weights(self, docs: DataFrame, bench: "Bench") -> tuple[np.ndarray, float]:
-        """Inverse document frequency of each term, 0 if common, and the one that stands for words outside the benchmark."""
+        """Inverse context frequency of each term, 0 if common, and the one that stands for words outside the benchmark.
+
+        A context counts once for each block of text that a task reads; documents are counted besides.
+        """
         shared = docs.sparkSession.sparkContext.broadcast((bench.vocabulary, bench.term))
         terms = bench.terms
 
@@ -106,7 +111,9 @@ class Decontamination:
                 for a, b in pieces(offsets):
                     words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], PUNCT)
                     at, t = lookup(words.hash, vocabulary, term)
-                    df += np.bincount(np.unique(words.doc[at] * terms + t) % terms, minlength=terms + 1)
+                    around = mix(np.append(U64(0), words.hash)[at]) + U64(3) * mix(np.append(words.hash, U64(0))[at + 1])
+                    each = np.unique(np.column_stack([t, (around >> U64(8)).astype(np.int64)]), axis=0)[:, 0]
+                    df += np.bincount(each, minlength=terms + 1)
                 n += batch.num_rows
             df[terms] = n
             some = np.flatnonzero(df)
@@ -116,8 +123,9 @@ class Decontamination:
         df = np.zeros(terms + 1)
         df[counts["t"]] = counts["n"]
         idf = np.log((1 + df[terms]) / (1 + df[:terms]))
+        idf = np.maximum(idf, 0.1)
         rare = float(np.median(idf)) if terms else 1.0
-        return np.where(df[:terms] > max(self.common * df[terms], 1), 0.0, np.maximum(idf, 1e-3)), max(rare, 1e-3)
+        return np.where(df[:terms] > max(self.common * df[terms], 50), 0.0, idf), rare
 
     def _space(self, docs: DataFrame, bench: Bench, weights: np.ndarray) -> np.ndarray:
         """terms x rank: an orthonormal basis of the leading right singular space of passages and items."""

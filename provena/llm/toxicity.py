@@ -91,16 +91,17 @@ def train(
 
     Classes are weighed back to their full counts, so the score is a probability under the labels' own base rate.
     Rows with a null key or label are no examples; a key labelled more than once is toxic if any row says so.
-    Without both classes the score is the base rate of the labels, 0 if there are none.
+    Without texts of both classes the score is the base rate of the labels, 0 if there are none.
     """
     given = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1))
     given = given.groupBy(F.col(key).alias("_k")).agg(F.max(label).cast("int").alias("_y"))
     sample, counts = bounded_sample(given, "_y", "_k", rows)
     total = sum(counts.values())
+    rate = counts.get(1, 0) / total if total else 0.0
+    bias = float(np.log(rate / (1 - rate))) if 0 < rate < 1 else (500.0 if rate == 1 else -500.0)
+    plain = ToxicityModel(np.full(1 << bits, -1, np.int32), np.zeros(1), bias, sizes, bits)
     if len(counts) < 2:
-        rate = counts.get(1, 0) / total if total else 0.0
-        bias = float(np.log(rate / (1 - rate))) if 0 < rate < 1 else (500.0 if rate == 1 else -500.0)
-        return ToxicityModel(np.full(1 << bits, -1, np.int32), np.zeros(1), bias, sizes, bits)
+        return plain
     # At most about 2 * rows ids and classes are broadcast; the texts stay where they are read.
     texts = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(sample), "_k").select("_y", "_t")
 
@@ -145,7 +146,9 @@ def train(
 
     known = spread.mapInArrow(design, "y int, f array<int>").toPandas()
     y = known["y"].to_numpy(float)
-    size = known["f"].map(len).to_numpy()
+    if len(np.unique(y)) < 2:
+        return plain
+    size = known["f"].map(len).to_numpy(np.int64)
     feature = np.concatenate([np.zeros(0, np.int64), *known["f"].map(np.asarray)]).astype(np.int64)
     weight = np.where(y == 1, counts[1] / max((y == 1).sum(), 1), counts[0] / max((y == 0).sum(), 1))
     coefficient, bias = logistic(np.repeat(np.arange(len(y)), size), feature, ratio, y, weight, penalty)

@@ -36,7 +36,7 @@ def hashed_rank(
         F.col("_b").alias("_ob"),
         F.coalesce(F.sum("_c").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
     )
-    cond = F.col("_b") == F.col("_ob")
+    cond = F.col("_b").eqNullSafe(F.col("_ob"))
     for i, s in enumerate(strata):
         cond = cond & F.col(s).eqNullSafe(F.col(f"_s{i}"))
     w = Window.partitionBy(*strata, "_b").orderBy("_h", "_k")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provena.operators.prompts import MISSING
 from provena.functions.text import col, strip
 
 MARKER = r"\[(\d+)\]"  # fixed value: a marker is a number in square brackets
@@ -70,6 +71,11 @@ def page_phrase(pages: Column) -> Column:
     )
 
 
+def shown(field: str) -> Column:
+    """A metadata field in a line: a missing one is said to be so, the line stays."""
+    return F.coalesce(F.col(field).cast("string"), F.lit(MISSING))
+
+
 def source_lines(cites: DataFrame, meta: DataFrame, query: str = "question_id") -> DataFrame:
     """(question_id, sources): one line per citation in marker order; a degraded line without metadata."""
     m = meta.select("doc_id", "organization", "title", "publication_date", "url")
@@ -79,8 +85,8 @@ def source_lines(cites: DataFrame, meta: DataFrame, query: str = "question_id")
         F.concat(number, F.col("doc_id").cast("string"), F.lit(" (metadata unavailable), chunk "), "chunk_id", F.lit(".")),
     ).otherwise(
         F.concat(
-            number, "organization", F.lit(', "'), "title", F.lit('" ('), "publication_date", F.lit(")"),
-            page_phrase(F.col("pages")), F.lit(". "), "url",
+            number, "organization", F.lit(', "'), shown("title"), F.lit('" ('), shown("publication_date"), F.lit(")"),
+            page_phrase(F.col("pages")), F.lit(". "), shown("url"),
         )
     )
     lines = cites.join(m, "doc_id", "left").select(query, F.struct("marker", line.alias("line")).alias("_l"))

@@ -13,6 +13,8 @@ NO_EXCERPTS = "(no cited excerpts)"
 VERDICTS = ("supported", "partial", "unsupported")
 KEYWORD_ORDER = ("unsupported", "partial", "supported")
 REASON_LIMIT = 300
+# Fixed value: what stands for a missing field in a line of text.
+MISSING = "None"
 # Fixed value: the heading after which the answer starts, with or without markdown around it.
 ANSWER_HEADING = rf"(?sid)\A.*?(?m:^){WS}*#{{0,6}}{WS}*\**{WS}*ANSWER{WS}*\**{WS}*:?{WS}*(?m:$)(.*)\z"
 
@@ -22,7 +24,8 @@ def user_prompts(results: DataFrame, queries: DataFrame) -> DataFrame:
 
     ``results`` has query_id, rank, organization, text. The number of an excerpt is its rank.
     """
-    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] (organization: "), "organization", F.lit(")\n"), "text")
+    org, text = F.coalesce("organization", F.lit(MISSING)), F.coalesce("text", F.lit(MISSING))
+    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] (organization: "), org, F.lit(")\n"), text)
     rows = results.select("query_id", F.struct("rank", line.alias("line")).alias("_l"))
     body = rows.groupBy("query_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("_l")), lambda x: x["line"]), "\n\n").alias("_b")
@@ -45,15 +48,32 @@ def unfence(raw: str | Column) -> Column:
     return F.when(F.startswith(t, F.lit("```")), strip(bare)).otherwise(t)
 
 
+def json_object(text: Column) -> Column:
+    """The text as one JSON object, strictly: null for single quotes, for anything after the object and for other values.
+
+    Inside a list of one, whatever follows the object is either an error or a second element.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("\n]")))
+    first = F.try_variant_get(listed, "$[0]", "variant")
+    alone = F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.when(alone & F.startswith(F.schema_of_variant(first), F.lit("OBJECT")), first)
+
+
+def text_field(js: Column, name: str) -> Column:
+    """A text field of an object, empty where it is missing; null where it holds anything but text."""
+    value = F.try_variant_get(js, f"$.{name}", "variant")
+    return F.when(value.isNull(), F.lit("")).when(F.schema_of_variant(value) == "STRING", F.try_variant_get(js, f"$.{name}", "string"))
+
+
 def parse_verdict(raw: str | Column) -> Column:
-    """``struct<verdict, reason>``: JSON with a known verdict, else the first keyword found, else unsupported."""
-    js = F.from_json(unfence(raw), "verdict string, reason string")
-    verdict = F.lower(strip(F.coalesce(js["verdict"], F.lit(""))))
+    """``struct<verdict, reason>``: a JSON object with a known verdict and a text as reason, else the first keyword found, else unsupported."""
+    js = json_object(unfence(raw))
+    verdict, reason = F.lower(strip(text_field(js, "verdict"))), strip(text_field(js, "reason"))
     low = F.lower(col(raw))
     word = F.coalesce(*[F.when(F.contains(low, F.lit(k)), F.lit(k)) for k in KEYWORD_ORDER])
     cut = F.substring(strip(raw), 1, REASON_LIMIT)
     return (
-        F.when(verdict.isin(*VERDICTS), F.struct(verdict.alias("verdict"), strip(F.coalesce(js["reason"], F.lit(""))).alias("reason")))
+        F.when(js.isNotNull() & verdict.isin(*VERDICTS) & reason.isNotNull(), F.struct(verdict.alias("verdict"), reason.alias("reason")))
         .when(word.isNotNull(), F.struct(word.alias("verdict"), cut.alias("reason")))
         .otherwise(
             F.struct(F.lit("unsupported").alias("verdict"), F.concat(F.lit("[unparseable judge response] "), cut).alias("reason"))
@@ -65,11 +85,10 @@ def parse_disagreement(raw: str | Column) -> Column:
     """``struct<disagree, fact_compared>`` of a pairwise check; unparseable is no disagreement."""
     t = F.regexp_replace(strip(raw), r"^`+|`+\z", "")
     t = strip(F.regexp_replace(t, r"^json", ""))
-    js = F.from_json(t, "disagree boolean, fact_compared string")
-    bad = F.try_parse_json(t).isNull()
+    js = json_object(t)
     return F.struct(
-        F.coalesce(js["disagree"], F.lit(False)).alias("disagree"),
-        F.when(bad, F.lit("unparseable")).otherwise(js["fact_compared"]).alias("fact_compared"),
+        F.coalesce(F.try_variant_get(js, "$.disagree", "boolean"), F.lit(False)).alias("disagree"),
+        F.when(js.isNull(), F.lit("unparseable")).otherwise(F.try_variant_get(js, "$.fact_compared", "string")).alias("fact_compared"),
     )
 
 

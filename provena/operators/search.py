@@ -329,7 +329,7 @@ def search(
     carry a score, as in the data model.
     """
     pool = max(top, CANDIDATE_POOL)
-    ranked = legs(index, queries, pool, excluded_by_status(lifecycle, lifecycle_status), method)
+    ranked = legs(index, queries, CANDIDATE_POOL, excluded_by_status(lifecycle, lifecycle_status), method)
     if method == "hybrid":
         res = fuse(ranked, rrf_k, pool)
     else:

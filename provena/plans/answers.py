@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from provena.functions.text import bind
 from provena.operators import citations as cit
+from provena.operators.chunking import window_count
 from provena.operators import claims as cl
 from provena.operators import prompts as pr
 from provena.operators import review as rv
@@ -41,20 +42,22 @@ def answers(spark, sf):
 
 
 def retrieved(spark, sf):
-    """Ten numbered passages per question: first windows of documents spread over the corpus by id arithmetic."""
+    """Ten numbered passages per question: windows and documents spread over the corpus by id arithmetic."""
     d = c.table(spark, sf, "documents").select("doc_id")
     n = c.table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n")).scalar()
     rank = F.explode(F.sequence(F.lit(1), F.lit(10)))
     r = d.select(F.col("doc_id").alias("question_id"), rank.alias("rank"), n.alias("n")).select(
         "question_id", "rank", ((F.col("question_id") * 31 + F.col("rank") * 17) % F.col("n")).alias("doc_id")
     )
+    windows = c.table(spark, sf, "documents").select("doc_id", F.greatest(window_count("n_chars"), F.lit(1)).alias("w"))
+    r = r.join(windows, "doc_id").withColumn("i", (F.col("question_id") * 7 + F.col("rank")) % F.col("w"))
     pages = F.when(F.col("doc_id") % 3 == 1, F.array(F.col("rank"))).when(
         F.col("doc_id") % 3 == 2, F.array(F.col("rank"), F.col("rank") + 1)
     )
     return r.select(
         "question_id",
         "rank",
-        F.format_string("%s-chunk-%04d", F.col("doc_id").cast("string"), F.lit(0)).alias("chunk_id"),
+        F.format_string("%s-chunk-%04d", F.col("doc_id").cast("string"), "i").alias("chunk_id"),
         "doc_id",
         pages.alias("pages"),
         F.when(F.col("rank") % 4 != 0, F.lit(1.0) / (10 + F.col("rank"))).alias("score"),
@@ -80,9 +83,11 @@ def meta(spark, sf):
 
 SQL_ANS = r"""ans AS (SELECT doc_id AS question_id, lang AS category, array_to_string(list_transform(string_split(text, chr(10)),
     lambda s, i: CASE WHEN (i - 1) % 5 = 4 THEN s ELSE s || ' [' || ((i - 1) % 12) || ']' END), chr(10) || chr(10)) AS answer FROM documents),
-ret AS (SELECT question_id, rank, doc_id, printf('%s-chunk-0000', CAST(doc_id AS VARCHAR)) AS chunk_id,
+ret AS (SELECT question_id, rank, doc_id, printf('%s-chunk-%04d', CAST(doc_id AS VARCHAR), i) AS chunk_id, i,
     CASE doc_id % 3 WHEN 1 THEN [rank] WHEN 2 THEN [rank, rank + 1] END AS pages, CASE WHEN rank % 4 <> 0 THEN 1.0::DOUBLE / (10 + rank) END AS score FROM (
-    SELECT doc_id AS question_id, rank, (doc_id * 31 + rank * 17) % (SELECT count(*) FROM documents) AS doc_id FROM documents, (SELECT unnest(range(1, 11)) AS rank))),
+    SELECT r.*, (question_id * 7 + rank) % (greatest(0, CAST(ceil((w.n_chars - 1500) / 750.0) AS BIGINT)) + 1) AS i FROM (
+      SELECT doc_id AS question_id, rank, (doc_id * 31 + rank * 17) % (SELECT count(*) FROM documents) AS doc_id FROM documents, (SELECT unnest(range(1, 11)) AS rank)) r
+    JOIN documents w ON w.doc_id = r.doc_id)),
 mk AS (SELECT question_id, unnest(ms)::BIGINT AS m, unnest(range(1, len(ms) + 1)) AS pos FROM (SELECT question_id, regexp_extract_all(answer, '\[(\d+)\]', 1) AS ms FROM ans)),
 cites AS (SELECT DISTINCT mk.question_id, m AS marker, ret.chunk_id, ret.doc_id, ret.pages, ret.score FROM mk JOIN ret ON ret.question_id = mk.question_id AND ret.rank = mk.m),
 inv AS (SELECT question_id, m, min(pos) AS p FROM mk WHERE m < 1 OR m > 10 GROUP BY question_id, m),
@@ -190,15 +195,13 @@ def judgments(spark, sf):
 @register(
     "claim_extract",
     f"""WITH {SQL_ANS}, {SQL_CLAIMS}, ex AS (SELECT judgment_id, string_agg(t, '|' ORDER BY mp) AS texts, count(*) AS n FROM (
-        SELECT judgment_id, min(mp) AS mp, any_value(substring(d.text, 1, 1500)) AS t FROM (SELECT judgment_id, question_id, unnest(markers) AS m, unnest(range(1, len(markers) + 1)) AS mp FROM jids) j
+        SELECT judgment_id, min(mp) AS mp, any_value(substring(d.text, ret.i * 750 + 1, 1500)) AS t FROM (SELECT judgment_id, question_id, unnest(markers) AS m, unnest(range(1, len(markers) + 1)) AS mp FROM jids) j
         JOIN ret ON ret.question_id = j.question_id AND ret.rank = j.m JOIN documents d ON d.doc_id = ret.doc_id AND d.n_chars > 0 GROUP BY judgment_id, ret.chunk_id) GROUP BY judgment_id)
     SELECT judgment_id, claim_text, array_to_string(markers, ',') AS markers, CAST(coalesce(n, 0) AS INTEGER) AS n_excerpts, sha256(coalesce(texts, '')) AS excerpts_sha256 FROM jids LEFT JOIN ex USING (judgment_id)""",
 )
 def claim_extract(spark, sf):
     """Claims of every answer with the text of the windows they cite."""
-    texts = c.documents(spark, sf).where("n_chars > 0").select(
-        F.format_string("%s-chunk-%04d", F.col("doc_id").cast("string"), F.lit(0)).alias("chunk_id"), F.substring("text", 1, 1500).alias("text")
-    )
+    texts = c.chunks(spark, sf).select("chunk_id", "text")
     x = cl.with_chunk_texts(claims(spark, sf).select("judgment_id", "claim_text", "markers", "citations"), texts)
     return x.select(
         "judgment_id", "claim_text", F.array_join("markers", ",").alias("markers"), F.size("cited_chunk_texts").alias("n_excerpts"),
@@ -358,22 +361,28 @@ def behavioral_summary(spark, sf):
     return rv.behavioral_summary(rule_checks(spark, sf))
 
 
-SQL_RAW = r"""rawv AS (SELECT conv_id, turn, CASE conv_id % 6
+SQL_RAW = r"""rawv AS (SELECT conv_id, turn, CASE conv_id % 10
+    WHEN 6 THEN json_object('verdict', 'partial', 'reason', 'r') || ' but ' || text || ' is unsupported'
+    WHEN 7 THEN '{''verdict'': ''partial''} ' || text WHEN 8 THEN '[' || json_object('verdict', 'partial') || ']' WHEN 9 THEN CAST(json_object('verdict', 'partial', 'reason', 7) AS VARCHAR)
     WHEN 0 THEN '```json' || chr(10) || json_object('verdict', 'Supported ', 'reason', text) || chr(10) || '```'
-    WHEN 1 THEN CAST(json_object('verdict', 'partial', 'reason', ' ' || substring(text, 1, 20)) AS VARCHAR)
-    WHEN 2 THEN text || ' this is UNSUPPORTED' WHEN 3 THEN 'mostly Partial or supported' || text WHEN 4 THEN CAST(json_object('verdict', 'maybe', 'reason', 'r') AS VARCHAR) ELSE text END AS r, conv_id % 6 AS k, text FROM conversations)"""
+    WHEN 1 THEN CAST(json_object('verdict', 'partial', 'reason', ' ' || text) AS VARCHAR)
+    WHEN 2 THEN text || ' this is UNSUPPORTED' WHEN 3 THEN 'mostly Partial or supported' || text WHEN 4 THEN CAST(json_object('verdict', 'maybe', 'reason', 'r') AS VARCHAR) ELSE text END AS r, conv_id % 10 AS k, text FROM conversations)"""
 
 
 def raw_verdicts(spark, sf):
     t = c.table(spark, sf, "conversations")
-    k = F.col("conv_id") % 6
+    k = F.col("conv_id") % 10
     js = lambda v, r: F.to_json(F.struct(F.lit(v).alias("verdict"), r.alias("reason")))
     raw = (
         F.when(k == 0, F.concat(F.lit("```json\n"), js("Supported ", F.col("text")), F.lit("\n```")))
-        .when(k == 1, js("partial", F.concat(F.lit(" "), F.substring("text", 1, 20))))
+        .when(k == 1, js("partial", F.concat(F.lit(" "), F.col("text"))))
         .when(k == 2, F.concat("text", F.lit(" this is UNSUPPORTED")))
         .when(k == 3, F.concat(F.lit("mostly Partial or supported"), "text"))
         .when(k == 4, js("maybe", F.lit("r")))
+        .when(k == 6, F.concat(js("partial", F.lit("r")), F.lit(" but "), "text", F.lit(" is unsupported")))
+        .when(k == 7, F.concat(F.lit("{'verdict': 'partial'} "), "text"))
+        .when(k == 8, F.lit('[{"verdict":"partial"}]'))
+        .when(k == 9, F.lit('{"verdict":"partial","reason":7}'))
         .otherwise(F.col("text"))
     )
     return t.select("conv_id", "turn", raw.alias("r"), k.alias("k"), "text")
@@ -385,7 +394,7 @@ _KW = "CASE WHEN contains(lower(r), 'unsupported') THEN 'unsupported' WHEN conta
 @register(
     "verdict_parse",
     f"""WITH {SQL_RAW} SELECT conv_id, turn, CASE k WHEN 0 THEN 'supported' WHEN 1 THEN 'partial' ELSE coalesce({_KW}, 'unsupported') END AS verdict,
-      sha256(CASE k WHEN 0 THEN {c.sql_strip('text')} WHEN 1 THEN {c.sql_strip('substring(text, 1, 20)')} ELSE CASE WHEN {_KW} IS NULL THEN '[unparseable judge response] ' ELSE '' END || substring({c.sql_strip('r')}, 1, 300) END) AS reason_sha256 FROM rawv""",
+      sha256(CASE k WHEN 0 THEN {c.sql_strip('text')} WHEN 1 THEN {c.sql_strip('text')} ELSE CASE WHEN {_KW} IS NULL THEN '[unparseable judge response] ' ELSE '' END || substring({c.sql_strip('r')}, 1, 300) END) AS reason_sha256 FROM rawv""",
 )
 def verdict_parse(spark, sf):
     v = raw_verdicts(spark, sf).select("conv_id", "turn", pr.parse_verdict("r").alias("v"))
@@ -394,15 +403,18 @@ def verdict_parse(spark, sf):
 
 @register(
     "disagreement_parse",
-    """SELECT conv_id, turn, conv_id % 4 = 0 AS disagree, CASE conv_id % 4 WHEN 0 THEN 'date' WHEN 1 THEN 'scale' ELSE 'unparseable' END AS fact_compared FROM conversations""",
+    """SELECT conv_id, turn, conv_id % 6 = 0 AS disagree, CASE conv_id % 6 WHEN 0 THEN text WHEN 1 THEN text ELSE 'unparseable' END AS fact_compared FROM conversations""",
 )
 def disagreement_parse(spark, sf):
     t = c.table(spark, sf, "conversations")
-    k = F.col("conv_id") % 4
+    k = F.col("conv_id") % 6
+    js = lambda yes: F.to_json(F.struct(F.lit(yes).alias("disagree"), F.col("text").alias("fact_compared")))
     raw = (
-        F.when(k == 0, F.lit('```json\n{"disagree": true, "fact_compared": "date"}\n```'))
-        .when(k == 1, F.lit('{"disagree": false, "fact_compared": "scale", "explanation": "same"}'))
-        .when(k == 2, F.lit('{"disagree": tr'))
+        F.when(k == 0, F.concat(F.lit("```json\n"), js(True), F.lit("\n```")))
+        .when(k == 1, js(False))
+        .when(k == 2, F.concat(F.lit('{"disagree": tr'), "text"))
+        .when(k == 3, F.concat(js(True), F.lit(" "), "text"))
+        .when(k == 4, F.concat(F.lit("{'disagree': true} "), "text"))
         .otherwise(F.concat(F.lit("They disagree: "), "text"))
     )
     return t.select("conv_id", "turn", pr.parse_disagreement(raw).alias("d")).select("conv_id", "turn", "d.disagree", "d.fact_compared")
@@ -558,8 +570,8 @@ def arm_stats(spark, sf):
 
 
 SQL_SETS = """src AS (SELECT 'ground' AS kind, item_id AS pos, text AS question, 'general' AS category, 'answer' AS expected_behavior, NULL AS rationale FROM benchmark
-  UNION ALL SELECT 'supplement', conv_id, text, 'synthesis_supplement', 'answer', NULL FROM conversations WHERE role = 'user' AND turn = 0
-  UNION ALL SELECT 'refusal', conv_id, text, 'refusal', 'decline', 'turn ' || turn FROM conversations WHERE role = 'user' AND turn = 2)"""
+  UNION ALL SELECT 'supplement', conv_id * 1000 + turn, text, 'synthesis_supplement', 'answer', NULL FROM conversations WHERE role = 'user' AND turn % 4 < 2
+  UNION ALL SELECT 'refusal', conv_id * 1000 + turn, text, 'refusal', 'decline', 'turn ' || turn FROM conversations WHERE role = 'user' AND turn % 4 >= 2)"""
 
 
 @register(
@@ -572,9 +584,10 @@ def question_set(spark, sf):
 
     b = c.table(spark, sf, "benchmark").select(F.col("item_id").alias("position"), F.col("text").alias("question"), F.lit("general").alias("category"))
     u = c.table(spark, sf, "conversations").where("role = 'user'")
-    sup = u.where("turn = 0").select(F.col("conv_id").alias("position"), F.col("text").alias("question"))
-    ref = u.where("turn = 2").select(
-        F.col("conv_id").alias("position"), F.col("text").alias("question"), F.lit("decline").alias("expected_behavior"),
+    place = (F.col("conv_id") * 1000 + F.col("turn")).alias("position")
+    sup = u.where("turn % 4 < 2").select(place, F.col("text").alias("question"))
+    ref = u.where("turn % 4 >= 2").select(
+        place, F.col("text").alias("question"), F.lit("decline").alias("expected_behavior"),
         F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("rationale"),
     )
     q = sm.question_set(b, sup, ref)

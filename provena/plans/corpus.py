@@ -527,40 +527,44 @@ def version_drift(spark, sf):
     return md.version_drift(rec).withColumn("in_index", F.coalesce(F.col("chunked_version") == current, F.lit(False)))
 
 
-@register(
-    "chunk_counts_reconcile",
-    f"""WITH {c.SQL_DOCS}, {c.SQL_CHUNKS}, act AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS a FROM chunks WHERE n_chars % 17 <> 0 GROUP BY doc_id),
-    rec AS (SELECT doc_id, CAST(CASE WHEN n_chars % 5 = 0 THEN n + 1 ELSE n END AS INTEGER) AS r FROM (SELECT doc_id, n_chars, count(*) AS n FROM chunks GROUP BY doc_id, n_chars) WHERE n_chars % 19 <> 0)
-    SELECT 'metadata-vs-chunks' AS "check", doc_id, problem FROM (SELECT coalesce(act.doc_id, rec.doc_id) AS doc_id,
+SQL_COUNTS = """SELECT 'metadata-vs-chunks' AS "check", doc_id, problem FROM (SELECT coalesce(act.doc_id, rec.doc_id) AS doc_id,
       CASE WHEN a IS NULL THEN 'recorded ' || r || ' but no chunks exist' WHEN r IS NULL THEN a || ' chunks but no chunking block'
-           WHEN a <> r THEN 'recorded ' || r || ' but found ' || a END AS problem FROM act FULL OUTER JOIN rec USING (doc_id)) WHERE problem IS NOT NULL""",
-)
-def chunk_counts_reconcile(spark, sf):
-    """Recorded against actual chunk counts, with losses put in by document length."""
-    d = c.table(spark, sf, "documents")
+           WHEN a <> r THEN 'recorded ' || r || ' but found ' || a END AS problem FROM act FULL OUTER JOIN rec USING (doc_id)) WHERE problem IS NOT NULL"""
+SQL_COUNTED = f"""{c.SQL_DOCS}, {c.SQL_CHUNKS}, act AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS a FROM chunks WHERE n_chars % 17 <> 0 GROUP BY doc_id),
+    rec AS (SELECT doc_id, CAST(CASE WHEN n_chars % 5 = 0 THEN n + 1 ELSE n END AS INTEGER) AS r FROM (SELECT doc_id, n_chars, count(*) AS n FROM chunks GROUP BY doc_id, n_chars) WHERE n_chars % 19 <> 0)"""
+
+
+def recorded_and_actual_chunks(spark, sf):
+    """Recorded and actual chunk counts, with losses put in by document length."""
     n = ck.window_count("n_chars")
     actual = ck.chunks_per_document(ck.chunk_documents(c.documents(spark, sf).where("n_chars % 17 <> 0")))
-    recorded = d.where((F.col("n_chars") % 19 != 0) & (n > 0)).select(
+    recorded = c.table(spark, sf, "documents").where((F.col("n_chars") % 19 != 0) & (n > 0)).select(
         "doc_id", F.when(F.col("n_chars") % 5 == 0, n + 1).otherwise(n).cast("int").alias("total_chunks")
     )
-    return rc.counts("metadata-vs-chunks", recorded, actual)
+    return recorded, actual
+
+
+@register("chunk_counts_reconcile", f"WITH {SQL_COUNTED} {SQL_COUNTS}")
+def chunk_counts_reconcile(spark, sf):
+    return rc.counts("metadata-vs-chunks", *recorded_and_actual_chunks(spark, sf))
 
 
 @register(
     "reconcile_surfaces",
-    f"""WITH {SQL_DECL}, real AS (SELECT doc_id FROM decl WHERE NOT starts_with(sha256, 'REPLACE_ME')), acq AS (SELECT doc_id FROM decl WHERE file_sha256 IS NOT NULL),
+    f"""WITH {SQL_DECL}, {SQL_COUNTED}, real AS (SELECT doc_id FROM decl WHERE NOT starts_with(sha256, 'REPLACE_ME')), acq AS (SELECT doc_id FROM decl WHERE file_sha256 IS NOT NULL),
     inc AS (SELECT doc_id FROM labels WHERE quality = 1), meta AS (SELECT doc_id FROM labels WHERE toxic = 0), der AS (SELECT doc_id * 2 AS doc_id FROM documents WHERE n_chars % 2 = 0)
     SELECT 'declared-vs-acquired' AS "check", doc_id, 'declared but not acquired' AS problem FROM real WHERE doc_id NOT IN (FROM acq)
     UNION ALL SELECT 'declared-vs-acquired', doc_id, 'acquired but not declared' FROM acq WHERE doc_id NOT IN (FROM real)
     UNION ALL SELECT 'included-vs-metadata', doc_id, 'included but no metadata' FROM inc WHERE doc_id NOT IN (FROM meta)
     UNION ALL SELECT 'included-vs-metadata', doc_id, 'metadata but not included' FROM meta WHERE doc_id NOT IN (FROM inc)
-    UNION ALL SELECT 'derived-vs-declared', doc_id, 'derived checksum but not declared' FROM der WHERE doc_id NOT IN (SELECT doc_id FROM documents)""",
+    UNION ALL SELECT 'derived-vs-declared', doc_id, 'derived checksum but not declared' FROM der WHERE doc_id NOT IN (SELECT doc_id FROM documents)
+    UNION ALL FROM ({SQL_COUNTS})""",
 )
 def reconcile_surfaces(spark, sf):
     d = declared(spark, sf)
     lab = c.table(spark, sf, "labels")
     docs = c.table(spark, sf, "documents")
-    none = docs.where("false")
+    recorded, actual = recorded_and_actual_chunks(spark, sf)
     return rc.reconcile(
         declared=d.where(dc.has_real_hash()),
         acquired=d.where("file_sha256 is not null"),
@@ -568,8 +572,8 @@ def reconcile_surfaces(spark, sf):
         metadata=lab.where("toxic = 0"),
         derived=docs.where("n_chars % 2 = 0").select((F.col("doc_id") * 2).alias("doc_id")),
         all_declared=docs,
-        recorded_chunks=none.select("doc_id", F.lit(0).alias("total_chunks")),
-        actual_chunks=none.select("doc_id", F.lit(0).alias("actual_chunks")),
+        recorded_chunks=recorded,
+        actual_chunks=actual,
     )
 
 

@@ -11,6 +11,7 @@ from provena.operators import evaluate as ev
 from provena.operators import prompts as pr
 from provena.operators import scope as sc
 from provena.operators import search as se
+from provena.operators.chunking import window_count
 from provena.plans import common as c
 from provena.session import cut_lineage
 
@@ -222,8 +223,8 @@ def chunk_category(spark, sf):
     return ch.select("chunk_id", cat.alias("category"))
 
 
-SQL_CIRC = rf"""q AS (SELECT doc_id, string_split(text, chr(10))[-1] AS question,
-    CASE WHEN n_chars % 9 = 0 THEN printf('%s-chunk-9999', CAST(doc_id AS VARCHAR)) ELSE printf('%s-chunk-0000', CAST(doc_id AS VARCHAR)) END AS correct_chunk_id FROM documents),
+SQL_CIRC = rf"""q AS (SELECT doc_id, string_split(text, chr(10))[1 + doc_id % len(string_split(text, chr(10)))] AS question,
+    CASE WHEN n_chars % 9 = 0 THEN printf('%s-chunk-9999', CAST(doc_id AS VARCHAR)) ELSE printf('%s-chunk-%04d', CAST(doc_id AS VARCHAR), (doc_id * 7) % (greatest(0, CAST(ceil((n_chars - 1500) / 750.0) AS BIGINT)) + 1)) END AS correct_chunk_id FROM documents),
   pair AS (SELECT q.doc_id, question, ch.text AS passage FROM q LEFT JOIN chunks ch ON ch.chunk_id = q.correct_chunk_id),
   tk AS (SELECT *, regexp_extract_all(question, '[A-Za-z'']+|[0-9]+') AS qt, regexp_extract_all(passage, '[A-Za-z'']+|[0-9]+') AS pt FROM pair),
   qg AS (SELECT doc_id, i, lower(array_to_string(qt[i:i+3], ' ')) AS g FROM (SELECT doc_id, qt, unnest(range(1, len(qt) - 2)) AS i FROM tk)),
@@ -234,12 +235,14 @@ SQL_CIRC = rf"""q AS (SELECT doc_id, string_split(text, chr(10))[-1] AS question
 
 
 def _questions(spark, sf):
-    """One question per document: its last line, said to come from the first window (or from one that is gone)."""
+    """One question per document: any of its lines, said to come from any of its windows (or from one that is gone)."""
     d = c.documents(spark, sf)
-    no = F.when(F.col("n_chars") % 9 == 0, "-chunk-9999").otherwise("-chunk-0000")
+    at = (F.col("doc_id") * 7) % F.greatest(window_count("n_chars"), F.lit(1))
+    no = F.when(F.col("n_chars") % 9 == 0, "-chunk-9999").otherwise(F.format_string("-chunk-%04d", at))
+    lines = F.split("text", "\n")
     return d.select(
         "doc_id",
-        F.element_at(F.split("text", "\n"), -1).alias("question"),
+        F.element_at(lines, (1 + F.col("doc_id") % F.size(lines)).cast("int")).alias("question"),
         F.concat(F.col("doc_id").cast("string"), no).alias("correct_chunk_id"),
     )
 
@@ -331,7 +334,7 @@ def pair_budget(spark, sf):
     return spent.join(n_ret, "query_id").join(survivors, "query_id", "left").na.fill(0, ["n_survivors"])
 
 
-SQL_RW = f"""rw AS (SELECT item_id, text AS raw, CASE length(text) % 3 WHEN 0 THEN ' ' WHEN 1 THEN 'the ' || substring(text, 1, 120) END AS rewritten FROM benchmark),
+SQL_RW = f"""rw AS (SELECT item_id, text AS raw, CASE length(text) % 3 WHEN 0 THEN ' ' WHEN 1 THEN 'the ' || text END AS rewritten FROM benchmark),
 queries AS (SELECT query_id, text, codes, 'all' AS category FROM (SELECT item_id * 2 AS query_id, raw AS text, {c.sql_codes('raw')} AS codes FROM rw
   UNION ALL SELECT item_id * 2 + 1, coalesce(nullif({c.sql_strip('rewritten')}, ''), raw), {c.sql_codes("coalesce(nullif(" + c.sql_strip('rewritten') + ", ''), raw)")} FROM rw))"""
 
@@ -352,8 +355,8 @@ def rewrite_delta(spark, sf):
     b = c.table(spark, sf, "benchmark")
     cache = b.select(
         F.col("text").alias("query"),
-        F.when(F.length("text") % 3 == 0, F.lit(" ")).when(F.length("text") % 3 == 1, F.concat(F.lit("the "), F.substring("text", 1, 120))).alias("rewritten"),
-    ).where("rewritten is not null")
+        F.when(F.length("text") % 3 == 0, F.lit(" ")).when(F.length("text") % 3 == 1, F.concat(F.lit("the "), "text")).alias("rewritten"),
+    ).where("rewritten is not null").groupBy("query").agg(F.first("rewritten").alias("rewritten"))
     j = b.select("item_id", F.col("text").alias("query")).join(cache, "query", "left")
     rw = sc.rewritten_or_original(F.col("query"), F.col("rewritten"))
     variants = j.select(

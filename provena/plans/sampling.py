@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from provena.operators import release as rl
+from provena.operators.chunking import chunk_documents, window_count
 from provena.operators import sampling as sm
 from provena.plans import answers as an
 from provena.plans import common as c
@@ -101,16 +102,18 @@ def deployment_sample(spark, sf):
 @register(
     "review_sample",
     f"""WITH {c.SQL_DOCS}, {c.SQL_CHUNKS}, s AS (SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 25)
-    SELECT s.doc_id, sha256(ch.text) AS chunk_sha256 FROM s LEFT JOIN chunks ch ON ch.doc_id = s.doc_id AND ch.chunk_index = 0""",
+    SELECT s.doc_id, printf('%s-chunk-%04d', CAST(s.doc_id AS VARCHAR), (s.doc_id * 7) % (greatest(0, CAST(ceil((d.n_chars - 1500) / 750.0) AS BIGINT)) + 1)) AS chunk_id, sha256(ch.text) AS chunk_sha256
+    FROM s JOIN documents d ON d.doc_id = s.doc_id LEFT JOIN chunks ch ON ch.doc_id = s.doc_id AND ch.chunk_index = (s.doc_id * 7) % (greatest(0, CAST(ceil((d.n_chars - 1500) / 750.0) AS BIGINT)) + 1)""",
 )
 def review_sample(spark, sf):
     """Twenty-five items with the text of their window attached."""
-    s = sm.review_sample(docs(spark, sf).select("doc_id"), "doc_id").select(
-        "doc_id", F.format_string("%s-chunk-%04d", F.col("doc_id").cast("string"), F.lit(0)).alias("chunk_id")
-    )
-    ch = c.chunks(spark, sf).where("chunk_index = 0").select("chunk_id", F.sha2("text", 256).alias("chunk_sha256"))
-    # at most 25 rows by construction; the chunk table is scanned once and not shuffled
-    return ch.join(F.broadcast(s), "chunk_id", "right").select("doc_id", "chunk_sha256")
+    s = sm.review_sample(docs(spark, sf).select("doc_id"), "doc_id").select("doc_id")
+    # at most 25 rows by construction: their documents alone are cut into windows, and nothing else is moved
+    d = c.table(spark, sf, "documents").join(F.broadcast(s), "doc_id").select("doc_id", "text", "n_chars")
+    item = d.select("doc_id", ((F.col("doc_id") * 7) % F.greatest(window_count("n_chars"), F.lit(1))).alias("i"))
+    item = item.select("doc_id", F.format_string("%s-chunk-%04d", F.col("doc_id").cast("string"), "i").alias("chunk_id"))
+    ch = chunk_documents(d.select("doc_id", "text")).select("chunk_id", F.sha2("text", 256).alias("chunk_sha256"))
+    return item.join(ch, "chunk_id", "left").select("doc_id", "chunk_id", "chunk_sha256")
 
 
 def _release_chunks(spark, sf):

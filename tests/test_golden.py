@@ -302,3 +302,35 @@ def test_text_helpers(spark):
     assert one(spark, tx.content_sha256("t"), t="a\r\nb\rc") == one(spark, F.sha2("t", 256), t="a\nb\nc")
     assert math.isclose(one(spark, ql.detect_language("t"), t="the cat and the dog")["confidence"], 0.6)
     assert one(spark, ql.detect_language("t"), t="")["language"] == "unknown"
+
+
+def test_only_a_whole_json_object_is_a_verdict(spark):
+    from provena.operators import prompts as pr
+
+    raw = ['{"verdict": "partial", "reason": "r"} but really unsupported', "{'verdict': 'partial'}", '[{"verdict": "partial"}]',
+           '{"verdict": "partial", "reason": 3}', '{"verdict": "Partial"}', "no word of it", '{"verdict": "partial"}, {"verdict": "partial"}']
+    got = [tuple(r["v"]) for r in spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, r string").orderBy("i").select(pr.parse_verdict("r").alias("v")).collect()]
+    assert got == [("unsupported", raw[0]), ("partial", raw[1]), ("partial", raw[2]), ("partial", raw[3]), ("partial", ""),
+                   ("unsupported", "[unparseable judge response] no word of it"), ("partial", raw[6])]
+    raw = ["{'disagree': true}", '{"disagree": true} trailing', '```json\n{"disagree": true, "fact_compared": "date"}\n```', "[1]"]
+    got = [tuple(r["d"]) for r in spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, r string").orderBy("i").select(pr.parse_disagreement("r").alias("d")).collect()]
+    assert got == [(False, "unparseable"), (False, "unparseable"), (True, "date"), (False, "unparseable")]
+
+
+def test_missing_fields_keep_their_line(spark):
+    from provena.operators import citations as cit
+    from provena.operators import prompts as pr
+
+    cites = spark.createDataFrame([(1, 1, 7, "7-chunk-0000", None), (1, 2, 8, "8-chunk-0000", None)], "question_id int, marker int, doc_id int, chunk_id string, pages array<int>")
+    meta = spark.createDataFrame([(7, "org", None, None, None)], "doc_id int, organization string, title string, publication_date string, url string")
+    assert cit.source_lines(cites, meta).first()["sources"] == '[1] org, "None" (None). None\n[2] 8 (metadata unavailable), chunk 8-chunk-0000.'
+    found = spark.createDataFrame([(1, 1, None, "a"), (1, 2, "o", "b")], "query_id int, rank int, organization string, text string")
+    asked = spark.createDataFrame([(1, "q")], "query_id int, text string")
+    assert pr.user_prompts(found, asked).first()["prompt"] == "Question: q\n\nExcerpts:\n\n[1] (organization: None)\na\n\n[2] (organization: o)\nb"
+
+
+def test_null_keys_are_ranked_too(spark):
+    from provena.functions.ranking import hashed_rank
+
+    df = spark.createDataFrame([(None,), ("a",), ("b",)], "k string")
+    assert sorted(r["rank"] for r in hashed_rank(df, F.col("k")).collect()) == [1, 2, 3]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,10 +12,13 @@ from pyspark.sql import functions as F
 from provena.functions.ranking import hashed_rank, query_blocks, union_all
 from provena.functions.text import terms
 from provena.operators.chunking import neighbor_chunk_ids
+from provena.session import cut_lineage
 
 # Number of resamples, seed, positions of the interval's order statistics (0-based).
 BOOTSTRAP_RESAMPLES = 2000
 BOOTSTRAP_SEED = 42
+# Groups whose values stand side by side as columns while draws are averaged.
+GROUPS_AT_A_TIME = 32
 
 
 def gold_chunks(chunks: DataFrame, passages: DataFrame) -> DataFrame:
@@ -122,21 +127,40 @@ def bootstrap_ci(
     """95% percentile interval of the mean per group: one row (group..., metric, n, lo, hi).
 
     Draw i of resample b takes the value number md5(seed:b:i) mod n, so the draws depend on nothing but the
-    data. Draws are rows: they are grouped by resample, the means sorted within the fixed number of resamples.
+    data. Draws are rows, shared by all groups of a size; the means are sorted within the
+    fixed number of resamples.
     """
     g = list(group)
     ranked = hashed_rank(values, F.col(id_col).cast("string"), g, out="_pos")
-    n = values.groupBy(*g).agg(F.count(F.lit(1)).alias("n"))
-    slots = ranked.select(*g, (F.col("_pos") - 1).alias("_i")).join(n, g)
-    b = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_b"), F.col("_i"))), 1, 8), 16, 10).cast("bigint")
-    draws = slots.withColumn("_b", b).select(*g, "n", "_b", (draw % F.col("n") + 1).alias("_pos"))
-    means = draws.join(ranked.select(*g, "_pos", *value_cols), [*g, "_pos"]).groupBy(*g, "_b").agg(
-        F.first("n").alias("n"), *[F.avg(v).alias(v) for v in value_cols]
-    )
-    long = means.select(
-        *g, "n", F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).alias("mean")) for v in value_cols])).alias("_m")
-    ).select(*g, "n", "_m.metric", "_m.mean")
+    sizes = values.groupBy(*g).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per method or arm
+    ranked = cut_lineage(ranked.select(*g, "_pos", *value_cols))
+    parts = []
+    # A draw depends on the number of values alone: groups of one size share it, each value a column of its own.
+    for n in sorted({r["n"] for r in sizes}):
+        alike = [r for r in sizes if r["n"] == n]
+        for same in (alike[i : i + GROUPS_AT_A_TIME] for i in range(0, len(alike), GROUPS_AT_A_TIME)):
+            mine = [reduce(and_, [F.col(k).eqNullSafe(F.lit(r[k])) for k in g]) for r in same]
+            cells = [(i, v) for i in range(len(same)) for v in value_cols]
+            wide = ranked.where(reduce(or_, mine)).groupBy("_pos").agg(
+                *[F.max(F.when(mine[i], F.col(v))).cast("double").alias(f"_{i}_{v}") for i, v in cells]
+            )
+            draws = values.sparkSession.range(resamples * n).select(
+                F.expr(f"id div {n}").alias("_b"), (F.col("id") % n).alias("_i")
+            )
+            drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_b"), F.col("_i"))), 1, 8), 16, 10).cast("bigint")
+            means = draws.select("_b", (drawn % n + 1).alias("_pos")).join(wide, "_pos").groupBy("_b").agg(
+                *[F.avg(f"_{i}_{v}").alias(f"_{i}_{v}") for i, v in cells]
+            )
+            types = {k: values.schema[k].dataType for k in g}
+            each = [
+                F.struct(*[F.lit(same[i][k]).cast(types[k]).alias(k) for k in g], F.lit(v).alias("metric"), F.col(f"_{i}_{v}").alias("mean"))
+                for i, v in cells
+            ]
+            parts.append(means.select(F.lit(n).cast("bigint").alias("n"), F.explode(F.array(*each)).alias("_m")).select("_m.*", "n"))
+    if not parts:
+        empty = values.groupBy(*g).agg(F.lit("").alias("metric"), F.lit(0).cast("bigint").alias("n"))
+        return empty.select(*g, "metric", "n", F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi")).where(F.lit(False))
+    long = union_all(parts)
     w = Window.partitionBy(*g, "metric").orderBy("mean")
     lo, hi = int(0.025 * resamples) + 1, int(0.975 * resamples)
     at = long.withColumn("_r", F.row_number().over(w)).where(F.col("_r").isin(lo, hi))

@@ -10,12 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 from provena.functions.ranking import query_blocks, top_k, union_all
 from provena.functions.text import entity_codes
 from provena.operators import index as ix
 from provena.operators.chunking import chunk_documents, chunk_total
-from provena.session import written_table
+from provena.session import shared_folder, written_table
 
 # Default result length, depth of each leg before fusion, fallback fusion constant, swept constants.
 TOP_K = 10
@@ -28,6 +29,8 @@ COUNTRY_KEYWORDS = {"KE": "kenya", "UG": "uganda", "TZ": "tanzania", "ET": "ethi
 
 # Scores are compared after rounding, so that the order of float additions cannot decide a rank.
 SCORE_DIGITS = 9
+# Part of every fingerprint: changes when the tables of an index change.
+INDEX_FORMAT = 1
 # Queries sent to the tasks at a time; larger batches are searched block by block.
 MAX_QUERY_ROWS = 20_000
 
@@ -278,6 +281,23 @@ class ChunkIndex:
         self.rows = written_table(ix.index_rows(self.weighted(), self.dim))
         return self
 
+    def store(self, path: str, stamp: DataFrame) -> ChunkIndex:
+        """Write the tables and then their stamp, without which nobody takes them for an index."""
+        spark = self._post.sparkSession
+        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        self.stats = spark.read.schema(self.stats.schema).parquet(f"{path}/stats")
+        rows = ix.index_rows(self.weighted(), self.dim)
+        rows.write.mode("overwrite").parquet(f"{path}/rows")
+        self.rows = spark.read.schema(rows.schema).parquet(f"{path}/rows")
+        stamp.coalesce(1).write.mode("overwrite").parquet(f"{path}/stamp")
+        return self
+
+    def load(self, path: str) -> ChunkIndex:
+        spark = self._post.sparkSession
+        self.stats = spark.read.schema(self.stats.schema).parquet(f"{path}/stats")
+        self.rows = spark.read.parquet(f"{path}/rows")
+        return self
+
     def searchable(self, excluded: DataFrame | None = None) -> DataFrame:
         """Rows search may return: (doc_id, chunk_id, terms, weights, norm, vec)."""
         if self.rows is None:
@@ -294,6 +314,31 @@ def index_documents(docs: DataFrame) -> ChunkIndex:
     return ChunkIndex(chunk_documents(docs), chunk_total(docs))
 
 
+def content_fingerprint(docs: DataFrame) -> str:
+    """Of all ids and texts, in any order: one narrow pass, next to nothing beside an index build."""
+    h = F.xxhash64(F.lit(INDEX_FORMAT), "doc_id", "text")
+    n, x, s = docs.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(h), F.lit(0)), F.coalesce(F.sum(F.pmod(h, F.lit(1 << 31))), F.lit(0))).first()
+    return f"{n}-{x & (2**64 - 1):016x}-{s:x}"
+
+
+def shared_index(docs: DataFrame, corpus_version: str, model: str = "hashed-tfidf") -> ChunkIndex:
+    """The one index of a corpus version and content in the shared folder: opened if it is there, built if not.
+
+    Its stamp names the corpus version and is checked against the current one before the index is handed out.
+    """
+    spark, version = docs.sparkSession, corpus_version.split()[0]
+    path = f"{shared_folder(spark)}/index/{version}-{content_fingerprint(docs)}"
+    index = index_documents(docs)
+    try:
+        stamp = spark.read.parquet(f"{path}/stamp")
+    except AnalysisException:
+        made = F.date_format(F.current_timestamp(), "yyyy-MM-dd")
+        row = spark.range(1).select(F.lit(model).alias("embedding_model"), F.lit(version).alias("corpus_version"), made.alias("created_at"))
+        return index.store(path, row)
+    check_fresh(stamp, corpus_version)
+    return index.load(path)
+
+
 def legs(
     index: ChunkIndex, queries: DataFrame, depth: int, excluded: DataFrame | None, method: str
 ) -> list[DataFrame]:
@@ -318,17 +363,20 @@ def search(
     method: str = "hybrid",
     lifecycle: DataFrame | None = None,
     lifecycle_status: str | None = "active",
-    rrf_k: int | Column = FALLBACK_RRF_K,
+    rrf_k: int | Column | None = None,
     entity_boost: bool = True,
     keywords: Mapping[str, str] = COUNTRY_KEYWORDS,
+    config: DataFrame | None = None,
 ) -> DataFrame:
     """Ranked results (query_id, chunk_id, doc_id, rank, score) for every query of the batch.
 
     ``tags`` is (doc_id, tags), ``lifecycle`` is (doc_id, lifecycle_status). The pool is widened to ``CANDIDATE_POOL`` only for queries in which an entity is
     detected; for the others the first ``top`` rows of the same pool are the same rows. Only hybrid results
-    carry a score, as in the data model.
+    carry a score, as in the data model. Without ``rrf_k`` the constant recorded in ``config`` is taken.
     """
     pool = max(top, CANDIDATE_POOL)
+    if rrf_k is None:  # the recorded constant, at the time of the call
+        rrf_k = FALLBACK_RRF_K if config is None else recorded_rrf_k(config)
     ranked = legs(index, queries, CANDIDATE_POOL, excluded_by_status(lifecycle, lifecycle_status), method)
     if method == "hybrid":
         res = fuse(ranked, rrf_k, pool)

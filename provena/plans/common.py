@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from provena.functions.ranking import broadcast_if_small, query_blocks, spread  # noqa: F401
 from provena.functions.text import WS, entity_codes
 from provena.operators.chunking import chunk_documents
-from provena.operators.search import ChunkIndex, excluded_by_status, index_documents
+from provena.operators.search import ChunkIndex, excluded_by_status, shared_index
 
 # Entity codes of the driver corpus: a language marker each.
 ENTITY_KEYWORDS = {"en": "the", "fr": "que", "de": "und", "es": "ción"}
@@ -39,7 +39,7 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def corpus_index(spark: SparkSession, sf: str) -> ChunkIndex:
-    return index_documents(documents(spark, sf))
+    return shared_index(documents(spark, sf), CORPUS_VERSION)
 
 
 def queries(spark: SparkSession, sf: str) -> DataFrame:

@@ -334,3 +334,25 @@ def test_null_keys_are_ranked_too(spark):
 
     df = spark.createDataFrame([(None,), ("a",), ("b",)], "k string")
     assert sorted(r["rank"] for r in hashed_rank(df, F.col("k")).collect()) == [1, 2, 3]
+
+
+def test_an_index_is_built_once_for_each_version_and_content(spark, monkeypatch):
+    from provena.operators import search as se
+
+    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "beta delta")], "doc_id long, text string")
+    first = se.shared_index(docs, "v7 2026-01-01").searchable().select("chunk_id", "norm").collect()
+    with monkeypatch.context() as m:
+        m.setattr(se.ChunkIndex, "store", lambda *_: pytest.fail("built again"))
+        assert sorted(se.shared_index(docs.repartition(3), "v7").searchable().select("chunk_id", "norm").collect()) == sorted(first)
+        with pytest.raises(pytest.fail.Exception):
+            se.shared_index(docs.limit(1), "v7")
+    stamp = spark.createDataFrame([("v6",)], "corpus_version string")
+    with pytest.raises(se.StaleIndexError):
+        se.check_fresh(stamp, "v7 2026-01-01")
+    with pytest.raises(se.StaleIndexError):
+        se.check_fresh(stamp.limit(0), "v7")
+    config = spark.createDataFrame([("hybrid", 10)], "method string, rrf_k int")
+    q = spark.createDataFrame([(1, "beta delta")], "query_id long, text string")
+    index = se.shared_index(docs, "v7")
+    assert se.search(index, q, config=config).first()["score"] == pytest.approx(2 / 11)
+    assert se.search(index, q).first()["score"] == pytest.approx(2 / 61)

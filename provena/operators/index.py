@@ -58,7 +58,7 @@ def weigh(post: DataFrame, stats: DataFrame, n_chunks: Column, salts: int = HOT_
 def forward_index(weighted: DataFrame) -> DataFrame:
     """One row per chunk: ``terms array<struct<term, tf, w>>`` and the length of the weight vector.
 
-    ``weighted`` is expected partitioned by doc_id, which also groups by chunk without another exchange.
+    ``weighted`` is expected partitioned by chunk_id, which groups by chunk without another exchange.
     """
     return weighted.groupBy("doc_id", "chunk_id").agg(
         F.collect_list(F.struct("term", "tf", "w")).alias("terms"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")

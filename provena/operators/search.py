@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from provena.functions.ranking import query_blocks, top_k, union_all
+from provena.functions.ranking import broadcast_if_small, query_blocks, top_k, union_all
 from provena.functions.text import entity_codes
 from provena.operators import index as ix
 from provena.operators.chunking import chunk_documents, chunk_total
@@ -31,6 +31,8 @@ COUNTRY_KEYWORDS = {"KE": "kenya", "UG": "uganda", "TZ": "tanzania", "ET": "ethi
 SCORE_DIGITS = 9
 # Part of every fingerprint: changes when the tables of an index change.
 INDEX_FORMAT = 1
+# Excluded documents that are broadcast: eight bytes each.
+MAX_EXCLUDED = 2_000_000
 # Queries sent to the tasks at a time; larger batches are searched block by block.
 MAX_QUERY_ROWS = 20_000
 
@@ -273,8 +275,8 @@ class ChunkIndex:
         self.rows: DataFrame | None = None
 
     def weighted(self) -> DataFrame:
-        """Weighted postings, partitioned by document."""
-        return ix.weigh(self._post, self.stats, self._n).repartition("doc_id")
+        """Weighted postings, partitioned by chunk: a long document is many of them."""
+        return ix.weigh(self._post, self.stats, self._n).repartition("chunk_id")
 
     def build(self) -> ChunkIndex:
         self.stats = written_table(self.stats)
@@ -302,7 +304,10 @@ class ChunkIndex:
         """Rows search may return: (doc_id, chunk_id, terms, weights, norm, vec)."""
         if self.rows is None:
             self.build()
-        return self.rows if excluded is None else self.rows.join(excluded, "doc_id", "left_anti")
+        if excluded is None:
+            return self.rows
+        # The excluded ids are narrow: while they are few enough they travel, and the index stays where it is.
+        return self.rows.join(broadcast_if_small(excluded.select("doc_id").distinct(), MAX_EXCLUDED), "doc_id", "left_anti")
 
     def query_vectors(self, queries: DataFrame) -> DataFrame:
         q = ix.query_terms(queries, self.stats)

@@ -8,10 +8,10 @@ classes are compared.
    follow their hash. Each class lists itself under these shingles.
 2. A shingle and a size band make a tile: a band spans a factor 1/t of set sizes, so a class meets its own band and the
    next. A tile with many classes is cut into blocks, and pairs of blocks are tiles of their own.
-3. In a tile, bit counts of the classes' bitmaps bound each pair's overlap from above. Of the pairs that may link, a tile
-   hands on a spanning forest, never all pairs; these are intersected exactly as sorted arrays, and links merge
+3. In a tile, bit counts of the classes' bitmaps bound each pair's overlap from above. Classes without any partner left are
+   dropped before arrays are made. Of the pairs that may link, a tile hands on a spanning forest, never all pairs; these are intersected exactly as sorted arrays, and links merge
    components. Tiles whose classes still lie in different components are gone through again, without the pairs found
-   wanting, until no tile has a pair left that may link. Every pair is thus linked, refuted by its bits or its arrays, or
+   wanting and with more pairs a row, until no tile has a pair left that may link. Every pair is thus linked, refuted by its bits or its arrays, or
    already connected.
 """
 
@@ -44,7 +44,7 @@ class JaccardJoin:
     den: int = 100
     bits: int = 1024
     heavy_share: float = 0.001
-    max_heavy: int = 200_000
+    max_heavy: int = 500_000
     block: int = 4096
     first_keys: int = 4
 
@@ -84,7 +84,7 @@ class JaccardJoin:
 
             def flush():
                 h, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, U64), np.zeros(0, int))
-                often = n >= max(4, share * rows)
+                often = n >= max(3, share * rows)
                 return pa.RecordBatch.from_arrays([pa.array(signed(h[often])), pa.array(n[often])], names=["h", "c"])
 
             for batch in batches:
@@ -147,8 +147,8 @@ class JaccardJoin:
         kind = docs.schema["key"].dataType.simpleString()
         return docs.mapInArrow(listed, f"key {kind}, n int, set long, shingles array<long>")
 
-    def _signatures(self, docs: DataFrame, wanted: DataFrame) -> DataFrame:
-        """(set, n, bitmap, sorted): of the classes in ``wanted`` (set, key), from the row with that key."""
+    def _signatures(self, docs: DataFrame, wanted: DataFrame, arrays: bool) -> DataFrame:
+        """(set, bits): the bitmap or the sorted array of each class in ``wanted`` (set, key), from the row with that key."""
         size, bits = self.size, self.bits
 
         def signed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,20 +161,20 @@ class JaccardJoin:
                     total = np.concatenate([[U64(0)], np.cumsum(mix(h ^ U64(0xA24BAED4963EE407)))])
                     name = mix((total[cuts[1:]] - total[cuts[:-1]]) ^ n.astype(U64))
                     bit = (h % U64(bits)).astype(np.int64)
-                    maps, arrays = [], []
+                    out = []
                     for i in range(b - a):
+                        if arrays:
+                            out.append(h[cuts[i] : cuts[i + 1]].tobytes())
+                            continue
                         flags = np.zeros(bits, np.uint8)
                         flags[bit[cuts[i] : cuts[i + 1]]] = 1
-                        maps.append(np.packbits(flags).tobytes())
-                        arrays.append(h[cuts[i] : cuts[i + 1]].tobytes())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(signed(name)), pa.array(n.astype(np.int32)), pa.array(maps, pa.binary()), pa.array(arrays, pa.binary())],
-                        names=["set", "n", "bitmap", "sorted"])
+                        out.append(np.packbits(flags).tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(name)), pa.array(out, pa.binary())], names=["set", "bits"])
 
         keys = broadcast_if_small(wanted.where("key is not null").select("key"), 1_000_000)
         texts = docs.join(keys, "key", "left_semi").select("text").unionAll(docs.where("key is null").select("text"))
-        made = texts.mapInArrow(signed_sets, "set long, n int, bitmap binary, sorted binary")
-        return made.join(wanted.select("set"), "set", "left_semi").dropDuplicates(["set"])
+        made = texts.mapInArrow(signed_sets, "set long, bits binary")
+        return made.join(broadcast_if_small(wanted.select("set"), 1_000_000), "set", "left_semi").dropDuplicates(["set"])
 
     # ---- tiles ---------------------------------------------------------------------------------------------
 
@@ -226,6 +226,28 @@ class JaccardJoin:
             "home", F.col("_band") == F.col("band")
         )
 
+    def _promising(self, tiles: DataFrame) -> DataFrame:
+        """(set) of the classes whose bitmap lets them link with any other of a tile."""
+        num, den = self.num, self.den
+        keys = ["shingle", "band", "i", "j"]
+
+        def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for tiles, starts in whole_runs(batches, keys):
+                n, name = tiles.column("n").to_numpy().astype(np.int64), tiles.column("set").to_numpy()
+                home = np.asarray(tiles.column("home")).astype(bool)
+                bits = utf8(tiles.column("bitmap"))[0].view(U64).reshape(len(n), -1)
+                first = starts[:-1]
+                open_ = (np.diff(starts) > 1) & np.logical_or.reduceat(home, first)
+                found = [np.zeros(0, np.int64)]
+                for t in np.flatnonzero(open_):
+                    r = slice(int(starts[t]), int(starts[t + 1]))
+                    found.append(name[r][partnered(n[r], home[r], bits[r], num, den)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))], names=["set"])
+
+        columns = ["shingle", "band", F.col("part.i").alias("i"), F.col("part.j").alias("j"), "n", "set", "home", "bitmap"]
+        dealt = tiles.select(*columns).repartition(*keys).sortWithinPartitions(*keys, "n", "set")
+        return dealt.mapInArrow(promising, "set long").distinct()
+
     def _candidates(self, tiles: DataFrame, quota: int) -> DataFrame:
         """(a, b): from each tile a forest of the pairs whose bitmaps let them link, between different components."""
         num, den = self.num, self.den
@@ -272,14 +294,19 @@ class JaccardJoin:
         two = signatures.select(F.col("set").alias("b"), F.col("sorted").alias("y"))
         return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, linked boolean")
 
+    def _keyed(self, listed: DataFrame, sets: DataFrame) -> DataFrame:
+        """(set, key) of ``sets``: the smallest key of each."""
+        return listed.join(broadcast_if_small(sets, 1_000_000), "set", "left_semi").groupBy("set").agg(F.min("key").alias("key"))
+
     def _links(self, docs: DataFrame, listed: DataFrame) -> DataFrame:
         """(node, component) of the classes that have a link."""
         meeting = written_table(self._meeting(listed))
-        wanted = listed.join(broadcast_if_small(meeting.select("set").distinct(), 1_000_000), "set", "left_semi")
-        wanted = wanted.groupBy("set").agg(F.min("key").alias("key"))
-        wanted = written_table(wanted)
-        signatures = written_table(self._signatures(docs, wanted))
-        bitmaps = signatures.select("set", "bitmap")
+        wanted = written_table(self._keyed(listed, meeting.select("set").distinct()))
+        bitmaps = written_table(self._signatures(docs, wanted, arrays=False)).withColumnRenamed("bits", "bitmap")
+        # Most classes meet others in a shared passage only; bitmaps tell these apart from what may link.
+        hopeful = written_table(self._promising(self._tiles(meeting).join(bitmaps, "set")))
+        meeting = written_table(meeting.join(broadcast_if_small(hopeful, 1_000_000), "set", "left_semi"))
+        signatures = written_table(self._signatures(docs, self._keyed(wanted, hopeful), arrays=True)).withColumnRenamed("bits", "sorted")
         spark = docs.sparkSession
         links = spark.createDataFrame([], "a long, b long")
         refuted = spark.createDataFrame([], "a long, b long")
@@ -295,9 +322,9 @@ class JaccardJoin:
             lost = refuted.groupBy("a").agg(F.collect_set("b").alias("refuted")).withColumnRenamed("a", "set")
             rows = written_table(rows.select("shingle", "set", "n", "component"))
             rows = self._tiles(rows).join(bitmaps, "set").join(lost, "set", "left")
-            checked = written_table(self._verified(self._candidates(rows, 4**step), signatures))
+            checked = written_table(self._verified(self._candidates(rows, 32 ** max(step - 1, 0)), signatures))
             found = checked.agg(F.count(F.lit(1)), F.count_if("linked")).first()
-            if found[0] == 0 and step:
+            if found[0] == 0 and step > 1:
                 return named
             step += 1
             if found[1]:
@@ -308,13 +335,31 @@ class JaccardJoin:
             refuted = refuted.unionAll(both.select("a", "b")).unionAll(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
+def partnered(n: np.ndarray, home: np.ndarray, bits: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Rows of a tile, which come by size, that may link with another one; see ``spanning`` for the bound."""
+    marked = np.zeros(len(n), bool)
+    for i in range(1, len(n)):
+        lo = int(np.searchsorted(n * den, n[i] * num))
+        open_ = home[lo:i] | home[i]
+        if marked[i]:
+            open_ &= ~marked[lo:i]
+        at = lo + np.flatnonzero(open_)
+        if len(at):
+            differ = np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64)
+            may = at[(n[at] + n[i] - differ) * (num + den) >= 2 * num * (n[at] + n[i])]
+            if len(may):
+                marked[may] = marked[i] = True
+    return marked
+
+
 def spanning(
     n: np.ndarray, name: np.ndarray, group: np.ndarray, home: np.ndarray, bits: np.ndarray, refuted: list, num: int, den: int, quota: int
 ) -> tuple[list[int], list[int]]:
     """Pairs of a tile that may link and join two trees; rows come by size. A pair needs one row at home in the tile's band.
 
-    A row is paired with the first ``quota`` rows of another tree, so that few rounds settle a row whose bits promise more
-    than its array holds.
+    With ``quota`` 1 a pair joins its trees at once, as if it linked: near copies are hung together by few pairs. Else each row
+    is paired with up to ``quota`` rows of every other tree, and no tree grows: what is left after the first pass is mostly
+    pairs whose bits promise more than their arrays hold.
 
     The overlap of two sets is at most (n1 + n2 - bits in which their maps differ) / 2: each such bit is an element of
     exactly one of them. Linking needs an overlap of num (n1 + n2) / (num + den).
@@ -335,12 +380,17 @@ def spanning(
         may = at[(n[at] + n[i] - differ) * (num + den) >= 2 * num * (n[at] + n[i])]
         if len(may) and refuted[i]:
             may = may[~np.isin(name[may], refuted[i])]
+        if quota > 1:
+            order = np.argsort(tree[may], kind="stable")
+            t = tree[may][order]
+            pick = may[order[np.arange(len(t)) - np.searchsorted(t, t) < quota]]
+            left += np.maximum(name[pick], name[i]).tolist()
+            right += np.minimum(name[pick], name[i]).tolist()
+            continue
         while len(may):
-            other = tree[may[0]]
-            for j in may[tree[may] == other][:quota]:
-                a, b = int(name[i]), int(name[j])
-                left.append(max(a, b))
-                right.append(min(a, b))
-            tree[tree == other] = tree[i]
+            j = may[0]
+            left.append(max(int(name[i]), int(name[j])))
+            right.append(min(int(name[i]), int(name[j])))
+            tree[tree == tree[j]] = tree[i]
             may = may[tree[may] != tree[i]]
     return left, right

@@ -30,16 +30,16 @@ def doc_bucket(doc_id: str, buckets: int) -> Column:
 def replace_documents(spark: SparkSession, new: DataFrame, path: str, buckets: int = 1024) -> None:
     """Replace all old chunks of the documents in ``new``; other documents of the same buckets are kept.
 
-    The merged buckets are written to the checkpoint folder first, because a table cannot be overwritten while
-    it is read.
+    The merged buckets are written to the shared folder as a table first, because a table cannot be overwritten
+    while it is read.
     """
-    from provena.session import cut_lineage
+    from provena.session import written_table
 
     n = new.withColumn("doc_bucket", doc_bucket("doc_id", buckets))
     old = spark.read.parquet(path)
     touched = old.join(n.select("doc_bucket").distinct(), "doc_bucket", "left_semi")
     kept = touched.join(n.select("doc_id").distinct(), "doc_id", "left_anti")
-    merged = cut_lineage(kept.unionByName(n, allowMissingColumns=True))
+    merged = written_table(kept.unionByName(n, allowMissingColumns=True))
     write_partitioned(merged.repartition("doc_bucket"), path, "doc_bucket")
 
 

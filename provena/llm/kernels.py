@@ -9,7 +9,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text a kernel handles at once; a longer text is handled alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
@@ -60,6 +60,23 @@ def pieces(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = j
 
 
+_POWERS: list[np.ndarray] = [np.zeros(0, U64), np.zeros(0, U64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, kept for texts up to the usual length."""
+    if len(_POWERS[0]) >= n:
+        return [p[:n] for p in _POWERS]
+    made = []
+    for base in (_BASE, _INVERSE):
+        p = np.full(max(n, CHUNK_BYTES + 1), base)
+        p[0] = 1
+        made.append(np.multiply.accumulate(p))
+    if n <= 4 * CHUNK_BYTES:
+        _POWERS[:] = made
+    return [p[:n] for p in made]
+
+
 class Words:
     """The words of some texts: ``hash``, ``doc`` (row of the text), ``start`` and ``end`` (bytes), ``first`` (offsets by row)."""
 
@@ -77,12 +94,7 @@ class Words:
         self.start, self.end = np.flatnonzero(start), np.flatnonzero(end) + 1
         self.first = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
-        power = np.full(n + 1, _BASE)
-        power[:1] = 1
-        np.multiply.accumulate(power, out=power)
-        back = np.full(n + 1, _INVERSE)
-        back[:1] = 1
-        np.multiply.accumulate(back, out=back)
+        power, back = powers(n + 1)
         total = np.zeros(n + 1, U64)
         np.cumsum((data.astype(U64) + U64(1)) * power[:n], out=total[1:])
         h = (total[self.end] - total[self.start]) * back[self.start]

@@ -1,7 +1,7 @@
 """Line dedup: content-defined chunks of lines; chunks that the corpus repeats are removed after their bytes are compared.
 
-Lines: a text is cut at line breaks, after sentence ends and after words whose hash says so, so that a long paragraph is a
-sequence of short lines too. Chunks: a rolling hash over the hashes of the last two lines closes a chunk where its value
+Lines: a text is cut at line breaks and after words where a hash of the last two words says so, so that a long paragraph is
+a sequence of short lines too. Chunks: a rolling hash over the hashes of the last two lines closes a chunk where its value
 meets a fixed pattern; a line break closes one always and starts the rolling hash afresh. The boundaries inside a passage
 thus depend on nothing but the passage, wherever it stands.
 
@@ -22,21 +22,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provena.functions.ranking import broadcast_if_small
 from provena.llm.kernels import U64, Words, mix, pieces, signed, utf8
 from provena.session import written_table
 
-NEWLINE, SENTENCE_END = ord("\n"), np.isin(np.arange(256), [ord(c) for c in ".!?"])
+NEWLINE = ord("\n")
 
 
 @dataclass(frozen=True)
 class LineDedup:
-    """min_words: words of a run of repeated chunks from which on it is removed. line_every, chunk_every: one word in so
-    many ends a line, one line in so many ends a chunk, besides the ends named above."""
+    """min_words: words of a run of repeated chunks from which on it is removed. line_every: one word in so many may end a
+    line, if neither of the two before may; chunk_every: one line in so many ends a chunk. filter_bits: of the bitmap that
+    keeps most single chunks from being shuffled; it changes no result."""
 
     min_words: int = 16
-    line_every: int = 6
+    line_every: int = 3
     chunk_every: int = 2
+    filter_bits: int = 26
 
     def clean(self, docs: DataFrame, key: str = "doc_id", text: str = "text", removed: str = "removed_words") -> DataFrame:
         """``docs`` with the repeated runs cut out of ``text`` and the number of words cut in ``removed``.
@@ -48,7 +49,8 @@ class LineDedup:
         docs = docs.drop(removed)
         row = F.xxhash64(F.col(key).isNull(), F.col(key), text)
         spans = self.repeated(docs.select(row.alias("row"), F.col(key).alias("key"), F.col(text).alias("text")))
-        with_spans = docs.withColumn("_row", row).join(spans, F.col("_row") == F.col("_cut_row"), "left").drop("_row", "_cut_row")
+        mine = (F.col("_row") == F.col("_cut_row")) & F.col(key).eqNullSafe(F.col("_cut_key"))
+        with_spans = docs.withColumn("_row", row).join(spans, mine, "left").drop("_row", "_cut_row", "_cut_key")
         at = docs.columns.index(text)
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,12 +75,13 @@ class LineDedup:
         return with_spans.mapInArrow(cut, T.StructType([*docs.schema.fields, T.StructField(removed, T.LongType())]))
 
     def repeated(self, rows: DataFrame) -> DataFrame:
-        """(_cut_row, spans): the byte spans (s, e) and words (w) to cut from each row that has any."""
+        """(_cut_row, _cut_key, spans): the byte spans (s, e) and words (w) to cut from each row that has any."""
         min_words = self.min_words
         # Counting needs no text: one row for each chunk hash and task, then one for each hash.
-        counts = self._chunks(rows, with_text=False).groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
+        counts = self._chunks(rows).groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
         often = written_table(counts)
-        found = written_table(self._chunks(rows, with_text=True).join(broadcast_if_small(often, 1_000_000), "hash", "left_semi"))
+        # What the bitmap lets through by chance goes in the join; both sides are narrow against the corpus.
+        found = written_table(self._chunks(rows, self._bitmap(often)).join(often, "hash", "left_semi"))
         # Equal bytes make a group, whatever their hash; its first occurrence stays. Counted map-side, so that a chunk
         # in a third of all documents is one row per task.
         order = F.struct(F.col("key").isNull().alias("z"), F.col("key").alias("k"), F.col("row").alias("r"))
@@ -90,7 +93,7 @@ class LineDedup:
         same = found.join(first, (F.col("hash") == F.col("h")) & (F.col("bytes") == F.col("b")))
         again = same.where(F.col("first.r") != F.col("row"))
         # The chunks of one document, in order; neighbours join to runs.
-        per_row = again.select("row", "place", "s", "e", "w", "lines").distinct().groupBy("row").agg(
+        per_row = again.select("row", "key", "place", "s", "e", "w", "lines").distinct().groupBy("row", "key").agg(
             F.sort_array(F.collect_list(F.struct("place", "s", "e", "w", "lines"))).alias("c")
         )
         length = F.aggregate(
@@ -112,11 +115,21 @@ class LineDedup:
             ),
         )
         spans = F.filter(length["runs"], lambda r: (r["w"] >= min_words) & (r["l"] >= 2))
-        return per_row.select(F.col("row").alias("_cut_row"), spans.alias("_spans")).where(F.size("_spans") > 0)
-
-    def _chunks(self, rows: DataFrame, with_text: bool) -> DataFrame:
-        """Chunks as (hash, row, key, place, s, e, w, lines, bytes), or as counts (hash, n) by task."""
-        line_every, chunk_every = self.line_every, self.chunk_every
+        return per_row.select(F.col("row").alias("_cut_row"), F.col("key").alias("_cut_key"), spans.alias("_spans")).where(F.size("_spans") > 0)
+
+    def _bitmap(self, often: DataFrame) -> np.ndarray:
+        """One bit for each hash value modulo 2 ** filter_bits: of fixed size, however many hashes there are."""
+        bits = often.select(F.shiftrightunsigned("hash", 64 - self.filter_bits).alias("bit"))
+        word = bits.groupBy(F.expr("cast(bit div 32 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 as int)))").alias("m"))
+        got = word.toPandas()
+        out = np.zeros((1 << self.filter_bits) // 32, np.uint32)
+        out[got["w"]] = got["m"].to_numpy().astype(np.uint32)
+        return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+
+    def _chunks(self, rows: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+        """Chunks that ``wanted`` may hold as (hash, row, key, place, s, e, w, lines, bytes), or counts (hash, n) of all by task."""
+        line_every, chunk_every, shift = self.line_every, self.chunk_every, U64(64 - self.filter_bits)
+        shared = rows.sparkSession.sparkContext.broadcast(None if wanted is None else np.packbits(wanted))
 
         def each(batch: pa.RecordBatch):
             data, offsets = utf8(batch.column(2))
@@ -134,8 +147,11 @@ class LineDedup:
             yield tally(held)
 
         def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = np.unpackbits(shared.value).view(bool)
             for batch in batches:
-                for a, piece, (h, doc, place, s, e, w, lines, begin) in each(batch):
+                for a, piece, chunks in each(batch):
+                    may = known[(chunks[0] >> shift).astype(np.int64)]
+                    h, doc, place, s, e, w, lines, begin = (x[may] for x in chunks)
                     at = pa.array(a + doc)
                     raw = piece.tobytes()
                     yield pa.RecordBatch.from_arrays(
@@ -144,7 +160,7 @@ class LineDedup:
                          pa.array([raw[i:j] for i, j in zip(s.tolist(), e.tolist(), strict=True)], pa.binary())],
                         names=["hash", "row", "key", "place", "s", "e", "w", "lines", "bytes"])
 
-        if not with_text:
+        if wanted is None:
             return rows.mapInArrow(counted, "hash long, n long")
         kind = rows.schema["key"].dataType.simpleString()
         return rows.mapInArrow(listed, f"hash long, row long, key {kind}, place int, s int, e int, w int, lines int, bytes binary")
@@ -169,7 +185,13 @@ def chunk_bounds(data: np.ndarray, offsets: np.ndarray, line_every: int, chunk_e
     breaks = np.concatenate([[0], np.cumsum(data == NEWLINE)])
     following = np.append(words.start[1:], len(data))
     hard = np.append(words.doc[1:] != words.doc[:-1], True) | (breaks[following] > breaks[words.end])
-    line_end = hard | SENTENCE_END[data[words.end - 1]] | (words.hash % U64(line_every) == 0)
+    # nothing before a line break is looked at
+    fresh = np.append(True, hard[:-1])
+    pair = mix(np.where(fresh, U64(0), np.append(U64(0), words.hash[:-1])) * U64(0x9E3779B97F4A7C15) + words.hash)
+    may = pair % U64(line_every) == 0
+    one = np.append(False, may[:-1]) & ~fresh
+    two = np.append(False, one[:-1]) & ~fresh
+    line_end = hard | (may & ~one & ~two)
     last = np.flatnonzero(line_end)  # the last word of each line
     first = np.append(0, last[:-1] + 1)
     line = ordered_sum(words.hash, first, last)

@@ -37,7 +37,7 @@ class LineDedup:
     min_words: int = 16
     line_every: int = 3
     chunk_every: int = 2
-    filter_bits: int = 26
+    filter_bits: int = 25
 
     def clean(self, docs: DataFrame, key: str = "doc_id", text: str = "text", removed: str = "removed_words") -> DataFrame:
         """``docs`` with the repeated runs cut out of ``text`` and the number of words cut in ``removed``.
@@ -124,12 +124,12 @@ class LineDedup:
         got = word.toPandas()
         out = np.zeros((1 << self.filter_bits) // 32, np.uint32)
         out[got["w"]] = got["m"].to_numpy().astype(np.uint32)
-        return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+        return out.view(np.uint8)
 
     def _chunks(self, rows: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
         """Chunks that ``wanted`` may hold as (hash, row, key, place, s, e, w, lines, bytes), or counts (hash, n) of all by task."""
         line_every, chunk_every, shift = self.line_every, self.chunk_every, U64(64 - self.filter_bits)
-        shared = rows.sparkSession.sparkContext.broadcast(None if wanted is None else np.packbits(wanted))
+        shared = rows.sparkSession.sparkContext.broadcast(wanted)
 
         def each(batch: pa.RecordBatch):
             data, offsets = utf8(batch.column(2))
@@ -147,7 +147,7 @@ class LineDedup:
             yield tally(held)
 
         def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = np.unpackbits(shared.value).view(bool)
+            known = np.unpackbits(shared.value, bitorder="little").view(bool)
             for batch in batches:
                 for a, piece, chunks in each(batch):
                     may = known[(chunks[0] >> shift).astype(np.int64)]

@@ -112,7 +112,8 @@ class Mix:
         # Ranges of slots first, so that a large source is spread before its slots are listed.
         step = self.shard_slots
         ranges = spot.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots").cast("long") - 1, F.lit(step).cast("long"))))
-        ranges = ranges.repartition(F.xxhash64("sid", "pass", "lo"))
+        tasks = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows now, many once listed
+        ranges = ranges.repartition(tasks, F.xxhash64("sid", "pass", "lo"))
         each = ranges.withColumn("slot", F.explode(F.sequence("lo", F.least(F.col("lo") + step, F.col("slots").cast("long")) - 1)))
         each = each.withColumn("block", permuted(F.col("slot"), F.col("n"), F.col("sid"), F.col("pass"), self.seed))
         full = F.least(F.lit(self.block).cast("long"), F.col("source_size") - F.col("block") * self.block)
@@ -137,7 +138,8 @@ class Mix:
         covers = placed.where("at is not null").withColumn("block", F.explode(F.expr(f"sequence(at div {self.block}, (at + size - 1) div {self.block})")))
         lo = F.greatest(F.col("at") - F.col("block") * self.block, F.lit(0).cast("long"))
         hi = F.least(F.col("at") + F.col("size") - F.col("block") * self.block, F.col("words"))
-        given = covers.join(drawn, ["sid", "block"]).groupBy("row").agg(
+        # The planner takes the slots for as few as the rows they are listed from: never broadcast them.
+        given = covers.join(drawn.hint("merge"), ["sid", "block"]).groupBy("row").agg(
             F.sum(F.greatest(hi - lo, F.lit(0).cast("long")) * F.col("times")).alias("taken")
         )
         info = broadcast_if_small(targets)

@@ -8,7 +8,8 @@
    corpus, so that the space keeps what tells items apart. The driver sees only the terms x rank product.
 3. Documents are read in overlapping windows. The ladder of window lengths follows the items: an item always lies whole in
    some window of which it is more than a half. A window whose terms carry too little of its TF-IDF mass cannot reach the
-   least cosine and is passed over; the others are compared with the items in the latent space.
+   least cosine and is passed over, as are those beside a window that carries more; the others are compared with the items
+   in the latent space.
 4. A candidate is contamination if enough of the item stands in the window in order (longest common subsequence) and if its
    answer, the end of the item or a column of its own, does too.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from provena.llm.kernels import CHUNK_BYTES, PUNCT, U64, Words, mix, pieces, utf8
+from provena.llm.kernels import PUNCT, U64, Words, mix, pieces, utf8
 from provena.session import written_table
 
 
@@ -41,7 +42,7 @@ class Decontamination:
     contexts than this share of the documents, and than 50, tell nothing and are left out. answer_words: length of the answer where none is given.
     """
 
-    min_cosine: float = 0.25
+    min_cosine: float = 0.4
     min_overlap: float = 0.6
     min_answer: float = 0.5
     max_terms: int = 8192
@@ -84,7 +85,7 @@ class Decontamination:
             for batch in batches:
                 data, offsets = utf8(batch.column(1))
                 rows: list[tuple[int, int, float, float]] = []
-                for a, b in pieces(offsets, CHUNK_BYTES // 2):
+                for a, b in pieces(offsets):
                     words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], PUNCT)
                     rows += [(a + d, *rest) for d, *rest in search(words, *model.value, *options, known)]
                 yield pa.RecordBatch.from_arrays(
@@ -112,8 +113,8 @@ class Decontamination:
                     words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], PUNCT)
                     at, t = lookup(words.hash, vocabulary, term)
                     around = mix(np.append(U64(0), words.hash)[at]) + U64(3) * mix(np.append(words.hash, U64(0))[at + 1])
-                    each = np.unique(np.column_stack([t, (around >> U64(8)).astype(np.int64)]), axis=0)[:, 0]
-                    df += np.bincount(each, minlength=terms + 1)
+                    each = np.unique((around & ~U64(0xFFFFFF)) | t.astype(U64)) & U64(0xFFFFFF)
+                    df += np.bincount(each.astype(np.int64), minlength=terms + 1)
                 n += batch.num_rows
             df[terms] = n
             some = np.flatnonzero(df)
@@ -141,7 +142,7 @@ class Decontamination:
             out, energy = np.zeros((terms, omega.shape[1])), 0.0
             for batch in batches:
                 data, offsets = utf8(batch.column(0))
-                for a, b in pieces(offsets, CHUNK_BYTES // 2):
+                for a, b in pieces(offsets):
                     words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], PUNCT)
                     at, t = lookup(words.hash, vocabulary, term)
                     heavy = weight[t] > 0
@@ -254,7 +255,10 @@ def search(
         starts = starts + (np.arange(len(starts)) - np.repeat(head, np.diff(np.append(head, len(doc))))) * hop
         ends = np.minimum(starts + length, words.first[doc + 1])
         norm = total[ends] - total[starts]
-        ok = np.flatnonzero(inside[ends] - inside[starts] >= min_cosine**2 * norm)
+        share = (inside[ends] - inside[starts]) / np.maximum(norm, 1e-12)
+        # of windows that overlap by three quarters, the one with the largest share speaks for all
+        near = [np.where(doc == np.roll(doc, k), np.roll(share, k), 0.0) for k in (-2, -1, 1, 2)]
+        ok = np.flatnonzero((share >= min_cosine**2) & (share >= np.maximum.reduce(near)))
         starts, ends, doc, norm = starts[ok], ends[ok], doc[ok], np.sqrt(norm[ok])
         lo, hi = np.searchsorted(at, starts), np.searchsorted(at, ends)
         some = np.flatnonzero(hi > lo)
@@ -268,7 +272,7 @@ def search(
             for r, c in zip(*np.nonzero(cosine >= min_cosine), strict=True):
                 w, i = block[r], int(which[c])
                 d = int(doc[w])
-                a, b = max(int(starts[w] - hop), int(words.first[d])), min(int(ends[w] + hop), int(words.first[d + 1]))
+                a, b = max(int(starts[w] - 2 * hop), int(words.first[d])), min(int(ends[w] + 2 * hop), int(words.first[d + 1]))
                 window = words.hash[a:b]
                 name = (i, window.tobytes())
                 if name not in known:

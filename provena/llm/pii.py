@@ -314,7 +314,7 @@ def added(text: str, s: int, e: int, w: np.ndarray, follow: np.ndarray, known: d
     return [(s + a, s + b, k) for a, b, k in known[seen]]
 
 
-def train(docs: DataFrame, text: str = "text", rows: int = 400, epochs: int = 6, rate: float = 0.3, penalty: float = 1e-4, seed: int = 9) -> PiiModel:
+def train(docs: DataFrame, text: str = "text", rows: int = 100, epochs: int = 5, rate: float = 0.3, penalty: float = 1e-4, seed: int = 9) -> PiiModel:
     """Fit on ``rows`` base spans of each kind at most, taken by the hash of their surroundings. Without any, nothing is added."""
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

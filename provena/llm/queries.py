@@ -73,7 +73,10 @@ def op8_pii(spark: SparkSession, sf: str) -> DataFrame:
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
     found = pii.train(docs).spans(docs)
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    def count(kind: str):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in pii.KINDS]
     return found.select(
         F.col("key").alias("doc_id"), *counts, F.sha2(digest("base"), 256).alias("base_sha256"), digest("spans").alias("spans"),
         (F.size("spans") - F.size("base")).cast("long").alias("n_added"),

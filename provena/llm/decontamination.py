@@ -8,9 +8,10 @@
    corpus, so that the space keeps what tells items apart. The driver sees only the terms x rank product.
 3. Documents are read in overlapping windows. The ladder of window lengths follows the items: an item always lies whole in
    some window of which it is more than a half. A window whose terms carry too little of its TF-IDF mass cannot reach the
-   least cosine and is passed over, as are those beside a window that carries more; the others are compared with the items
-   in the latent space.
-4. A candidate is contamination if enough of the item stands in the window in order (longest common subsequence) and if its
+   least cosine and is passed over; all others are compared with the items in the latent space. A term adds the same to the
+   cosine wherever it stands, so windows are differences of running sums of the terms' parts.
+4. A candidate that holds too few words of the item for the overlap, in any order, is dropped; that loses nothing. It is
+   contamination if enough of the item stands in the window in order (longest common subsequence) and if its
    answer, the end of the item or a column of its own, does too.
 """
 
@@ -73,9 +74,10 @@ class Decontamination:
         latent = self._space(docs, bench, weights)
         items_latent = bench.matrix(weights) @ latent
         norms = np.sqrt((bench.matrix(weights) ** 2).sum(1))
+        part = (latent * weights[:, None]) @ (items_latent / np.maximum(norms, 1e-12)[:, None]).T
         model = spark.sparkContext.broadcast((
-            bench.vocabulary, bench.term, weights.astype(np.float32), float(rare), (latent * weights[:, None]).astype(np.float32),
-            (items_latent / np.maximum(norms, 1e-12)[:, None]).astype(np.float32), bench.scale, bench.sequences, bench.answers,
+            bench.vocabulary, bench.term, weights.astype(np.float32), float(rare), part.astype(np.float32),
+            bench.matrix(np.ones(bench.terms)) > 0, bench.scale, bench.sequences, bench.answers,
         ))
         item_type = to_arrow_type(kept.schema["i"].dataType)
         names, options = bench.items, (self.min_cosine, self.min_overlap, self.min_answer)
@@ -230,24 +232,28 @@ def lookup(h: np.ndarray, vocabulary: np.ndarray, term: np.ndarray) -> tuple[np.
 
 
 def search(
-    words: Words, vocabulary: np.ndarray, term: np.ndarray, weight: np.ndarray, rare: float, latent: np.ndarray, items: np.ndarray,
+    words: Words, vocabulary: np.ndarray, term: np.ndarray, weight: np.ndarray, rare: float, part: np.ndarray, member: np.ndarray,
     scale: np.ndarray, sequences: list[np.ndarray], answers: list[np.ndarray], min_cosine: float, min_overlap: float, min_answer: float,
     known: dict,
 ) -> Iterator[tuple[int, int, float, float]]:
-    """(doc, item, cosine, overlap) of what is found in some documents, each pair once, at the window with the highest overlap."""
+    """(doc, item, cosine, overlap) of what is found in some documents, each pair once, at the window with the highest overlap.
+
+    part: terms x items, what a term adds to the cosine before the window's norm. member: items x terms, which hold which.
+    """
     n = len(words.hash)
-    at, t = lookup(words.hash, vocabulary, term)
+    every, t_every = lookup(words.hash, vocabulary, term)
     mass = np.full(n, rare * rare)
-    mass[at] = weight[t] ** 2
+    mass[every] = weight[t_every] ** 2
     total = np.concatenate([[0.0], np.cumsum(mass)])
     mine = np.zeros(n)
-    mine[at] = weight[t] ** 2
+    mine[every] = weight[t_every] ** 2
     inside = np.concatenate([[0.0], np.cumsum(mine)])
-    heavy = weight[t] > 0
-    at, t = at[heavy], t[heavy]
-    best: dict[tuple[int, int], tuple[float, float]] = {}
+    heavy = weight[t_every] > 0
+    at, t = every[heavy], t_every[heavy]
+    best: dict[tuple[int, int], tuple[float, float]] = {}  # (overlap, cosine)
     for length in np.unique(scale):
         which, hop = np.flatnonzero(scale == length), max(int(length) // 8, 1)
+        mine_part, need = np.ascontiguousarray(part[:, which]), np.array([min_overlap * len(sequences[i]) for i in which])
         # windows begin at every hop of a document
         starts = np.repeat(words.first[:-1], -(-np.diff(words.first) // hop))
         doc = words.doc[starts]
@@ -255,25 +261,34 @@ def search(
         starts = starts + (np.arange(len(starts)) - np.repeat(head, np.diff(np.append(head, len(doc))))) * hop
         ends = np.minimum(starts + length, words.first[doc + 1])
         norm = total[ends] - total[starts]
-        share = (inside[ends] - inside[starts]) / np.maximum(norm, 1e-12)
-        # of windows that overlap by three quarters, the one with the largest share speaks for all
-        near = [np.where(doc == np.roll(doc, k), np.roll(share, k), 0.0) for k in (-2, -1, 1, 2)]
-        ok = np.flatnonzero((share >= min_cosine**2) & (share >= np.maximum.reduce(near)))
+        ok = np.flatnonzero(inside[ends] - inside[starts] >= min_cosine**2 * np.maximum(norm, 1e-12) * (1 - 1e-9))
         starts, ends, doc, norm = starts[ok], ends[ok], doc[ok], np.sqrt(norm[ok])
         lo, hi = np.searchsorted(at, starts), np.searchsorted(at, ends)
         some = np.flatnonzero(hi > lo)
-        for block in np.array_split(some, max(1, len(some) // 2000)):
+        # windows of a few thousand words at a time, so that the running sums stay small
+        for block in np.split(some, np.flatnonzero(np.diff(lo[some] // 4096)) + 1):
             if not len(block):
                 continue
-            each = np.concatenate([np.arange(a, b) for a, b in zip(lo[block], hi[block], strict=True)])
-            first = np.concatenate([[0], np.cumsum(hi[block] - lo[block])[:-1]])
-            x = np.add.reduceat(latent[t[each]], first)
-            cosine = (x @ items[which].T) / np.maximum(norm[block], 1e-12)[:, None]
-            for r, c in zip(*np.nonzero(cosine >= min_cosine), strict=True):
-                w, i = block[r], int(which[c])
-                d = int(doc[w])
-                a, b = max(int(starts[w] - 2 * hop), int(words.first[d])), min(int(ends[w] + 2 * hop), int(words.first[d + 1]))
-                window = words.hash[a:b]
+            begin = lo[block[0]]
+            sums = running(mine_part[t[begin : hi[block].max()]], np.float64)
+            cosine = (sums[hi[block] - begin] - sums[lo[block] - begin]) / np.maximum(norm[block], 1e-12)[:, None]
+            rows, columns = np.nonzero(cosine >= min_cosine)
+            if not len(rows):
+                continue
+            # the sequences are compared two hops beyond the window
+            left = np.maximum(starts[block] - 2 * hop, words.first[doc[block]])
+            right = np.minimum(ends[block] + 2 * hop, words.first[doc[block] + 1])
+            used, column = np.unique(columns, return_inverse=True)
+            lo2, hi2 = np.searchsorted(every, left), np.searchsorted(every, right)
+            begin = lo2[0]
+            held = running(member[which[used]].T[t_every[begin : hi2.max()]], np.int32)
+            enough = held[hi2[rows] - begin, column] - held[lo2[rows] - begin, column] >= need[columns]
+            for r, c in zip(rows[enough].tolist(), columns[enough].tolist(), strict=True):
+                i, d, score = int(which[c]), int(doc[block[r]]), float(cosine[r, c])
+                so_far = best.get((d, i), (0.0, 0.0))
+                if so_far >= (1.0, score):
+                    continue
+                window = words.hash[left[r] : right[r]]
                 name = (i, window.tobytes())
                 if name not in known:
                     if len(known) > 20_000:
@@ -282,12 +297,19 @@ def search(
                     answered = share >= min_overlap and common_subsequence(answers[i], window) >= min_answer * len(answers[i])
                     known[name] = share if answered else 0.0
                 share = known[name]
-                if share > 0 and share > best.get((d, i), (0.0, 0.0))[1]:
-                    best[d, i] = (float(cosine[r, c]), share)
-    for (d, i), (cosine, share) in best.items():
+                if share > 0 and (share, score) > so_far:
+                    best[d, i] = (share, score)
+    for (d, i), (share, cosine) in best.items():
         yield d, i, cosine, share
 
 
+def running(x: np.ndarray, kind: type) -> np.ndarray:
+    """Sums of the rows before each row, and of all."""
+    out = np.zeros((len(x) + 1, x.shape[1]), kind)
+    np.cumsum(x, axis=0, dtype=kind, out=out[1:])
+    return out
+
+
 def common_subsequence(one: np.ndarray, two: np.ndarray) -> int:
     """Length of the longest common subsequence, all of one sequence in the bits of an integer."""
     masks: dict[int, int] = {}

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from provena.functions.ranking import union_all
 from provena.llm.kernels import PUNCT, U64, Words, mix, pieces, utf8
 from provena.session import written_table
 
@@ -39,6 +40,7 @@ LADDER = [int(8 * 2 ** (k / 2)) for k in range(40)]
 class Decontamination:
     """min_cosine: of candidates. min_overlap, min_answer: shares of the item's and of the answer's words found in order.
 
+    max_items: of one call of the search. The space has a fixed rank and must hold the items of its call; more are cut into calls.
     max_terms: more distinct words are hashed to so many terms. rank: of the latent space. common: terms with more
     contexts than this share of the documents, and than 50, tell nothing and are left out. answer_words: length of the answer where none is given.
     """
@@ -46,6 +48,7 @@ class Decontamination:
     min_cosine: float = 0.4
     min_overlap: float = 0.6
     min_answer: float = 0.5
+    max_items: int = 200
     max_terms: int = 8192
     rank: int = 256
     common: float = 0.1
@@ -59,17 +62,23 @@ class Decontamination:
     ) -> DataFrame:
         """(key, item_id, cosine, overlap) of every document and item that it holds, at its best window.
 
-        Items travel whole to every task: a benchmark is small beside a corpus, and larger ones are gone through in calls
-        of some thousands. Items without words match nothing; null texts are empty. Rows that repeat a key count by row.
+        Items travel whole to every task: a benchmark is small beside a corpus. More than ``max_items`` are gone through in
+        equal parts, each with a vocabulary, weights and a space of its own and its passes over the text. Items without words match nothing; null texts are empty. Rows that repeat a key count by row.
         """
         docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
         kept = items.select(F.col(item).alias("i"), F.col(item_text).alias("t"), (F.col(answer) if answer else F.lit(None)).alias("a"))
         kind, item_kind = docs.schema["key"].dataType.simpleString(), kept.schema["i"].dataType.simpleString()
         schema = f"key {kind}, item_id {item_kind}, cosine double, overlap double"
-        bench = Bench.of([(r["i"], r["t"] or "", r["a"]) for r in kept.collect()], self)
+        rows = [r for r in [(r["i"], r["t"] or "", r["a"]) for r in kept.collect()] if len(hashed(r[1]))]
+        if not rows:
+            return docs.sparkSession.createDataFrame([], schema)
+        calls = -(-len(rows) // self.max_items)
+        parts = [self._matches(docs, rows[k::calls], schema, to_arrow_type(kept.schema["i"].dataType)) for k in range(calls)]
+        return union_all(parts)
+
+    def _matches(self, docs: DataFrame, rows: list[tuple], schema: str, item_type: pa.DataType) -> DataFrame:
+        bench = Bench.of(rows, self)
         spark = docs.sparkSession
-        if not len(bench.items):
-            return spark.createDataFrame([], schema)
         weights, rare = self._weights(docs, bench)
         latent = self._space(docs, bench, weights)
         items_latent = bench.matrix(weights) @ latent
@@ -79,7 +88,6 @@ class Decontamination:
             bench.vocabulary, bench.term, weights.astype(np.float32), float(rare), part.astype(np.float32),
             bench.matrix(np.ones(bench.terms)) > 0, bench.scale, bench.sequences, bench.answers,
         ))
-        item_type = to_arrow_type(kept.schema["i"].dataType)
         names, options = bench.items, (self.min_cosine, self.min_overlap, self.min_answer)
 
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,3 +28,8 @@ def test_items_listed_one_after_another_are_all_found(spark):
 
     found, want = made(spark, 200, texts)
     assert found == want
+
+
+def test_a_thousand_items_are_found_as_few_are(spark):
+    found, want = made(spark, 1000, lambda items, words: [(f"{words(60)} {t} {words(60)}", [i]) for i, t in enumerate(items)][::4], plain=100)
+    assert found == want

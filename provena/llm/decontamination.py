@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from provena.functions.ranking import union_all
-from provena.llm.kernels import PUNCT, U64, Words, mix, pieces, utf8
+from provena.llm.kernels import PUNCT, U64, Words, mix, pieces, signed, utf8
 from provena.session import written_table
 
 
@@ -109,28 +109,42 @@ class Decontamination:
     def _weights(self, docs: DataFrame, bench: "Bench") -> tuple[np.ndarray, float]:
         """Inverse context frequency of each term, 0 if common, and the one that stands for words outside the benchmark.
 
-        A context counts once for each block of text that a task reads; documents are counted besides.
+        A context counts once in the whole corpus: each task hands on its distinct pairs of term and context, 24 and 40 bits
+        of one number, and they are made distinct again before they are counted.
         """
         shared = docs.sparkSession.sparkContext.broadcast((bench.vocabulary, bench.term))
-        terms = bench.terms
+        terms, low = bench.terms, 0xFFFFFF
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             vocabulary, term = shared.value
-            df, n = np.zeros(terms + 1, np.int64), 0
+            held, n = [np.zeros(0, U64)], 0
             for batch in batches:
                 data, offsets = utf8(batch.column(0))
                 for a, b in pieces(offsets):
                     words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], PUNCT)
                     at, t = lookup(words.hash, vocabulary, term)
-                    around = mix(np.append(U64(0), words.hash)[at]) + U64(3) * mix(np.append(words.hash, U64(0))[at + 1])
-                    each = np.unique((around & ~U64(0xFFFFFF)) | t.astype(U64)) & U64(0xFFFFFF)
-                    df += np.bincount(each.astype(np.int64), minlength=terms + 1)
+                    # nothing stands before the first word of a document or after its last
+                    begin, end = words.first[words.doc[at]], words.first[words.doc[at] + 1]
+                    before = np.where(at > begin, np.append(U64(0), words.hash)[at], U64(0))
+                    after = np.where(at + 1 < end, np.append(words.hash, U64(0))[at + 1], U64(0))
+                    around = mix(mix(before) + U64(3) * mix(after + U64(1)))
+                    held.append((around & ~U64(low)) | t.astype(U64))
+                    if sum(map(len, held)) > 1_000_000:
+                        held = [np.unique(np.concatenate(held))]
+                        if len(held[0]) > 500_000:
+                            yield pairs(held[0], 1)
+                            held = [np.zeros(0, U64)]
                 n += batch.num_rows
-            df[terms] = n
-            some = np.flatnonzero(df)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["t", "n"])
+            yield pairs(np.unique(np.concatenate(held)), 1)
+            yield pairs(np.array([-1]), n)
+
+        def pairs(p: np.ndarray, n: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(signed(p)), pa.array(np.full(len(p), n, np.int64))], names=["p", "n"])
 
-        counts = docs.select("text").mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toPandas()
+        made = docs.select("text").mapInArrow(count, "p long, n long").groupBy("p").agg(F.sum("n").alias("n"))
+        one = F.when(F.col("p") == -1, F.col("n")).otherwise(1)  # the row of -1 counts documents
+        counts = made.groupBy(F.col("p").bitwiseAND(low).alias("t")).agg(F.sum(one).alias("n")).toPandas()
+        counts["t"] = counts["t"].where(counts["t"] != low, terms)
         df = np.zeros(terms + 1)
         df[counts["t"]] = counts["n"]
         idf = np.log((1 + df[terms]) / (1 + df[:terms]))

@@ -33,3 +33,12 @@ def test_items_listed_one_after_another_are_all_found(spark):
 def test_a_thousand_items_are_found_as_few_are(spark):
     found, want = made(spark, 1000, lambda items, words: [(f"{words(60)} {t} {words(60)}", [i]) for i, t in enumerate(items)][::4], plain=100)
     assert found == want
+
+
+def test_a_passage_in_a_third_of_all_documents_is_found_in_small_partitions(spark):
+    def texts(items, words):
+        passage = f"{words(20)} {items[0]} {words(20)}"
+        return [(f"{words(60)} {passage} {words(60)}", [0]) for _ in range(134)]
+
+    found, want = made(spark, 5, texts, partitions=200, plain=266)
+    assert found == want

@@ -42,3 +42,19 @@ def test_a_passage_in_a_third_of_all_documents_is_found_in_small_partitions(spar
 
     found, want = made(spark, 5, texts, partitions=200, plain=266)
     assert found == want
+
+
+def test_items_of_frequent_words_are_found_reworded(spark):
+    def texts(items, words):
+        rng = np.random.default_rng(5)
+        out = []
+        for i, item in enumerate(items):
+            w = item.split()
+            for k in rng.choice(44, 18, replace=False):
+                w[k] = f"n{rng.integers(1 << 40)}"
+            out.append((f"{words(60)} {' '.join(w)} {words(60)}", [i]))
+        return out
+
+    found, want = made(spark, 200, texts)
+    # 36% of the words of an item replaced by rare ones: 199 of 200 at 0.25, 146 at 0.4
+    assert found <= want and len(found) >= 0.99 * len(want)

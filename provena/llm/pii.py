@@ -27,6 +27,8 @@ from provena.session import written_table
 
 KINDS = ["email", "ip", "card", "phone"]
 MAX_TOKENS = 32
+#: Tokens of an island decoded at once; the next stretch begins after the last entity that begins in this one.
+STRETCH = 512
 
 # The base patterns. A digit or plus that a longer run of digits holds starts no match of its own, so the
 # patterns look for the start of a run first, which leaves the matches as they are and the search linear.
@@ -37,7 +39,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # Islands: number-like runs of seven digits or more, and addresses whose signs are spelled out.
-NUMBERS = re.compile(r"(?<![\w.@])[+(]?\d(?:[ ().\-/\[\]]{0,3}\d){6,40}(?![\w@])")
+NUMBERS = re.compile(r"(?<![\w.@])[+(]?\d(?:[ ().\-/\[\]]{0,3}\d){6,}(?![\w@])")
 SPELLED = re.compile(
     r"(?<![\w.%+-])[A-Za-z0-9][\w.%+-]{0,63} ?(?:\(at\)|\[at\]|\{at\}| at |@) ?[A-Za-z0-9-]{1,63}"
     r"(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}| dot ) ?[A-Za-z0-9-]{1,24}){1,4}"
@@ -45,6 +47,8 @@ SPELLED = re.compile(
 MARKS = ("(at)", "[at]", "{at}", "(dot)", "[dot]", "{dot}", " dot ")
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.S)
 LABELS = ["O", *KINDS]
+#: Number-like runs with more digits are looked at beside the base spans in them too; a shorter one goes with its base span.
+LONG = 41
 
 
 def luhn(digits: str) -> bool:
@@ -99,6 +103,8 @@ def islands(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int
     for s, e in sorted(found):
         i = bisect_left(starts, e)
         if i and reach[i - 1] > s:
+            if len(digits_of(text[s:e])) > LONG:
+                out += outside(text, s, e, taken[:i])
             continue
         if out and s < out[-1][1]:
             out[-1] = (out[-1][0], max(e, out[-1][1]))
@@ -107,6 +113,17 @@ def islands(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int
     return out
 
 
+def outside(text: str, s: int, e: int, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """What base spans leave of a long number-like run, where it has seven digits or more."""
+    out, last = [], s
+    for a, b, _ in [*((a, b, k) for a, b, k in taken if b > s), (e, e, "")]:
+        digits = [m.start() for m in re.finditer("[0-9]", text[last:a])] if a > last else []
+        if len(digits) >= 7:
+            out.append((last + digits[0], last + digits[-1] + 1))
+        last = max(last, b)
+    return out
+
+
 def tokens_of(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in TOKEN.finditer(text)]
 
@@ -159,7 +176,6 @@ class Lattice:
 def lattice(text: str, s: int, e: int) -> Lattice:
     island = text[s:e]
     toks = tokens_of(island)
-    before, after = text[max(0, s - 20) : s], text[e : e + 20]
     segments = {}
     for i, (a, _) in enumerate(toks):
         if island[a].isspace():
@@ -167,7 +183,7 @@ def lattice(text: str, s: int, e: int) -> Lattice:
         for j in range(i + 1, min(i + MAX_TOKENS, len(toks)) + 1):
             b = toks[j - 1][1]
             if not island[b - 1].isspace() and b - a >= 7:
-                segments[i, j] = span_features(island, a, b, before + island[:a], island[b:] + after)
+                segments[i, j] = span_features(island, a, b, text[max(0, s + a - 20) : s + a], text[s + b : s + b + 20])
     return Lattice(toks, segments)
 
 
@@ -307,10 +323,20 @@ def added(text: str, s: int, e: int, w: np.ndarray, follow: np.ndarray, known: d
     """Entities of an island; islands that recur with the same surroundings are decoded once in a task."""
     seen = text[max(0, s - 20) : e + 20]
     if seen not in known:
-        lat = lattice(text, s, e)
+        toks, got, p = tokens_of(text[s:e]), [], 0
+        while p < len(toks):
+            # two of the longest segments beyond the stretch, so that what begins in it is seen whole, as is what rivals it
+            q = min(p + STRETCH + 2 * MAX_TOKENS, len(toks))
+            cut = p + STRETCH if q < len(toks) else q
+            at, from_ = toks[p][0], p
+            for i, j, y in decode(lattice(text, s + at, s + toks[q - 1][1]), w, follow):
+                if from_ + i < cut:
+                    got.append((toks[from_ + i][0], toks[from_ + j - 1][1], LABELS[y]))
+                    p = from_ + j
+            p = max(p, cut)
         if len(known) > 50_000:
             known.clear()
-        known[seen] = [(lat.tokens[i][0], lat.tokens[j - 1][1], LABELS[y]) for i, j, y in decode(lat, w, follow)]
+        known[seen] = got
     return [(s + a, s + b, k) for a, b, k in known[seen]]
 
 

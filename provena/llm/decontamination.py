@@ -182,17 +182,18 @@ class Decontamination:
                     of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(t))))
                     begin = np.flatnonzero(np.append(True, np.diff(t[order]) != 0))
                     out[t[order][begin]] += np.add.reduceat(y[of[order]] * weight[t[order]][:, None], begin)
-            parts = [out[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)] + [np.array([energy]).tobytes()]
+            out = out.astype(np.float32)  # a task's sum travels in half the bytes; sums over tasks are taken in double
+            parts = [out[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)] + [np.array([energy], np.float32).tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array(range(blocks + 1), pa.int32()), pa.array(parts, pa.binary())], names=["block", "part"])
 
         def total(rows: pd.DataFrame) -> pd.DataFrame:
-            s = np.sum([np.frombuffer(p) for p in rows["part"]], axis=0)
+            s = np.sum([np.frombuffer(p, np.float32) for p in rows["part"]], axis=0, dtype=np.float64).astype(np.float32)
             return pd.DataFrame({"block": [rows["block"].iloc[0]], "part": [s.tobytes()]})
 
         made = written_table(docs.select("text").mapInArrow(product, "block int, part binary").withColumn("s", F.pmod(F.spark_partition_id(), F.lit(64))))
         # added up in two steps, so that a group stays small however many tasks there are
         made = made.groupBy("block", "s").applyInPandas(total, "block int, part binary").groupBy("block").applyInPandas(total, "block int, part binary")
-        parts = {r["block"]: np.frombuffer(r["part"]) for r in made.collect()}
+        parts = {r["block"]: np.frombuffer(r["part"], np.float32).astype(np.float64) for r in made.collect()}
         energy = float(parts.pop(blocks, np.zeros(1))[0])
         corpus = np.concatenate([parts[i] for i in range(blocks)]).reshape(terms, -1) if parts else np.zeros((terms, omega.shape[1]))
         q = bench.matrix(weights)

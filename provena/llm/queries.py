@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm import language_id, pii, toxicity, url_filters
+from provena.llm import language_id, pii, quality_forest, toxicity, url_filters
 from provena.llm.chat import ChatTemplate
 from provena.llm.common import held_out, table
 from provena.llm.decontamination import Decontamination
@@ -94,7 +94,17 @@ def op10_chat(spark: SparkSession, sf: str) -> DataFrame:
     return ChatTemplate().render(table(spark, sf, "conversations"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_url_filters": op2_url_filters, "op3_language_id": op3_language_id, "op4_embedding_dedup": op4_embedding_dedup, "op5_line_dedup": op5_line_dedup, "op6_mixing": op6_mixing, "op7_decontamination": op7_decontamination, "op8_pii": op8_pii, "op9_ngram_join": op9_ngram_join, "op10_chat": op10_chat}
+def op13_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, the counts of the rules, base_failed and kept of every document, and its anomaly score."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    judged = quality_forest.train(docs, table(spark, sf, "labels")).judge(docs)
+    failed = quality_forest.base_failed()
+    return judged.select(
+        F.col("key").alias("doc_id"), *quality_forest.STATS, failed.alias("base_failed"), (~failed & F.col("typical")).alias("kept"), "anomaly"
+    )
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_url_filters": op2_url_filters, "op3_language_id": op3_language_id, "op4_embedding_dedup": op4_embedding_dedup, "op5_line_dedup": op5_line_dedup, "op6_mixing": op6_mixing, "op7_decontamination": op7_decontamination, "op8_pii": op8_pii, "op9_ngram_join": op9_ngram_join, "op10_chat": op10_chat, "op13_quality_rules": op13_quality_rules}
 SQL: dict[str, str] = {
     "op4_embedding_dedup": """
 WITH RECURSIVE v AS (

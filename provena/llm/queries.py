@@ -13,6 +13,7 @@ from provena.llm.embedding_dedup import CosineLinks
 from provena.llm.line_dedup import LineDedup
 from provena.llm.mixing import Mix
 from provena.llm.ngram_join import JaccardJoin
+from provena.llm.spelling import SpellingVariants
 
 
 def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,6 +95,12 @@ def op10_chat(spark: SparkSession, sf: str) -> DataFrame:
     return ChatTemplate().render(table(spark, sf, "conversations"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """word, form, root, n, n_near and form_n of every word of the documents."""
+    variants = SpellingVariants()
+    return variants.variants(variants.vocabulary(table(spark, sf, "documents")))
+
+
 def op13_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id, the counts of the rules, base_failed and kept of every document, and its anomaly score."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -104,7 +111,7 @@ def op13_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_url_filters": op2_url_filters, "op3_language_id": op3_language_id, "op4_embedding_dedup": op4_embedding_dedup, "op5_line_dedup": op5_line_dedup, "op6_mixing": op6_mixing, "op7_decontamination": op7_decontamination, "op8_pii": op8_pii, "op9_ngram_join": op9_ngram_join, "op10_chat": op10_chat, "op13_quality_rules": op13_quality_rules}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_url_filters": op2_url_filters, "op3_language_id": op3_language_id, "op4_embedding_dedup": op4_embedding_dedup, "op5_line_dedup": op5_line_dedup, "op6_mixing": op6_mixing, "op7_decontamination": op7_decontamination, "op8_pii": op8_pii, "op9_ngram_join": op9_ngram_join, "op10_chat": op10_chat, "op11_spelling_variants": op11_spelling_variants, "op13_quality_rules": op13_quality_rules}
 SQL: dict[str, str] = {
     "op4_embedding_dedup": """
 WITH RECURSIVE v AS (

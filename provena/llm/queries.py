@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from provena.llm import language_id, pii, quality_forest, toxicity, url_filters
 from provena.llm.chat import ChatTemplate
+from provena.llm.collocations import Collocations
 from provena.llm.common import held_out, table
 from provena.llm.decontamination import Decontamination
 from provena.llm.embedding_dedup import CosineLinks
@@ -101,6 +102,11 @@ def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
     return variants.variants(variants.vocabulary(table(spark, sf, "documents")))
 
 
+def op12_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    """lang, rank, phrase, a, l, r, n and score of each language's 2000 best phrases."""
+    return Collocations().mine(table(spark, sf, "documents"))
+
+
 def op13_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id, the counts of the rules, base_failed and kept of every document, and its anomaly score."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -111,7 +117,7 @@ def op13_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_url_filters": op2_url_filters, "op3_language_id": op3_language_id, "op4_embedding_dedup": op4_embedding_dedup, "op5_line_dedup": op5_line_dedup, "op6_mixing": op6_mixing, "op7_decontamination": op7_decontamination, "op8_pii": op8_pii, "op9_ngram_join": op9_ngram_join, "op10_chat": op10_chat, "op11_spelling_variants": op11_spelling_variants, "op13_quality_rules": op13_quality_rules}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_url_filters": op2_url_filters, "op3_language_id": op3_language_id, "op4_embedding_dedup": op4_embedding_dedup, "op5_line_dedup": op5_line_dedup, "op6_mixing": op6_mixing, "op7_decontamination": op7_decontamination, "op8_pii": op8_pii, "op9_ngram_join": op9_ngram_join, "op10_chat": op10_chat, "op11_spelling_variants": op11_spelling_variants, "op12_collocations": op12_collocations, "op13_quality_rules": op13_quality_rules}
 SQL: dict[str, str] = {
     "op4_embedding_dedup": """
 WITH RECURSIVE v AS (
@@ -127,6 +133,25 @@ d AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
 SELECT e.vec_id, coalesce(d.n_links, 0) AS n_links, least(coalesce(c.least, e.vec_id), e.vec_id) AS component_id,
        e.vec_id = least(coalesce(c.least, e.vec_id), e.vec_id) AS kept
 FROM embeddings e LEFT JOIN c USING (vec_id) LEFT JOIN d USING (vec_id)""",
+    "op12_collocations": """
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+s AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')) AS piece FROM t)),
+g AS (SELECT lang, k, phrase, count(*) AS f FROM (
+        SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+        FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM s, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)) GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k >= 2 AND f >= 30),
+inner_ AS (SELECT lang, a, array_to_string(w[i:i + m - 1], ' ') AS phrase
+           FROM (SELECT lang, a, w, k, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c))),
+gone AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN inner_ i ON i.lang = c.lang AND i.phrase = c.phrase WHERE CAST(100 AS HUGEINT) * i.a >= CAST(80 AS HUGEINT) * c.a),
+cuts AS (SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, j, (CAST(2000000 AS HUGEINT) * c.a) // (x.f + y.f) AS score
+         FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
+         JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.j], ' ') JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.j + 1:], ' ')),
+least AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM least ANTI JOIN gone USING (lang, phrase))
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n,
+       CAST(score AS BIGINT) AS score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
     "op10_chat": """
 WITH c AS (
   SELECT conv_id, list(struct_pack(t := turn, r := role, x := text) ORDER BY turn) AS turns

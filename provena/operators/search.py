@@ -6,7 +6,6 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +13,7 @@ from pyspark.sql.utils import AnalysisException
 
 from provena.functions.ranking import broadcast_if_small, query_blocks, top_k, union_all
 from provena.functions.text import entity_codes
+from provena.operators import impact as im
 from provena.operators import index as ix
 from provena.operators.chunking import chunk_documents, chunk_total
 from provena.session import shared_folder, written_table
@@ -30,7 +30,7 @@ COUNTRY_KEYWORDS = {"KE": "kenya", "UG": "uganda", "TZ": "tanzania", "ET": "ethi
 # Scores are compared after rounding, so that the order of float additions cannot decide a rank.
 SCORE_DIGITS = 9
 # Part of every fingerprint: changes when the tables of an index change.
-INDEX_FORMAT = 1
+INDEX_FORMAT = 2
 # Excluded documents that are broadcast: eight bytes each.
 MAX_EXCLUDED = 2_000_000
 # Queries sent to the tasks at a time; larger batches are searched block by block.
@@ -113,43 +113,6 @@ def _slices(batch: pa.RecordBatch, n_queries: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, step)
 
 
-def _text_scorer(terms: pa.Table, k: int, id_name: str, schema: pa.Schema):
-    """Keyword kernel: postings of a batch meet the query terms they equal; products are summed per pair."""
-    terms = terms.sort_by([("term", "ascending"), ("query_id", "ascending")])
-    qids, qpos = np.unique(terms.column("query_id").to_numpy(), return_inverse=True)
-    words = terms.column("term").combine_chunks()
-    vocab = words.unique()
-    start = np.searchsorted(pc.index_in(words, value_set=vocab).to_numpy(), np.arange(len(vocab) + 1))
-    qw = terms.column("w").to_numpy()
-    qnorm = np.zeros(len(qids))
-    qnorm[qpos] = terms.column("qnorm").to_numpy()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for b in _slices(big, len(qids)):
-                n = b.num_rows
-                ids = np.array(b.column(id_name).to_pylist(), dtype=object)
-                place = np.empty(n, dtype=np.int64)
-                order = np.argsort(ids, kind="stable")
-                place[order] = np.arange(n)
-                lists = b.column("terms")
-                row = np.repeat(place, pc.list_value_length(lists).to_numpy())
-                at = pc.index_in(lists.flatten(), value_set=vocab)
-                known = at.is_valid().to_numpy(zero_copy_only=False)
-                at = pc.fill_null(at, 0).to_numpy()[known]
-                w = b.column("weights").flatten().to_numpy()[known]
-                row = row[known]
-                fan = start[at + 1] - start[at]
-                src = np.repeat(start[at] - np.concatenate(([0], np.cumsum(fan)[:-1])), fan) + np.arange(fan.sum())
-                cell = np.repeat(row, fan) * len(qids) + qpos[src]
-                dots = np.bincount(cell, weights=np.repeat(w, fan) * qw[src], minlength=n * len(qids)).reshape(n, -1)
-                norm = b.column("norm").to_numpy()[order]
-                score = np.round(dots / (norm[:, None] * qnorm[None, :]), SCORE_DIGITS)
-                yield _result(schema, qids, ids[order], _best(score, k, 0.0))
-
-    return run
-
-
 def _vector_scorer(qids: np.ndarray, qmat: np.ndarray, k: int, id_name: str, schema: pa.Schema):
     """Vector kernel: one matrix product per batch."""
     lens = np.sqrt((qmat * qmat).sum(axis=1))
@@ -184,21 +147,20 @@ def _schemas(query_type: T.DataType, id_col: str, id_type: T.DataType) -> tuple[
     return arrow, spark
 
 
-def text_leg(index: DataFrame, qterms: Sequence[DataFrame], k: int) -> DataFrame:
+def text_leg(index: ChunkIndex, qterms: Sequence[DataFrame], k: int, excluded: DataFrame | None = None) -> DataFrame:
     """Best ``k`` chunks per query by cosine of TF-IDF vectors, exact, scores above zero only.
 
-    ``index`` has chunk_id, terms, weights and norm. ``qterms`` holds the weighted terms of one query block
-    each; ``query_blocks`` has bounded the text they come from. A chunk is scored where it lies, and only the
-    best ``k`` rows per query of each batch are exchanged.
+    ``qterms`` holds the weighted terms of one query block each; ``query_blocks`` has bounded the text they come from.
+    Only the blocks of the inverted index that can hold a chunk of the list are opened.
     """
-    arrow, fields = _schemas(qterms[0].schema["query_id"].dataType, "chunk_id", T.StringType())
-    parts = []
-    for block in qterms:
-        got = block.select("query_id", "term", "w", "qnorm").toArrow()
-        if got.num_rows:
-            kernel = _text_scorer(got, k, "chunk_id", arrow)
-            parts.append(index.select("chunk_id", "terms", "weights", "norm").mapInArrow(kernel, fields))
-    return _merge(parts, index, fields, "chunk_id", k)
+    allowed = None if excluded is None else _without(excluded)
+    return union_all([im.ImpactSearch(index.inverted, index.tops, block, k, allowed).top() for block in qterms])
+
+
+def _without(excluded: DataFrame):
+    """Leaves the chunks of excluded documents out of a table of scores."""
+    gone = broadcast_if_small(excluded.select(F.col("doc_id").cast("string").alias("doc_id")).distinct(), MAX_EXCLUDED)
+    return lambda scored: with_doc_id(scored).join(gone, "doc_id", "left_anti").drop("doc_id")
 
 
 def _merge(parts: list[DataFrame], corpus: DataFrame, fields: T.StructType, id_col: str, k: int) -> DataFrame:
@@ -273,6 +235,8 @@ class ChunkIndex:
         self._post = post
         self.stats = ix.term_stats(post, n_chunks, dim)
         self.rows: DataFrame | None = None
+        self.inverted: DataFrame | None = None
+        self.tops: DataFrame | None = None
 
     def weighted(self) -> DataFrame:
         """Weighted postings, partitioned by chunk: a long document is many of them."""
@@ -281,6 +245,8 @@ class ChunkIndex:
     def build(self) -> ChunkIndex:
         self.stats = written_table(self.stats)
         self.rows = written_table(ix.index_rows(self.weighted(), self.dim))
+        self.inverted = written_table(im.inverted(self.rows, self._n))
+        self.tops = written_table(im.term_tops(self.inverted))
         return self
 
     def store(self, path: str, stamp: DataFrame) -> ChunkIndex:
@@ -291,6 +257,10 @@ class ChunkIndex:
         rows = ix.index_rows(self.weighted(), self.dim)
         rows.write.mode("overwrite").parquet(f"{path}/rows")
         self.rows = spark.read.schema(rows.schema).parquet(f"{path}/rows")
+        for name, table in (("inverted", lambda: im.inverted(self.rows, self._n)), ("tops", lambda: im.term_tops(self.inverted))):
+            made = table()
+            made.write.mode("overwrite").parquet(f"{path}/{name}")
+            setattr(self, name, spark.read.schema(made.schema).parquet(f"{path}/{name}"))
         stamp.coalesce(1).write.mode("overwrite").parquet(f"{path}/stamp")
         return self
 
@@ -298,6 +268,8 @@ class ChunkIndex:
         spark = self._post.sparkSession
         self.stats = spark.read.schema(self.stats.schema).parquet(f"{path}/stats")
         self.rows = spark.read.parquet(f"{path}/rows")
+        self.inverted = spark.read.parquet(f"{path}/inverted")
+        self.tops = spark.read.parquet(f"{path}/tops")
         return self
 
     def searchable(self, excluded: DataFrame | None = None) -> DataFrame:
@@ -354,7 +326,7 @@ def legs(
     blocks = query_blocks(queries, "query_id", "text", MAX_QUERY_ROWS)
     out = []
     if method in ("text", "hybrid"):
-        out.append(text_leg(rows, [ix.query_terms(b, index.stats) for b in blocks], depth))
+        out.append(text_leg(index, [ix.query_terms(b, index.stats) for b in blocks], depth, excluded))
     if method in ("vector", "hybrid"):
         out.append(vector_leg(rows, [index.query_vectors(b) for b in blocks], depth))
     return out

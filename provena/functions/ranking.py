@@ -74,17 +74,17 @@ def salted_lookup(
 def query_blocks(
     queries: DataFrame,
     key: str,
-    text: str,
+    text: str | Column,
     max_rows: int = MAX_BROADCAST_ROWS,
     max_bytes: int = MAX_BROADCAST_BYTES,
 ) -> list[DataFrame]:
     """Cut a batch of queries into blocks that are safe to broadcast; together they are the whole batch.
 
-    One pass over the query table alone measures rows and bytes. A normal batch is one block.
+    One pass over the query table alone measures rows and bytes: those of the column ``text``, or the number that an
+    expression gives for a row. A normal batch is one block.
     """
-    rows, size = queries.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0))
-    ).first()
+    measure = F.octet_length(F.col(text).cast("string")) if isinstance(text, str) else text
+    rows, size = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(measure.cast("long")), F.lit(0))).first()
     n = max(math.ceil(rows / max_rows), math.ceil(size / max_bytes), 1)
     if n == 1:
         return [queries]

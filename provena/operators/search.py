@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from provena.functions.ranking import broadcast_if_small, query_blocks, top_k, union_all
 from provena.functions.text import entity_codes
+from provena.operators import clusters as cl
 from provena.operators import impact as im
 from provena.operators import index as ix
 from provena.operators.chunking import chunk_documents, chunk_total
@@ -27,10 +26,8 @@ METHODS = ("text", "vector", "hybrid")
 # Entity code and the root name looked for in a query.
 COUNTRY_KEYWORDS = {"KE": "kenya", "UG": "uganda", "TZ": "tanzania", "ET": "ethiopia", "RW": "rwanda"}
 
-# Scores are compared after rounding, so that the order of float additions cannot decide a rank.
-SCORE_DIGITS = 9
 # Part of every fingerprint: changes when the tables of an index change.
-INDEX_FORMAT = 2
+INDEX_FORMAT = 3
 # Excluded documents that are broadcast: eight bytes each.
 MAX_EXCLUDED = 2_000_000
 # Queries sent to the tasks at a time; larger batches are searched block by block.
@@ -78,75 +75,6 @@ def record_default(config_path: str, spark, method: str, rrf_k: int | None, repo
     )
 
 
-# Scores held at a time by one task: chunks x queries of a sub-batch.
-_SCORES = 8_000_000
-
-
-def _best(score: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, query, score) of the best ``k`` rows per column above ``floor``; rows are in id order, so ties too."""
-    take = min(k, len(score))
-    least = np.partition(score, len(score) - take, axis=0)[len(score) - take]
-    row, q = np.nonzero((score >= least[None, :]) & (score > floor))
-    s = score[row, q]
-    by = np.lexsort((row, -s, q))
-    row, q, s = row[by], q[by], s[by]
-    first = np.searchsorted(q, np.arange(score.shape[1]))
-    best = (np.arange(len(q)) - first[q]) < take
-    return row[best], q[best], s[best] + 0.0
-
-
-def _result(schema: pa.Schema, qids: np.ndarray, ids: np.ndarray, best) -> pa.RecordBatch:
-    row, q, s = best
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(qids[q].tolist(), type=schema.field(0).type),
-            pa.array(ids[row].tolist(), type=schema.field(1).type),
-            pa.array(s, type=pa.float64()),
-        ],
-        schema=schema,
-    )
-
-
-def _slices(batch: pa.RecordBatch, n_queries: int) -> Iterator[pa.RecordBatch]:
-    step = max(1, _SCORES // max(n_queries, 1))
-    for at in range(0, batch.num_rows, step):
-        yield batch.slice(at, step)
-
-
-def _vector_scorer(qids: np.ndarray, qmat: np.ndarray, k: int, id_name: str, schema: pa.Schema):
-    """Vector kernel: one matrix product per batch."""
-    lens = np.sqrt((qmat * qmat).sum(axis=1))
-    unit = np.divide(qmat, lens[:, None], out=np.zeros_like(qmat), where=lens[:, None] > 0)
-    usable = lens > 0
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for b in _slices(big, len(qids)):
-                ids = np.array(b.column(id_name).to_pylist(), dtype=object)
-                vecs = b.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-                order = np.argsort(ids, kind="stable")
-                ids, vecs = ids[order], vecs[order]
-                n = np.sqrt((vecs * vecs).sum(axis=1))
-                ids, vecs, n = ids[n > 0], vecs[n > 0], n[n > 0]
-                if len(ids) == 0:
-                    continue
-                score = np.round((vecs / n[:, None]) @ unit.T, SCORE_DIGITS)
-                score[:, ~usable] = -np.inf
-                yield _result(schema, qids, ids, _best(score, k, -np.inf))
-
-    return run
-
-
-def _schemas(query_type: T.DataType, id_col: str, id_type: T.DataType) -> tuple[pa.Schema, T.StructType]:
-    arrow = pa.schema(
-        [("query_id", _ARROW[query_type.simpleString()]), (id_col, _ARROW[id_type.simpleString()]), ("score", pa.float64())]
-    )
-    spark = T.StructType(
-        [T.StructField("query_id", query_type), T.StructField(id_col, id_type), T.StructField("score", T.DoubleType())]
-    )
-    return arrow, spark
-
-
 def text_leg(index: ChunkIndex, qterms: Sequence[DataFrame], k: int, excluded: DataFrame | None = None) -> DataFrame:
     """Best ``k`` chunks per query by cosine of TF-IDF vectors, exact, scores above zero only.
 
@@ -159,36 +87,19 @@ def text_leg(index: ChunkIndex, qterms: Sequence[DataFrame], k: int, excluded: D
 
 def _without(excluded: DataFrame):
     """Leaves the chunks of excluded documents out of a table of scores."""
-    gone = broadcast_if_small(excluded.select(F.col("doc_id").cast("string").alias("doc_id")).distinct(), MAX_EXCLUDED)
+    gone = _gone(excluded)
     return lambda scored: with_doc_id(scored).join(gone, "doc_id", "left_anti").drop("doc_id")
 
 
-def _merge(parts: list[DataFrame], corpus: DataFrame, fields: T.StructType, id_col: str, k: int) -> DataFrame:
-    if not parts:
-        return corpus.sparkSession.createDataFrame([], fields).withColumn("rank", F.lit(0))
-    return top_k(union_all(parts), ["query_id"], [F.desc("score"), F.asc(id_col)], k)
-
-
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+def vector_leg(index: cl.VectorIndex, queries: Sequence[DataFrame], k: int, excluded: DataFrame | None = None) -> DataFrame:
+    """Best ``k`` vectors of the index per query vector (query_id, vec) by cosine, exact. Vectors of length zero have no cosine."""
+    allowed = None if excluded is None else (lambda rows: rows.join(_gone(excluded), "doc_id", "left_anti"))
+    return union_all([index.search(block, k, allowed) for block in queries])
 
 
-def vector_leg(corpus: DataFrame, queries: Sequence[DataFrame], k: int, id_col: str = "chunk_id") -> DataFrame:
-    """Best ``k`` corpus vectors per query vector by cosine, exact.
-
-    ``queries`` are blocks of (query_id, vec) that ``query_blocks`` has cut to ``MAX_QUERY_ROWS`` at most: a
-    block is one matrix sent to every task, and the corpus (``id_col``, vec) is scored where it lies with one
-    matrix product per batch. Vectors of length zero have no cosine and are left out.
-    """
-    arrow, fields = _schemas(queries[0].schema["query_id"].dataType, id_col, corpus.schema[id_col].dataType)
-    parts = []
-    for block in queries:
-        got = block.toArrow().sort_by("query_id")  # at most MAX_QUERY_ROWS vectors
-        if got.num_rows:
-            qmat = got.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            qids = np.array(got.column("query_id").to_pylist(), dtype=object)
-            kernel = _vector_scorer(qids, qmat.reshape(got.num_rows, -1), k, id_col, arrow)
-            parts.append(corpus.select(id_col, "vec").mapInArrow(kernel, fields))
-    return _merge(parts, corpus, fields, id_col, k)
+def _gone(excluded: DataFrame) -> DataFrame:
+    """The excluded ids are narrow: while they are few enough they travel, and the index stays where it is."""
+    return broadcast_if_small(excluded.select(F.col("doc_id").cast("string").alias("doc_id")).distinct(), MAX_EXCLUDED)
 
 
 def fuse(legs: Sequence[DataFrame], k: int | Column, top: int | None, group: Sequence[str] = ("query_id",)) -> DataFrame:
@@ -237,6 +148,7 @@ class ChunkIndex:
         self.rows: DataFrame | None = None
         self.inverted: DataFrame | None = None
         self.tops: DataFrame | None = None
+        self.vectors: cl.VectorIndex | None = None
 
     def weighted(self) -> DataFrame:
         """Weighted postings, partitioned by chunk: a long document is many of them."""
@@ -247,20 +159,28 @@ class ChunkIndex:
         self.rows = written_table(ix.index_rows(self.weighted(), self.dim))
         self.inverted = written_table(im.inverted(self.rows, self._n))
         self.tops = written_table(im.term_tops(self.inverted))
+        self.vectors = cl.VectorIndex.build(self._vectors(), "chunk_id", ("doc_id",))
         return self
 
+    def _vectors(self) -> DataFrame:
+        return self.rows.select(F.col("doc_id").cast("string").alias("doc_id"), "chunk_id", "vec")
+
     def store(self, path: str, stamp: DataFrame) -> ChunkIndex:
         """Write the tables and then their stamp, without which nobody takes them for an index."""
         spark = self._post.sparkSession
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
-        self.stats = spark.read.schema(self.stats.schema).parquet(f"{path}/stats")
-        rows = ix.index_rows(self.weighted(), self.dim)
-        rows.write.mode("overwrite").parquet(f"{path}/rows")
-        self.rows = spark.read.schema(rows.schema).parquet(f"{path}/rows")
-        for name, table in (("inverted", lambda: im.inverted(self.rows, self._n)), ("tops", lambda: im.term_tops(self.inverted))):
-            made = table()
-            made.write.mode("overwrite").parquet(f"{path}/{name}")
-            setattr(self, name, spark.read.schema(made.schema).parquet(f"{path}/{name}"))
+
+        def stored(df: DataFrame, name: str) -> DataFrame:
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+            return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+        self.stats = stored(self.stats, "stats")
+        self.rows = stored(ix.index_rows(self.weighted(), self.dim), "rows")
+        self.inverted = stored(im.inverted(self.rows, self._n), "inverted")
+        self.tops = stored(im.term_tops(self.inverted), "tops")
+        self.vectors = cl.VectorIndex.build(self._vectors(), "chunk_id", ("doc_id",), write=lambda df: stored(df, "vectors"))
+        # at most ``MAX_CENTRES`` rows
+        centres = [(c.tolist(),) for c in self.vectors.centres]
+        stored(spark.createDataFrame(centres, "vec array<double>").select(F.monotonically_increasing_id().alias("cluster"), "vec").coalesce(1), "centres")
         stamp.coalesce(1).write.mode("overwrite").parquet(f"{path}/stamp")
         return self
 
@@ -270,6 +190,8 @@ class ChunkIndex:
         self.rows = spark.read.parquet(f"{path}/rows")
         self.inverted = spark.read.parquet(f"{path}/inverted")
         self.tops = spark.read.parquet(f"{path}/tops")
+        centres = [r["vec"] for r in spark.read.parquet(f"{path}/centres").orderBy("cluster").collect()]
+        self.vectors = cl.VectorIndex.opened(spark.read.parquet(f"{path}/vectors"), "chunk_id", np.array(centres).reshape(len(centres), -1))
         return self
 
     def searchable(self, excluded: DataFrame | None = None) -> DataFrame:
@@ -279,7 +201,7 @@ class ChunkIndex:
         if excluded is None:
             return self.rows
         # The excluded ids are narrow: while they are few enough they travel, and the index stays where it is.
-        return self.rows.join(broadcast_if_small(excluded.select("doc_id").distinct(), MAX_EXCLUDED), "doc_id", "left_anti")
+        return self.rows.withColumn("doc_id", F.col("doc_id").cast("string")).join(_gone(excluded), "doc_id", "left_anti")
 
     def query_vectors(self, queries: DataFrame) -> DataFrame:
         q = ix.query_terms(queries, self.stats)
@@ -322,13 +244,14 @@ def legs(
     """The ranked lists a method fuses, text first. ``queries`` has query_id and text."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}: expected 'text', 'vector' or 'hybrid'")
-    rows = index.searchable(excluded)
+    if index.rows is None:
+        index.build()
     blocks = query_blocks(queries, "query_id", "text", MAX_QUERY_ROWS)
     out = []
     if method in ("text", "hybrid"):
         out.append(text_leg(index, [ix.query_terms(b, index.stats) for b in blocks], depth, excluded))
     if method in ("vector", "hybrid"):
-        out.append(vector_leg(rows, [index.query_vectors(b) for b in blocks], depth))
+        out.append(vector_leg(index.vectors, [index.query_vectors(b) for b in blocks], depth, excluded))
     return out
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from provena.operators import clusters as cl
 from provena.operators import index as ix
 from provena.operators import search as se
 from provena.operators.chunking import chunk_total
@@ -89,8 +90,8 @@ def vector_search_topk(spark, sf):
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vec"))
         .withColumnRenamed("label", "query_id")
     )
-    blocks = c.query_blocks(means, "query_id", "query_id", se.MAX_QUERY_ROWS)
-    res = se.vector_leg(e.select("vec_id", F.col("embedding").alias("vec")), blocks, se.TOP_K, "vec_id")
+    index = cl.VectorIndex.build(e.select("vec_id", F.col("embedding").alias("vec")), "vec_id")
+    res = se.vector_leg(index, [means], se.TOP_K)
     return res.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 

@@ -10,6 +10,7 @@ from provena.operators import monitoring as mo
 from provena.plans import common as c
 from provena.plans import monitoring as pm
 from provena.session import shared_folder
+from provena.sources.stores import chunk_table
 from provena.streaming import jobs
 
 QUERIES: dict = {}
@@ -106,8 +107,27 @@ def stream_sessions(spark, sf):
     f"""WITH {c.SQL_DOCS}, {c.SQL_CHUNKS} SELECT chunk_id, doc_id, CAST(char_start AS INTEGER) AS char_start, CAST(char_end AS INTEGER) AS char_end, sha256(text) AS text_sha256 FROM chunks WHERE n_chars % 13 <> 0""",
 )
 def stream_ingest_chunks(spark, sf):
-    """Documents arriving as files become chunks; those whose recorded hash is wrong stay out."""
+    """Documents arriving as files become chunks; those whose recorded hash is wrong stay out. Every third document arrives twice, first
+    with its text doubled: the longer version leaves no chunk behind."""
     docs = jobs.read_files(spark, sf, c.table(spark, sf, "documents").schema, "documents.parquet")
     recorded = F.when(F.col("n_chars") % 13 == 0, F.lit("stale")).otherwise(F.sha2("text", 256))
-    out = drain(spark, jobs.ingest_chunks(docs.withColumn("recorded_sha256", recorded)))
-    return out.select("chunk_id", "doc_id", "char_start", "char_end", F.sha2("text", 256).alias("text_sha256"))
+    now = docs.withColumn("recorded_sha256", recorded).withColumn("sent", F.lit(2))
+    before = docs.where("doc_id % 3 = 0").withColumn("text", F.concat("text", F.lit(" "), "text")).withColumn("sent", F.lit(1))
+    before = before.withColumn("recorded_sha256", F.when(F.col("n_chars") % 13 == 0, F.lit("stale")).otherwise(F.sha2("text", 256)))
+    base = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    table = chunk_table(spark, f"{base}/chunks", "chunk_id string, doc_id bigint, chunk_index int, char_start int, char_end int, text string", buckets=16)
+    for part, sent in (("first", before), ("then", now)):
+        jobs.upsert_chunks(sent, table, f"{base}/{part}", ["sent"], part).awaitTermination()
+    return table.read().select("chunk_id", "doc_id", "char_start", "char_end", F.sha2("text", 256).alias("text_sha256"))
+
+
+@register(
+    "stream_applied_votes",
+    f"""WITH {pm.SQL_VOTES} SELECT e.event_id AS id, e.ts, CAST(v.value AS SMALLINT) AS feedback, v.vat AS feedback_at
+    FROM votes v JOIN events e ON e.event_id = v.id WHERE v.vat BETWEEN e.ts AND e.ts + INTERVAL 7 DAYS""",
+)
+def stream_applied_votes(spark, sf):
+    """Votes joined to their interactions while both arrive."""
+    e = event_stream(spark, sf)
+    out = drain(spark, jobs.apply_votes(e.select(F.col("event_id").alias("id"), "ts"), pm.vote_rows(event_stream(spark, sf))))
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("feedback_at", F.col("feedback_at").cast("timestamp_ntz"))

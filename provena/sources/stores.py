@@ -4,43 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from provena import schemas
+from provena.sources.snapshots import SnapshotTable
 
 
-def write_partitioned(df: DataFrame, path: str, by: str) -> None:
-    """Replace only the partitions the data touches: running a stage again leaves no old rows of a group behind."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+def chunk_table(spark: SparkSession, path: str, schema: str | T.StructType = schemas.CHUNK, buckets: int = 1024) -> SnapshotTable:
+    """Chunk table in hash buckets of the document id: one folder per document would be millions of folders.
 
+    ``replace`` puts all chunks of a document in place of its old ones; readers never see half a change.
+    """
+    return SnapshotTable(spark, path, schema, "doc_id", buckets)
 
-def write_chunks(chunks: DataFrame, path: str, buckets: int = 1024) -> None:
-    """Chunk table partitioned by a hash bucket of the document id.
 
-    One folder per document would be millions of folders; a bucket is rewritten whole, so ``chunks`` must hold
-    every document of each bucket it touches. See ``replace_documents`` for single documents.
-    """
-    out = chunks.withColumn("doc_bucket", doc_bucket("doc_id", buckets))
-    write_partitioned(out.repartition("doc_bucket"), path, "doc_bucket")
+def fingerprint_table(spark: SparkSession, path: str, buckets: int = 64) -> SnapshotTable:
+    """Recorded fingerprints (org, doc_id, field, value), replaced by document."""
+    return SnapshotTable(spark, path, schemas.CHECKSUM_FIELD, "doc_id", buckets)
 
 
-def doc_bucket(doc_id: str, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(buckets)).cast("int")
+def metadata_table(spark: SparkSession, path: str, buckets: int = 64) -> SnapshotTable:
+    """Metadata records, replaced by document; a block that a record lacks stays null."""
+    return SnapshotTable(spark, path, schemas.METADATA, "doc_id", buckets)
 
 
-def replace_documents(spark: SparkSession, new: DataFrame, path: str, buckets: int = 1024) -> None:
-    """Replace all old chunks of the documents in ``new``; other documents of the same buckets are kept.
+def page_table(spark: SparkSession, path: str, buckets: int = 64) -> SnapshotTable:
+    """Page breakpoints by document: null where a format has no pages, empty where a document has none."""
+    return SnapshotTable(spark, path, schemas.PAGE_BREAKPOINTS, "doc_id", buckets)
 
-    The merged buckets are written to the shared folder as a table first, because a table cannot be overwritten
-    while it is read.
-    """
-    from provena.session import written_table
-
-    n = new.withColumn("doc_bucket", doc_bucket("doc_id", buckets))
-    old = spark.read.parquet(path)
-    touched = old.join(n.select("doc_bucket").distinct(), "doc_bucket", "left_semi")
-    kept = touched.join(n.select("doc_id").distinct(), "doc_id", "left_anti")
-    merged = written_table(kept.unionByName(n, allowMissingColumns=True))
-    write_partitioned(merged.repartition("doc_bucket"), path, "doc_bucket")
+
+def validation_table(spark: SparkSession, path: str, buckets: int = 64) -> SnapshotTable:
+    """Validation results, replaced by document; tier 2 is null for documents that failed tier 1."""
+    return SnapshotTable(spark, path, schemas.VALIDATION, "doc_id", buckets)
 
 
 def read_chunk_records(spark: SparkSession, path: str) -> DataFrame:

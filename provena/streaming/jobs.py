@@ -1,18 +1,22 @@
 """The interaction log and the corpus as streams.
 
 Every job is stateless or keeps state bounded by a watermark, writes to a file sink exactly once and can be
-stopped and started again from its checkpoint. Nothing is updated in place: late votes are resolved on reading.
+stopped and started again from its checkpoint. Chunks are replaced by document in a table of versions; late votes are
+resolved on reading.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from provena.operators.chunking import chunk_documents
 from provena.operators.quality import tier1
+from provena.sources.snapshots import SnapshotTable
 
 SESSION_CAP = 20  # fixed value: queries a session may ask
 
@@ -83,7 +87,50 @@ def votes(events: DataFrame) -> DataFrame:
     return events.select("id", "value", "at").where("value is not null")
 
 
+def apply_votes(interactions: DataFrame, votes_: DataFrame, within: str = "7 days", delay: str = "1 day") -> DataFrame:
+    """(id, ts, feedback, feedback_at): every vote beside the interaction it is about, joined as both arrive.
+
+    A vote counts if it comes ``within`` that time of its interaction. Both sides are watermarked, so an interaction is kept in state
+    for as long as a vote on it may still come, and no longer. Readers take the last vote, see ``latest_feedback``.
+    """
+    asked = interactions.select("id", "ts").withWatermark("ts", delay)
+    given = votes(votes_).select(F.col("id").alias("vote_id"), F.col("value").alias("feedback"), F.col("at").alias("feedback_at")).withWatermark("feedback_at", delay)
+    near = F.expr(f"feedback_at >= ts AND feedback_at <= ts + INTERVAL {within}")
+    return asked.join(given, (F.col("id") == F.col("vote_id")) & near).drop("vote_id")
+
+
+def upsert_chunks(
+    docs: DataFrame, table: SnapshotTable, checkpoint: str, order: Sequence[str] = (), name: str = "chunks", available_now: bool = True
+) -> StreamingQuery:
+    """Keep ``table`` at the chunks of the last text of every document (doc_id, text, recorded_sha256) that arrives.
+
+    A document that comes again replaces all its chunks, also where it has fewer now; one that fails tier 1 changes nothing.
+    Of a document's rows in one batch the last by ``order`` counts. The number of the batch is committed with its chunks,
+    so a batch that runs again after a failure changes nothing.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        last = batch
+        if order:
+            newest = Window.partitionBy("doc_id").orderBy(*[F.desc(c) for c in order])
+            last = batch.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+        sound = sound_documents(last).persist()
+        try:
+            table.replace(chunk_documents(sound), sound.select(F.col("doc_id").cast(key_type).alias("doc_id")), name, number)
+        finally:
+            sound.unpersist()
+
+    key_type = table.schema["doc_id"].dataType
+    w = docs.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.start()
+
+
+def sound_documents(docs: DataFrame) -> DataFrame:
+    t1 = tier1(F.col("text"), F.sha2("text", 256), F.col("recorded_sha256"))
+    return docs.where(t1["extraction_ok"] & t1["integrity_ok"])
+
+
 def ingest_chunks(docs: DataFrame) -> DataFrame:
     """New documents (doc_id, text, sha256 recorded) to chunks; documents failing tier 1 are left out."""
-    t1 = tier1(F.col("text"), F.sha2("text", 256), F.col("recorded_sha256"))
-    return chunk_documents(docs.where(t1["extraction_ok"] & t1["integrity_ok"]))
+    return chunk_documents(sound_documents(docs))

@@ -151,12 +151,11 @@ def test_manifest_and_checksums_round_trip(spark, tmp_path):
 
 
 def test_chunk_table_replaces_only_given_documents(spark, tmp_path):
-    path = str(tmp_path / "chunks")
+    table = st.chunk_table(spark, str(tmp_path / "chunks"), buckets=4)
     docs = spark.createDataFrame([(str(i), "x" * 2000) for i in range(20)], "doc_id string, text string")
-    st.write_chunks(chunk_documents(docs), path, buckets=4)
-    new = chunk_documents(spark.createDataFrame([("3", "short")], "doc_id string, text string"))
-    st.replace_documents(spark, new, path, buckets=4)
-    n = {r["doc_id"]: r["count"] for r in spark.read.parquet(path).groupBy("doc_id").count().collect()}
+    table.overwrite(chunk_documents(docs))
+    table.replace(chunk_documents(spark.createDataFrame([("3", "short")], "doc_id string, text string")))
+    n = {r["doc_id"]: r["count"] for r in table.read().groupBy("doc_id").count().collect()}
     assert n["3"] == 1 and sum(n.values()) == 19 * 2 + 1
 
 

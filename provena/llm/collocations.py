@@ -9,6 +9,7 @@ open prefix can reach its list any more.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -20,14 +21,18 @@ from pyspark.sql import functions as F
 
 from provena.functions.ranking import top_k
 from provena.llm.kernels import LOWER, U64, Words, mix, pieces, signed, utf8
-from provena.session import written_table
+from provena.session import shared_folder, written_table
 
 _SEPARATES = np.zeros(256, bool)
 _SEPARATES[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _BREAKS = _SEPARATES.copy()
 _BREAKS[[0x20, 0x09]] = True
 #: Bytes of text in a block of word numbers.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
+#: Blocks of a row group of their table: a row is large, and row groups are what tasks share out.
+GROUP_BLOCKS = 8
+#: Texts looked at together: a batch of Arrow is cut into slices of so many.
+SLICE_ROWS = 1000
 
 BLOCKS = "lang string, ids array<long>, words array<string>, counts array<long>, codes array<int>"
 NODE = ["i1", "i2", "i3"]
@@ -42,7 +47,7 @@ def encoded(docs: DataFrame, lang: str, text: str, salt: int = 0) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, SLICE_ROWS) for b in batches for k in range(0, b.num_rows, SLICE_ROWS)):
             langs = batch.column(0).to_pylist()
             for name in dict.fromkeys(langs):
                 at = pa.array([i for i, x in enumerate(langs) if x == name], pa.int64())
@@ -78,6 +83,14 @@ def _block(data: np.ndarray, offsets: np.ndarray, lang: str, salt: int) -> pa.Re
     )
 
 
+def staged(blocks: DataFrame) -> DataFrame:
+    """``blocks`` as a written table of small row groups."""
+    path = f"{shared_folder(blocks.sparkSession)}/tables/{uuid.uuid4().hex}"
+    groups = {"parquet.block.row.count.limit": GROUP_BLOCKS, "parquet.page.size.row.check.min": 1}
+    blocks.write.options(**groups).parquet(path)
+    return blocks.sparkSession.read.schema(BLOCKS).parquet(path)
+
+
 def _salted(salt: int) -> np.ndarray:
     """A permutation of the bytes of words: another one gives other hashes."""
     table = np.arange(256, dtype=np.uint8)
@@ -127,12 +140,13 @@ def _flat(column: pa.Array) -> Iterator[np.ndarray]:
 
 def names_of(blocks: DataFrame, frequent: Bitmap) -> DataFrame:
     """(id, lang, word) of the words that may be frequent, once a block."""
-    model = blocks.sparkSession.sparkContext.broadcast(frequent)
+    model = blocks.sparkSession.sparkContext.broadcast((frequent.words, frequent.bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = Bitmap(*model.value)
         for b in batches:
             for k, ids in enumerate(_flat(b.column("ids"))):
-                keep = pa.array(np.flatnonzero(model.value.may_hold(ids)))
+                keep = pa.array(np.flatnonzero(bitmap.may_hold(ids)))
                 lang = pa.array([b.column("lang")[k].as_py()] * len(keep), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(ids).take(keep), lang, b.column("words")[k].values.take(keep)], names=["id", "lang", "word"])
 
@@ -141,12 +155,13 @@ def names_of(blocks: DataFrame, frequent: Bitmap) -> DataFrame:
 
 def pair_counts(blocks: DataFrame, frequent: Bitmap) -> DataFrame:
     """(i1, i2, c) of the pairs of words that may be frequent, summed by block."""
-    model = blocks.sparkSession.sparkContext.broadcast(frequent)
+    model = blocks.sparkSession.sparkContext.broadcast((frequent.words, frequent.bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = Bitmap(*model.value)
         for b in batches:
             for ids, codes in zip(_flat(b.column("ids")), _flat(b.column("codes")), strict=True):
-                use = np.concatenate([[False], model.value.may_hold(ids)])[codes]
+                use = np.concatenate([[False], bitmap.may_hold(ids)])[codes]
                 both = np.flatnonzero(use[:-1] & use[1:])
                 key = (codes[both].astype(np.int64) - 1) * len(ids) + codes[both + 1] - 1
                 key, count = np.unique(key, return_counts=True)
@@ -200,10 +215,10 @@ class Matcher:
 
 def extensions(blocks: DataFrame, nodes: np.ndarray, frequent: Bitmap) -> DataFrame:
     """(node, side, next, c): how often phrase number ``node`` stands (side 0), and before (-1) or after (1) it which word."""
-    model = blocks.sparkSession.sparkContext.broadcast((Matcher(nodes), frequent))
+    model = blocks.sparkSession.sparkContext.broadcast((nodes, frequent.words, frequent.bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, bitmap = model.value
+        matcher, bitmap = Matcher(model.value[0]), Bitmap(*model.value[1:])
         for b in batches:
             for ids, codes in zip(_flat(b.column("ids")), _flat(b.column("codes")), strict=True):
                 use = np.concatenate([[False], bitmap.may_hold(ids)])
@@ -264,7 +279,7 @@ class Collocations:
         the result is empty.
         """
         for salt in range(8):
-            blocks = written_table(encoded(docs, lang, text, salt))
+            blocks = staged(encoded(docs, lang, text, salt))
             counts = blocks.select("lang", F.explode(F.arrays_zip("ids", "counts")).alias("x")).groupBy(F.col("x.ids").alias("id")).agg(F.sum("x.counts").alias("f"))
             counts = written_table(counts.where(F.col("f") >= self.least))
             frequent = Bitmap.of(counts, "id", self.bits)

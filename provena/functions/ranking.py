@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provena.session import written_table
+
 # Upper bounds on what is broadcast: checked before each use, see ``query_blocks``.
 MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -47,6 +49,38 @@ def hashed_rank(
     )
 
 
+def running(
+    df: DataFrame, order: Sequence[str], sums: Mapping[str, Column] | None = None, group: Sequence[str] = (), number: str = "n"
+) -> DataFrame:
+    """Exact 1-based ``number`` of every row by ``order`` inside its group, and the ``sums`` over the rows before it, without one task per group.
+
+    Rows are dealt into ranges of the order and numbered where they lie; a range is shifted by what the ranges before it hold, a
+    running sum over one row per range and group. The ranges are written first, so that both passes see the same.
+    """
+    sums, group = dict(sums or {}), list(group)
+    by = [*group, *order]
+    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    staged = written_table(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    staged = staged.withColumn("_part", F.shiftright("_at", 33))
+    per = staged.groupBy("_part", *group).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_at").alias("_first"), *[F.sum(e).alias(f"_sum_{name}") for name, e in sums.items()]
+    )
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    moved = per.select(
+        F.col("_part").alias("_p"), "_first", *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ["_c", *[f"_sum_{name}" for name in sums]]],
+    )
+    same = F.col("_part") == F.col("_p")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    out = staged.join(broadcast_if_small(moved), same).withColumn(number, F.col("_at") - F.col("_first") + F.col("_c_before") + 1)
+    if sums:
+        inside = Window.partitionBy("_part", *group).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+        for name, e in sums.items():
+            out = out.withColumn(name, F.coalesce(F.sum(e).over(inside), F.lit(0)) + F.col(f"_sum_{name}_before"))
+    return out.select(*df.columns, number, *sums)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting: at most ``max_rows`` narrow rows; otherwise Spark shuffles the join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

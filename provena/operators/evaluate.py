@@ -9,9 +9,9 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provena.functions.ranking import hashed_rank, query_blocks, union_all
-from provena.functions.text import terms
+from provena.functions.ranking import hashed_rank, running, union_all
 from provena.operators.chunking import neighbor_chunk_ids
+from provena.operators.passages import holding
 from provena.session import cut_lineage
 
 # Number of resamples, seed, positions of the interval's order statistics (0-based).
@@ -22,30 +22,8 @@ GROUPS_AT_A_TIME = 32
 
 
 def gold_chunks(chunks: DataFrame, passages: DataFrame) -> DataFrame:
-    """(query_id, chunk_id) of every chunk that contains a passage verbatim.
-
-    A containing chunk holds all words of the passage but, perhaps, its first and last, which may be cut. The
-    longest of the others is the join key; the text itself is compared only where the key matches. A passage
-    without such a word is compared wherever its first letter occurs.
-    """
-    inner = F.slice(terms("text"), F.lit(2), F.greatest(F.size(terms("text")) - 2, F.lit(0)))
-    longest = F.aggregate(inner, F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a))
-    keyed = passages.select("query_id", F.col("text").alias("passage"), longest.alias("_key"))
-    words = chunks.select("doc_id", "chunk_id", "text", F.explode(F.array_distinct(terms("text"))).alias("_key"))
-    parts = []
-    for block in query_blocks(keyed, "query_id", "passage"):
-        hit = words.join(F.broadcast(block.where("_key <> ''")), "_key").where(F.contains("text", "passage"))
-        parts.append(hit.select("query_id", "doc_id", "chunk_id"))
-        short = block.where("_key = ''")
-        if not short.isEmpty():
-            grams = short.select("query_id", "passage", F.substring("passage", 1, 1).alias("_c"))
-            letters = chunks.select(
-                "doc_id", "chunk_id", "text", F.explode(F.array_distinct(F.split("text", ""))).alias("_c")
-            )
-            parts.append(
-                letters.join(F.broadcast(grams), "_c").where(F.contains("text", "passage")).select("query_id", "doc_id", "chunk_id")
-            )
-    return union_all(parts)
+    """(query_id, doc_id, chunk_id) of every chunk that contains a passage verbatim, see ``passages.holding``."""
+    return holding(chunks, passages)
 
 
 def acceptable_chunks(gold: DataFrame) -> DataFrame:
@@ -263,37 +241,24 @@ def cross_source_pairs(results: DataFrame) -> DataFrame:
 def spend_budget(per_event: DataFrame, budget: int) -> DataFrame:
     """Split a budget of checks over events in order: (query_id, n_pairs, cap, n_checked, remaining).
 
-    Each event may use the remaining budget divided by the events left, at least one, until nothing is left.
-    The recurrence runs over one number per event of one run; events after the budget is spent get no row.
+    Each event may use the remaining budget divided by the events left, at least one, until nothing is left; events after
+    that get no row. Only events with pairs change what remains, and each uses one check at least, so the first
+    ``budget`` of them decide everything: their positions and pair counts, two numbers each, are folded on the driver. Positions
+    are counted by ranges of the order, not in one task.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("query_id", "n_pairs")))
-    row = per_event.agg(ordered.alias("_e"))
-    step = F.aggregate(
-        "_e",
-        F.struct(
-            F.lit(budget).alias("left"),
-            F.size("_e").alias("events"),
-            F.expr("cast(array() as array<struct<cap:int,n_checked:int,remaining:int>>)").alias("out"),
-        ),
-        _spend_step,
-    )
-    return row.select(F.explode(F.arrays_zip("_e", step["out"].alias("_o"))).alias("_z")).select(
-        F.col("_z._e.query_id").alias("query_id"),
-        F.col("_z._e.n_pairs").alias("n_pairs"),
-        F.col("_z._o.cap").alias("cap"),
-        F.col("_z._o.n_checked").alias("n_checked"),
-        F.col("_z._o.remaining").alias("remaining"),
-    ).where("n_checked is not null")
-
-
-def _spend_step(acc: Column, e: Column) -> Column:
-    cap = F.greatest(F.lit(1), F.floor(acc["left"] / acc["events"]).cast("int"))
-    used = F.least(cap, e["n_pairs"].cast("int"))
-    entry = F.when(
-        acc["left"] > 0, F.struct(cap.alias("cap"), used.alias("n_checked"), acc["left"].alias("remaining"))
-    )
-    return F.struct(
-        F.when(acc["left"] > 0, acc["left"] - used).otherwise(acc["left"]).alias("left"),
-        (acc["events"] - 1).alias("events"),
-        F.concat(acc["out"], F.array(entry)).alias("out"),
+    spends = (F.col("n_pairs") > 0).cast("long")
+    events = running(per_event.select("query_id", F.col("n_pairs").cast("long").alias("n_pairs")), ["query_id"], {"spent_before": spends}, number="i")
+    total = events.count()
+    left, steps = budget, [(0, budget)]
+    for r in events.where("n_pairs > 0").where(F.col("spent_before") < budget).select("i", "n_pairs").orderBy("i").collect():
+        left -= min(max(1, left // (total - r["i"] + 1)), r["n_pairs"])
+        steps.append((len(steps), left))
+        if left == 0:
+            break
+    state = per_event.sparkSession.createDataFrame(steps, "spent_before long, remaining long")  # at most budget + 1 rows
+    cap = F.greatest(F.lit(1).cast("long"), F.floor(F.col("remaining") / (F.lit(total) - F.col("i") + 1)))
+    out = events.join(F.broadcast(state), "spent_before").where("remaining > 0").withColumn("cap", cap)
+    return out.select(
+        "query_id", "n_pairs", F.col("cap").cast("int").alias("cap"), F.least("cap", "n_pairs").cast("int").alias("n_checked"),
+        F.col("remaining").cast("int").alias("remaining"),
     )

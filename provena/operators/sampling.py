@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provena.functions.ranking import broadcast_if_small, hashed_rank
+from provena.functions.ranking import broadcast_if_small, hashed_rank, running
 
 # Targets per stratum, review sample, calibration size, items per category.
 STRATUM_TARGETS = {"multi_country": 30, "ooni_methodology": 20, "general": 100}
@@ -19,7 +19,7 @@ DEPLOYMENT_PER_CATEGORY = 15
 def question_set(ground: DataFrame, supplement: DataFrame, refusal: DataFrame) -> DataFrame:
     """One list of questions with ids ``category-NNNN``, numbered from 0 by position within each source list.
 
-    Question lists are written by hand; they are the only rows numbered in one window per list.
+    A list of any length is numbered by ranges of its positions, in as many tasks as there are ranges.
     """
     parts = [
         ground.withColumn("expected_behavior", F.lit("answer")),
@@ -30,10 +30,8 @@ def question_set(ground: DataFrame, supplement: DataFrame, refusal: DataFrame) -
     for i, p in enumerate(parts):
         p = p.withColumn("_list", F.lit(i))
         rows = p if rows is None else rows.unionByName(p, allowMissingColumns=True)
-    w = Window.partitionBy("_list").orderBy("position")
-    return rows.withColumn(
-        "question_id", F.format_string("%s-%04d", "category", F.row_number().over(w) - 1)
-    ).drop("_list", "position")
+    numbered = running(rows, ["position"], group=["_list"], number="_n")
+    return numbered.withColumn("question_id", F.format_string("%s-%04d", "category", F.col("_n") - 1)).drop("_list", "position", "_n")
 
 
 def _order_key(seed: int, key: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +40,11 @@ def validation_table(spark: SparkSession, path: str, buckets: int = 64) -> Snaps
     return SnapshotTable(spark, path, schemas.VALIDATION, "doc_id", buckets)
 
 
+def write_ordered(df: DataFrame, path: str, by: Sequence[str]) -> None:
+    """A folder whose files, taken by name, hold the rows in the order of ``by``: each task sorts one range of it."""
+    df.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").parquet(path)
+
+
 def read_chunk_records(spark: SparkSession, path: str) -> DataFrame:
     """Chunk records kept as one JSON file each, or as JSON lines."""
     return spark.read.schema(schemas.CHUNK).option("multiLine", True).json(path)

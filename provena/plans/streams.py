@@ -102,6 +102,21 @@ def stream_sessions(spark, sf):
     return out.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 
+@register(
+    "stream_session_cap",
+    """WITH g AS (SELECT event_id, user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 12 HOURS THEN 0 ELSE 1 END AS b FROM events),
+    n AS (SELECT event_id, user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM g)
+    SELECT event_id AS id, user_id, ts, row_number() OVER (PARTITION BY user_id, s ORDER BY ts, event_id) AS n_in_session,
+           row_number() OVER (PARTITION BY user_id, s ORDER BY ts, event_id) > 3 AS over_cap FROM n""",
+)
+def stream_session_cap(spark, sf):
+    """Every query with its number in its user's session, flagged above a cap of three as it comes."""
+    own = jobs.stateful_session(spark)
+    events = event_stream(own, sf).select(F.col("event_id").alias("id"), "user_id", "ts")
+    out = drain(own, jobs.capped_queries(events, gap_ms=12 * 3_600_000, cap=3))
+    return spark.read.schema(out.schema).parquet(*out.inputFiles()).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @register(
     "stream_ingest_chunks",
     f"""WITH {c.SQL_DOCS}, {c.SQL_CHUNKS} SELECT chunk_id, doc_id, CAST(char_start AS INTEGER) AS char_start, CAST(char_end AS INTEGER) AS char_end, sha256(text) AS text_sha256 FROM chunks WHERE n_chars % 13 <> 0""",

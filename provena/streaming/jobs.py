@@ -7,12 +7,13 @@ resolved on reading.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from provena.operators.chunking import chunk_documents
 from provena.operators.quality import tier1
@@ -82,6 +83,66 @@ def sessions(queries: DataFrame, user: str = "user_id", gap: str = "30 minutes",
     )
 
 
+class _SessionCap(StatefulProcessor):
+    """Counts the queries of one user's open session. State: how many, and when the last one came; a timer ends the session."""
+
+    def __init__(self, gap_ms: int, cap: int):
+        self.gap_ms, self.cap = gap_ms, cap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "n long, last_ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        got = pd.concat(list(rows)).sort_values(["ts", "id"], kind="stable")
+        at = got["ts"].to_numpy("datetime64[ms]").astype("int64")
+        held = self.open.get() if self.open.exists() else None
+        n, last = (held[0], held[1]) if held else (0, None)
+        numbers = []
+        for t in at.tolist():
+            n = n + 1 if last is not None and t - last < self.gap_ms else 1
+            last = t if last is None else max(last, t)
+            numbers.append(n)
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(last + self.gap_ms)
+        self.open.update((n, last))
+        yield pd.DataFrame({"id": got["id"], "user_id": key[0], "ts": got["ts"], "n_in_session": numbers, "over_cap": [n > self.cap for n in numbers]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.open.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def capped_queries(queries: DataFrame, gap_ms: int = 30 * 60_000, delay: str = "1 hour", cap: int = SESSION_CAP) -> DataFrame:
+    """(id, user_id, ts, n_in_session, over_cap) of every query as it comes: the first one above the cap is flagged in its own batch.
+
+    A session goes on while queries come within ``gap_ms`` of the last one; then a timer drops its state. Queries older than
+    the watermark are dropped. Within a batch queries count in the order of time and id. State is two numbers per user with an
+    open session; it needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    user = queries.schema["user_id"].dataType.simpleString()
+    key = queries.schema["id"].dataType.simpleString()
+    schema = f"id {key}, user_id {user}, ts timestamp, n_in_session long, over_cap boolean"
+    timed = queries.select("id", "user_id", "ts").withWatermark("ts", delay)
+    return timed.groupBy("user_id").transformWithStateInPandas(_SessionCap(gap_ms, cap), schema, "append", "eventTime")
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stateful_session(spark: SparkSession) -> SparkSession:
+    """A session beside ``spark`` whose streams keep their state in RocksDB."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return own
+
+
 def votes(events: DataFrame) -> DataFrame:
     """The vote log (id, value, at); readers take the last vote of an id, see ``latest_feedback``."""
     return events.select("id", "value", "at").where("value is not null")

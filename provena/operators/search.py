@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
+from datetime import UTC, datetime
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
+from provena import schemas
 from provena.functions.ranking import broadcast_if_small, query_blocks, top_k, union_all
 from provena.functions.text import entity_codes
 from provena.operators import clusters as cl
@@ -16,6 +18,7 @@ from provena.operators import impact as im
 from provena.operators import index as ix
 from provena.operators.chunking import chunk_documents, chunk_total
 from provena.session import shared_folder, written_table
+from provena.sources.snapshots import Versions
 
 # Default result length, depth of each leg before fusion, fallback fusion constant, swept constants.
 TOP_K = 10
@@ -38,16 +41,6 @@ class StaleIndexError(RuntimeError):
     """The index was built against another corpus version than the current one."""
 
 
-def check_fresh(stamp: DataFrame, current_version: str) -> None:
-    """Refuse to search a stale or missing index. ``current_version`` may carry a date after the version."""
-    row = stamp.select("corpus_version").first()
-    now = current_version.split()[0]
-    if row is None:
-        raise StaleIndexError("no index stamp: build the index first")
-    if row[0] != now:
-        raise StaleIndexError(f"index was built against {row[0]!r}, the corpus is at {now!r}: rebuild it")
-
-
 def excluded_by_status(lifecycle: DataFrame | None, status: str | None) -> DataFrame | None:
     """Documents the lifecycle filter keeps out before ranking; None where the filter is off."""
     if lifecycle is None or status is None:
@@ -165,8 +158,8 @@ class ChunkIndex:
     def _vectors(self) -> DataFrame:
         return self.rows.select(F.col("doc_id").cast("string").alias("doc_id"), "chunk_id", "vec")
 
-    def store(self, path: str, stamp: DataFrame) -> ChunkIndex:
-        """Write the tables and then their stamp, without which nobody takes them for an index."""
+    def store(self, path: str) -> ChunkIndex:
+        """Write all tables of the index below ``path``."""
         spark = self._post.sparkSession
 
         def stored(df: DataFrame, name: str) -> DataFrame:
@@ -181,7 +174,6 @@ class ChunkIndex:
         # at most ``MAX_CENTRES`` rows
         centres = [(c.tolist(),) for c in self.vectors.centres]
         stored(spark.createDataFrame(centres, "vec array<double>").select(F.monotonically_increasing_id().alias("cluster"), "vec").coalesce(1), "centres")
-        stamp.coalesce(1).write.mode("overwrite").parquet(f"{path}/stamp")
         return self
 
     def load(self, path: str) -> ChunkIndex:
@@ -220,22 +212,90 @@ def content_fingerprint(docs: DataFrame) -> str:
     return f"{n}-{x & (2**64 - 1):016x}-{s:x}"
 
 
-def shared_index(docs: DataFrame, corpus_version: str, model: str = "hashed-tfidf") -> ChunkIndex:
-    """The one index of a corpus version and content in the shared folder: opened if it is there, built if not.
+class IndexRegistry:
+    """The indexes built for one corpus, and which of them is current.
 
-    Its stamp names the corpus version and is checked against the current one before the index is handed out.
+    Each entry names a folder and carries the index's full stamp: embedding model, vector length, corpus version, content
+    fingerprint, number of chunks, time. An entry appears in one step, and of two writers one comes through.
     """
-    spark, version = docs.sparkSession, corpus_version.split()[0]
-    path = f"{shared_folder(spark)}/index/{version}-{content_fingerprint(docs)}"
-    index = index_documents(docs)
-    try:
-        stamp = spark.read.parquet(f"{path}/stamp")
-    except AnalysisException:
-        made = F.date_format(F.current_timestamp(), "yyyy-MM-dd")
-        row = spark.range(1).select(F.lit(model).alias("embedding_model"), F.lit(version).alias("corpus_version"), made.alias("created_at"))
-        return index.store(path, row)
-    check_fresh(stamp, corpus_version)
-    return index.load(path)
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self._entries = spark, path.rstrip("/"), Versions(spark, path)
+
+    def current(self) -> dict | None:
+        known = self._entries.numbers()
+        return self._entries.get(known[-1]) if known else None
+
+    def open(self, docs: DataFrame, corpus_version: str) -> ChunkIndex:
+        """The current index, if it is that of ``docs`` at ``corpus_version``; a stale or missing index is an error.
+
+        The corpus is fingerprinted, one narrow pass; ``corpus_version`` may carry a date after the version.
+        """
+        return self._open(docs, corpus_version, content_fingerprint(docs))
+
+    def _open(self, docs: DataFrame, corpus_version: str, fingerprint: str) -> ChunkIndex:
+        entry, now = self.current(), corpus_version.split()[0]
+        if entry is None:
+            raise StaleIndexError("no index: build the index first")
+        if entry["corpus_version"] != now:
+            raise StaleIndexError(f"index was built against {entry['corpus_version']!r}, the corpus is at {now!r}: rebuild it")
+        if entry["fingerprint"] != fingerprint:
+            raise StaleIndexError(f"documents of {now!r} have changed since their index was built: rebuild it")
+        return index_documents(docs).load(f"{self.path}/{entry['folder']}")
+
+    def publish(self, docs: DataFrame, corpus_version: str, model: str = "hashed-tfidf") -> ChunkIndex:
+        """Build the index of ``docs`` and make it current. If another writer has published the same meanwhile, theirs is taken and ours removed."""
+        return self._publish(docs, corpus_version, model, content_fingerprint(docs))
+
+    def _publish(self, docs: DataFrame, corpus_version: str, model: str, fingerprint: str) -> ChunkIndex:
+        folder, version = f"indexes/{uuid.uuid4().hex}", corpus_version.split()[0]
+        index = index_documents(docs).store(f"{self.path}/{folder}")
+        stamp = ix.index_stamp(index.rows, model, version, "").first().asDict()
+        entry = stamp | {"fingerprint": fingerprint, "folder": folder, "created_at": datetime.now(UTC).strftime("%Y-%m-%d")}
+        while True:
+            known = self._entries.numbers()
+            last = self._entries.get(known[-1]) if known else {}
+            if last.get("fingerprint") == fingerprint and last.get("corpus_version") == version:
+                self._entries.delete(folder)
+                return index.load(f"{self.path}/{last['folder']}")
+            if self._entries.put((known[-1] if known else 0) + 1, entry):
+                return index
+
+    def ensure(self, docs: DataFrame, corpus_version: str, model: str = "hashed-tfidf") -> ChunkIndex:
+        """The current index if it is fresh, else a new one."""
+        fingerprint = content_fingerprint(docs)
+        try:
+            return self._open(docs, corpus_version, fingerprint)
+        except StaleIndexError:
+            return self._publish(docs, corpus_version, model, fingerprint)
+
+    def stamp(self) -> DataFrame:
+        """The stamp of the current index as a table; empty where there is none."""
+        entry = self.current()
+        schema = schemas.INDEX_STAMP + ", fingerprint string"
+        columns = [f.name for f in schemas.fields(schema)]
+        return self.spark.createDataFrame([tuple(entry[c] for c in columns)] if entry else [], schema)
+
+    def expire(self, keep: int = 1) -> list[str]:
+        """Forget all but the last ``keep`` entries and delete the folders that none of these names. Returns the deleted folders."""
+        known = self._entries.numbers()
+        used = {self._entries.get(n)["folder"] for n in known[-keep:]}
+        for n in known[:-keep]:
+            self._entries.forget(n)
+        gone = [f for f in (f"indexes/{name}" for name in self._entries.folders("indexes")) if f not in used]
+        for f in gone:
+            self._entries.delete(f)
+        return gone
+
+
+def shared_registry(spark: SparkSession, name: str) -> IndexRegistry:
+    """The registry of the corpus ``name`` in the shared folder."""
+    return IndexRegistry(spark, f"{shared_folder(spark)}/index-{INDEX_FORMAT}/{name}")
+
+
+def shared_index(docs: DataFrame, corpus_version: str, model: str = "hashed-tfidf", name: str = "corpus") -> ChunkIndex:
+    """The fresh index of a corpus in the shared folder: opened if it is there, built and published if not."""
+    return shared_registry(docs.sparkSession, name).ensure(docs, corpus_version, model)
 
 
 def legs(
@@ -256,7 +316,7 @@ def legs(
 
 
 def search(
-    index: ChunkIndex,
+    index: ChunkIndex | IndexRegistry,
     queries: DataFrame,
     tags: DataFrame | None = None,
     top: int = TOP_K,
@@ -267,13 +327,22 @@ def search(
     entity_boost: bool = True,
     keywords: Mapping[str, str] = COUNTRY_KEYWORDS,
     config: DataFrame | None = None,
+    docs: DataFrame | None = None,
+    corpus_version: str | None = None,
 ) -> DataFrame:
     """Ranked results (query_id, chunk_id, doc_id, rank, score) for every query of the batch.
 
+    ``index`` is an index or a registry; a registry is asked for that of ``docs`` at ``corpus_version`` and refuses to search
+    a stale one (``StaleIndexError``).
+
     ``tags`` is (doc_id, tags), ``lifecycle`` is (doc_id, lifecycle_status). The pool is widened to ``CANDIDATE_POOL`` only for queries in which an entity is
     detected; for the others the first ``top`` rows of the same pool are the same rows. Only hybrid results
     carry a score, as in the data model. Without ``rrf_k`` the constant recorded in ``config`` is taken.
     """
+    if isinstance(index, IndexRegistry):
+        if docs is None or corpus_version is None:
+            raise ValueError("a registry needs docs and corpus_version, to tell a stale index")
+        index = index.open(docs, corpus_version)
     pool = max(top, CANDIDATE_POOL)
     if rrf_k is None:  # the recorded constant, at the time of the call
         rrf_k = FALLBACK_RRF_K if config is None else recorded_rrf_k(config)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +41,8 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def corpus_index(spark: SparkSession, sf: str) -> ChunkIndex:
-    return shared_index(documents(spark, sf), CORPUS_VERSION)
+    """The index of the tables in ``sf``: each folder is a corpus of its own."""
+    return shared_index(documents(spark, sf), CORPUS_VERSION, name=hashlib.sha256(sf.encode()).hexdigest()[:16])
 
 
 def queries(spark: SparkSession, sf: str) -> DataFrame:

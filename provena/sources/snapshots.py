@@ -25,12 +25,11 @@ class ConflictError(RuntimeError):
     """Other writers committed again and again while this one was at work."""
 
 
-class SnapshotTable:
-    """A table of ``schema`` whose rows are replaced by ``key``: all rows of a key together."""
+class Versions:
+    """Numbered descriptions of what is current at ``path``: each is one small file that appears in one rename, and a number is taken once."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str | T.StructType, key: str = "doc_id", buckets: int = 256):
-        self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
-        self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
         self._fs_package = spark._jvm.org.apache.hadoop.fs
         self._conf = spark._jsc.hadoopConfiguration()
         self._fs = self._hadoop(self.path).getFileSystem(self._conf)
@@ -38,15 +37,63 @@ class SnapshotTable:
     def _hadoop(self, path: str):
         return self._fs_package.Path(path)
 
-    # ---- versions ----------------------------------------------------------------------------------------
-
-    def versions(self) -> list[int]:
+    def numbers(self) -> list[int]:
         folder = self._hadoop(f"{self.path}/versions")
         if not self._fs.exists(folder):
             return []
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
         return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("."))
 
+    def get(self, number: int) -> dict:
+        stream = self._fs.open(self._hadoop(f"{self.path}/versions/{number:012d}.json"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def put(self, number: int, what: dict) -> bool:
+        """Describe version ``number``; False if another writer has taken the number."""
+        draft = self._hadoop(f"{self.path}/versions/.{uuid.uuid4().hex}")
+        out = self._fs.create(draft, True)
+        out.write(bytearray(json.dumps(what).encode()))
+        out.close()
+        context = self._fs_package.FileContext.getFileContext(draft.toUri(), self._conf)
+        rename = getattr(self._fs_package, "Options$Rename")
+        options = self.spark._sc._gateway.new_array(rename, 1)
+        options[0] = rename.NONE
+        try:
+            context.rename(draft, self._hadoop(f"{self.path}/versions/{number:012d}.json"), options)
+            return True
+        except Py4JJavaError as e:
+            self._fs.delete(draft, False)
+            if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+                return False
+            raise
+
+    def forget(self, number: int) -> None:
+        self._fs.delete(self._hadoop(f"{self.path}/versions/{number:012d}.json"), False)
+
+    def folders(self, below: str) -> list[str]:
+        at = self._hadoop(f"{self.path}/{below}")
+        return [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+
+    def delete(self, below: str) -> None:
+        self._fs.delete(self._hadoop(f"{self.path}/{below}"), True)
+
+
+class SnapshotTable:
+    """A table of ``schema`` whose rows are replaced by ``key``: all rows of a key together."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str | T.StructType, key: str = "doc_id", buckets: int = 256):
+        self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
+        self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        self._versions = Versions(spark, self.path)
+
+    # ---- versions ----------------------------------------------------------------------------------------
+
+    def versions(self) -> list[int]:
+        return self._versions.numbers()
+
     def snapshot(self, version: int | None = None) -> dict:
         """What a version consists of: ``folders`` by bucket, and the last batch of every stream that writes here."""
         known = self.versions()
@@ -56,11 +103,7 @@ class SnapshotTable:
             raise ValueError(f"no version {version} of {self.path}")
         if version == 0:
             return {"version": 0, "folders": {}, "batches": {}, "note": {}}
-        stream = self._fs.open(self._hadoop(f"{self.path}/versions/{version:012d}.json"))
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        return self._versions.get(version)
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, the current one by default; later changes do not show in the result."""
@@ -117,33 +160,16 @@ class SnapshotTable:
             folder = f"{self.path}/data/{name}"
             dealt = rows.withColumn("bucket", self.bucket()).repartition("bucket", F.pmod(F.xxhash64(self.key, F.lit(1)), F.lit(SPREAD)))
             dealt.write.partitionBy("bucket").parquet(folder)
-            for status in self._fs.listStatus(self._hadoop(folder)):
-                at = status.getPath().getName()
+            for at in self._versions.folders(f"data/{name}"):
                 if at.startswith("bucket="):
                     folders[at.removeprefix("bucket=")] = name
         batches = dict(base["batches"]) | ({writer: batch} if batch is not None else {})
         version = base["version"] + 1
-        text = json.dumps({"version": version, "folders": folders, "batches": batches, "note": base.get("note", {}) | (note or {})})
-        return version if self._claim(version, text) else None
+        made = {"version": version, "folders": folders, "batches": batches, "note": base.get("note", {}) | (note or {})}
+        return version if self._claim(version, made) else None
 
-    def _claim(self, version: int, text: str) -> bool:
-        """Write the file of a version and move it to its name, unless the name is taken."""
-        draft = self._hadoop(f"{self.path}/versions/.{uuid.uuid4().hex}")
-        out = self._fs.create(draft, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        context = self._fs_package.FileContext.getFileContext(draft.toUri(), self._conf)
-        rename = getattr(self._fs_package, "Options$Rename")
-        options = self.spark._sc._gateway.new_array(rename, 1)
-        options[0] = rename.NONE
-        try:
-            context.rename(draft, self._hadoop(f"{self.path}/versions/{version:012d}.json"), options)
-            return True
-        except Py4JJavaError as e:
-            self._fs.delete(draft, False)
-            if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
-                return False
-            raise
+    def _claim(self, version: int, made: dict) -> bool:
+        return self._versions.put(version, made)
 
     def expire(self, keep: int = 2) -> Sequence[str]:
         """Forget all but the last ``keep`` versions and delete the folders that none of these names. Returns the deleted folders.
@@ -154,12 +180,8 @@ class SnapshotTable:
         keep_from = known[-keep:]
         used = {f for v in keep_from for f in self.snapshot(v)["folders"].values()}
         for v in known[:-keep]:
-            self._fs.delete(self._hadoop(f"{self.path}/versions/{v:012d}.json"), False)
-        gone = []
-        data = self._hadoop(f"{self.path}/data")
-        for status in self._fs.listStatus(data) if self._fs.exists(data) else []:
-            name = status.getPath().getName()
-            if name not in used:
-                self._fs.delete(status.getPath(), True)
-                gone.append(name)
+            self._versions.forget(v)
+        gone = [name for name in self._versions.folders("data") if name not in used]
+        for name in gone:
+            self._versions.delete(f"data/{name}")
         return gone

@@ -340,19 +340,57 @@ def test_an_index_is_built_once_for_each_version_and_content(spark, monkeypatch)
     from provena.operators import search as se
 
     docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "beta delta")], "doc_id long, text string")
-    first = se.shared_index(docs, "v7 2026-01-01").searchable().select("chunk_id", "norm").collect()
+    first = se.shared_index(docs, "v7 2026-01-01", name="once").searchable().select("chunk_id", "norm").collect()
     with monkeypatch.context() as m:
         m.setattr(se.ChunkIndex, "store", lambda *_: pytest.fail("built again"))
-        assert sorted(se.shared_index(docs.repartition(3), "v7").searchable().select("chunk_id", "norm").collect()) == sorted(first)
+        assert sorted(se.shared_index(docs.repartition(3), "v7", name="once").searchable().select("chunk_id", "norm").collect()) == sorted(first)
         with pytest.raises(pytest.fail.Exception):
-            se.shared_index(docs.limit(1), "v7")
-    stamp = spark.createDataFrame([("v6",)], "corpus_version string")
-    with pytest.raises(se.StaleIndexError):
-        se.check_fresh(stamp, "v7 2026-01-01")
-    with pytest.raises(se.StaleIndexError):
-        se.check_fresh(stamp.limit(0), "v7")
+            se.shared_index(docs.limit(1), "v7", name="once")
     config = spark.createDataFrame([("hybrid", 10)], "method string, rrf_k int")
     q = spark.createDataFrame([(1, "beta delta")], "query_id long, text string")
-    index = se.shared_index(docs, "v7")
+    index = se.shared_index(docs, "v7", name="once")
     assert se.search(index, q, config=config).first()["score"] == pytest.approx(2 / 11)
     assert se.search(index, q).first()["score"] == pytest.approx(2 / 61)
+
+
+def test_a_registry_refuses_a_stale_index(spark, tmp_path, monkeypatch):
+    from provena.operators import search as se
+
+    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "beta delta")], "doc_id long, text string")
+    more = docs.union(spark.createDataFrame([(3, "delta delta epsilon")], docs.schema))
+    q = spark.createDataFrame([(1, "delta")], "query_id long, text string")
+    registry = se.IndexRegistry(spark, str(tmp_path / "r"))
+
+    def found(d, version):
+        return [r["doc_id"] for r in se.search(registry, q, method="text", docs=d, corpus_version=version).orderBy("rank").collect()]
+
+    with pytest.raises(se.StaleIndexError, match="no index"):
+        found(docs, "v1")
+    assert registry.stamp().isEmpty()
+    registry.publish(docs, "v1 2026-01-01")
+    assert found(docs, "v1") == ["2"]
+    stamp = registry.stamp().first()
+    assert (stamp["corpus_version"], stamp["embedding_dim"], stamp["chunk_count"], stamp["embedding_model"]) == ("v1", 64, 2, "hashed-tfidf")
+    with pytest.raises(se.StaleIndexError, match="built against"):
+        found(docs, "v2 2026-02-01")
+    with pytest.raises(se.StaleIndexError, match="have changed"):
+        found(more, "v1")
+    with pytest.raises(ValueError, match="docs and corpus_version"):
+        se.search(registry, q)
+    # two writers at once: the second finds the first one's entry and takes it
+    rival = se.IndexRegistry(spark, str(tmp_path / "r"))
+    store, raced = se.ChunkIndex.store, []
+
+    def slow(self, path):
+        out = store(self, path)
+        if not raced:
+            raced.append(path)
+            rival.publish(more, "v2")
+        return out
+
+    monkeypatch.setattr(se.ChunkIndex, "store", slow)
+    registry.publish(more, "v2")
+    assert found(more, "v2") == ["3", "2"] and len(registry._entries.numbers()) == 2
+    assert not (tmp_path / "r" / raced[0].split("/r/")[1]).exists()
+    assert len(registry.expire()) == 1 and len(list((tmp_path / "r" / "indexes").iterdir())) == 1
+    assert found(more, "v2") == ["3", "2"]

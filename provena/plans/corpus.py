@@ -37,29 +37,39 @@ def register(name, sql=None):
 
 
 def declared(spark, sf, keep_text: bool = False):
-    """Declarations, observed files and baselines, all read off the documents table."""
+    """Declarations, observed files and baselines, all read off the documents table.
+
+    The first line is the title, the last the rationale. Half of the documents declared as PDF or JSON are such; a
+    fifth of the pages and records are asked for under a title that they do not hold.
+    """
     d = c.documents(spark, sf)
     sha = F.sha2("text", 256)
     n = F.col("n_chars")
+    even = F.col("doc_id") % 2 == 0
+    title = F.substring_index("text", "\n", 1)
+    fmt = F.when(n % 3 == 0, "pdf").when(n % 3 == 1, "html").otherwise("json")
+    as_json = F.to_json(F.struct(F.struct(F.concat(F.lit("a "), "text").alias("text")).alias("incident")))
+    body = F.when((fmt == "pdf") & even, F.concat(F.lit("%PDF-1.7 "), "text")).when((fmt == "json") & even, as_json).otherwise(F.col("text"))
+    asked = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("Zzyzx "), title)).otherwise(title)
     out = d.select(
         F.col("doc_id"),
         F.col("source").alias("org"),
-        F.regexp_replace(F.substring("text", 1, 40), "\n", " ").alias("title"),
+        title.alias("title"),
         F.col("source").alias("organization"),
         F.array("lang", "source").alias("countries"),
         F.format_string("%d-%02d-15", 2020 + n % 8, 1 + F.col("doc_id") % 12).alias("publication_date"),
         F.concat(F.lit("https://"), "source", F.lit(".example/"), F.col("doc_id").cast("string")).alias("url"),
         F.lit("report").alias("doc_type"),
-        F.when(n % 3 == 0, "pdf").when(n % 3 == 1, "html").otherwise("json").alias("source_format"),
+        fmt.alias("source_format"),
         tx.found_phrases("text", TOPICS).alias("topics"),
         F.col("lang").alias("language"),
-        F.substring("text", 1, 60).alias("selection_rationale"),
+        F.substring_index("text", "\n", -1).alias("selection_rationale"),
         F.when(n % 10 == 0, "v0.9").otherwise("v1.0").alias("corpus_version"),
         F.when(F.col("lang") == "de", "manual").alias("acquisition"),
         F.when(n % 7 == 0, "REPLACE_ME").when(n % 5 == 0, F.sha2(F.concat("text", F.lit("x")), 256)).otherwise(sha).alias("sha256"),
         F.when(n % 11 != 0, sha).alias("file_sha256"),
         F.when(F.col("source").isin(*UNSTABLE) & (n % 2 == 0), sha).alias("derived_sha256"),
-        F.when(F.col("source") == "src3", ql.format_problem("text", F.lit("pdf"), F.lit(""))).alias("format_problem"),
+        ql.format_problem(body, fmt, asked).alias("format_problem"),
         F.octet_length("text").alias("file_size_bytes"),
         *(["text"] if keep_text else []),
     )
@@ -83,7 +93,7 @@ def states(spark, sf):
 _TOPIC_SQL = "list_filter([" + ", ".join(f"CASE WHEN contains(lower(text), '{t}') THEN '{t}' END" for t in TOPICS) + "], lambda x: x IS NOT NULL)"
 
 SQL_DECL = rf"""decl AS (
-  SELECT doc_id, source AS org, replace(substring(text, 1, 40), chr(10), ' ') AS title, source AS organization, lang, text, n_chars,
+  SELECT doc_id, source AS org, split_part(text, chr(10), 1) AS title, source AS organization, lang, text, n_chars,
     printf('%d-%02d-15', 2020 + n_chars % 8, 1 + doc_id % 12) AS publication_date,
     'https://' || source || '.example/' || doc_id AS url,
     CASE n_chars % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'html' ELSE 'json' END AS source_format,
@@ -94,8 +104,13 @@ SQL_DECL = rf"""decl AS (
     CASE WHEN n_chars % 7 = 0 THEN 'REPLACE_ME' WHEN n_chars % 5 = 0 THEN sha256(text || 'x') ELSE sha256(text) END AS sha256,
     CASE WHEN n_chars % 11 <> 0 THEN sha256(text) END AS file_sha256,
     CASE WHEN source IN ('src1', 'src2') AND n_chars % 2 = 0 THEN sha256(text) END AS derived_sha256,
-    CASE WHEN source = 'src3' AND substring(text, 1, 5) <> '%PDF-'
-      THEN 'bad PDF magic number (got ''' || substring(text, 1, 5) || ''', expected ''%PDF-'')' END AS format_problem
+    CASE WHEN n_chars % 3 = 0 THEN CASE WHEN doc_id % 2 <> 0 AND substring(text, 1, 5) <> '%PDF-'
+        THEN 'bad PDF magic number (got ''' || substring(text, 1, 5) || ''', expected ''%PDF-'')' END
+      WHEN n_chars % 3 = 2 AND doc_id % 2 <> 0 THEN CASE WHEN NOT json_valid(text) THEN 'not valid JSON' END
+      WHEN doc_id % 5 = 0 THEN 'declared title ''Zzyzx ' || split_part(text, chr(10), 1) || ''' not found in '
+        || CASE WHEN n_chars % 3 = 2 THEN '''incident.text'' (missing key word(s): zzyzx): likely the wrong record'
+           ELSE 'fetched content (missing key word(s): zzyzx): likely a challenge page' END
+      END AS format_problem
   FROM documents)"""
 
 SQL_STATES = """base AS (SELECT *, CASE WHEN stable THEN sha256 ELSE coalesce(derived_sha256,
@@ -451,7 +466,7 @@ def chunk_page_ranges(spark, sf):
 @register(
     "document_metadata",
     f"""WITH {SQL_VALID}, {SQL_DECL}
-    SELECT d.doc_id, '1.1' AS schema_version, d.title, d.organization, d.publication_date, d.url, {c.sql_strip("regexp_replace(substring(d.text, 1, 60), '" + tx.WS + "+', ' ', 'g')")} AS selection_rationale,
+    SELECT d.doc_id, '1.1' AS schema_version, d.title, d.organization, d.publication_date, d.url, {c.sql_strip("regexp_replace(string_split(d.text, chr(10))[-1], '" + tx.WS + "+', ' ', 'g')")} AS selection_rationale,
       CAST(strlen(d.text) AS BIGINT) AS file_size_bytes, CAST(f.word_count AS INTEGER) AS extracted_word_count,
       CASE d.source_format WHEN 'pdf' THEN 'pdf-text' WHEN 'json' THEN 'json-field-extraction' ELSE 'html-main-text' END AS extraction_method,
       f.language AS detected_language, CAST(f.language_confidence AS DOUBLE) AS detected_language_confidence,

@@ -168,6 +168,12 @@ def interaction_facts(parsed: DataFrame, meta: DataFrame, query: str = "question
     ).join(agg, query, "left")
 
 
+def latency_ms(retrieval_ms: str = "retrieval_ms", llm_ms: str = "llm_ms") -> Column:
+    """Time of an answer: search and model together; a part that was not measured counts as none, both missing as unknown."""
+    known = F.coalesce(retrieval_ms, llm_ms).isNotNull()
+    return F.when(known, F.coalesce(retrieval_ms, F.lit(0)) + F.coalesce(llm_ms, F.lit(0))).cast("int")
+
+
 def is_abstention(citations: str = "citations") -> Column:
     """An answer abstains exactly when nothing valid is cited."""
     return F.size(citations) == 0

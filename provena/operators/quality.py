@@ -157,6 +157,18 @@ def drift_status(text: Column, baseline: Column, tracked: Column) -> Column:
     )
 
 
+class ContentDriftError(RuntimeError):
+    """Tracked documents without a baseline, or with another content than recorded."""
+
+
+def require_verified(statuses: DataFrame, status: str = "status") -> None:
+    """Fail the run if any document (doc_id, ``status``) is neither untracked nor verified; the others have been dealt with by then."""
+    bad = statuses.where(~F.coalesce(F.col(status).isin("untracked", "verified"), F.lit(False)))
+    n, first = bad.agg(F.count(F.lit(1)), F.min(F.struct(F.col("doc_id").cast("string"), status))).first()
+    if n:
+        raise ContentDriftError(f"{n} document(s) not verified, the first one {first[0]}: {first[1]}")
+
+
 def rehydration_status(text: Column, baseline: Column, tracked: Column) -> Column:
     """The hard form of the same check: anything but untracked and verified is fatal for the document."""
     return (

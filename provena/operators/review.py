@@ -100,6 +100,16 @@ def verdict_transitions(judgments: DataFrame, old: str, new: str) -> DataFrame:
     )
 
 
+def shape_by_verdict(judgments: DataFrame) -> DataFrame:
+    """Claims by the number of passages they cite (none, one, several): a row per shape, a column per verdict, and the share supported."""
+    n = F.size(F.coalesce("markers", F.array().cast("array<int>")))
+    shape = F.when(n == 0, "uncited").when(n == 1, "single").otherwise("multiple")
+    return judgments.groupBy(shape.alias("shape")).agg(
+        *[F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS],
+        F.try_divide(F.count_if(F.col("verdict") == "supported"), F.count_if(F.col("verdict").isin(*VERDICTS))).alias("share_supported"),
+    )
+
+
 def three_way_view(rows: DataFrame, second: DataFrame) -> DataFrame:
     """Calibration rows with a second rubric's verdict and the reviewer's, placeholders for what is missing."""
     s = second.select("judgment_id", F.col("verdict").alias("_v2"), F.col("reason").alias("_r2"))

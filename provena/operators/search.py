@@ -363,6 +363,17 @@ def with_doc_id(res: DataFrame) -> DataFrame:
     return res.withColumn("doc_id", F.regexp_extract("chunk_id", r"^(.+)-chunk-\d+$", 1))
 
 
+def with_texts(res: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, n_retrieved, retrieved_chunks): for every query the texts of its results by chunk id, as an answer keeps them.
+
+    The results are the small side: chunks (chunk_id, text) are filtered by them where they are read.
+    """
+    wanted = res.select("query_id", "chunk_id").distinct()
+    hit = chunks.select("chunk_id", "text").join(broadcast_if_small(wanted), "chunk_id")
+    texts = F.map_from_entries(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))))
+    return hit.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n_retrieved"), texts.alias("retrieved_chunks"))
+
+
 def attach(res: DataFrame, queries: DataFrame, tags: DataFrame, keywords: Mapping[str, str]) -> DataFrame:
     """Add the document's tags (and whatever else ``tags`` holds) and the query's detected codes to a result list.
 

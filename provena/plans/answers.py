@@ -502,6 +502,16 @@ def verdict_transitions(spark, sf):
     return rv.verdict_transitions(j, "v1", "v2")
 
 
+@register(
+    "verdict_by_shape",
+    f"""WITH {SQL_ANS}, {SQL_CLAIMS} SELECT CASE len(markers) WHEN 0 THEN 'uncited' WHEN 1 THEN 'single' ELSE 'multiple' END AS shape,
+      count(*) FILTER (verdict = 'supported') AS supported, count(*) FILTER (verdict = 'partial') AS partial, count(*) FILTER (verdict = 'unsupported') AS unsupported,
+      round(count(*) FILTER (verdict = 'supported') / count(*) FILTER (verdict IN ('supported', 'partial', 'unsupported')), 6) AS share_supported FROM jv GROUP BY 1""",
+)
+def verdict_by_shape(spark, sf):
+    return rv.shape_by_verdict(judgments(spark, sf)).withColumn("share_supported", F.round("share_supported", 6))
+
+
 @register(
     "three_way_view",
     f"""WITH {SQL_REVIEW}, v2 AS (SELECT 'doc' || doc_id AS judgment_id, 'partial' AS verdict, 'r' || doc_id AS reason FROM labels WHERE toxic = 0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from provena.operators import citations as ci
 from provena.operators import monitoring as mo
 from provena.operators import review as rv
 from provena.plans import common as c
@@ -83,6 +84,11 @@ def feedback_latest(spark, sf):
     return mo.apply_feedback(e.select(F.col("event_id").alias("id")), vote_rows(e))
 
 
+@register("answer_latency", f"WITH {SQL_LOG} SELECT id, CAST(retrieval_ms + llm_ms AS INTEGER) AS latency_ms FROM rng")
+def answer_latency(spark, sf):
+    return log(spark, sf).select("id", ci.latency_ms().alias("latency_ms"))
+
+
 @register("latency_series", f"WITH {SQL_LOG} SELECT ts AS time, retrieval_ms, CAST(llm_ms AS INTEGER) AS llm_ms FROM rng ORDER BY ts")
 def latency_series(spark, sf):
     return mo.latency_series(log(spark, sf))

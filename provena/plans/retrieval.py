@@ -131,6 +131,20 @@ def rrf_hybrid_topk(spark, sf):
     return res.select("query_id", "chunk_id", "rank", F.round("score", 9).alias("score"))
 
 
+@register(
+    "retrieved_texts",
+    f"""WITH {c.SQL_LEGS}, {c.sql_fused()} SELECT query_id, f.chunk_id, sha256(ch.text) AS text_sha256, CAST(count(*) OVER (PARTITION BY query_id) AS INTEGER) AS n_retrieved
+    FROM fused f JOIN chunks ch USING (chunk_id) WHERE rank <= 10""",
+)
+def retrieved_texts(spark, sf):
+    """The texts that go with each query's results, unpacked from the map an answer keeps."""
+    res = se.search(c.corpus_index(spark, sf), c.queries(spark, sf), lifecycle=c.lifecycle(spark, sf), rrf_k=10, entity_boost=False)
+    kept = se.with_texts(res, c.chunks(spark, sf))
+    return kept.select("query_id", "n_retrieved", F.explode("retrieved_chunks").alias("chunk_id", "t")).select(
+        "query_id", "chunk_id", F.sha2("t", 256).alias("text_sha256"), "n_retrieved"
+    )
+
+
 @register(
     "rrf_k_sweep",
     f"""WITH {c.SQL_LEGS}, ks AS (SELECT unnest([1, 10, 30, 60, 100]) AS k),

@@ -7,10 +7,12 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provena.functions.ranking import salted_lookup
+from provena.functions.ranking import broadcast_if_small, salted_lookup
 from provena.session import cut_lineage
 
 MAX_DISTANCE = 3  # fixed value
+# Signatures of one block key that are compared in one tile.
+TILE_ROWS = 1000
 # Six blocks of the signature. Three flipped bits touch at most three blocks, so two signatures within the
 # distance agree on at least three whole blocks: one of the 20 triples (about 32 bits) is an equal key for both.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
@@ -69,6 +71,20 @@ def _block(sig: Column, start: int, width: int) -> Column:
     return F.shiftrightunsigned(sig, start).bitwiseAND(F.lit((1 << width) - 1))
 
 
+def tiles(keyed: DataFrame, rows: int = TILE_ROWS) -> DataFrame:
+    """Add ``salt`` and the tile (``low``, ``high``) to rows (signature, triple, bits).
+
+    A key with more than ``rows`` rows is cut into salts of about that many, and each row goes to the tiles of its salt with every
+    other, so that any two rows of a key share exactly one tile of at most about twice ``rows`` rows. Other keys are one tile.
+    """
+    hot = keyed.groupBy("triple", "bits").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
+    cut = keyed.join(broadcast_if_small(hot), ["triple", "bits"], "left")
+    salts = F.ceil(F.coalesce("_n", F.lit(1)) / F.lit(rows)).cast("int")
+    cut = cut.withColumn("_s", salts).withColumn("salt", F.pmod(F.xxhash64("signature", F.lit("salt")), F.col("_s")).cast("int"))
+    dealt = cut.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
+    return dealt.select("signature", "triple", "bits", "salt", F.least("salt", "_o").alias("low"), F.greatest("salt", "_o").alias("high"))
+
+
 def near_signature_pairs(groups: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """Pairs of different signatures within the distance, each once: (sig_a, sig_b, distance).
 
@@ -87,9 +103,9 @@ def near_signature_pairs(groups: DataFrame, max_distance: int = MAX_DISTANCE) ->
             for i, t in enumerate(triples)
         ]
     )
-    k = groups.select("signature", F.explode(keys).alias("_k")).select("signature", "_k.triple", "_k.bits")
-    a = k.withColumnRenamed("signature", "sig_a")
-    b = k.withColumnRenamed("signature", "sig_b")
+    k = tiles(groups.select("signature", F.explode(keys).alias("_k")).select("signature", "_k.triple", "_k.bits"))
+    a = k.withColumnRenamed("signature", "sig_a").withColumnRenamed("salt", "salt_a")
+    b = k.withColumnRenamed("signature", "sig_b").withColumnRenamed("salt", "salt_b")
     xor = F.col("sig_a").bitwiseXOR(F.col("sig_b"))
     first = F.coalesce(
         *[
@@ -101,7 +117,9 @@ def near_signature_pairs(groups: DataFrame, max_distance: int = MAX_DISTANCE) ->
         ]
     )
     return (
-        a.join(b, ["triple", "bits"])
+        a.join(b, ["triple", "bits", "low", "high"])
+        # the pair's own tile: two salts meet in one, and rows of one salt in its own
+        .where((F.least("salt_a", "salt_b") == F.col("low")) & (F.greatest("salt_a", "salt_b") == F.col("high")))
         .where((F.col("sig_a") < F.col("sig_b")) & (F.bit_count(xor) <= max_distance) & (F.col("triple") == first))
         .select("sig_a", "sig_b", F.bit_count(xor).alias("distance"))
     )

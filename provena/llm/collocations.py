@@ -213,12 +213,12 @@ class Matcher:
         return np.where(known[at] == asked, at, -1)
 
 
-def extensions(blocks: DataFrame, nodes: np.ndarray, frequent: Bitmap) -> DataFrame:
-    """(node, side, next, c): how often phrase number ``node`` stands (side 0), and before (-1) or after (1) it which word."""
-    model = blocks.sparkSession.sparkContext.broadcast((nodes, frequent.words, frequent.bits))
+def extensions(blocks: DataFrame, nodes: np.ndarray, both: np.ndarray, frequent: Bitmap) -> DataFrame:
+    """(node, side, next, c): how often phrase number ``node`` stands (side 0), after it which word (1) and, where ``both``, before it (-1)."""
+    model = blocks.sparkSession.sparkContext.broadcast((nodes, both, frequent.words, frequent.bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, bitmap = Matcher(model.value[0]), Bitmap(*model.value[1:])
+        matcher, both, bitmap = Matcher(model.value[0]), model.value[1], Bitmap(*model.value[2:])
         for b in batches:
             for ids, codes in zip(_flat(b.column("ids")), _flat(b.column("codes")), strict=True):
                 use = np.concatenate([[False], bitmap.may_hold(ids)])
@@ -228,7 +228,7 @@ def extensions(blocks: DataFrame, nodes: np.ndarray, frequent: Bitmap) -> DataFr
                 for node, t, k in matcher.find(ids, codes):
                     keys.append(node * 3 * width)
                     for side, near in ((1, padded[t + k]), (2, padded[t - 1])):
-                        ok = use[near]
+                        ok = use[near] if side == 1 else use[near] & both[node]
                         keys.append((node[ok] * 3 + side) * width + near[ok])
                 key, count = np.unique(np.concatenate(keys), return_counts=True)
                 near = key % width
@@ -308,7 +308,7 @@ class Collocations:
     def _grow(self, blocks: DataFrame, pairs: DataFrame, frequent: Bitmap, langs: int) -> tuple[DataFrame, DataFrame]:
         """(the settled phrases that no longer one covers, the score that each language's list ends with)."""
         spark = blocks.sparkSession
-        open_pairs = pairs.select("lang", "i1", "i2", F.lit(NONE).cast("long").alias("i3"), score("f", _sum("f1", "f")).alias("bound"))
+        open_pairs = pairs.select("lang", "i1", "i2", F.lit(NONE).cast("long").alias("i3"), score("f", _sum("f1", "f")).alias("bound"), score("f", _sum("f1", "f2")).alias("own"))
         most = max(self.batch // max(langs, 1), 1)
         width = min(4 * self.limit, most)
         expanded: list[DataFrame] = []
@@ -316,12 +316,14 @@ class Collocations:
         while True:
             if found:
                 settled, more, floor = self._settled(pairs, reduce(DataFrame.unionAll, found), reduce(DataFrame.unionAll, expanded))
-                nodes = open_pairs.unionAll(more).groupBy("lang", *NODE).agg(F.max("bound").alias("bound"))
+                nodes = open_pairs.unionAll(more).groupBy("lang", *NODE).agg(F.max("bound").alias("bound"), F.max("own").alias("own"))
                 nodes = nodes.join(reduce(DataFrame.unionAll, expanded).select(*NODE), NODE, "left_anti")
                 nodes = nodes.join(F.broadcast(floor) if langs <= 10_000 else floor, "lang", "left").where(F.col("bound") >= F.coalesce("floor", F.lit(0)))
             else:
-                nodes = open_pairs
-            front = top_k(nodes.select("lang", *NODE, "bound"), ["lang"], [F.desc("bound"), *NODE], width).drop("rank", "bound")
+                nodes = open_pairs.withColumn("floor", F.lit(0))
+            # only a phrase that may be listed itself needs the words before it: they decide whether a longer one covers it
+            both = F.coalesce(F.col("own") >= F.coalesce("floor", F.lit(0)), F.lit(True))
+            front = top_k(nodes.select("lang", *NODE, "bound", both.alias("both")), ["lang"], [F.desc("bound"), *NODE], width).drop("rank", "bound")
             got = front.toArrow()  # at most ``batch`` rows
             if got.num_rows == 0:
                 if not found:
@@ -329,8 +331,9 @@ class Collocations:
                     settled = pairs.select("lang", "i1", "i2", F.col("i1").alias("i3"), F.col("i1").alias("i4"), F.col("f").alias("a"), F.col("f1").alias("l"), F.col("f2").alias("r"), F.col("f").alias("score")).limit(0)
                 return settled, floor
             ids = np.stack([got.column(c).to_numpy() for c in NODE], axis=1)
-            table = written_table(spark.createDataFrame(got.append_column("node", pa.array(np.arange(len(ids))))))
-            grown = extensions(blocks, ids, frequent).groupBy("node", "side", "next").agg(F.sum("c").alias("c")).where(F.col("c") >= self.least)
+            table = written_table(spark.createDataFrame(got.drop_columns("both").append_column("node", pa.array(np.arange(len(ids))))))
+            both = got.column("both").to_numpy(zero_copy_only=False)
+            grown = extensions(blocks, ids, both, frequent).groupBy("node", "side", "next").agg(F.sum("c").alias("c")).where(F.col("c") >= self.least)
             found.append(written_table(table.join(grown, "node").drop("node")))
             expanded.append(table.drop("node"))
             width = min(8 * width, most)
@@ -375,8 +378,10 @@ class Collocations:
         settled = written_table(settled.unionAll(quads.where("known").select(*columns)))
         last = top_k(settled.select("lang", "score"), ["lang"], [F.desc("score")], self.limit)
         floor = written_table(last.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).where(F.col("n") == self.limit).drop("n"))
-        open_triples = triples.select("lang", *NODE, score("a", _sum("f1", "a")).alias("bound"))
+        open_triples = triples.select("lang", *NODE, score("a", _sum("f1", "a")).alias("bound"), F.col("cut.score").alias("own"))
         asked = quads.where("not known")
-        head_asked = asked.where("f123 is null").select("lang", *NODE, F.col("cut.score").alias("bound"))
-        tail_asked = asked.where("f234 is null").select("lang", F.col("i2").alias("i1"), F.col("i3").alias("i2"), F.col("i4").alias("i3"), F.col("cut.score").alias("bound"))
+        # their own scores are not known yet
+        bound = [F.col("cut.score").alias("bound"), none.alias("own")]
+        head_asked = asked.where("f123 is null").select("lang", *NODE, *bound)
+        tail_asked = asked.where("f234 is null").select("lang", F.col("i2").alias("i1"), F.col("i3").alias("i2"), F.col("i4").alias("i3"), *bound)
         return settled, open_triples.unionAll(head_asked).unionAll(tail_asked), floor

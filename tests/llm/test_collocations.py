@@ -73,7 +73,7 @@ def test_few_prefixes_are_expanded(spark, monkeypatch):
     rows = corpus(4, 150, 400, ["a"])
     seen = []
     real = collocations.extensions
-    monkeypatch.setattr(collocations, "extensions", lambda blocks, nodes, bitmap: seen.append(len(nodes)) or real(blocks, nodes, bitmap))
+    monkeypatch.setattr(collocations, "extensions", lambda blocks, nodes, *rest: seen.append(len(nodes)) or real(blocks, nodes, *rest))
     docs = spark.createDataFrame(rows, "lang string, text string")
     assert rows_of(Collocations(limit=3, least=2, bits=12).mine(docs)) == plain(rows, 3, 2)
     pairs = Counter()

@@ -320,7 +320,8 @@ class Collocations:
                 nodes = nodes.join(reduce(DataFrame.unionAll, expanded).select(*NODE), NODE, "left_anti")
                 nodes = nodes.join(F.broadcast(floor) if langs <= 10_000 else floor, "lang", "left").where(F.col("bound") >= F.coalesce("floor", F.lit(0)))
             else:
-                nodes = open_pairs.withColumn("floor", F.lit(0))
+                # to begin with, the pairs that score best themselves: they settle most of the list and so a high floor
+                nodes = open_pairs.withColumn("floor", F.lit(0)).withColumn("bound", F.col("own"))
             # only a phrase that may be listed itself needs the words before it: they decide whether a longer one covers it
             both = F.coalesce(F.col("own") >= F.coalesce("floor", F.lit(0)), F.lit(True))
             front = top_k(nodes.select("lang", *NODE, "bound", both.alias("both")), ["lang"], [F.desc("bound"), *NODE], width).drop("rank", "bound")

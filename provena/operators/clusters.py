@@ -67,6 +67,12 @@ def fit_centres(x: np.ndarray, n: int, rounds: int = ROUNDS) -> np.ndarray:
     return c
 
 
+def fan(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, 0..count-1) for every row."""
+    row = np.repeat(np.arange(len(count)), count)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+
+
 def angle(cosine: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cosine, -1.0, 1.0))
 
@@ -162,7 +168,7 @@ class VectorIndex:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unit_q, of, floor, names = model.value
-            best = _Best(len(unit_q), k, floor)
+            best = Best(len(unit_q), k, floor)
             for big in batches:
                 cluster = big.column("cluster").to_numpy()
                 for c in np.unique(cluster).tolist():
@@ -187,7 +193,7 @@ class VectorIndex:
         return top_k(out, ["query_id"], [F.desc("score"), F.asc(id_col)], k)
 
 
-class _Best:
+class Best:
     """The best ``k`` rows of every query so far, cut whenever much has gathered."""
 
     def __init__(self, queries: int, k: int, floor: np.ndarray):
@@ -197,14 +203,18 @@ class _Best:
 
     def add(self, score: np.ndarray, asked: np.ndarray, ids: np.ndarray) -> None:
         row, col = np.nonzero(score >= self.least[asked][None, :])
-        self.parts.append((asked[col], ids[row], score[row, col]))
-        self.held += len(row)
-        if self.held > SCORES:
+        self.add_pairs(asked[col], ids[row], score[row, col])
+
+    def add_pairs(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        self.parts.append((query, ids, score))
+        self.held += len(query)
+        if self.held > min(SCORES, 4 * self.k * len(self.least)):
             self.cut()
 
     def cut(self) -> None:
         query, ids, score = (np.concatenate(p) for p in zip(*self.parts, strict=True))
-        by = np.lexsort((ids, -score, query))
+        _, number = np.unique(ids.astype(str) if ids.dtype == object else ids, return_inverse=True)
+        by = np.lexsort((number, -score, query))
         query, ids, score = query[by], ids[by], score[by]
         begin = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])[: len(query)])
         place = np.arange(len(query)) - np.repeat(begin, np.diff(np.append(begin, len(query))))

@@ -1,30 +1,31 @@
 """Keyword search over impact-ordered postings.
 
-The inverted index has one row per term and block of chunks, in that order: the block's postings from the heaviest down,
-and the heaviest weight by itself. A query first scores a few promising blocks. The k-th score found there is what a
-block must be able to reach: by its heaviest weights under the query's strong terms, then, for the blocks that are left,
-under all its terms. Only blocks that pass both are opened.
+The inverted index lies in blocks of a few chunks: a block's postings by term, each term's from the heaviest down, so that
+the first of a term bounds the others. Queries travel. A task keeps the best of every query over all its blocks, and opens
+the postings of a block only for the queries whose k-th score so far the block's bounds can reach.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from provena.functions.ranking import broadcast_if_small, top_k
-from provena.session import cut_lineage
+from provena.functions.ranking import top_k
+from provena.operators.clusters import ARROW, Best, fan
 
 # Chunks of a block on average, and chunks of one document that stay together.
 BLOCK_CHUNKS = 4
-# Terms of a query that choose its first blocks, and how many chunks those hold for each place on the list.
-SEED_TERMS = 8
-SEED_CHUNKS = 2
-# Weak terms are looked up last: all of them together add less than this share of the score to reach.
-WEAK = 0.25
 # Scores are compared after rounding to nine digits; a bound must not fall short of one by a float's error.
 SLACK = 1e-8
+SCORE_DIGITS = 9
+# Sums held at a time by one task.
+CELLS = 8_000_000
 
 
 def block_of(doc_id: str, chunk_id: str, blocks: Column) -> Column:
@@ -33,83 +34,123 @@ def block_of(doc_id: str, chunk_id: str, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.floor(window / BLOCK_CHUNKS)), blocks)
 
 
-def inverted(rows: DataFrame, n_chunks: Column) -> DataFrame:
-    """(term, block, top, chunks, weights) from index rows (doc_id, chunk_id, terms, weights, norm), sorted by term and block.
+def doc_key(doc_id: str | Column) -> Column:
+    """128 bits of a document's id, by which it can be left out of a search."""
+    c = (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")
+    return F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit("second"), c).alias("b"))
 
-    ``weights`` are shares of the chunk's length, falling; ``top`` is the first. One range exchange by term and block both
-    groups and orders: a term found in most chunks is cut into as many rows as there are blocks.
-    """
-    blocks = F.greatest(F.ceil(n_chunks / BLOCK_CHUNKS), F.lit(1)).cast("long")
-    post = rows.select("chunk_id", "norm", block_of("doc_id", "chunk_id", blocks).alias("block"), F.explode(F.arrays_zip("terms", "weights")).alias("t"))
-    post = post.select(F.col("t.terms").alias("term"), "block", F.struct((-F.col("t.weights") / F.col("norm")).alias("w"), "chunk_id").alias("p"))
-    ranged = post.repartitionByRange(F.col("term"), F.col("block"))
-    grouped = ranged.groupBy("term", "block").agg(F.array_sort(F.collect_list("p")).alias("p"))
-    return grouped.select(
-        "term", "block", (-F.element_at("p", 1)["w"]).alias("top"), F.col("p.chunk_id").alias("chunks"), F.transform("p.w", lambda w: -w).alias("weights"),
-    ).sortWithinPartitions("term", "block")
 
+def blocks(rows: DataFrame, n_chunks: Column) -> DataFrame:
+    """(block, ids, docs, terms, weights, places) from index rows (doc_id, chunk_id, terms, weights, norm).
 
-def term_tops(index: DataFrame) -> DataFrame:
-    """(term, most): the heaviest weight of every term."""
-    return index.groupBy("term").agg(F.max("top").alias("most"))
+    ``ids`` are the block's chunks in order, ``docs`` the keys of their documents. The other three hold a posting each, by term and
+    falling weight (a share of its chunk's length); ``places`` are positions in ``ids`` from 0.
+    """
+    n = F.greatest(F.ceil(n_chunks / BLOCK_CHUNKS), F.lit(1)).cast("long")
+    chunk = F.struct("chunk_id", doc_key("doc_id").alias("doc"), "terms", "weights", "norm")
+    grouped = rows.groupBy(block_of("doc_id", "chunk_id", n).alias("block")).agg(F.array_sort(F.collect_list(chunk)).alias("c"))
 
+    def postings(c: Column, i: Column) -> Column:
+        return F.transform(F.arrays_zip(c["terms"], c["weights"]), lambda t: F.struct(t["terms"].alias("term"), (-t["weights"] / c["norm"]).alias("w"), i.alias("place")))
 
-def scores(index: DataFrame, pairs: DataFrame, weighted: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score): the exact scores of all chunks in the opened blocks, ``pairs`` (query_id, block)."""
-    asked = pairs.join(weighted.select("query_id", "term", "share"), "query_id")
-    hit = index.join(broadcast_if_small(asked), ["term", "block"])
-    posts = hit.select("query_id", "share", F.explode(F.arrays_zip("chunks", "weights")).alias("p"))
-    total = posts.groupBy("query_id", F.col("p.chunks").alias("chunk_id")).agg(F.sum(F.col("share") * F.col("p.weights")).alias("score"))
-    return total.withColumn("score", F.round("score", 9))
+    p = grouped.select("block", "c", F.array_sort(F.flatten(F.transform("c", postings))).alias("p"))
+    return p.select(
+        "block", F.col("c.chunk_id").alias("ids"), F.col("c.doc").alias("docs"), F.col("p.term").alias("terms"),
+        F.transform("p.w", lambda w: -w).alias("weights"), F.col("p.place").alias("places"),
+    )
 
 
-class ImpactSearch:
-    """Exact top-``k`` of a block of queries. ``queries`` holds their weighted terms (query_id, term, w, qnorm).
+class Scan:
+    """Exact top-``k`` of a block of queries over batches of blocks. ``terms`` are the queries' (query_id, term, w, qnorm).
 
-    ``opened`` holds the (query, block) pairs that were scored, once ``top`` has been called.
+    ``opened`` and ``possible`` count the pairs of block and query that were opened and those that share a term.
     """
 
-    def __init__(self, index: DataFrame, tops: DataFrame, queries: DataFrame, k: int, allowed=None):
-        self.index, self.k = index, k
-        self.allowed = allowed or (lambda scored: scored)
-        weighted = queries.select("query_id", "term", (F.col("w") / F.col("qnorm")).alias("share")).join(tops, "term")
-        # what a term can add at most, and what all weaker terms of its query can add together
-        weaker = Window.partitionBy("query_id").orderBy("gain", "term").rowsBetween(Window.unboundedPreceding, -1)
-        order = Window.partitionBy("query_id").orderBy(F.desc("gain"), F.desc("term"))
-        weighted = weighted.withColumn("gain", F.col("share") * F.col("most"))
-        self.weighted = cut_lineage(
-            weighted.withColumn("below", F.coalesce(F.sum("gain").over(weaker), F.lit(0.0))).withColumn("place", F.row_number().over(order)).drop("most")
-        )
-        self.opened: DataFrame | None = None
-
-    def bounds(self, terms: DataFrame) -> DataFrame:
-        """(query_id, block, bound): what ``terms`` (query_id, term, share) can add to a chunk of the block at most."""
-        hit = self.index.select("term", "block", "top").join(broadcast_if_small(terms), "term")
-        return hit.groupBy("query_id", "block").agg(F.sum(F.col("share") * F.col("top")).alias("bound"))
-
-    def top(self) -> DataFrame:
-        """(query_id, chunk_id, score, rank); ties by chunk, scores above zero only."""
-        order = [F.desc("score"), F.asc("chunk_id")]
-        lead = self.weighted.where(F.col("place") <= SEED_TERMS).select("query_id", "term", "share")
-        seeds = max(4, math.ceil(SEED_CHUNKS * self.k / BLOCK_CHUNKS))
-        first = cut_lineage(top_k(self.bounds(lead), ["query_id"], [F.desc("bound"), F.asc("block")], seeds).select("query_id", "block"))
-        found = self.allowed(scores(self.index, first, self.weighted))
-        seed = cut_lineage(top_k(found.where("score > 0"), ["query_id"], order, self.k))
-        least = seed.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") == self.k).drop("n")
-        # without a full list any block may be needed: the score to reach is zero
-        known = self.weighted.join(broadcast_if_small(least), "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)) - SLACK)
-        known = cut_lineage(known.withColumn("weak", F.col("below") + F.col("gain") < WEAK * F.col("least")))
-        rest = known.groupBy("query_id").agg(
-            F.coalesce(F.sum(F.when(F.col("weak"), F.col("gain"))), F.lit(0.0)).alias("rest"), F.first("least").alias("least")
+    def __init__(self, terms: pa.Table, k: int, gone: tuple[np.ndarray, np.ndarray]):
+        terms = terms.sort_by([("term", "ascending"), ("query_id", "ascending")])
+        self.names, self.query = np.unique(terms.column("query_id").to_numpy(zero_copy_only=False), return_inverse=True)
+        words = terms.column("term").combine_chunks()
+        self.vocabulary = words.unique()
+        self.start = np.searchsorted(pc.index_in(words, value_set=self.vocabulary).to_numpy(zero_copy_only=False), np.arange(len(self.vocabulary) + 1))
+        self.share = terms.column("w").to_numpy() / terms.column("qnorm").to_numpy()
+        self.k, self.gone = k, gone
+        self.best = Best(len(self.names), k, np.zeros(len(self.names)))
+        self.opened = self.possible = 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        step = max(1, CELLS // (len(self.names) * 2 * BLOCK_CHUNKS))
+        for at in range(0, batch.num_rows, step):
+            self._add(batch.slice(at, step))
+
+    def _add(self, b: pa.RecordBatch) -> None:
+        n, queries = b.num_rows, len(self.names)
+        lists = b.column("terms")
+        block = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy())
+        term = pc.index_in(lists.flatten(), value_set=self.vocabulary)
+        known = term.is_valid().to_numpy(zero_copy_only=False)
+        term, block = pc.fill_null(term, 0).to_numpy(zero_copy_only=False)[known].astype(np.int64), block[known]
+        if len(term) == 0:
+            return
+        weight = b.column("weights").flatten().to_numpy()[known]
+        # the first posting of a term in a block bounds the others
+        first = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (term[1:] != term[:-1])]))
+        size = np.diff(np.append(first, len(term)))
+        run, k = fan((self.start[1:] - self.start[:-1])[term[first]])
+        asked = self.start[term[first]][run] + k
+        cell = block[first][run] * queries + self.query[asked]
+        bound = np.bincount(cell, weight[first][run] * self.share[asked], n * queries)
+        shared = np.bincount(cell, minlength=n * queries) > 0
+        least = np.tile(self.best.least, n)
+        open_ = shared & (bound + SLACK >= least)
+        self.possible += int(shared.sum())
+        self.opened += int(open_.sum())
+        ok = open_[cell]
+        run, asked = run[ok], asked[ok]
+        row, k = fan(size[run])
+        posting = first[run][row] + k
+        chunk_at = np.concatenate([[0], np.cumsum(pc.list_value_length(b.column("ids")).to_numpy())])
+        chunk = chunk_at[block[posting]] + b.column("places").flatten().to_numpy()[known][posting]
+        scored = np.bincount(chunk * queries + self.query[asked[row]], weight[posting] * self.share[asked[row]], int(chunk_at[-1]) * queries)
+        scored = np.round(scored, SCORE_DIGITS)
+        hit = np.flatnonzero((scored > 0) & (scored >= np.tile(self.best.least, int(chunk_at[-1]))))
+        if len(self.gone[0]) and len(hit):
+            hit = hit[~self._excluded(b.column("docs").flatten())[hit // queries]]
+        ids = np.array(b.column("ids").flatten().take(pa.array(hit // queries)).to_pylist(), dtype=object)
+        self.best.add_pairs(hit % queries, ids, scored[hit] + 0.0)
+
+    def _excluded(self, docs: pa.Array) -> np.ndarray:
+        a, b = (docs.field(i).to_numpy() for i in (0, 1))
+        at = np.minimum(np.searchsorted(self.gone[0], a), len(self.gone[0]) - 1)
+        return (self.gone[0][at] == a) & (self.gone[1][at] == b)
+
+
+def search(index: DataFrame, queries: DataFrame, k: int, excluded: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank) of the ``k`` best chunks of every query; ties by chunk, scores above zero only.
+
+    ``queries`` is one block of weighted terms (query_id, term, w, qnorm), ``excluded`` a bounded number of documents (doc_id). A
+    task hands on ``k`` rows a query at most.
+    """
+    kind = queries.schema["query_id"].dataType
+    schema = T.StructType([T.StructField("query_id", kind), T.StructField("chunk_id", T.StringType()), T.StructField("score", T.DoubleType())])
+    terms = queries.select("query_id", "term", "w", "qnorm").toArrow()  # a block of queries
+    if terms.num_rows == 0:
+        return index.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
+    gone = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    if excluded is not None:
+        keys = excluded.select(doc_key("doc_id").alias("k")).select("k.a", "k.b").distinct().orderBy("a", "b").toArrow()
+        gone = (keys.column("a").to_numpy(), keys.column("b").to_numpy())
+    model = index.sparkSession.sparkContext.broadcast((terms, gone))
+    arrow = ARROW[kind.simpleString()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = Scan(model.value[0], k, model.value[1])
+        for batch in batches:
+            scan.add(batch)
+        query, ids, score = scan.best.rows()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(scan.names[query].tolist(), arrow), pa.array(ids.tolist(), pa.string()), pa.array(score, pa.float64())],
+            names=["query_id", "chunk_id", "score"],
         )
-        rest = broadcast_if_small(rest)
-        strong = self.bounds(known.where("not weak").select("query_id", "term", "share")).join(rest, "query_id")
-        left = cut_lineage(strong.where(F.col("bound") + F.col("rest") >= F.col("least")).join(first, ["query_id", "block"], "left_anti"))
-        asked = left.select("query_id", "block").join(known.where("weak").select("query_id", "term", "share"), "query_id")
-        hit = self.index.select("term", "block", "top").join(broadcast_if_small(asked), ["term", "block"])
-        weak = hit.groupBy("query_id", "block").agg(F.sum(F.col("share") * F.col("top")).alias("more"))
-        full = left.join(weak, ["query_id", "block"], "left").where(F.col("bound") + F.coalesce("more", F.lit(0.0)) >= F.col("least"))
-        more = cut_lineage(full.select("query_id", "block"))
-        self.opened = first.unionByName(more)
-        late = self.allowed(scores(self.index, more, self.weighted)).where("score > 0")
-        return top_k(seed.drop("rank").unionByName(late), ["query_id"], order, self.k)
+
+    out = index.select("ids", "docs", "terms", "weights", "places").mapInArrow(run, schema)
+    return top_k(out, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)

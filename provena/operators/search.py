@@ -30,7 +30,7 @@ METHODS = ("text", "vector", "hybrid")
 COUNTRY_KEYWORDS = {"KE": "kenya", "UG": "uganda", "TZ": "tanzania", "ET": "ethiopia", "RW": "rwanda"}
 
 # Part of every fingerprint: changes when the tables of an index change.
-INDEX_FORMAT = 3
+INDEX_FORMAT = 4
 # Excluded documents that are broadcast: eight bytes each.
 MAX_EXCLUDED = 2_000_000
 # Queries sent to the tasks at a time; larger batches are searched block by block.
@@ -74,14 +74,13 @@ def text_leg(index: ChunkIndex, qterms: Sequence[DataFrame], k: int, excluded: D
     ``qterms`` holds the weighted terms of one query block each; ``query_blocks`` has bounded the text they come from.
     Only the blocks of the inverted index that can hold a chunk of the list are opened.
     """
-    allowed = None if excluded is None else _without(excluded)
-    return union_all([im.ImpactSearch(index.inverted, index.tops, block, k, allowed).top() for block in qterms])
-
-
-def _without(excluded: DataFrame):
-    """Leaves the chunks of excluded documents out of a table of scores."""
-    gone = _gone(excluded)
-    return lambda scored: with_doc_id(scored).join(gone, "doc_id", "left_anti").drop("doc_id")
+    blocks = index.inverted
+    if excluded is not None:
+        excluded = excluded.select("doc_id").distinct()
+        if excluded.limit(MAX_EXCLUDED + 1).count() > MAX_EXCLUDED:
+            # too many to travel: the index is made anew without them
+            blocks, excluded = written_table(im.blocks(index.searchable(excluded), index.n_chunks)), None
+    return union_all([im.search(blocks, block, k, excluded) for block in qterms])
 
 
 def vector_leg(index: cl.VectorIndex, queries: Sequence[DataFrame], k: int, excluded: DataFrame | None = None) -> DataFrame:
@@ -135,23 +134,21 @@ class ChunkIndex:
     def __init__(self, chunks: DataFrame, n_chunks: Column, dim: int = ix.VECTOR_DIM):
         self.dim = dim
         post = ix.postings(chunks)
-        self._n = n_chunks
+        self.n_chunks = n_chunks
         self._post = post
         self.stats = ix.term_stats(post, n_chunks, dim)
         self.rows: DataFrame | None = None
         self.inverted: DataFrame | None = None
-        self.tops: DataFrame | None = None
         self.vectors: cl.VectorIndex | None = None
 
     def weighted(self) -> DataFrame:
         """Weighted postings, partitioned by chunk: a long document is many of them."""
-        return ix.weigh(self._post, self.stats, self._n).repartition("chunk_id")
+        return ix.weigh(self._post, self.stats, self.n_chunks).repartition("chunk_id")
 
     def build(self) -> ChunkIndex:
         self.stats = written_table(self.stats)
         self.rows = written_table(ix.index_rows(self.weighted(), self.dim))
-        self.inverted = written_table(im.inverted(self.rows, self._n))
-        self.tops = written_table(im.term_tops(self.inverted))
+        self.inverted = written_table(im.blocks(self.rows, self.n_chunks))
         self.vectors = cl.VectorIndex.build(self._vectors(), "chunk_id", ("doc_id",))
         return self
 
@@ -168,8 +165,7 @@ class ChunkIndex:
 
         self.stats = stored(self.stats, "stats")
         self.rows = stored(ix.index_rows(self.weighted(), self.dim), "rows")
-        self.inverted = stored(im.inverted(self.rows, self._n), "inverted")
-        self.tops = stored(im.term_tops(self.inverted), "tops")
+        self.inverted = stored(im.blocks(self.rows, self.n_chunks), "inverted")
         self.vectors = cl.VectorIndex.build(self._vectors(), "chunk_id", ("doc_id",), write=lambda df: stored(df, "vectors"))
         # at most ``MAX_CENTRES`` rows
         centres = [(c.tolist(),) for c in self.vectors.centres]
@@ -181,7 +177,6 @@ class ChunkIndex:
         self.stats = spark.read.schema(self.stats.schema).parquet(f"{path}/stats")
         self.rows = spark.read.parquet(f"{path}/rows")
         self.inverted = spark.read.parquet(f"{path}/inverted")
-        self.tops = spark.read.parquet(f"{path}/tops")
         centres = [r["vec"] for r in spark.read.parquet(f"{path}/centres").orderBy("cluster").collect()]
         self.vectors = cl.VectorIndex.opened(spark.read.parquet(f"{path}/vectors"), "chunk_id", np.array(centres).reshape(len(centres), -1))
         return self

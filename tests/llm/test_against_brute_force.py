@@ -115,6 +115,33 @@ def test_planted_passages_go_but_for_the_first(spark):
         assert all(passage not in got[i] and len(got[i].split()) <= 120 + (0 if glue == "\n" else 60) for i in planted if i > 1)
 
 
+def test_passages_inside_lines_go_word_by_word(spark):
+    from provena.llm.line_dedup import LineDedup
+
+    rng = np.random.default_rng(3)
+    text = lambda n: [f"v{rng.integers(1 << 30)}" for _ in range(n)]
+    passages = [text(int(rng.integers(51, 61))) for _ in range(200)]
+    rows, planted = [], {}
+    for i, p in enumerate(passages):
+        for copy in range(2):
+            a, b = text(int(rng.integers(5, 60))), text(int(rng.integers(5, 60)))
+            rows.append((2 * i + copy, " ".join(a + p + b)))
+            planted[2 * i + copy] = (a, p, b)
+    got = {r["doc_id"]: r for r in LineDedup().clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = 0
+    for i, (a, p, b) in planted.items():
+        left = got[i]["text"].split()
+        if i % 2 == 0:
+            assert left == a + p + b
+        else:
+            assert left[: len(a)] == a and left[-len(b) :] == b  # what is not repeated stays
+            assert got[i]["removed_words"] == len(a + p + b) - len(left)
+            gone += got[i]["removed_words"]
+    share = gone / sum(map(len, passages))
+    print("share of words removed:", share)
+    assert share >= 0.9
+
+
 def test_toxicity_and_language_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

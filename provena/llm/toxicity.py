@@ -103,7 +103,8 @@ def train(
     if len(counts) < 2:
         return plain
     # At most about 2 * rows ids and classes are broadcast; the texts stay where they are read.
-    texts = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(sample), "_k").select("_y", "_t")
+    texts = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(sample), "_k").select("_y", "_t", "_k")
+    present_rows = {r[0]: r[1] for r in texts.groupBy("_y").count().collect()}  # labels may name documents that are not here
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((2, 1 << bits), np.int64)
@@ -119,8 +120,10 @@ def train(
         )
 
     # A bounded number of texts in a fixed number of tasks: each task sends one row per n-gram it has seen.
-    spread = texts.repartition(8, F.xxhash64("_t"))
-    n0, n1 = float(min(counts[0], rows)), float(min(counts[1], rows))
+    spread = texts.repartition(8, "_k")  # by key, so that copies of a text do not meet in one task
+    n0, n1 = float(present_rows.get(0, 0)), float(present_rows.get(1, 0))
+    if not n0 or not n1:
+        return plain
     grams = (
         spread.mapInArrow(count, "bucket long, n0 long, n1 long")
         .groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
@@ -142,34 +145,48 @@ def train(
                 doc, feature = present(ts[a:b], lookup.value, sizes, bits)
                 cuts = np.searchsorted(doc, np.arange(b - a + 1))
                 rows_of += [feature[i:j].astype(np.int32) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows_of, pa.list_(pa.int32()))], names=["y", "f"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([f.tobytes() for f in rows_of], pa.binary())], names=["y", "f"]
+            )
 
-    known = spread.mapInArrow(design, "y int, f array<int>").toPandas()
+    known = spread.mapInArrow(design, "y int, f binary").toPandas()
+    lookup.unpersist()
     y = known["y"].to_numpy(float)
-    if len(np.unique(y)) < 2:
-        return plain
-    size = known["f"].map(len).to_numpy(np.int64)
-    feature = np.concatenate([np.zeros(0, np.int64), *known["f"].map(np.asarray)]).astype(np.int64)
+    size = known["f"].map(len).to_numpy(np.int64) // 4
+    feature = np.frombuffer(b"".join(known["f"]), np.int32)
     weight = np.where(y == 1, counts[1] / max((y == 1).sum(), 1), counts[0] / max((y == 0).sum(), 1))
-    coefficient, bias = logistic(np.repeat(np.arange(len(y)), size), feature, ratio, y, weight, penalty)
+    coefficient, bias = logistic(size, feature, ratio, y, weight, penalty)
     return ToxicityModel(position, coefficient * ratio, bias, sizes, bits)
 
 
 def logistic(
-    row: np.ndarray, feature: np.ndarray, ratio: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, steps: int = 200
+    size: np.ndarray, feature: np.ndarray, ratio: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, steps: int = 200,
+    block: int = 1 << 19,
 ) -> tuple[np.ndarray, float]:
-    """Weighted logistic regression on the scaled features, by gradient steps with momentum and step sizes per feature."""
+    """Weighted logistic regression on the scaled features, by gradient steps with momentum and step sizes per feature.
+
+    ``size`` features of each example follow one another in ``feature``. Sums are taken over blocks of examples with about
+    ``block`` features, so that the driver holds little beside the features themselves.
+    """
     n, k = len(y), len(ratio)
     weight = weight / max(weight.sum(), 1e-12)
-    scale = max(float(np.sqrt(np.mean(np.bincount(row, ratio[feature] ** 2, n)))) if n else 1.0, 1e-9)
+    start = np.concatenate([[0], np.cumsum(size)])
+    cuts = np.unique(np.append(np.searchsorted(start, np.arange(0, start[-1] + 1, block)), n)) if n else np.zeros(1, np.int64)
+    blocks = [(a, b, start[a], start[b]) for a, b in zip(np.append(0, cuts[cuts > 0])[:-1], cuts[cuts > 0], strict=True)]
+    squares = sum(float((ratio[feature[i:j]] ** 2).sum()) for _, _, i, j in blocks)
+    scale = max(float(np.sqrt(squares / n)) if n else 1.0, 1e-9)
     value = ratio / scale
     beta, bias = np.zeros(k), 0.0
     m, v, mb, vb = np.zeros(k), np.zeros(k), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = np.bincount(row, (beta * value)[feature], n) + bias
-        r = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
-        g = np.bincount(feature, r[row], k) * value + penalty * beta
-        gb = r.sum()
+        g, gb, effect = np.zeros(k), 0.0, beta * value
+        for lo, hi, i, j in blocks:
+            row = np.repeat(np.arange(hi - lo), size[lo:hi])
+            z = np.bincount(row, effect[feature[i:j]], hi - lo) + bias
+            r = weight[lo:hi] * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[lo:hi])
+            g += np.bincount(feature[i:j], r[row], k)
+            gb += r.sum()
+        g = g * value + penalty * beta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         a, b = 1 - 0.9**t, 1 - 0.99**t

@@ -50,24 +50,36 @@ class CosineLinks:
         able = F.col("key").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & ~F.exists(
             "v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
         ) & F.exists("v", lambda x: x != 0)
-        usable = rows.where(F.coalesce(able, F.lit(False)))
-        # A row number of its own tells repeated keys apart inside the join.
-        usable = written_table(usable.withColumn("id", F.monotonically_increasing_id()))
-        found = written_table(self._links(usable))
-        degree = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
-        member = components(found.where("b is not null").select("a", "b"))
-        named = member.join(usable.select(F.col("id").alias("node"), "key"), "node")
-        least = named.groupBy("component").agg(F.min("key").alias("top"))
-        by_key = named.join(least, "component").groupBy("key").agg(F.min("top").alias("top"))
-        links = usable.select("id", "key").join(degree, "id").groupBy("key").agg(F.max("n_links").alias("n_links"))
+        zero = F.lit(0).cast(rows.schema["v"].dataType.elementType)
+        usable = rows.where(F.coalesce(able, F.lit(False))).withColumn("v", F.transform("v", lambda x: F.when(x == 0, zero).otherwise(x)))  # no -0
+        # Equal vectors are one class with a weight, however many: only classes are compared. A digest names the vector.
+        digest = F.sha2(F.array_join(F.col("v").cast("array<string>"), ","), 256)
+        classes = usable.groupBy("label", "v").agg(F.count(F.lit(1)).alias("w"), F.min("key").alias("top"))
+        classes = written_table(classes.withColumn("id", F.monotonically_increasing_id()).withColumn("digest", digest))
+        found = written_table(self._links(classes))
+        degree = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
+        member = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "id")
+        least = member.join(classes.select("id", "top"), "id").groupBy("component").agg(F.min("top").alias("least"))
+        linked = (
+            classes.select("id", "label", "digest", "w", "top").join(degree, "id", "left")
+            .join(member.join(least, "component").select("id", "least"), "id", "left")
+            .select(F.col("label").alias("l"), F.col("digest").alias("g"), (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"),
+                    F.coalesce("least", "top").alias("top")).where("n_links > 0")
+        )
+        linked = broadcast_if_small(written_table(linked))
+        each = usable.select("key", "label", digest.alias("digest"))
+        each = each.join(linked, (F.col("label") == F.col("l")) & (F.col("digest") == F.col("g")), "left").select("key", "n_links", "top")
+        each = each.unionByName(rows.where(~F.coalesce(able, F.lit(False))).select("key"), allowMissingColumns=True)
+        # rows of one key share the smallest component and the largest degree of its vectors
+        by_key = each.where("key is not null and n_links is not null").groupBy("key").agg(F.max("n_links").alias("n_links"), F.min("top").alias("top"))
         out = (
-            rows.select("key").join(by_key, "key", "left").join(links, "key", "left")
+            each.select("key").join(by_key, "key", "left")
             .select("key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("top", "key").alias("component"))
         )
         return out.withColumn("kept", F.col("key") == F.col("component"))
 
     def _cells(self, usable: DataFrame) -> DataFrame:
-        """(label, d, block, cell, home, id, v): each vector at home in one cell of each block, and in those it visits."""
+        """(label, d, block, cell, home, id, w, v): each vector at home in one cell of each block, and in those it visits."""
         blocks, grid, seed, budget = self.blocks, self.grid, self.seed, 2 - 2 * self.threshold
 
         def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,22 +93,23 @@ class CosineLinks:
                     unit = x / np.sqrt((x * x).sum(1))[:, None]
                     y = unit @ rotation(int(d), seed)
                     label, ids = batch.column(1).take(pa.array(pick)), np.asarray(batch.column(0))[pick]
+                    weight = np.asarray(batch.column(3))[pick]
                     raw = [r.tobytes() for r in given]
                     for b, (lo, hi, share) in enumerate(subspaces(int(d), blocks)):
                         reach = np.sqrt(budget * share) + 1e-9
                         cell, home, row = visited(y[:, lo : min(hi, lo + grid)], reach)
                         yield pa.RecordBatch.from_arrays(
                             [label.take(pa.array(row)), pa.array(np.full(len(row), d, np.int32)), pa.array(np.full(len(row), b, np.int32)),
-                             pa.array(cell), pa.array(home), pa.array(ids[row]), pa.array(raw, pa.binary()).take(pa.array(row))],
-                            names=["label", "d", "block", "cell", "home", "id", "v"])
+                             pa.array(cell), pa.array(home), pa.array(ids[row]), pa.array(weight[row]), pa.array(raw, pa.binary()).take(pa.array(row))],
+                            names=["label", "d", "block", "cell", "home", "id", "w", "v"])
 
         kind = usable.schema["label"].dataType.simpleString()
-        return usable.select("id", "label", "v").mapInArrow(
-            placed, f"label {kind}, d int, block int, cell long, home boolean, id long, v binary"
+        return usable.select("id", "label", "v", "w").mapInArrow(
+            placed, f"label {kind}, d int, block int, cell long, home boolean, id long, w long, v binary"
         )
 
     def _links(self, usable: DataFrame) -> DataFrame:
-        """Rows (a, null, n): n links of vector a found by one task; rows (a, b, 1): edges of a spanning forest."""
+        """Rows (a, null, n): n vectors linked to each of class a, found by one task; rows (a, b, 1): edges of a spanning forest."""
         blocks, seed, threshold = self.blocks, self.seed, self.threshold
         keys = ["label", "d", "block", "cell"]
         kind = np.float32 if usable.schema["v"].dataType.elementType.simpleString() == "float" else np.float64
@@ -124,24 +137,27 @@ class CosineLinks:
                 lives, ids = np.asarray(table.column("lives")).astype(bool), table.column("id").to_numpy()
                 target = np.asarray(table.column("target")).astype(bool)
                 v = table.column("v")
-                degree: list[np.ndarray] = []
+                w = table.column("w").to_numpy()
+                degree: list[tuple[np.ndarray, np.ndarray]] = []
                 edges: list[tuple[int, int]] = []
                 for i, j in zip(starts[:-1], starts[1:], strict=True):
                     for lab in np.unique(labels[i:j]):
                         at = i + np.flatnonzero(labels[i:j] == lab)
                         if len(at) > 1 and lives[at].any():
                             x = np.frombuffer(b"".join(v.take(pa.array(at)).to_pylist()), kind).astype(float).reshape(len(at), d[i])
-                            n, e = cell_links(x, ids[at], lives[at], target[at], int(block[i]), blocks, seed, threshold)
-                            degree.append(n)
+                            n, e = cell_links(x, ids[at], w[at], lives[at], target[at], int(block[i]), blocks, seed, threshold)
+                            degree.append((ids[at][n > 0], n[n > 0]))
                             edges += e
-                ends = np.concatenate([np.zeros(0, np.int64), *degree])
-                a, n = np.unique(ends, return_counts=True)
+                ends = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in degree)])
+                a, which = np.unique(ends, return_inverse=True)
+                n = np.zeros(len(a), np.int64)
+                np.add.at(n, which, np.concatenate([np.zeros(0, np.int64), *(x for _, x in degree)]))
                 left = np.concatenate([a, np.array([x for x, _ in edges], np.int64)])
                 right = pa.array([None] * len(a) + [y for _, y in edges], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(left), right, pa.array(np.concatenate([n, np.ones(len(edges), np.int64)]))], names=["a", "b", "n"])
 
-        return dealt.select(*keys, "lives", "target", "id", "v").mapInArrow(linked, "a long, b long, n long")
+        return dealt.select(*keys, "lives", "target", "id", "w", "v").mapInArrow(linked, "a long, b long, n long")
 
 
 def rotation(d: int, seed: int) -> np.ndarray:
@@ -177,41 +193,50 @@ def visited(x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def cell_links(
-    x: np.ndarray, ids: np.ndarray, lives: np.ndarray, target: np.ndarray, block: int, blocks: int, seed: int, threshold: float,
-    step: int = 1024,
+    x: np.ndarray, ids: np.ndarray, weight: np.ndarray, lives: np.ndarray, target: np.ndarray, block: int, blocks: int, seed: int,
+    threshold: float, step: int = 1024, pairs: int = 1 << 15,
 ) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """(ids, one for each end of a link, edges of a spanning forest) of the links from vectors that live here to targets.
+    """(vectors linked to each row, edges of a spanning forest) of the links from vectors that live here to targets.
 
-    A link counts where its smaller id lives, and if no earlier block holds the pair within its budget.
+    A link counts where its smaller id lives, and if no earlier block holds the pair within its budget. A partner counts with
+    its weight. Pairs are checked ``pairs`` at a time, so that memory does not grow with the links of a cell.
     """
-    d = x.shape[1]
+    n, d = x.shape
     x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])  # exact, and keeps squares from overflowing
-    unit = x
-    unit = unit / np.sqrt((unit * unit).sum(1))[:, None]
+    norm = np.sqrt((x * x).sum(1))
+    unit = x / norm[:, None]
     parts = subspaces(d, blocks)
     budget = 2 - 2 * threshold
     y = unit @ rotation(d, seed)
     here, there = np.flatnonzero(lives), np.flatnonzero(target)
-    tree = np.arange(len(x))
-    ends, edges = [], []
+    tree = np.arange(n)
+    degree, edges = np.zeros(n, np.int64), []
     for s in range(0, len(there), step):
         other = there[s : s + step]
         cosine = unit[here] @ unit[other].T
-        i, j = np.nonzero((cosine >= threshold - 1e-9) & (ids[here][:, None] < ids[other][None, :]))
-        i, j = here[i], other[j]
-        exact = (x[i] * x[j]).sum(1) / (np.sqrt((x[i] ** 2).sum(1)) * np.sqrt((x[j] ** 2).sum(1)))
-        yes = exact >= threshold
-        gap = (y[i] - y[j]) ** 2
-        for b, (lo, hi, share) in enumerate(parts[: block + 1]):
-            within = gap[:, lo:hi].sum(1) <= budget * share + 1e-9
-            yes &= within if b == block else ~within
-        i, j = i[yes], j[yes]
-        ends += [ids[i], ids[j]]
-        for a in np.unique(i):  # one row at a time: its links join it to each tree once
-            mine = j[i == a]
-            trees, first = np.unique(tree[mine], return_index=True)
-            for t, c in zip(trees, mine[first], strict=True):
-                if t != tree[a]:
-                    edges.append((int(ids[a]), int(ids[c])))
-                    tree[tree == t] = tree[a]
-    return np.concatenate([np.zeros(0, np.int64), *ends]), edges
+        row, column = np.nonzero((cosine >= threshold - 1e-9) & (ids[here][:, None] < ids[other][None, :]))
+        for at in range(0, len(row), pairs):
+            i, j = row[at : at + pairs], column[at : at + pairs]
+            near = cosine[i, j]
+            i, j = here[i], other[j]
+            yes = near >= threshold + 1e-9
+            close = np.flatnonzero(~yes)  # rounding could tell: these are computed anew
+            ci, cj = i[close], j[close]
+            yes[close] = (x[ci] * x[cj]).sum(1) / (norm[ci] * norm[cj]) >= threshold
+            i, j = i[yes], j[yes]
+            yes = np.ones(len(i), bool)
+            gap = (y[i] - y[j]) ** 2
+            for b, (lo, hi, share) in enumerate(parts[: block + 1]):
+                within = gap[:, lo:hi].sum(1) <= budget * share + 1e-9
+                yes &= within if b == block else ~within
+            i, j = i[yes], j[yes]
+            np.add.at(degree, i, weight[j])
+            np.add.at(degree, j, weight[i])
+            for a in np.unique(i):  # one row at a time: its links join it to each tree once
+                mine = j[i == a]
+                trees, first = np.unique(tree[mine], return_index=True)
+                for t, c in zip(trees, mine[first], strict=True):
+                    if t != tree[a]:
+                        edges.append((int(ids[a]), int(ids[c])))
+                        tree[tree == t] = tree[a]
+    return degree, edges

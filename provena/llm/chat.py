@@ -21,7 +21,7 @@ from provena.session import written_table
 
 @dataclass(frozen=True)
 class ChatTemplate:
-    """How a turn is written; ``block`` is the number of consecutive turn numbers that one task numbers and one row renders."""
+    """How a turn is written; ``block`` is the number of consecutive turn numbers that one task numbers and renders; it changes no result."""
 
     before_role: str = "<|im_start|>"
     after_role: str = "\n"
@@ -47,7 +47,8 @@ class ChatTemplate:
     def render(self, turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
         """(conv_id, part, n_turns, n_copies, chat) of every maximal conversation; null roles and texts render as nothing.
 
-        A conversation is one row, unless its turn numbers span several blocks: then each block is a part, in order.
+        A conversation is one row, whatever its turn numbers: blocks of turns are rendered by many tasks and then joined in order.
+        ``part`` is 0 always.
         """
         kept = written_table(self.collapse(turns, conv, turn, role, text))
         rows = self._rows(turns, conv, turn, role, text).join(kept, F.col("conv") == F.col("conv_id"))
@@ -56,10 +57,12 @@ class ChatTemplate:
             F.lit(self.after_turn),
         )
         each = F.struct("turn", F.col("role").isNotNull(), "role", F.col("text").isNotNull(), "text", written.alias("w"))
-        return (
-            rows.groupBy("conv_id", "part", "n_turns", "n_copies")
-            .agg(F.array_join(F.transform(F.sort_array(F.collect_set(each)), lambda x: x["w"]), "").alias("chat"))
+        blocks = rows.groupBy("conv_id", "part", "n_turns", "n_copies").agg(
+            F.array_join(F.transform(F.sort_array(F.collect_set(each)), lambda x: x["w"]), "").alias("w")
         )
+        whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "w"))), lambda x: x["w"]), "")
+        out = blocks.groupBy("conv_id", "n_turns", "n_copies").agg(whole.alias("chat"))
+        return out.select("conv_id", F.lit(0).cast("long").alias("part"), "n_turns", "n_copies", "chat")
 
     def _rows(self, turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
         part = F.floor(F.col(turn) / F.lit(self.block)).cast("long")

@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, longer than any column of ``df``: it can meet none of them."""
+    return "_" * max(map(len, ["", *df.columns])) + name
+
+
 def held_out(key: str | Column, folds: int, fold: int) -> Column:
     """True for the rows whose crc32 of the key as text falls into ``fold``; a null key is not held out."""
     key = F.col(key) if isinstance(key, str) else key

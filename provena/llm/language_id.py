@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provena.llm.common import bounded_sample
+from provena.llm.common import bounded_sample, free
 from provena.llm.kernels import char_grams, text_pieces
 
 UNKNOWN = "und"
@@ -64,7 +64,7 @@ class LanguageModel:
             *docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType()),
             T.StructField(accepted, T.BooleanType()),
         ])
-        return docs.withColumn("_has_letter", has_letter).mapInArrow(predicted, schema)
+        return docs.withColumn(free(docs, "has_letter"), has_letter).mapInArrow(predicted, schema)
 
 
 def probabilities(

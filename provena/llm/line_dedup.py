@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from provena.llm.common import free
 from provena.llm.kernels import U64, Words, mix, pieces, signed, utf8
 from provena.session import written_table
 
@@ -54,11 +55,11 @@ class LineDedup:
         docs = docs.drop(removed)
         row = F.xxhash64(F.col(key).isNull(), F.col(key), text)
         spans = self.repeated(docs.select(row.alias("row"), F.col(key).alias("key"), F.col(text).alias("text")))
-        # All columns travel in one struct, so that no name of theirs can meet one of ours.
+        # All columns travel in one struct, so that no name of theirs can meet one of these.
         whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), row.alias("row"), F.col(key).alias("key"))
         spans = spans.select(F.col("row").alias("cut_row"), F.col("key").alias("cut_key"), "spans")
         mine = (F.col("row") == F.col("cut_row")) & F.col("key").eqNullSafe(F.col("cut_key"))
-        with_spans = whole.join(spans, mine, "left").select("d.*", "spans")
+        with_spans = whole.join(spans, mine, "left").select("d.*", F.col("spans").alias(free(docs, "spans")))
         at, min_words = docs.columns.index(text), self.min_words
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

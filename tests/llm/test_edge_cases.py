@@ -138,6 +138,35 @@ def test_pii(spark, docs, nothing):
     assert [k for *_, k in pii.base_spans(text)][:1] == ["email"]
 
 
+def test_helper_columns_meet_no_name_of_the_table(spark):
+    helpers = "doc_id long, text string, lang string, _row long, _has_letter int, _toxic int, _removed int, _gone long, d int, row string, key int, spans int"
+    docs = spark.createDataFrame([(i, COPY + f" {i}", "en", 5, 6, 7, 8, 9, 1, "r", 2, 3) for i in range(4)], helpers)
+    for out in (LineDedup().clean(docs), language_id.train(docs, epochs=1).predict(docs)):
+        got = out.select(docs.columns[3:]).distinct().collect()
+        assert [tuple(r) for r in got] == [(5, 6, 7, 8, 9, 1, "r", 2, 3)]
+
+
+def test_stages_take_helper_names(spark, folder):
+    helpers = "doc_id long, text string, lang string, source string, n_chars long, _row long, _toxic int, _removed int, _gone long"
+    docs = spark.createDataFrame([(i, f"words of document {i} stand here alone", "en", "s", 3, 5, 7, 8, 9) for i in range(4)], helpers)
+    for name, stage in cp.STAGES[:-1]:
+        got = stage(spark, docs, folder).select(docs.columns[5:]).distinct().collect()
+        assert [tuple(r) for r in got] == [(5, 7, 8, 9)], name
+
+
+def test_many_equal_and_nearly_equal_vectors(spark):
+    """100,000 copies of one vector and a dense cell of 3,000 near ones: degrees are counted in closed form."""
+    from pyspark.sql import functions as F
+
+    base = [1.0] * 8 + [0.5] * 24
+    near = F.transform(F.array(*map(F.lit, base)), lambda x, i: x + F.when(i == 0, F.col("id") * 1e-9).otherwise(0.0))
+    df = spark.range(103_000).select(
+        F.col("id").alias("vec_id"), F.when(F.col("id") < 100_000, F.array(*map(F.lit, base))).otherwise(near).alias("embedding"), F.lit(1).alias("label")
+    )
+    got = CosineLinks().classes(df).groupBy("n_links", "component").count().collect()
+    assert [tuple(r) for r in got] == [(102_999, 0, 103_000)]
+
+
 def test_ngram_join(docs, nothing):
     out = JaccardJoin().classes(docs)
     got = [(r["key"], r["n"], r["component"]) for r in out.collect()]
@@ -157,7 +186,7 @@ def test_chat(spark):
     turn = "<|im_start|>{}\n{}<|im_end|>\n".format
     assert got == {
         (1, 0): (2, 1, turn("user", "hi") + turn("bot", "")), (3, 0): (2, 1, turn("user", "hi") + turn("bot", "")), (4, 0): (1, 2, turn("", "x")),
-        (5, 0): (1, 1, turn("user", "x")), (8, 0): (2, 1, turn("user", "y")), (8, 1): (2, 1, turn("user", "late")),
+        (5, 0): (1, 1, turn("user", "x")), (8, 0): (2, 1, turn("user", "y") + turn("user", "late")),
     }
     assert ChatTemplate().render(df.limit(0)).collect() == []
 

@@ -90,8 +90,8 @@ class LineDedup:
         # Counting needs no text: one row for each chunk hash and task, then one for each hash.
         counts = self._chunks(rows).groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
         often = written_table(counts)
-        # What the bitmap lets through by chance goes in the join; both sides are narrow against the corpus.
-        found = written_table(self._chunks(rows, self._bitmap(often)).join(often, "hash", "left_semi"))
+        # What the bitmap lets through by chance goes below, where single chunks form groups of their own.
+        found = written_table(self._chunks(rows, self._bitmap(often)))
         # Equal bytes make a group, whatever their hash; its first occurrence stays. Counted map-side, so that a chunk
         # in a third of all documents is one row per task.
         order = [F.col("key").isNull().alias("z"), F.col("key").alias("k"), F.col("row").alias("r")]

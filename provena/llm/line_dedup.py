@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from provena.functions.ranking import broadcast_if_small
 from provena.llm.common import free
 from provena.llm.kernels import U64, Words, mix, pieces, signed, utf8
 from provena.session import written_table
@@ -94,18 +95,22 @@ class LineDedup:
         found = written_table(self._chunks(rows, self._bitmap(often)))
         # Equal bytes make a group, whatever their hash; its first occurrence stays. Counted map-side, so that a chunk
         # in a third of all documents is one row per task.
-        order = [F.col("key").isNull().alias("z"), F.col("key").alias("k"), F.col("row").alias("r")]
-        first = (
-            found.groupBy("hash", "bytes").agg(F.min(F.struct(*order, "pre", "post")).alias("first"), F.max(F.struct(*order)).alias("final"))
-            .where("first.r <> final.r").drop("final").withColumnRenamed("hash", "h").withColumnRenamed("bytes", "b")
-        )
-        first = written_table(first)  # so that Spark may split a hot chunk in the join below
-        same = found.drop("pre", "post").join(first, (F.col("hash") == F.col("h")) & (F.col("bytes") == F.col("b")))
+        groups = written_table(_groups(found).select("hash", "first", "final"))
+        # Where all chunks of a hash have the same bytes, the hash alone stands for them from here on; where not, the bytes do.
+        clash = written_table(groups.groupBy("hash").count().where("count > 1").select("hash"))
+        clash = broadcast_if_small(clash, 1_000_000)
+        place = ["hash", "row", "key", "place", "s", "e", "w", "lines"]
+        # written, so that Spark may split a hot chunk in the join
+        first = groups.where("first.r <> final.r").join(clash, "hash", "left_anti").select("hash", "first")
+        same = found.select(place).join(first, "hash")
+        unlike = found.join(clash, "hash", "left_semi")
+        named = _groups(unlike).where("first.r <> final.r").select("hash", "bytes", "first")
+        same = same.unionByName(unlike.select(*place, "bytes").join(named, ["hash", "bytes"]).drop("bytes"))
         again = same.where(F.col("first.r") != F.col("row"))
         # The chunks of one document, in order; neighbours join to runs.
         chunk = ["place", "s", "e", "w", "lines", "pre", "post"]
         again = again.select("row", "key", *chunk[:5], "first.pre", "first.post")
-        per_row = again.distinct().groupBy("row", "key").agg(F.sort_array(F.collect_list(F.struct(*chunk))).alias("c"))
+        per_row = again.groupBy("row", "key").agg(F.sort_array(F.collect_set(F.struct(*chunk))).alias("c"))
 
         def run(s: Column, e: Column, w: Column, n: Column, pre: Column, post: Column) -> Column:
             return F.array(F.struct(s.alias("s"), e.alias("e"), w.alias("w"), n.alias("l"), pre.alias("pre"), post.alias("post")))
@@ -194,6 +199,12 @@ class LineDedup:
         return rows.mapInArrow(listed, f"hash long, row long, key {kind}, place int, s int, e int, w int, lines int, bytes binary, pre binary, post binary")
 
 
+def _groups(found: DataFrame) -> DataFrame:
+    """(hash, bytes, first, final): the first and the last occurrence of every chunk, with what surrounds the first."""
+    order = [F.col("key").isNull().alias("z"), F.col("key").alias("k"), F.col("row").alias("r")]
+    return found.groupBy("hash", "bytes").agg(F.min(F.struct(*order, "pre", "post")).alias("first"), F.max(F.struct(*order)).alias("final"))
+
+
 def before(raw: bytes, at: int, begin: int, reach: int) -> bytes:
     """The whole words in the ``reach`` bytes before ``at``."""
     lo = max(begin, at - reach)

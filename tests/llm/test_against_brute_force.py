@@ -142,6 +142,26 @@ def test_passages_inside_lines_go_word_by_word(spark):
     assert share >= 0.9
 
 
+def test_chunks_of_one_hash_and_unlike_bytes_are_told_apart(spark):
+    """With seven hash values for all chunks the bytes decide, and the result is that of good hashes."""
+    from provena.llm.line_dedup import LineDedup
+
+    class Everything(LineDedup):  # lets each chunk through the bitmap
+        def _chunks(self, rows, wanted=None):
+            return super()._chunks(rows, None if wanted is None else np.full_like(wanted, 255))
+
+    class Clashing(Everything):
+        def _chunks(self, rows, wanted=None):
+            return super()._chunks(rows, wanted).withColumn("hash", F.pmod("hash", F.lit(7)))
+
+    rng = np.random.default_rng(5)
+    text = lambda n: " ".join(f"v{rng.integers(1 << 30)}" for _ in range(n))
+    passage = text(60)
+    docs = spark.createDataFrame([(i, text(40) + ("\n" + passage + "\n" if i % 2 else " ") + text(40)) for i in range(12)], "doc_id long, text string")
+    want = {tuple(r) for r in Everything().clean(docs).collect()}
+    assert {tuple(r) for r in Clashing().clean(docs).collect()} == want and sum(n for *_, n in want) == 300
+
+
 def test_toxicity_and_language_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

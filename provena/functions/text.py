@@ -30,6 +30,18 @@ def strip(c: str | Column) -> Column:
     return F.regexp_replace(col(c), rf"^{WS}+|{WS}+\z", "")
 
 
+def whole_json(c: str | Column) -> Column:
+    """The text as one JSON value (variant), null where it is none or where anything but white space follows the value.
+
+    Spark's parser stops after the first value. So the text is read as the first of two elements of a list; the second is a
+    mark that the text cannot hold, its own hash.
+    """
+    text = col(c)
+    mark = F.md5(text)
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit('\n,"'), mark, F.lit('"]')))
+    return F.when(F.try_variant_get(listed, "$[1]", "string") == mark, F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def collapse_spaces(c: str | Column) -> Column:
     return F.regexp_replace(strip(c), rf"{WS}+", " ")
 

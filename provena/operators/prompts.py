@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provena.functions.text import WS, col, strip
+from provena.functions.text import WS, col, strip, whole_json
 
 # Separators, labels and verdicts.
 EXCERPT_JOIN = "\n\n---\n\n"
@@ -49,14 +49,9 @@ def unfence(raw: str | Column) -> Column:
 
 
 def json_object(text: Column) -> Column:
-    """The text as one JSON object, strictly: null for single quotes, for anything after the object and for other values.
-
-    Inside a list of one, whatever follows the object is either an error or a second element.
-    """
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("\n]")))
-    first = F.try_variant_get(listed, "$[0]", "variant")
-    alone = F.try_variant_get(listed, "$[1]", "variant").isNull()
-    return F.when(alone & F.startswith(F.schema_of_variant(first), F.lit("OBJECT")), first)
+    """The text as one JSON object, strictly: null for single quotes, for anything after the object and for other values."""
+    js = whole_json(text)
+    return F.when(F.startswith(F.schema_of_variant(js), F.lit("OBJECT")), js)
 
 
 def text_field(js: Column, name: str) -> Column:

@@ -317,6 +317,17 @@ def test_only_a_whole_json_object_is_a_verdict(spark):
     assert got == [(False, "unparseable"), (False, "unparseable"), (True, "date"), (False, "unparseable")]
 
 
+def test_json_is_whole(spark):
+    from provena.functions.text import whole_json
+
+    texts = {'{"a": 1}\n': True, " [1, 2] ": True, "null": True, "4754": True, '"x"': True, "4754 Ieein +1": False, "44.1 +1 (906)": False, "{} x": False,
+             "null x": False, "1, 2": False, "1], [2": False, "1] x": False, "1,": False, "": False, "  ": False, "x": False, '"a': False}
+    df = spark.createDataFrame(list(texts.items()), "t string, want boolean")
+    assert [r["t"] for r in df.where(whole_json("t").isNotNull() != F.col("want")).collect()] == []
+    problem = ql.format_problem(F.lit("4754543480058766 Ieein +1 (559)"), F.lit("json"), F.lit("t"))
+    assert spark.range(1).select(problem).first()[0] == "not valid JSON"
+
+
 def test_missing_fields_keep_their_line(spark):
     from provena.operators import citations as cit
     from provena.operators import prompts as pr

@@ -35,9 +35,14 @@ def drain(spark, stream):
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def table_files(sf, name):
+    """A table's path for a stream: it is one file or a folder of files, and only a pattern may be either."""
+    return f"{sf}/{{{name}.parquet}}"
+
+
 def event_stream(spark, sf):
     schema = c.table(spark, sf, "events").schema
-    return jobs.read_files(spark, sf, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return jobs.read_files(spark, table_files(sf, "events"), schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def interaction_stream(spark, sf):
@@ -124,7 +129,7 @@ def stream_session_cap(spark, sf):
 def stream_ingest_chunks(spark, sf):
     """Documents arriving as files become chunks; those whose recorded hash is wrong stay out. Every third document arrives twice, first
     with its text doubled: the longer version leaves no chunk behind."""
-    docs = jobs.read_files(spark, sf, c.table(spark, sf, "documents").schema, "documents.parquet")
+    docs = jobs.read_files(spark, table_files(sf, "documents"), c.table(spark, sf, "documents").schema)
     recorded = F.when(F.col("n_chars") % 13 == 0, F.lit("stale")).otherwise(F.sha2("text", 256))
     now = docs.withColumn("recorded_sha256", recorded).withColumn("sent", F.lit(2))
     before = docs.where("doc_id % 3 = 0").withColumn("text", F.concat("text", F.lit(" "), "text")).withColumn("sent", F.lit(1))

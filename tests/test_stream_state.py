@@ -1,9 +1,12 @@
 """The stateful stream across restarts: the cap, its timer, late rows; the deduplicated log across a restart."""
 
 import datetime as dt
+import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
+from provena.operators.chunking import chunk_documents
 from provena.streaming import jobs
 
 T0 = dt.datetime(2024, 1, 1)
@@ -70,3 +73,23 @@ def test_daily_feedback_drops_late_votes(spark, tmp_path):
     assert run() == {T0: (1, 1)}
     put(spark, folder, [(4, T0 + 2 * MIN, 1)], schema)
     assert run() == {T0: (1, 1)}
+
+
+@pytest.mark.parametrize("parts", [0, 3])
+def test_tables_in_many_files_are_streamed_whole(spark, tmp_path, parts):
+    """A table is one file or a folder of files; registered streams read all of it."""
+    from provena.plans import streams
+
+    docs = [(i, f"text of {i} " * 200, "en", f"src{i % 3}", len(f"text of {i} " * 200)) for i in range(12)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    events = spark.createDataFrame([(i, dt.datetime(2026, 1, 1 + i % 9)) for i in range(20)], "event_id long, ts timestamp_ntz")
+    for name, df in (("documents", docs), ("events", events)):
+        path = tmp_path / f"{name}.parquet"
+        df.repartition(max(parts, 1)).write.parquet(str(path if parts else tmp_path / name))
+        if not parts:
+            shutil.copy(next((tmp_path / name).glob("*.parquet")), path)
+    sf = str(tmp_path)
+    want = chunk_documents(docs).join(docs.where("n_chars % 13 <> 0").select("doc_id"), "doc_id").select("chunk_id")
+    got = streams.stream_ingest_chunks(spark, sf).select("chunk_id")
+    assert sorted(r[0] for r in got.collect()) == sorted(r[0] for r in want.collect()) != []
+    assert streams.drain(spark, streams.event_stream(spark, sf)).count() == 20

@@ -30,7 +30,7 @@ METHODS = ("text", "vector", "hybrid")
 COUNTRY_KEYWORDS = {"KE": "kenya", "UG": "uganda", "TZ": "tanzania", "ET": "ethiopia", "RW": "rwanda"}
 
 # Part of every fingerprint: changes when the tables of an index change.
-INDEX_FORMAT = 4
+INDEX_FORMAT = 5
 # Excluded documents that are broadcast: eight bytes each.
 MAX_EXCLUDED = 2_000_000
 # Queries sent to the tasks at a time; larger batches are searched block by block.
@@ -79,7 +79,7 @@ def text_leg(index: ChunkIndex, qterms: Sequence[DataFrame], k: int, excluded: D
         excluded = excluded.select("doc_id").distinct()
         if excluded.limit(MAX_EXCLUDED + 1).count() > MAX_EXCLUDED:
             # too many to travel: the index is made anew without them
-            blocks, excluded = written_table(im.blocks(index.searchable(excluded), index.n_chunks)), None
+            blocks, excluded = written_table(im.blocks(index.searchable(excluded))), None
     return union_all([im.search(blocks, block, k, excluded) for block in qterms])
 
 
@@ -133,22 +133,17 @@ class ChunkIndex:
 
     def __init__(self, chunks: DataFrame, n_chunks: Column, dim: int = ix.VECTOR_DIM):
         self.dim = dim
-        post = ix.postings(chunks)
         self.n_chunks = n_chunks
-        self._post = post
-        self.stats = ix.term_stats(post, n_chunks, dim)
+        self._chunks = chunks
+        self.stats = ix.with_idf(ix.count_terms(chunks), n_chunks, dim)
         self.rows: DataFrame | None = None
         self.inverted: DataFrame | None = None
         self.vectors: cl.VectorIndex | None = None
 
-    def weighted(self) -> DataFrame:
-        """Weighted postings, partitioned by chunk: a long document is many of them."""
-        return ix.weigh(self._post, self.stats, self.n_chunks).repartition("chunk_id")
-
     def build(self) -> ChunkIndex:
         self.stats = written_table(self.stats)
-        self.rows = written_table(ix.index_rows(self.weighted(), self.dim))
-        self.inverted = written_table(im.blocks(self.rows, self.n_chunks))
+        self.rows = written_table(ix.chunk_rows(self._chunks, self.stats, self.n_chunks, self.dim))
+        self.inverted = written_table(im.blocks(self.rows))
         self.vectors = cl.VectorIndex.build(self._vectors(), "chunk_id", ("doc_id",))
         return self
 
@@ -157,15 +152,15 @@ class ChunkIndex:
 
     def store(self, path: str) -> ChunkIndex:
         """Write all tables of the index below ``path``."""
-        spark = self._post.sparkSession
+        spark = self._chunks.sparkSession
 
         def stored(df: DataFrame, name: str) -> DataFrame:
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
+            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
             return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
         self.stats = stored(self.stats, "stats")
-        self.rows = stored(ix.index_rows(self.weighted(), self.dim), "rows")
-        self.inverted = stored(im.blocks(self.rows, self.n_chunks), "inverted")
+        self.rows = stored(ix.chunk_rows(self._chunks, self.stats, self.n_chunks, self.dim), "rows")
+        self.inverted = stored(im.blocks(self.rows), "inverted")
         self.vectors = cl.VectorIndex.build(self._vectors(), "chunk_id", ("doc_id",), write=lambda df: stored(df, "vectors"))
         # at most ``MAX_CENTRES`` rows
         centres = [(c.tolist(),) for c in self.vectors.centres]
@@ -173,7 +168,7 @@ class ChunkIndex:
         return self
 
     def load(self, path: str) -> ChunkIndex:
-        spark = self._post.sparkSession
+        spark = self._chunks.sparkSession
         self.stats = spark.read.schema(self.stats.schema).parquet(f"{path}/stats")
         self.rows = spark.read.parquet(f"{path}/rows")
         self.inverted = spark.read.parquet(f"{path}/inverted")

@@ -9,6 +9,7 @@ from provena.operators import index as ix
 from provena.operators import search as se
 from provena.operators.chunking import chunk_total
 from provena.plans import common as c
+from provena.session import written_table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -46,12 +47,8 @@ def chunk_windows(spark, sf):
 def tfidf_postings(spark, sf):
     """The keyword index by term: document and collection frequency, idf and the sum of normalized weights."""
     n = chunk_total(c.table(spark, sf, "documents"))
-    post = ix.postings(c.chunks(spark, sf))
-    rows = ix.forward_index(ix.weigh(post, ix.term_stats(post, n), n).repartition("doc_id"))
-    t = rows.select("norm", F.explode("terms").alias("t")).select(
-        F.col("t.term").alias("term"), F.col("t.tf").alias("tf"), (F.col("t.w") / F.col("norm")).alias("u")
-    )
-    agg = t.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.sum("u").alias("mass"))
+    chunks = c.chunks(spark, sf)
+    agg = ix.term_masses(chunks, written_table(ix.count_terms(chunks)), n)
     return agg.select(
         "term", "df", "cf", F.round(ix.idf(F.col("df"), n), 6).alias("idf"), F.round("mass", 6).alias("mass")
     )
@@ -101,8 +98,7 @@ def vector_search_topk(spark, sf):
     SELECT chunk_id, CAST(bucket AS INTEGER) AS bucket, round(v, 6) AS value FROM hashed""",
 )
 def hashed_vectors(spark, sf):
-    w = c.corpus_index(spark, sf).weighted()
-    return ix.hashed_entries(w, ["doc_id", "chunk_id"]).select("chunk_id", "bucket", F.round("value", 6).alias("value"))
+    return ix.bucket_sums(c.corpus_index(spark, sf).searchable()).withColumn("value", F.round("value", 6))
 
 
 @register(

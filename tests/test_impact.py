@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from provena.operators import impact as im
 from provena.operators import index as ix
 from provena.operators import search as se
+from provena.operators.chunking import chunk_documents
 from provena.plans import common as c
 
 SF = "/root/testdata/sf0.01"
@@ -76,6 +77,25 @@ def test_a_long_document_is_many_blocks(spark):
     assert index.inverted.count() >= 20 and index.inverted.agg(F.max(F.size("ids"))).first()[0] <= 6 * im.BLOCK_CHUNKS
 
 
+def test_no_posting_is_shuffled_and_both_ways_agree(spark, monkeypatch):
+    """Chunks are weighed where they are read; where the counts are too many to travel, the shuffled postings give the same rows."""
+    docs = c.table(spark, SF, "documents").where("doc_id < 300")
+    index = se.index_documents(docs).build()
+    known = ix.term_dictionary(index.stats)
+    assert "Exchange" not in ix.weighed_rows(chunk_documents(docs), known, 1)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(ix, "MAX_TERMS", 10)
+    assert ix.term_dictionary(index.stats) is None
+    plain = se.index_documents(docs).build()
+
+    def rows(i):
+        out = {}
+        for r in i.rows.collect():
+            out[r["chunk_id"]] = (sorted((t, round(w, 9)) for t, w in zip(r["terms"], r["weights"])), round(r["norm"], 9), [round(v, 6) + 0.0 for v in r["vec"]])
+        return out
+
+    assert rows(index) == rows(plain) != {}
+
+
 def test_an_empty_index_and_no_queries(spark):
     docs = spark.createDataFrame([(1, ""), (2, None)], "doc_id long, text string")
     index = se.index_documents(docs).build()

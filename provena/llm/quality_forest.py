@@ -1,8 +1,8 @@
 """Quality rules: an isolation forest on the statistics that text rules look at.
 
-Each document is a row of rule statistics, counted over its whole text in Arrow batches. Trees of random splits over a
-bounded sample of documents give each row a mean path length: rows that few splits set apart are anomalous. Labelled
-rows decide how short a path is too short.
+Each document is a row of rule statistics, counted over its whole text in Arrow batches. Trees of random splits, each over a
+few documents, give each row a mean path length: rows that few splits set apart are anomalous. All labelled rows decide how
+short a path is too short.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provena.llm.common import hash_sample
 from provena.llm.kernels import SPACE, Words, mix, pieces, shingle_hashes, utf8
+from provena.session import written_table
 
 #: Characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -228,22 +228,43 @@ def base_failed(n_words: str = "n_words", n_repeat_words: str = "n_repeat_words"
     return (F.col(n_words) < 50) | (100 * F.col(n_repeat_words) > 50 * F.col(n_words))
 
 
-def features_of(docs: DataFrame, *others: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """The features of a bounded number of rows and further numeric columns, brought to the driver: ten numbers a row."""
-    names = list(others)
+def features_of(docs: DataFrame) -> DataFrame:
+    """(k, x) of every row (k, text) that the fixed rules do not reject: ten numbers a row, counted where the text is read."""
+    schema = T.StructType([docs.schema["k"], T.StructField("x", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, x = statistics(batch.column(0))
+            counts, x = statistics(batch.column(1))
             use = (counts[:, 0] >= 50) & (100 * counts[:, 4] <= 50 * counts[:, 0])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(x[use]), pa.list_(pa.float64())), *(c.filter(pa.array(use)) for c in batch.columns[1:])], names=["x", *names]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(use)), pa.array(list(x[use]), pa.list_(pa.float64()))], names=["k", "x"])
 
-    schema = "x array<double>" + "".join(f", {n} {docs.schema[n].dataType.simpleString()}" for n in names)
-    got = docs.select("text", *names).mapInArrow(run, schema).toArrow()
-    flat = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False) if got.num_rows else np.zeros(0)
-    return flat.reshape(got.num_rows, len(FEATURES)), {n: got.column(n).to_numpy() for n in names}
+    return docs.select("k", "text").mapInArrow(run, schema)
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), len(FEATURES))
+
+
+def order_statistic(values: DataFrame, column: str, at: int) -> float:
+    """Value number ``at`` (from 0, ascending) of a column of doubles that are not negative.
+
+    Such doubles are ordered as their bits are. They are counted by leading bits, sixteen more in each round, so that at most
+    65,536 counts reach the driver.
+    """
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(batch.column(0).to_numpy()).view(np.int64))], names=["b"])
+
+    rows, known = written_table(values.select(column).mapInArrow(bits, "b long")), 0
+    for shift in (48, 32, 16, 0):
+        counts = rows.groupBy(F.shiftright("b", shift).alias("v")).agg(F.count(F.lit(1)).alias("n")).collect()
+        for known, n in sorted(tuple(r) for r in counts):
+            if at < n:
+                break
+            at -= n
+        rows = rows.where(F.shiftright("b", shift) == known)
+    return float(np.array(known, np.int64).view(np.float64))
 
 
 def train(
@@ -259,24 +280,34 @@ def train(
     loss: float = 0.003,
     seed: int = 0,
 ) -> QualityRules:
-    """Grow a forest and calibrate its threshold, both on bounded samples of labelled documents.
+    """Grow a forest and calibrate its threshold on all labelled documents.
 
-    At most ``rows`` labelled keys of each class (``label`` 1 good, 0 bad) are drawn by a hash of the key. The trees are
-    grown over the good ones, in the box that all drawn rows span, so that a path says how far a text is from them. The threshold lies above all
-    but the share ``loss`` of the good ones. Rows that the fixed rules reject teach nothing. A key labelled more than once counts as bad if any row says so; null keys and labels are no examples. Without good
+    Rows that the fixed rules reject teach nothing. The box that all labelled rows span (``label`` 1 good, 0 bad) bounds the
+    trees, so that a path says how far a text is from the good ones. A tree of an isolation forest sees ``tree_rows`` rows; they
+    are drawn from ``rows`` good ones chosen by a hash of the key. The threshold lies above all but the share ``loss`` of all
+    good rows. A key labelled more than once counts as bad if any row says so; null keys and labels are no examples. Without good
     examples nothing is an anomaly.
     """
     given = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1))
     given = given.groupBy(F.col(key).alias("k")).agg(F.min(label).cast("int").alias("y"))
-    sample = hash_sample(given, "k", "y", (0, 1), rows)
-    # At most 2 * rows keys are broadcast; a text is read where it lies.
-    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(sample), "k").dropDuplicates(["k"])
-    x, extra = features_of(texts, "k", "y")
-    by = np.argsort(extra["k"], kind="stable")
-    x = x[by]
-    good = x[extra["y"][by] == 1]
-    if len(good) == 0:
-        return QualityRules(grow(good, good, good, 0, 0, 0, seed), np.inf)
-    forest = grow(good, x.min(0), x.max(0), trees, tree_rows, depth, seed)
-    own = np.sort(forest.score(good))
-    return QualityRules(forest, float(np.nextafter(own[int((1 - loss) * (len(own) - 1))], 2.0)))
+    # The text stays where it is read; ten numbers a row meet the labels.
+    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).where("k is not null")
+    rated = written_table(features_of(texts).join(given, "k").dropDuplicates(["k"]))
+    ends = [f(F.col("x")[i]) for f in (F.min, F.max) for i in range(len(FEATURES))]
+    n_good, *box = rated.agg(F.count_if(F.col("y") == 1), *ends).first()
+    if n_good == 0:
+        none = np.zeros((0, len(FEATURES)))
+        return QualityRules(grow(none, none, none, 0, 0, 0, seed), np.inf)
+    good = rated.where("y = 1")
+    drawn = good.orderBy(F.xxhash64(F.lit("forest"), "k"), "k").limit(rows).select("k", "x").toArrow().sort_by("k")
+    low, high = np.array(box, float).reshape(2, -1)
+    forest = grow(matrix(drawn.column("x").combine_chunks()), low, high, trees, tree_rows, depth, seed)
+    model = docs.sparkSession.sparkContext.broadcast((forest.feature, forest.value, forest.left, forest.path, forest.roots, forest.rows))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = IsolationForest(*model.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(own.score(matrix(batch.column(0))))], names=["score"])
+
+    least = order_statistic(good.select("x").mapInArrow(score, "score double"), "score", int((1 - loss) * (n_good - 1)))
+    return QualityRules(forest, float(np.nextafter(least, 2.0)))

@@ -93,3 +93,20 @@ def test_odd_rows_and_labels(spark, labels):
     rows = qf.train(docs, y).judge(docs).collect()
     assert sorted((r["key"] is None, r["n_words"]) for r in rows) == sorted((i % 3 == 0, plain(t)[0]) for i, t in enumerate(ODD + ODD))
     assert qf.train(docs.limit(0), y).judge(docs.limit(0)).count() == 0
+
+
+def test_all_good_rows_set_the_threshold(spark):
+    """However few rows the trees are drawn from, no loss means that every labelled good row stays."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    judged = qf.train(docs, labels, rows=20, trees=20, loss=0.0).judge(docs).where(~qf.base_failed())
+    good = labels.groupBy("doc_id").agg(F.min("quality").alias("y")).where("y = 1")
+    rows = judged.join(good, judged["key"] == good["doc_id"]).select("typical").collect()
+    assert len(rows) > 50 and all(r["typical"] for r in rows)
+
+
+def test_order_statistic(spark):
+    rng = np.random.default_rng(0)
+    values = np.concatenate([rng.random(500), np.full(40, 0.5), [0.0, 1.0]])
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    for at in (0, 3, 260, 540, 541):
+        assert qf.order_statistic(df, "v", at) == np.sort(values)[at]

@@ -55,7 +55,8 @@ class LineDedup:
         """
         docs = docs.drop(removed)
         row = F.xxhash64(F.col(key).isNull(), F.col(key), text)
-        spans = self.repeated(docs.select(row.alias("row"), F.col(key).alias("key"), F.col(text).alias("text")))
+        # written, so that what was shuffled for it is gone before the texts are
+        spans = written_table(self.repeated(docs.select(row.alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))))
         # All columns travel in one struct, so that no name of theirs can meet one of these.
         whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), row.alias("row"), F.col(key).alias("key"))
         spans = spans.select(F.col("row").alias("cut_row"), F.col("key").alias("cut_key"), "spans")

@@ -6,9 +6,10 @@ classes are compared.
 1. Two sets with Jaccard similarity t or more share one of the first ``n - ceil(t n) + 1`` shingles of each in any common
    order. Shingles that many documents hold come last in that order (a count over the whole corpus finds them), the rest
    follow their hash. Each class lists itself under these shingles.
-2. A shingle and a size band make a tile: a band spans a factor 1/t of set sizes, so a class meets its own band and the
-   next. A tile with many classes is cut into blocks, and pairs of blocks are tiles of their own.
-3. In a tile, bit counts of the classes' bitmaps bound each pair's overlap from above. Classes without any partner left are
+2. Shingles that the same classes list, as those of a shared passage, count as one. A shingle and a size band make a tile: a
+   band spans a factor 1/t of set sizes, so a class meets its own band and the next. A tile with many classes is cut into
+   blocks, and pairs of blocks are tiles of their own.
+3. In a tile, bit counts of the classes' bitmaps, which are as long as the sets are large, bound each pair's overlap from above. Classes without any partner left are
    dropped before arrays are made. Of the pairs that may link, a tile hands on a spanning forest, never all pairs; these are intersected exactly as sorted arrays, and links merge
    components. Tiles whose classes still lie in different components are gone through again, without the pairs found
    wanting and with more pairs a row, until no tile has a pair left that may link. Every pair is thus linked, refuted by its bits or its arrays, or
@@ -35,7 +36,7 @@ from provena.session import written_table
 class JaccardJoin:
     """Link where ``overlap * den >= union * num``. The other parameters change the work, not the result.
 
-    bits: bits of a bitmap. heavy_share: a shingle held by a larger share of the documents is ranked last. block: classes of
+    bits: least bits of a bitmap, a power of two. heavy_share: a shingle held by a larger share of the documents is ranked last. block: classes of
     a tile beyond which it is cut into blocks. first_keys: leading shingles whose tiles are gone through first.
     """
 
@@ -160,15 +161,12 @@ class JaccardJoin:
                     n = np.diff(cuts)
                     total = np.concatenate([[U64(0)], np.cumsum(mix(h ^ U64(0xA24BAED4963EE407)))])
                     name = mix((total[cuts[1:]] - total[cuts[:-1]]) ^ n.astype(U64))
-                    bit = (h % U64(bits)).astype(np.int64)
                     out = []
                     for i in range(b - a):
                         if arrays:
                             out.append(h[cuts[i] : cuts[i + 1]].tobytes())
                             continue
-                        flags = np.zeros(bits, np.uint8)
-                        flags[bit[cuts[i] : cuts[i + 1]]] = 1
-                        out.append(np.packbits(flags).tobytes())
+                        out.append(parities(h[cuts[i] : cuts[i + 1]], bits).tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array(signed(name)), pa.array(out, pa.binary())], names=["set", "bits"])
 
         keys = broadcast_if_small(wanted.where("key is not null").select("key"), 1_000_000)
@@ -210,6 +208,19 @@ class JaccardJoin:
         dealt = each.select("shingle", "set", "n", "place").repartition(F.col("shingle")).sortWithinPartitions("shingle", "n", "set")
         return dealt.mapInArrow(meeting, "shingle long, set long, n int, place int")
 
+    @staticmethod
+    def _once(meeting: DataFrame) -> DataFrame:
+        """``meeting`` with one shingle for all those that the same classes list; the classes' hashes tell these apart.
+
+        The tiles of two such shingles are equal. Two documents that share a long passage would meet under each shingle of it.
+        """
+        who = meeting.groupBy("shingle").agg(
+            F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64("set")).alias("_x"), F.bit_xor(F.xxhash64(F.lit(1), "set")).alias("_y"),
+            F.min("place").alias("place"),
+        )
+        one = who.groupBy("_n", "_x", "_y").agg(F.min(F.struct("place", "shingle")).alias("_one"))
+        return meeting.join(one.select(F.col("_one.shingle").alias("shingle")), "shingle", "left_semi")
+
     def _tiles(self, rows: DataFrame) -> DataFrame:
         """Rows (shingle, n, ...) once for each tile they belong to: their band and the next, cut into pairs of blocks."""
         band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(self.den / self.num)) + F.lit(1e-9)).cast("int")
@@ -235,13 +246,13 @@ class JaccardJoin:
             for tiles, starts in whole_runs(batches, keys):
                 n, name = tiles.column("n").to_numpy().astype(np.int64), tiles.column("set").to_numpy()
                 home = np.asarray(tiles.column("home")).astype(bool)
-                bits = utf8(tiles.column("bitmap"))[0].view(U64).reshape(len(n), -1)
+                maps = utf8(tiles.column("bitmap"))
                 first = starts[:-1]
                 open_ = (np.diff(starts) > 1) & np.logical_or.reduceat(home, first)
                 found = [np.zeros(0, np.int64)]
                 for t in np.flatnonzero(open_):
                     r = slice(int(starts[t]), int(starts[t + 1]))
-                    found.append(name[r][partnered(n[r], home[r], bits[r], num, den)])
+                    found.append(name[r][partnered(n[r], home[r], folded(*maps, r), num, den)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))], names=["set"])
 
         columns = ["shingle", "band", F.col("part.i").alias("i"), F.col("part.j").alias("j"), "n", "set", "home", "bitmap"]
@@ -258,15 +269,14 @@ class JaccardJoin:
                 n = tiles.column("n").to_numpy().astype(np.int64)
                 name, group = tiles.column("set").to_numpy(), tiles.column("component").to_numpy()
                 home = np.asarray(tiles.column("home")).astype(bool)
-                maps, _ = utf8(tiles.column("bitmap"))
-                bits = maps.view(U64).reshape(len(n), -1)
+                maps = utf8(tiles.column("bitmap"))
                 refuted = tiles.column("refuted")
                 first = starts[:-1]
                 open_ = (np.minimum.reduceat(group, first) != np.maximum.reduceat(group, first)) & np.logical_or.reduceat(home, first)
                 left, right = [], []
                 for t in np.flatnonzero(open_):
                     r = slice(int(starts[t]), int(starts[t + 1]))
-                    a, b = spanning(n[r], name[r], group[r], home[r], bits[r], refuted[r].to_pylist(), num, den, quota)
+                    a, b = spanning(n[r], name[r], group[r], home[r], folded(*maps, r), refuted[r].to_pylist(), num, den, quota)
                     left += a
                     right += b
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
@@ -300,7 +310,7 @@ class JaccardJoin:
 
     def _links(self, docs: DataFrame, listed: DataFrame) -> DataFrame:
         """(node, component) of the classes that have a link."""
-        meeting = written_table(self._meeting(listed))
+        meeting = written_table(self._once(written_table(self._meeting(listed))))
         wanted = written_table(self._keyed(listed, meeting.select("set").distinct()))
         bitmaps = written_table(self._signatures(docs, wanted, arrays=False)).withColumnRenamed("bits", "bitmap")
         # Most classes meet others in a shared passage only; bitmaps tell these apart from what may link.
@@ -335,6 +345,30 @@ class JaccardJoin:
             refuted = refuted.unionAll(both.select("a", "b")).unionAll(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
+def parities(h: np.ndarray, least: int) -> np.ndarray:
+    """Bitmap of a set: whether an odd number of its hashes have a remainder, for each remainder of a power of two.
+
+    There are as many bits as elements at least: in a shorter one, the maps of large sets differ in too few bits to refute
+    any pair. Its halves, xor-ed, are the bitmap of half as many bits.
+    """
+    bits = max(least, 1 << (len(h) - 1).bit_length())
+    return np.packbits((np.bincount((h & U64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8))
+
+
+def folded(data: np.ndarray, offsets: np.ndarray, rows: slice) -> np.ndarray:
+    """The bitmaps of some rows as 64-bit numbers, all as long as the shortest."""
+    start, width = offsets[rows.start : rows.stop], np.diff(offsets[rows.start : rows.stop + 1])
+    least = int(width.min())
+    out = np.empty((len(width), least // 8), U64)
+    for w in np.unique(width):
+        at = np.flatnonzero(width == w)
+        maps = data[start[at][:, None] + np.arange(w)].view(U64)
+        while maps.shape[1] > least // 8:
+            maps = maps[:, : maps.shape[1] // 2] ^ maps[:, maps.shape[1] // 2 :]
+        out[at] = maps
+    return out
+
+
 def partnered(n: np.ndarray, home: np.ndarray, bits: np.ndarray, num: int, den: int) -> np.ndarray:
     """Rows of a tile, which come by size, that may link with another one; see ``spanning`` for the bound."""
     marked = np.zeros(len(n), bool)

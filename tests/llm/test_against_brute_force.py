@@ -12,7 +12,7 @@ from provena.llm import queries as q
 from provena.llm.common import components, held_out
 from provena.llm.kernels import PUNCT, Words
 from provena.llm.mixing import inverse, permuted
-from provena.llm.ngram_join import JaccardJoin
+from provena.llm.ngram_join import JaccardJoin, folded, parities, partnered
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -74,6 +74,29 @@ def test_ngram_join_on_a_family_of_near_copies(spark):
         assert got == {i: (len(sets[i]), top[i]) for i in sets}
 
 
+def test_bitmaps_of_large_sets_tell_pairs_apart_in_few_tiles(spark):
+    rng = np.random.default_rng(4)
+    one, two = (np.unique(rng.integers(0, 1 << 63, 3000).astype(np.uint64)) for _ in range(2))
+    half = np.unique(np.concatenate([one[:1500], two[:1500]]))
+    large = np.unique(np.concatenate([one, rng.integers(0, 1 << 63, 1500).astype(np.uint64)]))
+    sets = [one, half, two, np.unique(np.append(one[5:], two[:3])), large]
+    sets.sort(key=len)
+    maps = [parities(x, 64) for x in sets]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in maps])])
+    bits = folded(np.concatenate(maps), offsets, slice(0, len(maps)))
+    assert bits.shape == (5, 4096 // 64) and max(map(len, maps)) == 8192 // 8
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):  # no bit differs without an element of one set alone
+            assert np.bitwise_count(bits[i] ^ bits[j]).sum() <= len(np.setxor1d(x, y))
+    got = partnered(np.array([len(x) for x in sets]), np.ones(5, bool), bits, 75, 100)
+    near = [any(i != j and len(np.intersect1d(x, y)) * 100 >= len(np.union1d(x, y)) * 75 for j, y in enumerate(sets)) for i, x in enumerate(sets)]
+    assert got.tolist() == near and sum(near) == 2
+    # a passage that two documents share is one meeting
+    rows = [(s, c, 900, k) for k, s in enumerate(range(50)) for c in (1, 2)] + [(50, c, 900, 7) for c in (1, 2, 3)]
+    met = JaccardJoin._once(spark.createDataFrame(rows, "shingle long, set long, n int, place int"))
+    assert sorted((r["shingle"], r["set"], r["place"]) for r in met.collect()) == [(0, 1, 0), (0, 2, 0), (50, 1, 7), (50, 2, 7), (50, 3, 7)]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(900, 901), (902, 901)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}

@@ -86,7 +86,7 @@ def _block(data: np.ndarray, offsets: np.ndarray, lang: str, salt: int) -> pa.Re
 def staged(blocks: DataFrame) -> DataFrame:
     """``blocks`` as a written table of small row groups."""
     path = f"{shared_folder(blocks.sparkSession)}/tables/{uuid.uuid4().hex}"
-    groups = {"parquet.block.row.count.limit": GROUP_BLOCKS, "parquet.page.size.row.check.min": 1}
+    groups = {"parquet.block.row.count.limit": GROUP_BLOCKS, "parquet.page.size.row.check.min": 1, "compression": "zstd"}
     blocks.write.options(**groups).parquet(path)
     return blocks.sparkSession.read.schema(BLOCKS).parquet(path)
 
@@ -153,8 +153,8 @@ def names_of(blocks: DataFrame, frequent: Bitmap) -> DataFrame:
     return blocks.select("lang", "ids", "words").mapInArrow(run, "id long, lang string, word string")
 
 
-def pair_counts(blocks: DataFrame, frequent: Bitmap) -> DataFrame:
-    """(i1, i2, c) of the pairs of words that may be frequent, summed by block."""
+def pair_counts(blocks: DataFrame, frequent: Bitmap, part: int = 0, parts: int = 1) -> DataFrame:
+    """(i1, i2, c) of the pairs of words that may be frequent, summed by block; of one of ``parts`` parts by the words' hashes."""
     model = blocks.sparkSession.sparkContext.broadcast((frequent.words, frequent.bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +162,8 @@ def pair_counts(blocks: DataFrame, frequent: Bitmap) -> DataFrame:
         for b in batches:
             for ids, codes in zip(_flat(b.column("ids")), _flat(b.column("codes")), strict=True):
                 use = np.concatenate([[False], bitmap.may_hold(ids)])[codes]
-                both = np.flatnonzero(use[:-1] & use[1:])
+                own = np.concatenate([[0], ids])[codes]
+                both = np.flatnonzero(use[:-1] & use[1:] & ((own[:-1] ^ own[1:]) % parts == part))
                 key = (codes[both].astype(np.int64) - 1) * len(ids) + codes[both + 1] - 1
                 key, count = np.unique(key, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[key // len(ids)]), pa.array(ids[key % len(ids)]), pa.array(count)], names=["i1", "i2", "c"])
@@ -263,7 +264,8 @@ class Collocations:
 
     ``least`` occurrences make a candidate; one inside a longer candidate with at least ``share`` percent of its
     occurrences is dropped. ``batch`` prefixes are expanded at a time, over all languages; more take more rounds. ``bits`` is the
-    length of the bitmap of frequent words, in powers of two.
+    length of the bitmap of frequent words, in powers of two. Pairs are counted in ``parts`` parts, prefixes expanded in half as many, each
+    a pass over the blocks: the disk holds the shuffle files of one part.
     """
 
     limit: int = 2000
@@ -271,6 +273,7 @@ class Collocations:
     share: int = 80
     batch: int = 1 << 18
     bits: int = 24
+    parts: int = 4
 
     def mine(self, docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
         """(lang, rank, phrase, a, l, r, n, score) of each language's first ``limit`` phrases; ties go by ``a``, then by phrase.
@@ -294,7 +297,10 @@ class Collocations:
         words = words.select("id", F.col("least.lang").alias("lang"), F.col("least.word").alias("word"), "f")
         n = F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)
         total = written_table(blocks.groupBy("lang").agg(F.sum(n).alias("n")))
-        counted = pair_counts(blocks, frequent).groupBy("i1", "i2").agg(F.sum("c").alias("f")).where(F.col("f") >= self.least)
+        counted = reduce(DataFrame.unionAll, [
+            written_table(pair_counts(blocks, frequent, k, self.parts).groupBy("i1", "i2").agg(F.sum("c").alias("f")).where(F.col("f") >= self.least))
+            for k in range(self.parts)
+        ])
         first = words.select(F.col("id").alias("i1"), "lang", F.col("f").alias("f1"))
         pairs = written_table(counted.join(first, "i1").join(words.select(F.col("id").alias("i2"), F.col("f").alias("f2")), "i2"))
         best, floor = self._grow(blocks, pairs, frequent, total.count())
@@ -334,8 +340,11 @@ class Collocations:
             ids = np.stack([got.column(c).to_numpy() for c in NODE], axis=1)
             table = written_table(spark.createDataFrame(got.drop_columns("both").append_column("node", pa.array(np.arange(len(ids))))))
             both = got.column("both").to_numpy(zero_copy_only=False)
-            grown = extensions(blocks, ids, both, frequent).groupBy("node", "side", "next").agg(F.sum("c").alias("c")).where(F.col("c") >= self.least)
-            found.append(written_table(table.join(grown, "node").drop("node")))
+            parts = max(self.parts // 2, 1)
+            for k in range(min(parts, len(ids))):
+                grown = extensions(blocks, ids[k::parts], both[k::parts], frequent).groupBy("node", "side", "next").agg(F.sum("c").alias("c"))
+                grown = grown.where(F.col("c") >= self.least).withColumn("node", F.col("node") * parts + k)
+                found.append(written_table(table.join(grown, "node").drop("node")))
             expanded.append(table.drop("node"))
             width = min(8 * width, most)
 

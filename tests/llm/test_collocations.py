@@ -137,3 +137,13 @@ def test_matcher_finds_every_occurrence():
         if [words[c] for c in codes[t : t + (2 if n[2] == 0 else 3)]] == [x for x in n if x]
     )
     assert found == want
+
+
+def test_parts_share_out_the_counts(spark):
+    """No row of counts is in two parts or in none, and no part holds most of them."""
+    docs = spark.createDataFrame(corpus(5, 200, 200, ["a", "b"]), "lang string, text string")
+    blocks = collocations.staged(collocations.encoded(docs, "lang", "text")).cache()
+    every = collocations.Bitmap(np.full(1 << 9, 255, np.uint8), 12)
+    whole = sorted(collocations.pair_counts(blocks, every).collect())
+    parts = [collocations.pair_counts(blocks, every, k, 4).collect() for k in range(4)]
+    assert sorted(sum(parts, [])) == whole and max(map(len, parts)) < 0.4 * len(whole)

@@ -8,16 +8,15 @@
    corpus, so that the space keeps what tells items apart. The driver sees only the terms x rank product.
 3. Documents are read in overlapping windows. The ladder of window lengths follows the items: an item always lies whole in
    some window of which it is more than a half. A window whose terms carry too little of its TF-IDF mass cannot reach the
-   least cosine and is passed over; all others are compared with the items in the latent space. A term adds the same to the
-   cosine wherever it stands, so windows are differences of running sums of the terms' parts.
-4. A candidate that holds too few words of the item for the overlap, in any order, is dropped; that loses nothing. It is
-   contamination if enough of the item stands in the window in order (longest common subsequence) and if its
+   least cosine and is passed over, and so is, for one item, a window that holds too few words of the item for the overlap, in
+   any order; that loses nothing. All others are compared with the item in the latent space.
+4. A candidate is contamination if enough of the item stands in the window in order (longest common subsequence) and if its
    answer, the end of the item or a column of its own, does too.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -130,12 +129,12 @@ class Decontamination:
                     around = mix(mix(before) + U64(3) * mix(after + U64(1)))
                     held.append((around & ~U64(low)) | t.astype(U64))
                     if sum(map(len, held)) > 1_000_000:
-                        held = [np.unique(np.concatenate(held))]
+                        held = [distinct(np.concatenate(held))]
                         if len(held[0]) > 500_000:
                             yield pairs(held[0], 1)
                             held = [np.zeros(0, U64)]
                 n += batch.num_rows
-            yield pairs(np.unique(np.concatenate(held)), 1)
+            yield pairs(distinct(np.concatenate(held)), 1)
             yield pairs(np.array([-1]), n)
 
         def pairs(p: np.ndarray, n: int) -> pa.RecordBatch:
@@ -153,7 +152,11 @@ class Decontamination:
         return np.where(df[:terms] > max(self.common * df[terms], 50), 0.0, idf), rare
 
     def _space(self, docs: DataFrame, bench: Bench, weights: np.ndarray) -> np.ndarray:
-        """terms x rank: an orthonormal basis of the leading right singular space of passages and items."""
+        """terms x rank: an orthonormal basis of the leading right singular space of passages and items.
+
+        A passage holds few of the terms, so a task counts the pairs of terms that its passages hold and multiplies the counts
+        once, at its end: terms x terms numbers of four bytes.
+        """
         terms = bench.terms
         rank = min(self.rank, terms)
         omega = np.random.default_rng(self.seed).normal(size=(terms, min(rank + 8, terms))).astype(np.float32)
@@ -163,7 +166,7 @@ class Decontamination:
 
         def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             vocabulary, term, weight, omega = shared.value
-            out, energy = np.zeros((terms, omega.shape[1])), 0.0
+            together, alone = np.zeros((terms, terms), np.int32), np.zeros(terms, np.int64)
             for batch in batches:
                 data, offsets = utf8(batch.column(0))
                 for a, b in pieces(offsets):
@@ -171,17 +174,17 @@ class Decontamination:
                     at, t = lookup(words.hash, vocabulary, term)
                     heavy = weight[t] > 0
                     at, t = at[heavy], t[heavy]
-                    if not len(at):
-                        continue
                     # a passage is a stretch of 64 words of one document
                     passage = (at - words.first[words.doc[at]]) // step + words.doc[at] * (1 << 32)
-                    first = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
-                    y = np.add.reduceat(omega[t] * weight[t][:, None], first)
-                    energy += float((weight[t] ** 2).sum())
-                    order = np.argsort(t, kind="stable")
-                    of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(t))))
-                    begin = np.flatnonzero(np.append(True, np.diff(t[order]) != 0))
-                    out[t[order][begin]] += np.add.reduceat(y[of[order]] * weight[t[order]][:, None], begin)
+                    alone += np.bincount(t, minlength=terms)
+                    count_pairs(together, t, passage)
+            scaled, w = omega * weight[:, None], weight.astype(np.float64)
+            energy = float((alone * w**2).sum())
+            out = np.zeros((terms, omega.shape[1]))
+            for i in range(0, terms, 512):
+                rows = together[i : i + 512] + together[:, i : i + 512].T
+                out[i : i + 512] = rows.astype(np.float32) @ scaled
+            out = (out + alone[:, None] * scaled) * w[:, None]
             out = out.astype(np.float32)  # a task's sum travels in half the bytes; sums over tasks are taken in double
             parts = [out[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)] + [np.array([energy], np.float32).tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array(range(blocks + 1), pa.int32()), pa.array(parts, pa.binary())], names=["block", "part"])
@@ -242,16 +245,42 @@ def hashed(text: str) -> np.ndarray:
     return Words(raw, np.array([0, len(raw)]), PUNCT).hash
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])[: len(x)]]
+
+
 def lookup(h: np.ndarray, vocabulary: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(positions, terms) of the words that belong to the vocabulary."""
     if not len(vocabulary):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    flag = np.zeros(1 << 20, bool)
-    flag[(vocabulary >> U64(44)).astype(np.int64)] = True
-    at = np.flatnonzero(flag[(h >> U64(44)).astype(np.int64)])
-    place = np.minimum(np.searchsorted(vocabulary, h[at]), len(vocabulary) - 1)
-    hit = vocabulary[place] == h[at]
-    return at[hit], term[place[hit]]
+    # words are found by the first 16 bits of their hash; those of the vocabulary that share them stand side by side
+    cuts = np.searchsorted(vocabulary, np.arange(1 << 16).astype(U64) << U64(48))
+    size = np.diff(np.append(cuts, len(vocabulary)))
+    head = (h >> U64(48)).astype(np.uint16)
+    place, hit = np.full(len(h), -1, np.int32), np.flatnonzero((size > 0)[head])
+    for k in range(int(size.max())):
+        if k:
+            hit = hit[size[head[hit]] > k]
+        there = cuts[head[hit]] + k
+        same = vocabulary[there] == h[hit]
+        place[hit[same]] = there[same]
+    at = np.flatnonzero(place >= 0)
+    return at, term[place[at]]
+
+
+def count_pairs(together: np.ndarray, t: np.ndarray, passage: np.ndarray) -> None:
+    """Adds to ``together`` the pairs of different places of a passage, by their terms, the earlier place first."""
+    flat, width = together.reshape(-1), together.shape[1]
+    row = t * width
+    first = np.arange(len(t))
+    for lag in range(1, len(t)):
+        first = first[: np.searchsorted(first, len(t) - lag)]
+        first = first[passage[first] == passage[first + lag]]  # places of a passage stand side by side
+        if not len(first):
+            break
+        np.add.at(flat, row[first] + t[first + lag], np.ones(len(first), flat.dtype))
 
 
 def search(
@@ -273,64 +302,81 @@ def search(
     inside = np.concatenate([[0.0], np.cumsum(mine)])
     heavy = weight[t_every] > 0
     at, t = every[heavy], t_every[heavy]
+    below, below_every = (np.append(0, np.cumsum(np.bincount(x, minlength=n))) for x in (at, every))
     best: dict[tuple[int, int], tuple[float, float]] = {}  # (overlap, cosine)
-    for length in np.unique(scale):
-        which, hop = np.flatnonzero(scale == length), max(int(length) // 8, 1)
-        mine_part, need = np.ascontiguousarray(part[:, which]), np.array([min_overlap * len(sequences[i]) for i in which])
-        # windows begin at every hop of a document
-        starts = np.repeat(words.first[:-1], -(-np.diff(words.first) // hop))
-        doc = words.doc[starts]
-        head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-        starts = starts + (np.arange(len(starts)) - np.repeat(head, np.diff(np.append(head, len(doc))))) * hop
-        ends = np.minimum(starts + length, words.first[doc + 1])
-        norm = total[ends] - total[starts]
-        ok = np.flatnonzero(inside[ends] - inside[starts] >= min_cosine**2 * np.maximum(norm, 1e-12) * (1 - 1e-9))
-        starts, ends, doc, norm = starts[ok], ends[ok], doc[ok], np.sqrt(norm[ok])
-        lo, hi = np.searchsorted(at, starts), np.searchsorted(at, ends)
-        some = np.flatnonzero(hi > lo)
-        # windows of a few thousand words at a time, so that the running sums stay small
-        for block in np.split(some, np.flatnonzero(np.diff(lo[some] // 4096)) + 1):
-            if not len(block):
-                continue
-            begin = lo[block[0]]
-            sums = running(mine_part[t[begin : hi[block].max()]], np.float64)
-            cosine = (sums[hi[block] - begin] - sums[lo[block] - begin]) / np.maximum(norm[block], 1e-12)[:, None]
-            rows, columns = np.nonzero(cosine >= min_cosine)
-            if not len(rows):
-                continue
-            # the sequences are compared two hops beyond the window
-            left = np.maximum(starts[block] - 2 * hop, words.first[doc[block]])
-            right = np.minimum(ends[block] + 2 * hop, words.first[doc[block] + 1])
-            used, column = np.unique(columns, return_inverse=True)
-            lo2, hi2 = np.searchsorted(every, left), np.searchsorted(every, right)
-            begin = lo2[0]
-            held = running(member[which[used]].T[t_every[begin : hi2.max()]], np.int32)
-            enough = held[hi2[rows] - begin, column] - held[lo2[rows] - begin, column] >= need[columns]
-            for r, c in zip(rows[enough].tolist(), columns[enough].tolist(), strict=True):
-                i, d, score = int(which[c]), int(doc[block[r]]), float(cosine[r, c])
-                so_far = best.get((d, i), (0.0, 0.0))
-                if so_far >= (1.0, score):
-                    continue
-                window = words.hash[left[r] : right[r]]
-                name = (i, window.tobytes())
-                if name not in known:
-                    if len(known) > 20_000:
-                        known.clear()
-                    share = common_subsequence(sequences[i], window) / len(sequences[i])
-                    answered = share >= min_overlap and common_subsequence(answers[i], window) >= min_answer * len(answers[i])
-                    known[name] = share if answered else 0.0
-                share = known[name]
-                if share > 0 and (share, score) > so_far:
-                    best[d, i] = (share, score)
+    place = every.astype(np.int32)
+    found = [held_enough(words, place, member[i].take(t_every), int(scale[i]), min_overlap * len(s)) for i, s in enumerate(sequences)]
+    item, starts = np.repeat(np.arange(len(found)), [len(x) for x in found]), np.concatenate([np.zeros(0, np.int64), *found])
+    hop, doc = np.maximum(scale[item] // 8, 1), words.doc[starts]
+    ends = np.minimum(starts + scale[item], words.first[doc + 1])
+    norm = total[ends] - total[starts]
+    lo, hi = below[starts], below[ends]
+    some = np.flatnonzero((hi > lo) & (inside[ends] - inside[starts] >= min_cosine**2 * np.maximum(norm, 1e-12) * (1 - 1e-9)))
+    cosine = np.zeros(len(starts))
+    # windows of about a million terms at a time
+    size = np.cumsum(hi[some] - lo[some])
+    for few in np.split(some, np.flatnonzero(np.diff(size >> 20)) + 1):
+        of, place = ranges(lo[few], hi[few])
+        cosine[few] = np.bincount(of, part[t[place], item[few][of]], len(few)) / np.maximum(np.sqrt(norm[few]), 1e-12)
+    some = some[cosine[some] >= min_cosine]
+    # the sequences are compared two hops beyond the window
+    left, right = np.maximum(starts - 2 * hop, words.first[doc]), np.minimum(ends + 2 * hop, words.first[doc + 1])
+    for r in some.tolist():
+        i, d, score = int(item[r]), int(doc[r]), float(cosine[r])
+        so_far = best.get((d, i), (0.0, 0.0))
+        if so_far >= (1.0, score):
+            continue
+        # only words of the item count for its sequence
+        around = slice(below_every[left[r]], below_every[right[r]])
+        inner = every[around][member[i, t_every[around]]]
+        if len(inner) < min_overlap * len(sequences[i]):
+            continue
+        share = remembered(known, i, words.hash[inner], lambda w: common_subsequence(sequences[i], w) / len(sequences[i]))
+        if share < min_overlap or (share, score) <= so_far:
+            continue
+        answered = remembered(known, ~i, words.hash[left[r] : right[r]], lambda w: common_subsequence(answers[i], w) >= min_answer * len(answers[i]))
+        if share > 0 and answered:
+            best[d, i] = (share, score)
     for (d, i), (share, cosine) in best.items():
         yield d, i, cosine, share
 
 
-def running(x: np.ndarray, kind: type) -> np.ndarray:
-    """Sums of the rows before each row, and of all."""
-    out = np.zeros((len(x) + 1, x.shape[1]), kind)
-    np.cumsum(x, axis=0, dtype=kind, out=out[1:])
-    return out
+def remembered(known: dict, name: int, window: np.ndarray, value: Callable[[np.ndarray], float]) -> float:
+    """``value`` of a window, from ``known`` if it was asked for before under this name."""
+    key = (name, window.tobytes())
+    if key not in known:
+        if len(known) > 20_000:
+            known.clear()
+        known[key] = value(window)
+    return known[key]
+
+
+def held_enough(words: Words, every: np.ndarray, mine: np.ndarray, length: int, need: float) -> np.ndarray:
+    """Starts of the windows, and none but a few others, that hold ``need`` words of an item, with two hops on either side.
+
+    every: places of the words that any item holds; mine: which of these the item holds. Windows begin at every hop of a document.
+    """
+    hop, least = max(length // 8, 1), max(int(np.ceil(need - 1e-9)), 1)
+    place = every.take(np.flatnonzero(mine))
+    close = np.flatnonzero(place[least - 1 :] - place[: max(len(place) - least + 1, 0)] < length + 4 * hop)
+    if not len(close):
+        return close
+    first, last = place[close].astype(np.int64), place[close + least - 1].astype(np.int64)
+    together = words.doc[first] == words.doc[last]
+    first, last = first[together], last[together]
+    begin = words.first[words.doc[first]]
+    # a start lies two hops behind the first word at most, and so far before the last one that the window reaches it
+    lo = -(-np.maximum(last - length - 2 * hop + 1 - begin, 0) // hop)
+    hi = (np.minimum(first + 2 * hop, words.first[words.doc[first] + 1] - 1) - begin) // hop
+    of, k = ranges(lo, np.maximum(hi + 1, lo))
+    return distinct(begin[of] + k * hop)
+
+
+def ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) of all whole numbers from ``lo`` up to ``hi``, which is left out, of each row."""
+    n = hi - lo
+    of = np.repeat(np.arange(len(n)), n)
+    return of, np.arange(len(of)) + np.repeat(lo - np.append(0, np.cumsum(n)[:-1])[: len(n)], n)
 
 
 def common_subsequence(one: np.ndarray, two: np.ndarray) -> int:

@@ -16,7 +16,7 @@ from provena.llm.decontamination import Decontamination
 from provena.llm.line_dedup import LineDedup
 from provena.llm.mixing import Mix
 from provena.llm.ngram_join import JaccardJoin
-from provena.session import written_table
+from provena.session import discard, written_table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,5 +76,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = written_table(stage(spark, docs, sf_dir))
+        before, docs = docs, written_table(stage(spark, docs, sf_dir))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

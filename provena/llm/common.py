@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.session import written_table
+from provena.session import discard, written_table
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -54,7 +54,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over the undirected ``edges`` (a, b), for every node with an edge.
 
     Large-star and small-star alternate: each round hangs the neighbours of a node on its smallest neighbour.
-    Each round is a written table, so a lost executor costs one round; nothing is collected but a checksum.
+    Each round is a written table, so a lost executor costs one round; nothing is collected but a checksum. Only the last one stays.
     """
     def star(e: DataFrame) -> DataFrame:
         return e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
@@ -62,7 +62,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     def checksum(e: DataFrame):
         return e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
 
-    e = written_table(star(edges.select("a", "b")))
+    e = table = written_table(star(edges.select("a", "b")))
     before = checksum(e)
     for _ in range(rounds):
         if before[0] == 0:
@@ -73,9 +73,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         e = star(large)
         least = e.groupBy("a").agg(F.min("b").alias("m"))
         small = e.join(least, "a")
-        e = written_table(star(
+        done, e = table, written_table(star(
             small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
         ))
+        table = e
+        discard(done)
         now = checksum(e)
         if now == before:
             break

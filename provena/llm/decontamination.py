@@ -28,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from provena.functions.ranking import union_all
 from provena.llm.kernels import PUNCT, U64, Words, mix, pieces, signed, utf8
-from provena.session import written_table
+from provena.session import discard, written_table
 
 
 #: Window lengths in words, each about the square root of two times the one before.
@@ -142,7 +142,10 @@ class Decontamination:
 
         made = docs.select("text").mapInArrow(count, "p long, n long").groupBy("p").agg(F.sum("n").alias("n"))
         one = F.when(F.col("p") == -1, F.col("n")).otherwise(1)  # the row of -1 counts documents
-        counts = made.groupBy(F.col("p").bitwiseAND(low).alias("t")).agg(F.sum(one).alias("n")).toPandas()
+        # written, so that the contexts that were shuffled are gone before the next pass
+        tallied = written_table(made.groupBy(F.col("p").bitwiseAND(low).alias("t")).agg(F.sum(one).alias("n")))
+        counts = tallied.toPandas()
+        discard(tallied)
         counts["t"] = counts["t"].where(counts["t"] != low, terms)
         df = np.zeros(terms + 1)
         df[counts["t"]] = counts["n"]
@@ -161,7 +164,7 @@ class Decontamination:
         rank = min(self.rank, terms)
         omega = np.random.default_rng(self.seed).normal(size=(terms, min(rank + 8, terms))).astype(np.float32)
         shared = docs.sparkSession.sparkContext.broadcast((bench.vocabulary, bench.term, weights.astype(np.float32), omega))
-        step, blocks = 64, 32
+        step, blocks = 64, 256
         cuts = np.linspace(0, terms, blocks + 1).astype(int)
 
         def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,10 +196,12 @@ class Decontamination:
             s = np.sum([np.frombuffer(p, np.float32) for p in rows["part"]], axis=0, dtype=np.float64).astype(np.float32)
             return pd.DataFrame({"block": [rows["block"].iloc[0]], "part": [s.tobytes()]})
 
-        made = written_table(docs.select("text").mapInArrow(product, "block int, part binary").withColumn("s", F.pmod(F.spark_partition_id(), F.lit(64))))
-        # added up in two steps, so that a group stays small however many tasks there are
+        # added up in two steps, in many small blocks, so that a group stays small however many tasks there are
+        made = docs.select("text").mapInArrow(product, "block int, part binary").withColumn("s", F.pmod(F.spark_partition_id(), F.lit(8)))
         made = made.groupBy("block", "s").applyInPandas(total, "block int, part binary").groupBy("block").applyInPandas(total, "block int, part binary")
-        parts = {r["block"]: np.frombuffer(r["part"], np.float32).astype(np.float64) for r in made.collect()}
+        summed = written_table(made)
+        parts = {r["block"]: np.frombuffer(r["part"], np.float32).astype(np.float64) for r in summed.collect()}
+        discard(summed)
         energy = float(parts.pop(blocks, np.zeros(1))[0])
         corpus = np.concatenate([parts[i] for i in range(blocks)]).reshape(terms, -1) if parts else np.zeros((terms, omega.shape[1]))
         q = bench.matrix(weights)

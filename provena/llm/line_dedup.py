@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from provena.functions.ranking import broadcast_if_small
 from provena.llm.common import free
 from provena.llm.kernels import U64, Words, mix, pieces, signed, utf8
-from provena.session import written_table
+from provena.session import discard, written_table
 
 NEWLINE = ord("\n")
 WORD = re.compile(rb"[^\x20\t-\r]+")
@@ -55,8 +55,7 @@ class LineDedup:
         """
         docs = docs.drop(removed)
         row = F.xxhash64(F.col(key).isNull(), F.col(key), text)
-        # written, so that what was shuffled for it is gone before the texts are
-        spans = written_table(self.repeated(docs.select(row.alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))))
+        spans = self.repeated(docs.select(row.alias("row"), F.col(key).alias("key"), F.col(text).alias("text")))
         # All columns travel in one struct, so that no name of theirs can meet one of these.
         whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), row.alias("row"), F.col(key).alias("key"))
         spans = spans.select(F.col("row").alias("cut_row"), F.col("key").alias("cut_key"), "spans")
@@ -87,7 +86,7 @@ class LineDedup:
 
     def repeated(self, rows: DataFrame) -> DataFrame:
         """(row, key, spans): the runs of repeated chunks in each row that has any: byte spans (s, e), words (w), lines (l), and
-        the bytes before and after (pre, post) where the chunks occur first, or null."""
+        the bytes before and after (pre, post) where the chunks occur first, or null. A staged table, the only one that is left."""
         min_words = self.min_words
         # Counting needs no text: one row for each chunk hash and task, then one for each hash.
         counts = self._chunks(rows).groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
@@ -98,8 +97,8 @@ class LineDedup:
         # in a third of all documents is one row per task.
         groups = written_table(_groups(found).select("hash", "first", "final"))
         # Where all chunks of a hash have the same bytes, the hash alone stands for them from here on; where not, the bytes do.
-        clash = written_table(groups.groupBy("hash").count().where("count > 1").select("hash"))
-        clash = broadcast_if_small(clash, 1_000_000)
+        clashing = written_table(groups.groupBy("hash").count().where("count > 1").select("hash"))
+        clash = broadcast_if_small(clashing, 1_000_000)
         place = ["hash", "row", "key", "place", "s", "e", "w", "lines"]
         # written, so that Spark may split a hot chunk in the join
         first = groups.where("first.r <> final.r").join(clash, "hash", "left_anti").select("hash", "first")
@@ -126,7 +125,9 @@ class LineDedup:
         none = F.array().cast("array<struct<s:int,e:int,w:int,l:int,pre:binary,post:binary>>")
         runs = F.aggregate("c", F.struct(F.lit(-2).alias("last"), none.alias("runs")), add)["runs"]
         may = F.filter(runs, lambda r: ((r["w"] >= min_words) & (r["l"] >= 2)) | r["pre"].isNotNull() | r["post"].isNotNull())
-        return per_row.select("row", "key", may.alias("spans")).where(F.size("spans") > 0)
+        spans = written_table(per_row.select("row", "key", may.alias("spans")).where(F.size("spans") > 0))
+        discard(often, found, groups, clashing)
+        return spans
 
     def _bitmap(self, often: DataFrame) -> np.ndarray:
         """One bit for each hash value modulo 2 ** filter_bits: of fixed size, however many hashes there are."""

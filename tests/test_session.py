@@ -1,5 +1,7 @@
 """Staged tables: what a write shuffles is gone when it ends, and the setting is as before."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from provena import session
@@ -20,3 +22,11 @@ def test_a_staged_table_leaves_no_shuffle_files(spark):
     assert spark.conf.get(session.SHUFFLE_CLEANUP, "false") == before
     # the frame itself can be read again
     assert sorted(map(tuple, table.collect())) == sorted(map(tuple, counts.collect())) == [(k, 100) for k in range(1000)]
+
+
+def test_a_discarded_table_leaves_no_files_and_other_frames_keep_theirs(spark, tmp_path):
+    spark.range(10).write.parquet(f"{tmp_path}/input")
+    given, staged = spark.read.parquet(f"{tmp_path}/input"), session.written_table(spark.range(10))
+    files = [f.removeprefix("file://") for f in staged.inputFiles()]
+    session.discard(given, staged, staged)
+    assert files and not any(os.path.exists(f) for f in files) and given.count() == 10

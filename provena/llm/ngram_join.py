@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provena.functions.ranking import broadcast_if_small
+from provena.functions.ranking import broadcast_if_small, union_all
 from provena.llm.common import components
 from provena.llm.kernels import U64, Words, distinct_by_doc, mix, pieces, shingle_hashes, signed, utf8, whole_runs
-from provena.session import written_table
+from provena.session import discard, written_table
 
 
 @dataclass(frozen=True)
@@ -37,7 +37,8 @@ class JaccardJoin:
     """Link where ``overlap * den >= union * num``. The other parameters change the work, not the result.
 
     bits: least bits of a bitmap, a power of two. heavy_share: a shingle held by a larger share of the documents is ranked last. block: classes of
-    a tile beyond which it is cut into blocks. first_keys: leading shingles whose tiles are gone through first.
+    a tile beyond which it is cut into blocks. first_keys: leading shingles whose tiles are gone through first. parts, part_rows: the
+    listings are shuffled in up to so many parts, of so many rows at least, to find the shingles that several classes list.
     """
 
     size: int = 5
@@ -48,6 +49,8 @@ class JaccardJoin:
     max_heavy: int = 500_000
     block: int = 4096
     first_keys: int = 4
+    parts: int = 4
+    part_rows: int = 4_000_000
 
     def classes(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         """(key, n, component): the size of each row's set and the smallest key reachable by links, itself included.
@@ -56,8 +59,13 @@ class JaccardJoin:
         are separate rows of one key. A null key is kept and never names a component of others.
         """
         docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-        listed = written_table(self._listed(docs, self._heavy(docs)))
-        links = self._links(docs, listed)
+        whole = written_table(self._listed(docs, self._heavy(docs)))
+        rows = whole.agg(F.sum(F.size("shingles"))).first()[0] or 0
+        parts = min(self.parts, 1 + rows // self.part_rows)
+        met = [written_table(self._meeting(whole, part, parts)) for part in range(parts)]
+        meeting, listed = written_table(self._once(union_all(met))), written_table(whole.drop("shingles"))
+        discard(whole, *met)
+        links = self._links(docs, listed, meeting)
         # One row per class: the smallest key of a class stands for it.
         by_class = listed.where("n > 0").groupBy("set").agg(F.min("key").alias("least"))
         member = by_class.join(links.select(F.col("node").alias("set"), "component"), "set", "left")
@@ -176,10 +184,11 @@ class JaccardJoin:
 
     # ---- tiles ---------------------------------------------------------------------------------------------
 
-    def _meeting(self, listed: DataFrame) -> DataFrame:
-        """(shingle, set, n, place): the listings that meet another class of a size within reach under their shingle."""
+    def _meeting(self, listed: DataFrame, part: int, parts: int) -> DataFrame:
+        """(shingle, set, n, place): the listings under the shingles of a part that meet another class of a size within reach."""
         num, den = self.num, self.den
         each = listed.where("shingles is not null").select("set", "n", F.posexplode("shingles").alias("place", "shingle"))
+        each = each.where(F.pmod("shingle", F.lit(parts)) == part)
 
         def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: pa.Table | None = None  # the last row of the batch before, whose neighbour is still to come
@@ -300,27 +309,34 @@ class JaccardJoin:
                     yes.append(both * den >= (len(x) + len(y) - both) * num)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(yes, pa.bool_())], names=["a", "b", "linked"])
 
-        one = signatures.select(F.col("set").alias("a"), F.col("sorted").alias("x"))
-        two = signatures.select(F.col("set").alias("b"), F.col("sorted").alias("y"))
+        # only the arrays that a pair needs travel
+        need = [broadcast_if_small(pairs.select(F.col(c).alias("set")).distinct(), 1_000_000) for c in "ab"]
+        one, two = (signatures.join(sets, "set", "left_semi") for sets in need)
+        one = one.select(F.col("set").alias("a"), F.col("sorted").alias("x"))
+        two = two.select(F.col("set").alias("b"), F.col("sorted").alias("y"))
         return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, linked boolean")
 
     def _keyed(self, listed: DataFrame, sets: DataFrame) -> DataFrame:
         """(set, key) of ``sets``: the smallest key of each."""
         return listed.join(broadcast_if_small(sets, 1_000_000), "set", "left_semi").groupBy("set").agg(F.min("key").alias("key"))
 
-    def _links(self, docs: DataFrame, listed: DataFrame) -> DataFrame:
-        """(node, component) of the classes that have a link."""
-        meeting = written_table(self._once(written_table(self._meeting(listed))))
+    def _links(self, docs: DataFrame, listed: DataFrame, meeting: DataFrame) -> DataFrame:
+        """(node, component) of the classes that have a link. ``meeting`` and what else is staged here goes with it."""
         wanted = written_table(self._keyed(listed, meeting.select("set").distinct()))
-        bitmaps = written_table(self._signatures(docs, wanted, arrays=False)).withColumnRenamed("bits", "bitmap")
+        maps = written_table(self._signatures(docs, wanted, arrays=False))
+        bitmaps = maps.withColumnRenamed("bits", "bitmap")
         # Most classes meet others in a shared passage only; bitmaps tell these apart from what may link.
         hopeful = written_table(self._promising(self._tiles(meeting).join(bitmaps, "set")))
-        meeting = written_table(meeting.join(broadcast_if_small(hopeful, 1_000_000), "set", "left_semi"))
-        signatures = written_table(self._signatures(docs, self._keyed(wanted, hopeful), arrays=True)).withColumnRenamed("bits", "sorted")
+        every, meeting = meeting, written_table(meeting.join(broadcast_if_small(hopeful, 1_000_000), "set", "left_semi"))
+        discard(every)
+        arrays = written_table(self._signatures(docs, self._keyed(wanted, hopeful), arrays=True))
+        signatures = arrays.withColumnRenamed("bits", "sorted")
+        discard(wanted, hopeful)
         spark = docs.sparkSession
         links = spark.createDataFrame([], "a long, b long")
         refuted = spark.createDataFrame([], "a long, b long")
         named = spark.createDataFrame([], "node long, component long")
+        tried: list[DataFrame] = []
         step = 0
         while True:
             rows = meeting if step else meeting.where(F.col("place") < self.first_keys)
@@ -330,11 +346,15 @@ class JaccardJoin:
                 mixed = rows.groupBy("shingle").agg(F.min("component").alias("_x"), F.max("component").alias("_y"))
                 rows = rows.join(mixed.where("_x <> _y").select("shingle"), "shingle", "left_semi")
             lost = refuted.groupBy("a").agg(F.collect_set("b").alias("refuted")).withColumnRenamed("a", "set")
-            rows = written_table(rows.select("shingle", "set", "n", "component"))
-            rows = self._tiles(rows).join(bitmaps, "set").join(lost, "set", "left")
-            checked = written_table(self._verified(self._candidates(rows, 32 ** max(step - 1, 0)), signatures))
+            open_ = written_table(rows.select("shingle", "set", "n", "component"))
+            rows = self._tiles(open_).join(bitmaps, "set").join(lost, "set", "left")
+            pairs = written_table(self._candidates(rows, 32 ** max(step - 1, 0)))
+            checked = written_table(self._verified(pairs, signatures))
+            discard(open_, pairs)
+            tried.append(checked)
             found = checked.agg(F.count(F.lit(1)), F.count_if("linked")).first()
             if found[0] == 0 and step > 1:
+                discard(meeting, maps, arrays, *tried)  # ``named`` has files of its own
                 return named
             step += 1
             if found[1]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from provena.functions.ranking import hashed_rank, running, union_all
 from provena.operators.chunking import neighbor_chunk_ids
-from provena.operators.passages import holding
+from provena.operators.passages import holding, windows_holding
 from provena.session import cut_lineage
 
 # Number of resamples, seed, positions of the interval's order statistics (0-based).
@@ -26,6 +26,12 @@ def gold_chunks(chunks: DataFrame, passages: DataFrame) -> DataFrame:
     return holding(chunks, passages)
 
 
+def gold_windows(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """``gold_chunks`` of the windows of the documents (doc_id, text), without cutting them."""
+    held = windows_holding(docs, passages)
+    return held.select("query_id", "doc_id", F.format_string("%s-chunk-%04d", F.col("doc_id").cast("string"), "chunk_index").alias("chunk_id"))
+
+
 def acceptable_chunks(gold: DataFrame) -> DataFrame:
     """Gold chunks and their neighbours: (query_id, chunk_id, strict)."""
     near = gold.select("query_id", F.explode(neighbor_chunk_ids("chunk_id")).alias("chunk_id"), F.lit(False).alias("strict"))

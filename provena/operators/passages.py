@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from provena.functions.ranking import query_blocks, union_all
+from provena.operators.chunking import CHUNK_SIZE, CHUNK_STEP
 
 # Characters of a piece; a shorter passage is a piece itself.
-PIECE = 8
+PIECE = 16
 # Passages that travel at a time.
 MAX_ROWS = 50_000
 MAX_BYTES = 4 * 1024 * 1024
@@ -119,10 +120,33 @@ def holding(windows: DataFrame, passages: DataFrame, keep: tuple[str, ...] = ("d
     return union_all(out)
 
 
-def _held(windows: DataFrame, block: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+def windows_holding(
+    docs: DataFrame, passages: DataFrame, keep: tuple[str, ...] = ("doc_id",), size: int = CHUNK_SIZE, step: int = CHUNK_STEP
+) -> DataFrame:
+    """(query_id, ``keep``..., chunk_index) of every window of a text (see ``chunking.windows``) that holds the passage: ``holding``
+    without cutting the windows, so that what two of them share is looked at once."""
+    asked = passages.where(F.length("text") > 0).select("query_id", "text")
+    out = [_held(docs, block, keep, (size, step)) for block in query_blocks(asked, "query_id", "text", MAX_ROWS, MAX_BYTES)]
+    return union_all(out)
+
+
+def _windows(text: str, passage: str, size: int, step: int) -> Iterator[int]:
+    """The windows of a text that hold a passage, each once."""
+    n = len(text)
+    last = min(max(-(-(n - size) // step), 0) + 1, -(-n // step)) - 1
+    at, first = text.find(passage), 0
+    while at >= 0:
+        first = max(first, -(-(at + len(passage) - size) // step))
+        yield from range(first, min(at // step, last) + 1)
+        first = max(first, at // step + 1)
+        at = text.find(passage, first * step)  # up to there it lies in the same windows or fewer
+
+
+def _held(windows: DataFrame, block: DataFrame, keep: tuple[str, ...], cut: tuple[int, int] | None = None) -> DataFrame:
     got = block.toArrow()  # a block of passages
     ids, texts = got.column("query_id").combine_chunks(), got.column("text").to_pylist()
-    schema = T.StructType([block.schema["query_id"], *(windows.schema[c] for c in keep)])
+    place = [T.StructField("chunk_index", T.IntegerType())] if cut else []
+    schema = T.StructType([block.schema["query_id"], *(windows.schema[c] for c in keep), *place])
     if not texts:
         return windows.sparkSession.createDataFrame([], schema)
     pieces = Pieces(texts)
@@ -160,17 +184,19 @@ def _held(windows: DataFrame, block: DataFrame, keep: tuple[str, ...]) -> DataFr
         sizes, firsts, asked, texts = model.value
         for batch in batches:
             windows_ = [t or "" for t in batch.column(0).to_pylist()]
-            row, found = [], []
+            row, found, index = [], [], []
             for text, piece in hits(windows_, sizes, firsts):
                 for t, p in zip(text.tolist(), piece.tolist(), strict=True):
                     for i in asked[p]:
-                        if texts[i] in windows_[t]:
+                        for w in _windows(windows_[t], texts[i], *cut) if cut else [0] * (texts[i] in windows_[t]):
                             row.append(t)
                             found.append(i)
+                            index.append(w)
             held = batch.take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *held.columns[1:]], names=["_i", *keep])
+            where = [pa.array(index, pa.int32())] if cut else []
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *held.columns[1:], *where], names=plain.names)
 
-    plain = T.StructType([T.StructField("_i", T.LongType()), *(windows.schema[c] for c in keep)])
+    plain = T.StructType([T.StructField("_i", T.LongType()), *schema.fields[1:]])
     out = windows.select("text", *keep).mapInArrow(compare, plain)
     names = windows.sparkSession.createDataFrame(pa.table({"_i": pa.array(np.arange(len(texts))), "query_id": ids.cast(kind)}))
-    return out.join(F.broadcast(names), "_i").select("query_id", *keep)  # a row per passage of the block
+    return out.join(F.broadcast(names), "_i").select(*schema.names)  # a row per passage of the block

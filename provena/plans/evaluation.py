@@ -57,7 +57,7 @@ def results(spark, sf, legs=None, queries=None):
 
 
 def gold(spark, sf):
-    return ev.gold_chunks(c.chunks(spark, sf), c.queries(spark, sf)).select("query_id", "chunk_id")
+    return ev.gold_windows(c.documents(spark, sf), c.queries(spark, sf)).select("query_id", "chunk_id")
 
 
 def scored(spark, sf):

@@ -13,7 +13,8 @@ WS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 # Fixed value: index terms are runs of two or more letters, digits or underscores.
-TERM = r"[\p{L}\p{N}_]{2,}"
+TERM_CLASS = r"[\p{L}\p{N}_]"
+TERM = TERM_CLASS + "{2,}"
 
 
 def col(c: str | Column) -> Column:

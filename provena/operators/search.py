@@ -16,7 +16,7 @@ from provena.functions.text import entity_codes
 from provena.operators import clusters as cl
 from provena.operators import impact as im
 from provena.operators import index as ix
-from provena.operators.chunking import chunk_documents, chunk_total
+from provena.operators.chunking import chunk_total
 from provena.session import shared_folder, written_table
 from provena.sources.snapshots import Versions
 
@@ -30,7 +30,7 @@ METHODS = ("text", "vector", "hybrid")
 COUNTRY_KEYWORDS = {"KE": "kenya", "UG": "uganda", "TZ": "tanzania", "ET": "ethiopia", "RW": "rwanda"}
 
 # Part of every fingerprint: changes when the tables of an index change.
-INDEX_FORMAT = 5
+INDEX_FORMAT = 6
 # Excluded documents that are broadcast: eight bytes each.
 MAX_EXCLUDED = 2_000_000
 # Queries sent to the tasks at a time; larger batches are searched block by block.
@@ -125,42 +125,42 @@ def boost(results: DataFrame, group: Sequence[str] = ("query_id",)) -> DataFrame
 
 
 class ChunkIndex:
-    """An index that is built once and searched many times: term statistics and one row per chunk.
+    """An index that is built once and searched many times: term statistics, blocks of chunks and their vectors.
 
-    ``build`` writes both as tables to the shared folder, so that no leg, method or arm repeats the work on the
-    text, and each leg reads only its own columns.
+    ``build`` writes them as tables to the shared folder, so that no leg, method or arm repeats the work on the
+    text, and each leg reads only its own columns. ``rows``, one per chunk, are read off the blocks.
     """
 
-    def __init__(self, chunks: DataFrame, n_chunks: Column, dim: int = ix.VECTOR_DIM):
+    def __init__(self, docs: DataFrame, dim: int = ix.VECTOR_DIM):
         self.dim = dim
-        self.n_chunks = n_chunks
-        self._chunks = chunks
-        self.stats = ix.with_idf(ix.count_terms(chunks), n_chunks, dim)
+        self.n_chunks = chunk_total(docs)
+        self._docs = docs
+        self.stats = ix.with_idf(ix.count_window_terms(docs), self.n_chunks, dim)
         self.rows: DataFrame | None = None
         self.inverted: DataFrame | None = None
         self.vectors: cl.VectorIndex | None = None
 
     def build(self) -> ChunkIndex:
         self.stats = written_table(self.stats)
-        self.rows = written_table(ix.chunk_rows(self._chunks, self.stats, self.n_chunks, self.dim))
-        self.inverted = written_table(im.blocks(self.rows))
+        self.inverted = written_table(im.document_blocks(self._docs, self.stats, self.n_chunks, self.dim))
+        self.rows = im.block_rows(self.inverted)
         self.vectors = cl.VectorIndex.build(self._vectors(), "chunk_id", ("doc_id",))
         return self
 
     def _vectors(self) -> DataFrame:
-        return self.rows.select(F.col("doc_id").cast("string").alias("doc_id"), "chunk_id", "vec")
+        return im.block_vectors(self.inverted)
 
     def store(self, path: str) -> ChunkIndex:
         """Write all tables of the index below ``path``."""
-        spark = self._chunks.sparkSession
+        spark = self._docs.sparkSession
 
         def stored(df: DataFrame, name: str) -> DataFrame:
             df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
             return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
         self.stats = stored(self.stats, "stats")
-        self.rows = stored(ix.chunk_rows(self._chunks, self.stats, self.n_chunks, self.dim), "rows")
-        self.inverted = stored(im.blocks(self.rows), "inverted")
+        self.inverted = stored(im.document_blocks(self._docs, self.stats, self.n_chunks, self.dim), "inverted")
+        self.rows = im.block_rows(self.inverted)
         self.vectors = cl.VectorIndex.build(self._vectors(), "chunk_id", ("doc_id",), write=lambda df: stored(df, "vectors"))
         # at most ``MAX_CENTRES`` rows
         centres = [(c.tolist(),) for c in self.vectors.centres]
@@ -168,10 +168,10 @@ class ChunkIndex:
         return self
 
     def load(self, path: str) -> ChunkIndex:
-        spark = self._chunks.sparkSession
+        spark = self._docs.sparkSession
         self.stats = spark.read.schema(self.stats.schema).parquet(f"{path}/stats")
-        self.rows = spark.read.parquet(f"{path}/rows")
         self.inverted = spark.read.parquet(f"{path}/inverted")
+        self.rows = im.block_rows(self.inverted)
         centres = [r["vec"] for r in spark.read.parquet(f"{path}/centres").orderBy("cluster").collect()]
         self.vectors = cl.VectorIndex.opened(spark.read.parquet(f"{path}/vectors"), "chunk_id", np.array(centres).reshape(len(centres), -1))
         return self
@@ -192,7 +192,7 @@ class ChunkIndex:
 
 def index_documents(docs: DataFrame) -> ChunkIndex:
     """Index documents (doc_id, text): windows, weights, vectors. Built on first use."""
-    return ChunkIndex(chunk_documents(docs), chunk_total(docs))
+    return ChunkIndex(docs)
 
 
 def content_fingerprint(docs: DataFrame) -> str:
@@ -240,7 +240,7 @@ class IndexRegistry:
     def _publish(self, docs: DataFrame, corpus_version: str, model: str, fingerprint: str) -> ChunkIndex:
         folder, version = f"indexes/{uuid.uuid4().hex}", corpus_version.split()[0]
         index = index_documents(docs).store(f"{self.path}/{folder}")
-        stamp = ix.index_stamp(index.rows, model, version, "").first().asDict()
+        stamp = ix.index_stamp(index._vectors(), model, version, "").first().asDict()
         entry = stamp | {"fingerprint": fingerprint, "folder": folder, "created_at": datetime.now(UTC).strftime("%Y-%m-%d")}
         while True:
             known = self._entries.numbers()

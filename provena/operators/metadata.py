@@ -9,6 +9,8 @@ from provena.functions.text import collapse_spaces
 from provena.session import cut_lineage
 
 SCHEMA_VERSION = "1.1"  # fixed value
+# Included documents whose ids are broadcast: eight bytes each.
+MAX_INCLUDED = 2_000_000
 DECLARED = (
     "title", "organization", "countries", "publication_date", "url", "doc_type",
     "source_format", "topics", "language",
@@ -56,6 +58,16 @@ def lifecycle_block() -> Column:
     )
 
 
+def included_only(docs: DataFrame, included: DataFrame) -> DataFrame:
+    """The documents that are included, told before anything is done with their texts: the ids travel while they are few enough.
+
+    Beyond ``MAX_INCLUDED`` all documents are returned, and a later join on the narrow results leaves out the others.
+    """
+    ids = included.select("doc_id").distinct()
+    few = ids.limit(MAX_INCLUDED + 1).count() <= MAX_INCLUDED
+    return docs.join(F.broadcast(ids), "doc_id", "left_semi") if few else docs
+
+
 def metadata_records(included: DataFrame, decl: DataFrame, validation: DataFrame) -> DataFrame:
     """Records of documents that are included, declared and validated; see ``missing_inputs`` for the gate."""
     ok = validation.where("tier1_passed").select("doc_id", "tier2", "tier2_flags")
